@@ -93,6 +93,26 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from v
 """
 
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op5_aho_corasick"] = rf"""
+with b as (
+  select coalesce(item_id::varchar, 'null') as item, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null
+), win as (
+  select distinct item, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as run
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)
+), d as (
+  select row_number() over () as rid, doc_id, coalesce(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents
+), g as (
+  select rid, n, i, array_to_string(w[i : i + n - 1], ' ') as run
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from win) where len(w) >= n)
+), h as (select g.rid, g.n, g.i, win.item from g join win using (n, run)),
+pos as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from (select distinct rid, i, n from h)) group by rid),
+its as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct rid, item from h) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (rid) left join its using (rid)
+"""
+
 # DuckDB has no crc32: the checksum is folded over the bytes, with the table of the reflected polynomial made from its rule.
 ORACLES["op8_stratified_shards"] = r"""
 with recursive tab as (

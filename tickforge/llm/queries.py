@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, quality, sharding, url_rules
+from . import bpe, decontaminate, langid, oracles, quality, sharding, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,18 +21,36 @@ def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.stratified_shards(_table(spark, sf_dir, "documents"), n_shards=8)
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_bpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Query] = {
     "op4_distribution_divergence": op4_distribution_divergence,
+    "op5_aho_corasick": op5_aho_corasick,
+    "op7_byte_cnn": op7_byte_cnn,
     "op8_stratified_shards": op8_stratified_shards,
+    "op9_bpe_matrix": op9_bpe_matrix,
     "op10_url_rules": op10_url_rules,
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -12,6 +12,17 @@ def _list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
 
 
+ORACLES["op3_warc_chunks"] = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages
+), k as (
+  select digest, max(page_id) as keep from p where n >= 1000 group by digest having count(*) > 1
+)
+select page_id, n::bigint as payload_bytes, p.digest as payload_digest,
+       case when page_id < keep then 'revisit' else 'response' end as record_type, case when page_id < keep then keep end as refers_to
+from p left join k on p.digest = k.digest and p.n >= 1000
+"""
+
 _D = Divergence()
 
 ORACLES["op4_distribution_divergence"] = rf"""

@@ -56,7 +56,7 @@ class TaskFile:
         self.name = f"{uuid.uuid4().hex}{suffix}"
         self.path = posixpath.join(base, self.name)
         self.uri = f"{folder.rstrip('/')}/{self.name}"
-        self._out = self.fs.open_output_stream(f"{self.path}.open")
+        self._out = self.fs.open_output_stream(f"{self.path}.open", compression=None)
         self.size = 0
 
     def write(self, data: Any) -> None:

@@ -124,6 +124,25 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join pos using (rid) left join its using (rid)
 """
 
+ORACLES["op6_jaccard_join"] = r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct rid, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') as g
+  from (select rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)
+), n as (select rid, count(*) as n from s group by rid),
+links as (
+  select x.rid as a, y.rid as b from s x join s y using (g) where x.rid <> y.rid group by 1, 2
+  having 100 * count(*) >= 80 * ((select n from n where n.rid = x.rid) + (select n from n where n.rid = y.rid) - count(*))
+), reach as (
+  select rid as a, rid as b from d union select reach.a, links.b from reach join links on links.a = reach.b
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id
+from d left join n using (rid) join (select a as rid, min(e.doc_id) as component_id from reach join d e on e.rid = reach.b group by a) m using (rid)
+"""
+
 # DuckDB has no crc32: the checksum is folded over the bytes, with the table of the reflected polynomial made from its rule.
 ORACLES["op8_stratified_shards"] = r"""
 with recursive tab as (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, oracles, quality, sharding, url_rules, warc
+from . import bpe, decontaminate, jaccard, langid, oracles, quality, sharding, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op5_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learn(docs))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_chunks": op3_warc_chunks,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op5_aho_corasick": op5_aho_corasick,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_stratified_shards": op8_stratified_shards,
     "op9_bpe_matrix": op9_bpe_matrix,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, langid, oracles, quality, sharding, url_rules, warc
+from . import bpe, decontaminate, huffman, jaccard, langid, oracles, quality, separator_scan, sharding, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, end_of_text = public_tokenizers.path("word_bpe_49k.json"), 49407
+    return separator_scan.token_counts(_table(spark, sf_dir, "documents"), vocabulary, end_of_text)
+
+
+def op2_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = huffman.write_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return huffman.summary(spark, path)
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.inventory(warc.archive(_table(spark, sf_dir, "pages")))
 
@@ -54,6 +64,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_separator_scan": op1_separator_scan,
+    "op2_huffman_tokens": op2_huffman_tokens,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_distribution_divergence": op4_distribution_divergence,
     "op5_aho_corasick": op5_aho_corasick,

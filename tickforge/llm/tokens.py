@@ -48,11 +48,12 @@ class _Words(dict):
 class WordEncoder:
     """ids of whole texts, equal to the library's with add_special_tokens=False."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
+        self.library.encode_special_tokens = special_as_text
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -126,10 +127,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(vocabulary: str) -> WordEncoder:
+def encoder(vocabulary: str, special_as_text: bool = False) -> WordEncoder:
     """The worker's encoder for a vocabulary file's content; the last one made is kept."""
-    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+    key = f"{hashlib.sha256(vocabulary.encode()).hexdigest()}-{special_as_text}"
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(vocabulary)
+        _encoders[key] = WordEncoder(vocabulary, special_as_text)
     return _encoders[key]

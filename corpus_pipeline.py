@@ -1,10 +1,21 @@
-"""Corpus pipeline: quality rules, language, near duplicates, decontamination, tokens."""
+"""Corpus pipeline: quality rules, language, near duplicates, decontamination, tokens.
+
+Each stage takes the rows that its predecessor kept and returns the rows that
+it keeps, with the columns of documents; the last returns token digests. Every
+decision is a row's own, or a join on the document id.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickforge.llm import bpe, decontaminate, jaccard, langid, quality
+from tickforge.llm.shared import written
 
-from tickforge.llm import quality
+#: A language is rejected below this score: some windows speak for one language, some for another.
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,18 +23,45 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).filter("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_stage)]
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has letters and a language that the network is fairly sure of."""
+    found = langid.identify(docs, langid.learn(docs), keep=tuple(docs.columns))
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the least id."""
+    groups = jaccard.near_duplicates(docs)
+    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a window of benchmark words."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
+    return found.filter("not contaminated").select(*docs.columns)
 
-#: Language identification is a trained model, so SQL cannot express the stages.
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("language ID", language_stage),
+    ("near duplicates", duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("tokens", token_stage),
+]
+
+#: The language stage is a trained model, which SQL cannot express; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tickforge.llm.shared import written
-
+    """All stages over the documents, each but the last written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,4 +1,6 @@
 """All registered queries with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tickforge.plans import market  # noqa: F401
+from tickforge.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

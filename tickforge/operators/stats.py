@@ -1,0 +1,100 @@
+"""Statistics of backtests. A run is the columns ``by``; days without a trade count as zero days."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+YEAR, MONTH = 252, 21
+
+
+def safe(a: Column, b: Column) -> Column:
+    return a / F.nullif(b.cast("double"), F.lit(0.0).cast("double"))
+
+
+def daily(trades: DataFrame, sessions: DataFrame, by: list[str]) -> DataFrame:
+    """Every session of every run: trades, wins, gross, net, their running sums, and the drawdown from a peak of at least 0."""
+    days = trades.groupBy(*by, "session_date").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum((F.col("net_usd") > 0).cast("int")).alias("wins"), F.sum("gross_usd").alias("gross_usd"), F.sum("net_usd").alias("net_usd"))
+    # Runs and sessions are both short lists (a grid and a calendar), and their product is the table's contract.
+    every = trades.select(*by).distinct().join(sessions.select("session_date").distinct(), F.lit(True), "inner")
+    days = every.join(days, [*by, "session_date"], "left").fillna(0, ["trades", "wins", "gross_usd", "net_usd"])
+    w = Window.partitionBy(*by).orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumns({"cum_gross_usd": F.sum("gross_usd").over(w), "cum_net_usd": F.sum("net_usd").over(w)})
+    return days.withColumn("drawdown_usd", F.col("cum_net_usd") - F.greatest(F.max("cum_net_usd").over(w), F.lit(0.0)))
+
+
+def rolling(days: DataFrame, by: list[str], n: int = MONTH) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("session_date").rowsBetween(1 - n, 0)
+    full = lambda c: F.when(F.count(F.lit(1)).over(w) == n, c)
+    return days.select(
+        *by, "session_date", full(F.sum("gross_usd").over(w)).alias("gross_roll"), full(F.sum("net_usd").over(w)).alias("net_roll"),
+        full(safe(F.avg("net_usd").over(w), F.stddev_samp("net_usd").over(w)) * YEAR**0.5).alias("sharpe_roll"),
+        full(safe(F.sum("wins").over(w), F.sum("trades").over(w))).alias("win_rate_roll"),
+    )
+
+
+def longest_run(df: DataFrame, by: list[str], order: list[str], flag: Column, name: str) -> DataFrame:
+    """The longest stretch of true flags in each run; 0 without one."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    d = df.withColumn("_f", flag).withColumn("_i", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*by, "_i").agg(F.sum(F.col("_f").cast("int")).alias("_n")).groupBy(*by).agg(F.max("_n").alias(name))
+
+
+def summary(trades: DataFrame, sessions: DataFrame, by: list[str]) -> DataFrame:
+    """Each run in numbers."""
+    net, gross, res, n = F.col("net_usd"), F.col("gross_usd"), F.col("result"), F.count(F.lit(1))
+    share = lambda c: F.avg(c.cast("double"))
+    w = Window.partitionBy(*by).orderBy("session_date", "exit_ts_row", "entry_row", "symbol", "row").rowsBetween(Window.unboundedPreceding, 0)
+    t = trades.withColumn("_cum", F.sum("net_usd").over(w))
+    t = t.withColumn("_dd", F.col("_cum") - F.greatest(F.max("_cum").over(w), F.lit(0.0)))
+    total = lambda c, cond: F.sum(F.when(cond, c).otherwise(0.0))
+    main = t.groupBy(*by).agg(
+        n.alias("trades"), F.sum((F.col("side") == 1).cast("int")).alias("longs"), F.sum((F.col("side") == -1).cast("int")).alias("shorts"),
+        share(net > 0).alias("win_rate"), share(res == 1).alias("tp_share"), share(res == -1).alias("sl_share"), share(res == 0).alias("end_share"),
+        F.avg(F.when(net > 0, net)).alias("avg_win_usd"), F.avg(F.when(net < 0, net)).alias("avg_loss_usd"), F.avg(gross).alias("avg_gross_usd"), F.avg(net).alias("avg_net_usd"),
+        F.sum(gross).alias("total_gross_usd"), (F.sum(gross) - F.sum(net)).alias("total_cost_usd"), F.sum(net).alias("total_net_usd"),
+        total(gross, F.col("side") == 1).alias("gross_long_usd"), total(gross, F.col("side") == -1).alias("gross_short_usd"),
+        total(net, F.col("side") == 1).alias("net_long_usd"), total(net, F.col("side") == -1).alias("net_short_usd"),
+        safe(total(net, net > 0), -total(net, net < 0)).alias("profit_factor"), F.min("_dd").alias("max_drawdown_usd"),
+        F.avg((F.col("exit_ts_row") - F.col("entry_row")).cast("double")).alias("avg_hold_bars"),
+    )
+    days = daily(trades, sessions, by)
+    day = days.groupBy(*by).agg(
+        (safe(F.avg("net_usd"), F.stddev_samp("net_usd")) * YEAR**0.5).alias("sharpe"),
+        (safe(F.avg("net_usd"), F.sqrt(F.avg(F.pow(F.least("net_usd", F.lit(0.0)), 2)))) * YEAR**0.5).alias("sortino"), share(net > 0).alias("pct_positive_sessions"))
+    months = rolling(days, by).filter("net_roll is not null").groupBy(*by).agg(F.min("net_roll").alias("worst_month_usd"), share(F.col("net_roll") > 0).alias("pct_positive_months"))
+    under = longest_run(days, by, ["session_date"], F.col("drawdown_usd") < 0, "max_drawdown_sessions")
+    losing = longest_run(trades, by, ["session_date", "exit_ts_row", "entry_row", "symbol", "row"], net < 0, "longest_losing_streak")
+    out = main.join(day, by).join(months, by, "left").join(under, by).join(losing, by)
+    return out
+
+
+def by_label(trades: DataFrame, label: Column, name: str, by: list[str]) -> DataFrame:
+    net, gross, long = F.col("net_usd"), F.col("gross_usd"), F.col("side") == 1
+    part = lambda c, cond: F.sum(F.when(cond, c).otherwise(0.0))
+    return trades.groupBy(*by, label.alias(name)).agg(
+        F.count(F.lit(1)).alias("trades"), F.avg((net > 0).cast("double")).alias("win_rate"), F.sum(gross).alias("gross_usd"), F.sum(net).alias("net_usd"),
+        part(gross, long).alias("gross_long_usd"), part(gross, ~long).alias("gross_short_usd"), part(net, long).alias("net_long_usd"), part(net, ~long).alias("net_short_usd"), F.avg(net).alias("avg_net_usd"),
+    )
+
+
+def by_period(trades: DataFrame, unit: str, by: list[str]) -> DataFrame:
+    t = trades.withColumn("period", F.to_date(F.date_trunc(unit, "session_date")))
+    w = Window.partitionBy(*by, "period").orderBy("session_date", "exit_ts_row", "entry_row", "symbol", "row").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_cum", F.sum("net_usd").over(w)).withColumn("_dd", F.col("_cum") - F.greatest(F.max("_cum").over(w), F.lit(0.0)))
+    return t.groupBy(*by, "period").agg(
+        F.count(F.lit(1)).alias("trades"), F.avg((F.col("net_usd") > 0).cast("double")).alias("win_rate"), F.sum("gross_usd").alias("gross_usd"), F.sum("net_usd").alias("net_usd"), F.min("_dd").alias("max_drawdown_usd"))
+
+
+def slices(trades: DataFrame, by: list[str], labels: list[str], split: str) -> DataFrame:
+    """Every label value, each with and without the side, and all labels at once, by grouping sets of one pass."""
+    net = "net_usd"
+    sets = [by, *([*by, x] for x in labels), *([*by, x, "side"] for x in labels), [*by, *labels]]
+    view = trades.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in dict.fromkeys([*by, *labels, "side"])])
+    before, after = F.col("session_date") < F.lit(split).cast("date"), F.col("session_date") >= F.lit(split).cast("date")
+    return view.agg(
+        F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("trades"), F.sum("gross_usd").alias("gross_usd"), F.sum(net).alias("net_usd"),
+        F.avg((F.col(net) > 0).cast("double")).alias("win_rate"), (safe(F.avg(net), F.stddev_samp(net)) * F.sqrt(F.count(F.lit(1)))).alias("t_stat"),
+        F.sum(F.when(before, F.col(net)).otherwise(0.0)).alias("net_before"), F.sum(F.when(after, F.col(net)).otherwise(0.0)).alias("net_after"),
+    )

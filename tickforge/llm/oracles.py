@@ -12,6 +12,10 @@ def _list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
 
 
+ORACLES["op1_separator_scan"] = r"""
+select doc_id, (coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) + 1)::bigint as n_tokens from documents
+"""
+
 ORACLES["op3_warc_chunks"] = """
 with p as (
   select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages

@@ -17,8 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary, end_of_text = public_tokenizers.path("word_bpe_49k.json"), 49407
-    return separator_scan.token_counts(_table(spark, sf_dir, "documents"), vocabulary, end_of_text)
+    return separator_scan.token_counts(_table(spark, sf_dir, "documents"))
 
 
 def op2_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

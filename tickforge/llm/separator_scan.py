@@ -12,16 +12,21 @@ later one closes it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jaccard import word_hashes
 from .shared import TaskFile, filesystem, shared_dir, shuffle_parts, written
 from .tokens import encoder
 
+#: Texts to (ids one after the other, ids of each text).
+Encode = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
+
 ID_BYTES = 2
 BLOCK_BYTES = 4 << 20
 #: A file is closed after the document that takes it past this size.
@@ -44,28 +49,51 @@ def runs(texts: Iterable, max_rows: int = RUN_ROWS, max_chars: int = RUN_CHARS)
         yield first, held
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class HashedWords:
+    """A vocabulary without a list: a word's id is 1 to 65535 by its hash (A-Z folded), and 0 ends a document."""
+
+    end_id: int = 0
+
+    def encoder(self) -> Encode:
+        def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [word_hashes(t) for t in texts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return (np.concatenate(found) % np.uint64(65535)).astype(np.int64) + 1, sizes
+
+        return encode
+
+
+@dataclass(frozen=True)
+class LibraryTokens:
+    """A tokenizers vocabulary (the file's content). A text that spells a special token is ordinary text, so a special token can end documents."""
+
+    vocabulary: str
+    end_id: int
+
+    def encoder(self) -> Encode:
+        return encoder(self.vocabulary, special_as_text=True).encode
+
+
+def write_token_files(docs: DataFrame, tokens: HashedWords | LibraryTokens, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Encodes whole texts into flat token files, where they lie: no shuffle.
 
     Returns two tables: files (uri, n_bytes), all that a scan needs, and
     entries (uri, doc_no, doc_id), which document is the how-manieth of which
-    file. Null and empty texts are documents of the separator alone. A text
-    that spells a special token is ordinary text, so ids never hold end_id if
-    that is a special token's.
+    file. Null and empty texts are documents of the separator alone.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
-    with open(vocabulary, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+    shared = spark.sparkContext.broadcast(tokens)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, out, number = encoder(shared.value, special_as_text=True), None, 0
+        own, end_id, out, number = shared.value.encoder(), shared.value.end_id, None, 0
         for batch in batches:
             for first, texts in runs(batch["text"]):
                 if out is None:
                     out, number = TaskFile(folder, ".tok"), 0
-                ids, sizes = own.encode(texts)
+                ids, sizes = own(texts)
                 ends = np.cumsum(sizes)
                 if len(ids) and int(ids.max()) >= 1 << 8 * ID_BYTES:
                     raise ValueError("the vocabulary's ids do not fit the file")
@@ -130,11 +158,11 @@ def scan(files: DataFrame, end_id: int, *, block_bytes: int = BLOCK_BYTES) -> Da
     return each.select("uri", (F.col("_docs") + F.col("_k")).alias("doc_no"), start.alias("start"), (F.col("_base") + F.col("_end") - start).alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, vocabulary: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, tokens: HashedWords | LibraryTokens = HashedWords(), *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Writes the documents' flat token files, scans them, and returns doc_id, n_tokens (with the separator).
 
     Repeated rows are documents each; null and empty texts count 1; other
     columns are ignored; an empty table gives an empty result.
     """
-    files, entries = write_token_files(docs, vocabulary, end_id, id_col=id_col, text_col=text_col)
-    return entries.join(scan(files, end_id, block_bytes=block_bytes), ["uri", "doc_no"], "left").select("doc_id", "n_tokens")
+    files, entries = write_token_files(docs, tokens, id_col=id_col, text_col=text_col)
+    return entries.join(scan(files, tokens.end_id, block_bytes=block_bytes), ["uri", "doc_no"], "left").select("doc_id", "n_tokens")

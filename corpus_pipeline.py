@@ -20,7 +20,7 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and stay near a language's reference histograms."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,11 +153,13 @@ def judge(docs: DataFrame, rules: Divergence = Divergence(), *, refs: list[dict]
     """
     refs = references(docs, rules, text_col=text_col, lang_col=lang_col) if refs is None else refs
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
-    own = [c for c in docs.columns if c not in added]
+    # The rows' own columns go by number meanwhile, so none can clash with a name in use here.
+    names = [c for c in docs.columns if c not in added]
+    own = [f"_own_{k}" for k in range(len(names))]
     at = lambda xs, i: F.get(F.col(xs), i)
 
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select(*own, *_cut(F.col(text_col)), lines.alias("_lines"))
+    df = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, own, strict=True)), *_cut(F.col(text_col)), lines.alias("_lines"))
 
     # One hash for each 3-word window; the document's common words, sorted.
     places = F.sequence(F.lit(0), F.size("_words") - 3)
@@ -212,4 +214,13 @@ def judge(docs: DataFrame, rules: Divergence = Divergence(), *, refs: list[dict]
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     near_enough = lambda c, most: F.coalesce(F.col(c) <= most, F.lit(True))
     kept = ~F.col("base_failed") & near_enough("char_distance", rules.max_char_distance) & near_enough("word_distance", rules.max_word_distance)
-    return df.withColumn("kept", kept).select(*own, *added)
+    return df.withColumn("kept", kept).select(*(F.col(k).alias(c) for c, k in zip(names, own, strict=True)), *added)
+
+
+def accepted(docs: DataFrame, rules: Divergence = Divergence(), *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that ``judge`` keeps, with exactly the columns of ``docs`` whatever their names."""
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_doc_text"), F.col(lang_col).alias("_doc_lang"))
+    judged = judge(packed, rules, text_col="_doc_text", lang_col="_doc_lang")
+    # The row number keeps Catalyst from copying the whole chain of expressions into the filter, once for each use.
+    judged = judged.withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")

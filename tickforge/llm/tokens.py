@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
 
 #: Distinct words kept by a worker before it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 900_000
 END_OF_WORD = "</w>"
 #: Capitals whose small form depends on the library or the place: texts with them are not folded beforehand.
 UNSAFE_CAPITALS = "\u0130\u03a3"
+#: A full stop or comma that may belong to a longer run of signs.
+_RUN_OF_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,]")
 
 
 class _Words(dict):
@@ -105,7 +108,10 @@ class WordEncoder:
             if text:
                 if not any(c in text for c in UNSAFE_CAPITALS):
                     text = text.lower()
-                found = text.replace("\n", " ").split(" ")
+                text = text.replace("\n", " ")
+                if not _RUN_OF_SIGNS.search(text):  # then the sign before a space is a unit of its own
+                    text = text.replace(", ", " , ").replace(". ", " . ")
+                found = text.split(" ")
                 words += found
                 counts[k] = len(found)
         number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))

@@ -1,6 +1,6 @@
 """All registered queries with their oracle SQL."""
 
-from tickforge.plans import backtests, incremental, market  # noqa: F401
+from tickforge.plans import backtests, features, incremental, market  # noqa: F401
 from tickforge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -37,11 +37,13 @@ SHINGLE = 5
 #: Groups of a count vector.
 GROUPS = 64
 #: Shingles in more documents than this go last in the global order, if they are among the MAX_FREQUENT most frequent.
-FREQUENT, MAX_FREQUENT = 48, 1_000_000
+FREQUENT, MAX_FREQUENT = 8, 1_000_000
 #: Share of the hash range whose shingles are counted: prefixes hardly ever reach beyond it.
-COUNTED = 0.4
+COUNTED = 0.25
 LEAF, BLOCK = 32, 4096
 FLUSH = 1 << 20
+#: Texts are fetched by a broadcast of the wanted ids up to so many, by a shuffle beyond.
+BROADCAST_ROWS = 500_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -130,6 +132,18 @@ def _bucket_rows(values: list[np.ndarray], bucket_of: np.ndarray, n_buckets: int
         yield int(b), [v[part] for v in values]
 
 
+def _pack_counts(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """How many values are counted more than once; these, their counts, and the rest."""
+    many = counts > 1
+    return np.concatenate([[many.sum()], values[many], counts[many], values[~many]]).astype(np.uint32).tobytes()
+
+
+def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(blob, np.uint32)
+    k = int(flat[0])
+    return np.concatenate([flat[1 : k + 1], flat[2 * k + 1 :]]), np.concatenate([flat[k + 1 : 2 * k + 1], np.ones(len(flat) - 1 - 2 * k, np.uint32)])
+
+
 def _nodes_and_counts(n_buckets: int):
     """Rows of documents (doc_id, key, n, vec) and of shingle counts (bucket, blob)."""
     limit = np.uint64(int(COUNTED * 2**32))
@@ -141,7 +155,7 @@ def _nodes_and_counts(n_buckets: int):
         def flush(id_type: pa.DataType) -> pa.RecordBatch:
             # Counted before they leave, so a shingle is one number from each flush however frequent it is.
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            rows = [(b, np.stack([v, c.astype(np.uint32)]).tobytes()) for b, (v, c) in _bucket_rows([values, counts], values.astype(np.int64) * n_buckets // int(limit), n_buckets)]
+            rows = [(b, _pack_counts(v, c)) for b, (v, c) in _bucket_rows([values, counts], values.astype(np.int64) * n_buckets // int(limit), n_buckets)]
             k = len(rows)
             held.clear()
             return pa.RecordBatch.from_arrays(
@@ -189,9 +203,9 @@ def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[by
 
 def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, blobs in _by_bucket(batches):
-        pairs = np.concatenate([np.frombuffer(b, np.uint32).reshape(2, -1) for b in blobs], axis=1)
-        values, where = np.unique(pairs[0], return_inverse=True)
-        counts = np.bincount(where, weights=pairs[1]).astype(np.int64)
+        seen, times = (np.concatenate(x) for x in zip(*map(_unpack_counts, blobs), strict=True))
+        values, where = np.unique(seen, return_inverse=True)
+        counts = np.bincount(where, weights=times).astype(np.int64)
         many = counts > FREQUENT
         yield pa.RecordBatch.from_arrays([pa.array(values[many].astype(np.int64)), pa.array(counts[many])], ["shingle", "n"])
 
@@ -231,7 +245,9 @@ def _postings(n_buckets: int, shared):
 
         def flush() -> pa.RecordBatch:
             t, k = np.concatenate([np.zeros(0, np.uint64), *tokens]), np.repeat(np.array(owners, np.int64), np.array(sizes, np.int64))
-            rows = [(b, np.stack([x, y.view(np.uint64)]).tobytes(), None, None) for b, (x, y) in _bucket_rows([t, k], (t >> np.uint64(40)).astype(np.int64) * n_buckets >> 24, n_buckets)]
+            # Inside a bucket, the lower half of a hash tells shingles apart well enough: a mix-up makes a list longer.
+            cut = _bucket_rows([t.astype(np.uint32), k], (t >> np.uint64(40)).astype(np.int64) * n_buckets >> 24, n_buckets)
+            rows = [(b, x.tobytes() + y.tobytes(), None, None) for b, (x, y) in cut]
             rows += [(key % n_buckets, None, token, key) for token, key in direct]
             for held in (tokens, owners, sizes, direct):
                 held.clear()
@@ -275,7 +291,9 @@ def _shared_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for _, blobs in _by_bucket(direct()):
         yield from passed
         passed.clear()
-        t, k = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs], axis=1)
+        sizes = [len(b) // 12 for b in blobs]
+        t = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in zip(blobs, sizes, strict=True)])
+        k = np.concatenate([np.frombuffer(b, np.uint64, n, 4 * n) for b, n in zip(blobs, sizes, strict=True)])
         order = np.lexsort((k, t))
         t, k = t[order], k[order]
         fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
@@ -315,7 +333,12 @@ class CountTree:
         return self.order[at[bound >= need(self.sizes[at], size)]]
 
 
-def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each asking document's candidates, the one with the highest bound."""
+    return _search(batches, best=True)
+
+
+def _search(batches: Iterable[pa.RecordBatch], best: bool = False) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each work item, from rows sorted by item; only across components."""
 
     def found(rows: list[tuple]) -> tuple[list[int], list[int]]:
@@ -330,6 +353,8 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for q in np.flatnonzero(asks):
                 hit = targets[tree.within(vectors[q].astype(np.int32), sizes[q])]
                 hit = hit[comps[hit] != comps[q]]
+                if best and len(hit) > 1:
+                    hit = hit[[np.minimum(vectors[hit], vectors[q]).sum(axis=1, dtype=np.int64).argmax()]]
                 left += np.minimum(keys[hit], keys[q]).tolist()
                 right += np.maximum(keys[hit], keys[q]).tolist()
         return left, right
@@ -370,11 +395,18 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "shingles"])
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """Links (a, b) among candidate pairs: first the bound of their count vectors, then their shingles."""
+def _verified(pairs: DataFrame, vectors: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """Links (a, b) among candidate pairs: first the bound of their count vectors, then the shingles of the pairs it leaves."""
     for side in "ab":
         pairs = pairs.join(vectors.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("vec").alias(f"vec_{side}")), side)
     pairs = pairs.filter("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").mapInArrow(_bounded, "a long, b long")
+    pairs = written(pairs, f"{label}-bounded")
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = written(vectors.join(keys, "key").filter("doc_id is not null").select("doc_id", "key"), f"{label}-wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # ids and keys of that many rows take some 30 MB
+        wanted = F.broadcast(wanted)
+    sets = rows.join(wanted, "doc_id").select("text", "key").mapInArrow(_sets, "key long, shingles binary").dropDuplicates(["key"])
+    sets = written(sets, f"{label}-sets")
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     return written(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long"), label)
@@ -412,6 +444,27 @@ def components(links: DataFrame, label: str = "jaccard-components") -> DataFrame
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _open_items(lists: DataFrame, comps: DataFrame, vectors: DataFrame, parts: int, label: str) -> DataFrame | None:
+    """Work items (list_id, i, j) of the lists that more than one component shares; None if there are none.
+
+    Documents outside a list's largest component ask, all its documents
+    answer; either side is cut into blocks, and every pair of blocks is an item.
+    """
+    placed = written(lists.join(comps.withColumnRenamed("node", "key"), "key", "left").select("list_id", "key", F.coalesce("comp", "key").alias("comp")), f"{label}-placed")
+    shares = placed.groupBy("list_id", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sums = shares.groupBy("list_id").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"))
+    blocks = lambda n: F.expr(f"cast(({n} - 1) div {BLOCK} + 1 as int)")
+    open_lists = written(sums.filter("m > 2 and m > top.k").select("list_id", F.col("top.comp").alias("main"), blocks("m").alias("t_blocks"), blocks("(m - top.k)").alias("q_blocks")), label)
+    if open_lists.isEmpty():
+        return None
+    left = placed.join(open_lists, "list_id").join(vectors.select("key", "n", "vec"), "key")
+    slot = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    answers = left.select("list_id", each("q_blocks").alias("i"), slot("t_blocks").alias("j"), "key", "comp", "n", "vec", F.lit(False).alias("ask"))
+    asks = left.filter("comp <> main").select("list_id", slot("q_blocks").alias("i"), each("t_blocks").alias("j"), "key", "comp", "n", "vec", F.lit(True).alias("ask"))
+    return answers.unionByName(asks).repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by 5-word shingle sets of Jaccard similarity 0.8 or more.
 
@@ -437,34 +490,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_lists, "list_id long, key long")
     lists = written(lists.distinct(), "jaccard-lists")
 
-    # The sets of all documents on any list, one for each distinct set.
+    # One document stands for each distinct set on any list.
     listed = lists.select("key").distinct()
     vectors = written(nodes.join(listed, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "jaccard-vectors")
-    sets = rows.join(vectors.filter("doc_id is not null").select("doc_id", "key"), "doc_id").select("text", "key").mapInArrow(_sets, "key long, shingles binary")
-    sets = written(sets.dropDuplicates(["key"]), "jaccard-sets")
 
     # Each list's pivot is the document that is on most lists: copies of one text choose the same.
     degrees = lists.groupBy("key").agg(F.count(F.lit(1)).alias("d"))
     pivots = lists.join(degrees, "key").groupBy("list_id").agg(F.max(F.struct("d", "key")).alias("p")).select("list_id", F.col("p.key").alias("pivot"))
     stars = lists.join(pivots, "list_id").filter("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     stars = written(stars, "jaccard-stars")
-    links = _verified(stars, vectors, sets, "jaccard-star-links")
-    comps = components(links)
-
-    # What is left of a list: documents outside its largest component ask, all its documents answer.
-    placed = written(lists.join(comps.withColumnRenamed("node", "key"), "key", "left").select("list_id", "key", F.coalesce("comp", "key").alias("comp")), "jaccard-placed")
-    shares = placed.groupBy("list_id", "comp").agg(F.count(F.lit(1)).alias("k"))
-    sums = shares.groupBy("list_id").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"))
-    open_lists = sums.filter("m > 2 and m > top.k").select("list_id", F.col("top.comp").alias("main"), F.expr(f"cast((m - 1) div {BLOCK} + 1 as int)").alias("t_blocks"), F.expr(f"cast((m - top.k - 1) div {BLOCK} + 1 as int)").alias("q_blocks"))
-    left = placed.join(open_lists, "list_id").join(vectors.select("key", "n", "vec"), "key")
-    slot = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    answers = left.select("list_id", each("q_blocks").alias("i"), slot("t_blocks").alias("j"), "key", "comp", "n", "vec", F.lit(False).alias("ask"))
-    asks = left.filter("comp <> main").select("list_id", slot("q_blocks").alias("i"), each("t_blocks").alias("j"), "key", "comp", "n", "vec", F.lit(True).alias("ask"))
-    items = answers.unionByName(asks).repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j")
-    more = items.mapInArrow(_search, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(more, "jaccard-more")
-    links = links.unionByName(_verified(more, vectors, sets, "jaccard-more-links"))
+    links = _verified(stars, vectors, rows, "jaccard-star-links")
+    tried = stars
+    # A document needs one link to join a component, so the likeliest partners come first; the last round leaves nothing out.
+    for k, search in enumerate((_best, _best, _search)):
+        items = _open_items(lists, components(links), vectors, parts, f"jaccard-open-{k}")
+        if items is None:
+            break
+        more = items.mapInArrow(search, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        more = written(more, f"jaccard-more-{k}")
+        links = links.unionByName(_verified(more, vectors, rows, f"jaccard-more-links-{k}"))
+        tried = tried.unionByName(more)
 
     final = components(links).withColumnRenamed("node", "key")
     named = nodes.join(final, "key", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))

@@ -79,7 +79,8 @@ def token_counts(addresses: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
     cells = F.transform(F.split(F.concat("host", "path"), TOKEN_SEP), lambda t: F.lower(t))
     seen = addresses.select(F.explode(F.array_distinct(cells)).alias("token"))
     wanted = addresses.sparkSession.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
-    return {r.token: r.n for r in seen.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The wanted tokens are the rules' own, a list that the caller holds: no URL token needs to be shuffled.
+    return {r.token: r.n for r in seen.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def build_index(rules: Sequence[UrlRule], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:

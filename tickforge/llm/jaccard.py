@@ -23,6 +23,7 @@ blocks of bounded size that are work items of their own.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -395,12 +396,15 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "shingles"])
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-    """Links (a, b) among candidate pairs: first the bound of their count vectors, then the shingles of the pairs it leaves."""
+def _within_bound(pairs: DataFrame, vectors: DataFrame, label: str) -> DataFrame:
+    """The pairs that the bound of their count vectors leaves, as a written table."""
     for side in "ab":
         pairs = pairs.join(vectors.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("vec").alias(f"vec_{side}")), side)
-    pairs = pairs.filter("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").mapInArrow(_bounded, "a long, b long")
-    pairs = written(pairs, f"{label}-bounded")
+    return written(pairs.filter("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").mapInArrow(_bounded, "a long, b long"), label)
+
+
+def _verified(pairs: DataFrame, vectors: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """Links (a, b) among written candidate pairs that the bound allows, by their shingles."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = written(vectors.join(keys, "key").filter("doc_id is not null").select("doc_id", "key"), f"{label}-wanted")
     if wanted.count() <= BROADCAST_ROWS:  # ids and keys of that many rows take some 30 MB
@@ -421,27 +425,45 @@ def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok))
 
 
-def components(links: DataFrame, label: str = "jaccard-components") -> DataFrame:
-    """(node, comp) of all nodes of ``links`` (a, b): comp is the component's least node.
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node moves to the least neighbour."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours move to the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
-    Large-star and small-star steps in turn, each a written table, until no
-    edge changes; every step moves edges toward smaller nodes.
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one parent at most and no parent has one: then parents are the components' least nodes."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))
+    state = ends.groupBy("node").agg(F.min("up").alias("lo"), F.max("up").alias("hi"), F.count(F.when(F.col("up").isNull(), 1)).alias("under"))
+    return state.filter("lo <> hi or (lo is not null and under > 0)").isEmpty()
+
+
+def stars(edges: DataFrame, label: str = "jaccard-components") -> DataFrame:
+    """Edges (u, v) from each node to its component's least node; rows may repeat.
+
+    Large-star and small-star steps in turn, each a written table, until every
+    component is a star; each step moves edges toward smaller nodes.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), label)
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, label)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), label)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    for step in itertools.cycle((_large_star, _small_star)):
+        edges = written(step(edges), label)
+        if _settled(edges):
+            return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) of all nodes of settled ``edges``: comp is the component's least node."""
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
 def _open_items(lists: DataFrame, comps: DataFrame, vectors: DataFrame, parts: int, label: str) -> DataFrame | None:
@@ -497,21 +519,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Each list's pivot is the document that is on most lists: copies of one text choose the same.
     degrees = lists.groupBy("key").agg(F.count(F.lit(1)).alias("d"))
     pivots = lists.join(degrees, "key").groupBy("list_id").agg(F.max(F.struct("d", "key")).alias("p")).select("list_id", F.col("p.key").alias("pivot"))
-    stars = lists.join(pivots, "list_id").filter("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-    stars = written(stars, "jaccard-stars")
-    links = _verified(stars, vectors, rows, "jaccard-star-links")
-    tried = stars
-    # A document needs one link to join a component, so the likeliest partners come first; the last round leaves nothing out.
-    for k, search in enumerate((_best, _best, _search)):
-        items = _open_items(lists, components(links), vectors, parts, f"jaccard-open-{k}")
+    tried = lists.join(pivots, "list_id").filter("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+    tried = written(tried, "jaccard-stars")
+    links = _verified(_within_bound(tried, vectors, "jaccard-star-bounded"), vectors, rows, "jaccard-star-links")
+    found = stars(_edges(links))
+    # A document needs one link to join a component, so its likeliest partner comes first; the second round leaves nothing out.
+    for k, search in enumerate((_best, _search)):
+        items = _open_items(lists, components(found), vectors, parts, f"jaccard-open-{k}")
         if items is None:
             break
         more = items.mapInArrow(search, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         more = written(more, f"jaccard-more-{k}")
-        links = links.unionByName(_verified(more, vectors, rows, f"jaccard-more-links-{k}"))
+        found = stars(_edges(_verified(more, vectors, rows, f"jaccard-more-links-{k}")).unionByName(found))
         tried = tried.unionByName(more)
 
-    final = components(links).withColumnRenamed("node", "key")
+    final = components(found).withColumnRenamed("node", "key")
     named = nodes.join(final, "key", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))
     ids = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = named.join(ids, "comp", "left")

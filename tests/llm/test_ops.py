@@ -138,6 +138,20 @@ def test_scan_stitches_blocks(spark, tmp_path):
         assert got == want
 
 
+def test_token_scan_counts_the_librarys_tokens(spark, odd, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = True  # a text that spells a special token is ordinary text
+    count = lambda text: len(library.encode(text or "", add_special_tokens=False).ids) + 1
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(count(r.text) for r in docs.select("text").collect())
+    assert sorted(r.n_tokens for r in QUERIES["op1_token_scan"](spark, sf_dir).collect()) == want
+    tokens = separator_scan.LibraryTokens(open(WORDS, encoding="utf-8").read(), 49407)
+    got = separator_scan.token_counts(odd, tokens, block_bytes=4096).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(count(t) for _, t, _, _ in ODD)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 200_000
     pages = spark.createDataFrame([(1, "http://a/é \n", big), (2, None, big), (3, "u", None), (4, "u", "same"), (5, "u", "same")], "page_id long, url string, html string")

@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the 49k-word vocabulary; <|endoftext|> ends a document."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokens = separator_scan.LibraryTokens(f.read(), end_id=49407)
+    return separator_scan.token_counts(_table(spark, sf_dir, "documents"), tokens)
+
+
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_scan": op1_token_scan,
     "op1_separator_scan": op1_separator_scan,
     "op2_huffman_tokens": op2_huffman_tokens,
     "op3_warc_chunks": op3_warc_chunks,

@@ -221,6 +221,17 @@ def test_count_tree_finds_all():
         assert set(np.flatnonzero(fits)) <= set(tree.within(vectors[q].astype(np.int32), sizes[q]).tolist())
 
 
+def test_bound_holds_beyond_the_clip():
+    import pyarrow as pa
+
+    sets = [np.arange(6_000_000, dtype=np.uint64), np.arange(100_000, 6_000_000, dtype=np.uint64), np.arange(6_000_000, 9_000_000, dtype=np.uint64)]
+    vectors, sizes = np.stack([jaccard.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
+    tree = jaccard.CountTree(vectors, sizes)
+    assert set(tree.within(vectors[0].astype(np.int32), sizes[0]).tolist()) == {0, 1}
+    pair = {"a": [1], "b": [2], "n_a": [int(sizes[0])], "n_b": [int(sizes[1])], "vec_a": [vectors[0].tobytes()], "vec_b": [vectors[1].tobytes()]}
+    assert next(jaccard._bounded([pa.RecordBatch.from_pydict(pair)])).num_rows == 1
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = QUERIES["op7_byte_cnn"](spark, "/root/testdata/sf0.01").filter("held_out").join(docs.filter("text is not null").select("doc_id", "lang"), "doc_id")

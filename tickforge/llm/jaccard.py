@@ -37,6 +37,8 @@ from .shared import shuffle_parts, written
 SHINGLE = 5
 #: Groups of a count vector.
 GROUPS = 64
+#: Largest count of a group that a count vector holds; it stands for all larger ones too.
+CLIP = 65535
 #: Shingles in more documents than this go last in the global order, if they are among the MAX_FREQUENT most frequent.
 FREQUENT, MAX_FREQUENT = 8, 1_000_000
 #: Share of the hash range whose shingles are counted: prefixes hardly ever reach beyond it.
@@ -121,7 +123,16 @@ def prefix_length(n: int) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+    return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), CLIP).astype(np.uint16)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most shingles that sets with these count vectors may share, by row; no bound where both counts of a group are clipped."""
+    least = np.minimum(a, b)
+    most = least.sum(axis=1, dtype=np.int64)
+    if least.size and least.max() >= CLIP:
+        most[(least >= CLIP).any(axis=1)] = np.iinfo(np.int64).max
+    return most
 
 
 def _bucket_rows(values: list[np.ndarray], bucket_of: np.ndarray, n_buckets: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -324,13 +335,13 @@ class CountTree:
     def within(self, vector: np.ndarray, size: int) -> np.ndarray:
         """Numbers of the points whose overlap bound allows a link with the given point."""
         boxes = np.flatnonzero((5 * self.most >= 4 * size) & (4 * self.least <= 5 * size))
-        bound = np.minimum(self.tops[boxes], vector).sum(axis=1)
+        bound = overlap_bound(self.tops[boxes], vector)
         boxes = boxes[bound >= need(self.least[boxes], size)]
         if not len(boxes):
             return boxes
         at = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.sizes)]
-        bound = np.minimum(self.vectors[at], vector).sum(axis=1)
+        bound = overlap_bound(self.vectors[at], vector)
         return self.order[at[bound >= need(self.sizes[at], size)]]
 
 
@@ -420,8 +431,7 @@ def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             vectors = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("vec_a", "vec_b")]
-            most = np.minimum(*vectors).sum(axis=1, dtype=np.int64)
-            ok = most >= need(batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
+            ok = overlap_bound(*vectors) >= need(batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok))
 
 

@@ -2,7 +2,7 @@
 
 Each stage takes the rows that its predecessor kept and returns the rows that
 it keeps, with the columns of documents; the last returns token digests. Every
-decision is a row's own, or a join on the document id.
+decision is a row's own, or a join on the document id and the text's hash.
 """
 
 from __future__ import annotations
@@ -30,10 +30,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id."""
-    groups = jaccard.near_duplicates(docs)
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: of the least id, null ids last. Rows without words stay.
+
+    A row is told by its id and its text's hash; of rows that repeat both, one stays.
+    """
+    groups = jaccard.near_duplicates(docs, by_row=True).filter("component is not null")
+    rows = written(groups.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "duplicate-rows")
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    judged = rows.join(least, "component").withColumn("_first", first).filter("n > 1 or not _first")
+    others = written(judged.select(F.col("doc_id").alias("_other_id"), F.col("text_hash").alias("_other_hash"), "_first"), "duplicate-others")
+    n, n_first = others.agg(F.count(F.lit(1)), F.count_if("_first")).first()
+    side = F.broadcast(others) if n <= jaccard.BROADCAST_ROWS else others
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_other_id")) & (F.col("_hash") == F.col("_other_hash"))
+    kept = packed.join(side, same, "left_anti").select("_doc.*")
+    if n_first:
+        repeated = packed.join(side.filter("_first"), same).select("_doc", "_id", "_hash").dropDuplicates(["_id", "_hash"])
+        kept = kept.unionByName(repeated.select("_doc.*"))
+    return kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,6 +221,27 @@ def test_count_tree_finds_all():
         assert set(np.flatnonzero(fits)) <= set(tree.within(vectors[q].astype(np.int32), sizes[q]).tolist())
 
 
+def test_null_and_repeated_ids_are_told_by_row(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"n{i}" for i in range(60)]
+    near = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(words))
+    far = " ".join(f"f{i}" for i in range(60))
+    # The null row bridges 1 and 2, which differ too much to be linked themselves.
+    rows = [(1, near(*range(6))), (None, near()), (2, near(*range(54, 60))), (None, far), (None, far), (3, " ".join(words[::-1])), (3, near()), (4, "m n o p q r"), (4, "m n o p q r"), (5, ""), (5, "")]
+    sets, links = _linked([t for _, t in rows])
+    assert (1, 0) in links and (2, 1) in links and (2, 0) not in links
+    docs = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs).collect()} == {(1, 1), (None, 1), (2, 1)}
+    only = spark.createDataFrame([(None, near(*range(6))), (None, near())], "doc_id long, text string")
+    assert len({r.component for r in jaccard.near_duplicates(only, by_row=True).collect()}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_first", "component", "text_hash", "n")})
+    got = corpus_pipeline.duplicate_stage(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    want = [(1, near(*range(6))), (None, far), (3, rows[5][1]), (4, "m n o p q r"), (5, ""), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_bound_holds_beyond_the_clip():
     import pyarrow as pa
 

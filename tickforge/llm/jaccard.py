@@ -157,7 +157,7 @@ def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes_and_counts(n_buckets: int):
-    """Rows of documents (doc_id, key, n, vec) and of shingle counts (bucket, blob)."""
+    """Rows of documents (doc_id, text_hash, key, n, vec) and of shingle counts (bucket, blob)."""
     limit = np.uint64(int(COUNTED * 2**32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +171,8 @@ def _nodes_and_counts(n_buckets: int):
             k = len(rows)
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
-                ["doc_id", "key", "n", "vec", "bucket", "blob"],
+                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
+                ["doc_id", "text_hash", "key", "n", "vec", "bucket", "blob"],
             )
 
         kind = None
@@ -190,8 +190,8 @@ def _nodes_and_counts(n_buckets: int):
                     size = 0
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                ["doc_id", "key", "n", "vec", "bucket", "blob"],
+                [batch["doc_id"], batch["text_hash"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                ["doc_id", "text_hash", "key", "n", "vec", "bucket", "blob"],
             )
         if size:
             yield flush(kind)
@@ -397,6 +397,12 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [set_key(shingle_set(text.as_py())) for text in batch["text"]]
+        yield pa.RecordBatch.from_arrays([batch["text"], pa.array(keys, pa.int64())], ["text", "key"])
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, blobs = [], []
@@ -417,11 +423,15 @@ def _within_bound(pairs: DataFrame, vectors: DataFrame, label: str) -> DataFrame
 def _verified(pairs: DataFrame, vectors: DataFrame, rows: DataFrame, label: str) -> DataFrame:
     """Links (a, b) among written candidate pairs that the bound allows, by their shingles."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = written(vectors.join(keys, "key").filter("doc_id is not null").select("doc_id", "key"), f"{label}-wanted")
-    if wanted.count() <= BROADCAST_ROWS:  # ids and keys of that many rows take some 30 MB
-        wanted = F.broadcast(wanted)
-    sets = rows.join(wanted, "doc_id").select("text", "key").mapInArrow(_sets, "key long, shingles binary").dropDuplicates(["key"])
-    sets = written(sets, f"{label}-sets")
+    wanted = written(vectors.join(keys, "key").select("doc_id", "key"), f"{label}-wanted")
+    n, n_ids = wanted.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    has_id, no_id = wanted.filter("doc_id is not null"), wanted.filter("doc_id is null").select("key")
+    if n <= BROADCAST_ROWS:  # ids and keys of that many rows take some 30 MB
+        has_id, no_id = F.broadcast(has_id), F.broadcast(no_id)
+    texts = rows.join(has_id, "doc_id").select("text", "key")
+    if n > n_ids:  # sets that only rows without an id have are found by their key
+        texts = texts.unionByName(rows.filter("doc_id is null").select("text").mapInArrow(_keyed, "text string, key long").join(no_id, "key").select("text", "key"))
+    sets = written(texts.mapInArrow(_sets, "key long, shingles binary").dropDuplicates(["key"]), f"{label}-sets")
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     return written(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long"), label)
@@ -497,7 +507,7 @@ def _open_items(lists: DataFrame, comps: DataFrame, vectors: DataFrame, parts: i
     return answers.unionByName(asks).repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """Components of documents linked by 5-word shingle sets of Jaccard similarity 0.8 or more.
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable by
@@ -508,14 +518,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     only if their texts are. A null id is a row like others, and never a
     component's id unless all ids of the component are null. Other columns
     are ignored. Sets are told apart by a 64-bit signature.
+
+    ``by_row`` adds text_hash, the xxhash64 of the text, and component, a
+    number of the row's component (null without shingles), which tell rows and
+    components apart where ids are null or repeated.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    first = written(rows.mapInArrow(_nodes_and_counts(4 * parts), f"doc_id {id_type}, key long, n long, vec binary, bucket int, blob binary"), "jaccard-nodes")
-    nodes = first.filter("key is not null").select("doc_id", "key", "n", "vec")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text") if by_row else F.lit(None).cast("long"))
+    first = written(hashed.mapInArrow(_nodes_and_counts(4 * parts), f"doc_id {id_type}, text_hash long, key long, n long, vec binary, bucket int, blob binary"), "jaccard-nodes")
+    nodes = first.filter("key is not null").select("doc_id", "text_hash", "key", "n", "vec")
     shared = spark.sparkContext.broadcast(frequent_shingles(first))
 
     posted = rows.mapInArrow(_postings(4 * parts, shared), "bucket int, blob binary, list_id long, key long")
@@ -547,4 +562,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = nodes.join(final, "key", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))
     ids = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = named.join(ids, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    told = ["text_hash", F.col("comp").alias("component")] if by_row else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *told)

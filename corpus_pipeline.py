@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tickforge.llm import bpe, decontaminate, jaccard, langid, quality
 from tickforge.llm.shared import written
 
-#: A language is rejected below this score: some windows speak for one language, some for another.
+#: A language is rejected below this score of a network of four labels; of k labels, below 4 / k of it (1 at most).
 MIN_LANGUAGE_SCORE = 0.3
+#: A language is also rejected below the score that this share of its own held-out rows does not reach.
+REJECTED_SHARE = 0.005
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +25,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
+def language_thresholds(docs: DataFrame, network: langid.ByteNetwork) -> dict[str, float]:
+    """Least score of each label, from rows with this label that did not teach and are predicted right.
+
+    The largest of k softmax values is 1 / k at least, and texts in no learned
+    language score far above that; only the scores of rows known to be in the
+    language tell what is low. A label with too few such rows (199) to tell
+    the quantile, or a network of one label, has the floor alone.
+    """
+    floor = min(MIN_LANGUAGE_SCORE * 4 / max(len(network.labels), 1), 1.0)
+    rows = docs.filter(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("_lang"))
+    found = langid.identify(rows, network, keep=("_lang",)).filter("lang_pred = _lang")
+    low = found.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", REJECTED_SHARE, 100_000).alias("low")).collect()
+    told = {r.lang_pred: max(floor, r.low) for r in low if REJECTED_SHARE * (r.n + 1) >= 1}
+    return {label: told.get(label, floor) for label in network.labels}
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has letters and a language that the network is fairly sure of."""
-    found = langid.identify(docs, langid.learn(docs), keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    network = langid.learn(docs)
+    sure = F.lit(False)
+    for label, least in language_thresholds(docs, network).items():
+        sure |= (F.col("lang_pred") == label) & (F.col("score") >= least)
+    found = langid.identify(docs, network, keep=tuple(docs.columns))
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & sure).select(*docs.columns)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

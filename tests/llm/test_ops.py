@@ -262,6 +262,21 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert 0 <= scores[0] <= scores[1] <= 1 and not math.isnan(scores[1])
 
 
+def test_language_stage_rejects_what_it_did_not_learn(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    noise = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(150))
+    polish = "kot śpi na krześle podczas gdy deszcz pada cicho na dachy miasta i nikt nie chce wychodzić bo dzisiaj jest zbyt zimno".split()
+    russian = "кот спит на стуле пока дождь тихо падает на крыши города и никто не хочет выходить потому что сегодня слишком холодно".split()
+    planted = [noise() for _ in range(20)] + [" ".join(rng.choices(w, k=150)) for w in (polish, russian) for _ in range(20)]
+    clean = quality.accepted(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("doc_id", "text", "lang").cache()
+    docs = clean.unionByName(spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(planted)], "doc_id long, text string, lang string"))
+    got = corpus_pipeline.language_stage(spark, docs, sf_dir).select("doc_id").cache()
+    assert got.filter("doc_id < 0").count() <= 6
+    assert got.filter("doc_id >= 0").count() >= 0.985 * clean.count()
+
+
 def test_shards_match_the_mixture(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sharding.stratified_shards(docs, 8).collect()

@@ -20,6 +20,11 @@ MIN_LANGUAGE_SCORE = 0.3
 REJECTED_SHARE = 0.005
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The row as one column _doc, beside _id and _text, so that no column of its own meets an operator's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and stay near a language's reference histograms."""
     return quality.accepted(docs)
@@ -47,8 +52,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     sure = F.lit(False)
     for label, least in language_thresholds(docs, network).items():
         sure |= (F.col("lang_pred") == label) & (F.col("score") >= least)
-    found = langid.identify(docs, network, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & sure).select(*docs.columns)
+    found = langid.identify(_packed(docs), network, id_col="_id", text_col="_text", keep=("_doc",))
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & sure).select("_doc.*")
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +80,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a window of benchmark words."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return found.filter("not contaminated").select(*docs.columns)
+    found = decontaminate.contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_id", text_col="_text", keep=("_doc",))
+    return found.filter("not contaminated").select("_doc.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,20 @@ def test_accepted_keeps_columns(odd):
     assert quality.accepted(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_clashing_columns(odd, sf_dir, stage):
+    import corpus_pipeline
+
+    clash = ["lang_pred", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "component", "text_hash", "of two words"]
+    docs = odd.withColumns({c: F.lit("x") for c in clash})
+    got = corpus_pipeline.STAGES[stage][1](odd.sparkSession, docs, sf_dir)
+    assert got.columns == docs.columns
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
+    rows = got.collect()
+    assert all(r[c] == "x" for r in rows for c in own)
+    assert stage == 0 or rows
+
+
 def test_bpe_equals_library(spark, odd, sf_dir):
     import tiktoken
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -132,9 +133,13 @@ def contamination(
 
     carried = [c for c in keep if c not in ("doc_id", "text")]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
-    extra = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried]
-    schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", "n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean"])
-    schema += ", spans array<struct<begin:long,end:long>>" * with_spans + "".join(", " + e for e in extra) + ", text string" * ("text" in keep)
+    schema = StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+    if with_spans:
+        schema = schema.add("spans", ArrayType(StructType().add("begin", "long").add("end", "long")))
+    for c in carried:
+        schema = schema.add(c, rows.schema[c].dataType)
+    if "text" in keep:
+        schema = schema.add("text", "string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One automaton is alive at a time: with several blocks, each goes over the batch in turn.

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -212,9 +213,11 @@ def identify(docs: DataFrame, network: ByteNetwork, *, id_col: str = "doc_id", t
             columns |= {c: batch[c] for c in keep if c not in columns}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    fields = [f"doc_id {rows.schema['_id'].dataType.simpleString()}", "lang_pred string", "score double"]
-    fields += [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep if c not in ("doc_id", "lang_pred", "score")]
-    return rows.mapInArrow(run, ", ".join(fields))
+    schema = StructType().add("doc_id", rows.schema["_id"].dataType).add("lang_pred", "string").add("score", "double")
+    for c in keep:
+        if c not in ("doc_id", "lang_pred", "score"):
+            schema = schema.add(c, rows.schema[c].dataType)
+    return rows.mapInArrow(run, schema)
 
 
 def crc_fold(doc_id: object) -> int:

@@ -195,9 +195,11 @@ def _linked(texts):
     return sets, [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_jaccard_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "dense"), [(4096, 48), (4096, 2), (3, 2), (3, 48)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, block, dense):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 40 * block)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(30)]
     texts = []
@@ -226,13 +228,33 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, block):
 
 def test_count_tree_finds_all():
     rng = np.random.default_rng(6)
-    vectors = rng.poisson(3, (300, jaccard.GROUPS)).astype(np.uint16)
+    vectors = rng.poisson(3, (3000, jaccard.GROUPS)).astype(np.uint8)
     vectors[100:200] = vectors[:100] + (rng.random((100, jaccard.GROUPS)) < 0.1)
-    sizes = vectors.sum(axis=1).astype(np.int64)
+    sizes = vectors.sum(axis=1, dtype=np.int64)
     tree = jaccard.CountTree(vectors, sizes)
+    assert len(tree.levels) == 3 and len(tree.levels[-1][1]) <= jaccard.FANOUT
     for q in range(300):
-        fits = (np.minimum(vectors, vectors[q]).sum(axis=1) >= jaccard.need(sizes, sizes[q])) & (5 * sizes >= 4 * sizes[q]) & (4 * sizes <= 5 * sizes[q])
-        assert set(np.flatnonzero(fits)) <= set(tree.within(vectors[q].astype(np.int32), sizes[q]).tolist())
+        fits = (np.minimum(vectors, vectors[q]).sum(axis=1, dtype=np.int64) >= jaccard.need(sizes, sizes[q])) & jaccard.like_sized(sizes, sizes[q])
+        assert set(np.flatnonzero(fits)) == set(tree.within(vectors[q], sizes[q]).tolist())
+
+
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_forest_joins_what_all_pairs_join(monkeypatch, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    rng = np.random.default_rng(9)
+    base = rng.poisson(2, (12, jaccard.GROUPS))
+    vectors = np.concatenate([b + (rng.random((9, jaccard.GROUPS)) < 0.12) for b in base]).astype(np.uint8)
+    sizes = vectors.sum(axis=1, dtype=np.int64)
+    for sides in (np.zeros(108, int), rng.integers(1, 3, 108)):
+        linked = (np.minimum(vectors[:, None], vectors[None]).sum(-1) >= jaccard.need(sizes[:, None], sizes[None])) & jaccard.like_sized(sizes[:, None], sizes[None])
+        linked &= (sides[:, None] != sides[None]) | (sides[:, None] == 0)
+        want, got = jaccard.Forest(108), jaccard.Forest(108)
+        for forest, links in ((want, np.argwhere(linked)), (got, jaccard.spanning_forest(vectors, sizes, sides))):
+            for a, b in links:
+                if forest.labels[a] != forest.labels[b]:
+                    forest.join(a, b)
+        same = lambda f: f.labels[:, None] == f.labels[None]
+        assert (same(want) == same(got)).all() and len(got.links) < 108
 
 
 def test_null_and_repeated_ids_are_told_by_row(spark, sf_dir):
@@ -257,14 +279,12 @@ def test_null_and_repeated_ids_are_told_by_row(spark, sf_dir):
 
 
 def test_bound_holds_beyond_the_clip():
-    import pyarrow as pa
-
-    sets = [np.arange(6_000_000, dtype=np.uint64), np.arange(100_000, 6_000_000, dtype=np.uint64), np.arange(6_000_000, 9_000_000, dtype=np.uint64)]
+    sets = [np.arange(600_000, dtype=np.uint64), np.arange(10_000, 600_000, dtype=np.uint64), np.arange(600_000, 900_000, dtype=np.uint64)]
     vectors, sizes = np.stack([jaccard.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
+    assert vectors.max() == jaccard.CLIP
     tree = jaccard.CountTree(vectors, sizes)
-    assert set(tree.within(vectors[0].astype(np.int32), sizes[0]).tolist()) == {0, 1}
-    pair = {"a": [1], "b": [2], "n_a": [int(sizes[0])], "n_b": [int(sizes[1])], "vec_a": [vectors[0].tobytes()], "vec_b": [vectors[1].tobytes()]}
-    assert next(jaccard._bounded([pa.RecordBatch.from_pydict(pair)])).num_rows == 1
+    assert set(tree.within(vectors[0], sizes[0]).tolist()) == {0, 1}
+    assert len(jaccard.spanning_forest(vectors, sizes, np.zeros(3, int))) == 1
 
 
 def test_language_accuracy_on_held_out_rows(spark):

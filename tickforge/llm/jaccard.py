@@ -3,8 +3,8 @@
 A document's set is its distinct 5-word shingles, as 64-bit hashes. The
 shingles are also hashed into groups; the counts by group are a point, and
 two sets share at most the sum of the coordinate-wise minima of their points.
-That bound, on points and on the boxes of an R-tree over them, decides which
-pairs are compared shingle by shingle.
+An R-tree over the points (a box holds the largest counts and the range of
+sizes below it) finds the pairs that this bound allows.
 
 Points alone would leave all documents of like length to one index. So an
 index is built for each list of documents that share a shingle which at least
@@ -14,17 +14,25 @@ n - ceil(t n) + 1 of each. The order puts frequent shingles last (a bounded
 list of the most frequent, from counts over all documents; a hint that
 affects cost only), so lists of common passages hardly ever form.
 
-Copies are one node. In each list one document, the pivot, is compared with
-all others first; the R-tree then looks only for pairs that are not yet in
-one component. Nothing is dropped: a list of any size is searched in full, in
-blocks of bounded size that are work items of their own.
+Two searches, and neither hands on more rows than it gets:
+
+1. Each list's tree is asked for pairs within the bound; a spanning forest of
+   them leaves the task. The forests' components, the *groups*, hold every
+   linked pair, and most documents are in none.
+2. Each group meets once, with its sets of shingles, behind a tree of its own;
+   pairs within the bound are verified, and a spanning forest of true links
+   leaves the task. Its components are the answer.
+
+Copies are one node from the start. Nothing is dropped: a list or group of any
+size is searched in full, in pairs of blocks of bounded size that are work
+items of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +40,24 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_parts, written
+from .shared import discard, shuffle_parts, written
 
 SHINGLE = 5
 #: Groups of a count vector.
-GROUPS = 64
+GROUPS = 256
 #: Largest count of a group that a count vector holds; it stands for all larger ones too.
-CLIP = 65535
+CLIP = 255
 #: Shingles in more documents than this go last in the global order, if they are among the MAX_FREQUENT most frequent.
 FREQUENT, MAX_FREQUENT = 8, 1_000_000
 #: Share of the hash range whose shingles are counted: prefixes hardly ever reach beyond it.
-COUNTED = 0.25
-LEAF, BLOCK = 32, 4096
+COUNTED = 0.4
+#: Entries below a box of the R-tree; points up to which all pairs are bounded at once.
+FANOUT, DENSE = 16, 48
+#: Documents in a block of a list, shingles in a block of a group.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 FLUSH = 1 << 20
-#: Texts are fetched by a broadcast of the wanted ids up to so many, by a shuffle beyond.
-BROADCAST_ROWS = 500_000
+#: Texts are fetched by a broadcast of the wanted rows up to so many (some 30 MB), by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -108,9 +119,13 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_scramble(mixed + np.uint64(n)))
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """A 64-bit signature of the set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def signature(shingles: np.ndarray) -> bytes:
+    """A 128-bit signature of the set; its first half, as a number, is the set's key in lists."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def set_key(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
 
 
 def need(a, b):
@@ -123,18 +138,22 @@ def prefix_length(n: int) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), CLIP).astype(np.uint16)
+    return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), CLIP).astype(np.uint8)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Most shingles that sets with these count vectors may share, by row; no bound where both counts of a group are clipped."""
     least = np.minimum(a, b)
-    most = least.sum(axis=1, dtype=np.int64)
+    most = least.sum(axis=-1, dtype=np.int64)
     if least.size and least.max() >= CLIP:
-        most[(least >= CLIP).any(axis=1)] = np.iinfo(np.int64).max
+        most[(least >= CLIP).any(axis=-1)] = np.iinfo(np.int64).max
     return most
 
 
+def like_sized(a, b):
+    return (5 * a >= 4 * b) & (5 * b >= 4 * a)
+
+
 def _bucket_rows(values: list[np.ndarray], bucket_of: np.ndarray, n_buckets: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The arrays, cut by bucket."""
     order = np.argsort(bucket_of, kind="stable")
@@ -157,8 +176,9 @@ def _unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes_and_counts(n_buckets: int):
-    """Rows of documents (doc_id, text_hash, key, n, vec) and of shingle counts (bucket, blob)."""
+    """Rows of documents (doc_id, text_hash, node, key, n, vec) and of shingle counts (bucket, blob)."""
     limit = np.uint64(int(COUNTED * 2**32))
+    names = ["doc_id", "text_hash", "node", "key", "n", "vec", "bucket", "blob"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -170,18 +190,16 @@ def _nodes_and_counts(n_buckets: int):
             rows = [(b, _pack_counts(v, c)) for b, (v, c) in _bucket_rows([values, counts], values.astype(np.int64) * n_buckets // int(limit), n_buckets)]
             k = len(rows)
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
-                ["doc_id", "text_hash", "key", "n", "vec", "bucket", "blob"],
-            )
+            nothing = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names)
 
         kind = None
         for batch in batches:
             kind = batch["doc_id"].type
-            keys, sizes, vecs = [], [], []
+            nodes, sizes, vecs = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text.as_py())
-                keys.append(set_key(s)), sizes.append(len(s)), vecs.append(count_vector(s).tobytes())
+                nodes.append(signature(s)), sizes.append(len(s)), vecs.append(count_vector(s).tobytes())
                 high = (s >> np.uint64(32)).astype(np.uint32)
                 held.append(high[: np.searchsorted(high, limit)])
                 size += len(held[-1])
@@ -190,8 +208,8 @@ def _nodes_and_counts(n_buckets: int):
                     size = 0
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_hash"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                ["doc_id", "text_hash", "key", "n", "vec", "bucket", "blob"],
+                [batch["doc_id"], batch["text_hash"], pa.array(nodes, pa.binary()), pa.array(map(set_key, nodes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names,
             )
         if size:
             yield flush(kind)
@@ -249,11 +267,15 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int
 
 
 def _postings(n_buckets: int, shared):
-    """(bucket, blob) of rare prefix shingles with their sets' keys; (list_id, key) of frequent ones, which form no common blob."""
+    """(bucket, blob) of rare prefix shingles with their sets' keys; (list_id, key) of frequent ones, which form no common blob.
+
+    A task posts each set once, however many copies it meets.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         tokens, owners, sizes, direct = [], [], [], []
+        posted: set[int] = set()
 
         def flush() -> pa.RecordBatch:
             t, k = np.concatenate([np.zeros(0, np.uint64), *tokens]), np.repeat(np.array(owners, np.int64), np.array(sizes, np.int64))
@@ -273,7 +295,10 @@ def _postings(n_buckets: int, shared):
                 s = shingle_set(text.as_py())
                 if not len(s):
                     continue
-                key, p = set_key(s), prefix_length(len(s))
+                key, p = set_key(signature(s)), prefix_length(len(s))
+                if key in posted:
+                    continue
+                posted.add(key)
                 order, rare = ordered(s, frequent)
                 tokens.append(order[: min(p, rare)]), owners.append(key), sizes.append(min(p, rare))
                 direct.extend((int(t), key) for t in order[rare:p].view(np.int64))
@@ -323,126 +348,194 @@ def _shared_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class CountTree:
-    """A packed R-tree over count vectors: leaves of 32 points of like size, boxes kept as upper corners and least sizes."""
+    """A packed R-tree over count vectors.
+
+    Points are sorted by size and then by which half of the groups is heavier;
+    a box over FANOUT neighbours keeps the largest count of each group and the
+    least and largest size, and boxes are packed in the same way up to a root.
+    """
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((vectors[:, 1], vectors[:, 0], sizes))
-        self.vectors, self.sizes = vectors[self.order].astype(np.int32), sizes[self.order]
-        cuts = np.arange(0, len(sizes), LEAF)
-        self.tops = np.maximum.reduceat(self.vectors, cuts)
-        self.least, self.most = np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts)
+        lean = vectors[:, : GROUPS // 2].sum(axis=1, dtype=np.int64) - vectors[:, GROUPS // 2 :].sum(axis=1, dtype=np.int64)
+        self.order = np.lexsort((lean, sizes))
+        level = (vectors[self.order], sizes[self.order], sizes[self.order])
+        self.levels = [level]
+        while len(level[1]) > FANOUT:
+            cuts = np.arange(0, len(level[1]), FANOUT)
+            level = (np.maximum.reduceat(level[0], cuts), np.minimum.reduceat(level[1], cuts), np.maximum.reduceat(level[2], cuts))
+            self.levels.append(level)
 
     def within(self, vector: np.ndarray, size: int) -> np.ndarray:
         """Numbers of the points whose overlap bound allows a link with the given point."""
-        boxes = np.flatnonzero((5 * self.most >= 4 * size) & (4 * self.least <= 5 * size))
-        bound = overlap_bound(self.tops[boxes], vector)
-        boxes = boxes[bound >= need(self.least[boxes], size)]
-        if not len(boxes):
-            return boxes
-        at = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.sizes)]
-        bound = overlap_bound(self.vectors[at], vector)
-        return self.order[at[bound >= need(self.sizes[at], size)]]
-
-
-def _best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each asking document's candidates, the one with the highest bound."""
-    return _search(batches, best=True)
-
-
-def _search(batches: Iterable[pa.RecordBatch], best: bool = False) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each work item, from rows sorted by item; only across components."""
-
-    def found(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        keys, comps = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-        sizes = np.array([r[5] for r in rows], np.int64)
-        vectors = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, GROUPS)
-        asks = np.array([r[7] for r in rows], bool)
-        targets = np.flatnonzero(~asks)
-        left, right = [], []
-        if len(targets):
-            tree = CountTree(vectors[targets], sizes[targets])
-            for q in np.flatnonzero(asks):
-                hit = targets[tree.within(vectors[q].astype(np.int32), sizes[q])]
-                hit = hit[comps[hit] != comps[q]]
-                if best and len(hit) > 1:
-                    hit = hit[[np.minimum(vectors[hit], vectors[q]).sum(axis=1, dtype=np.int64).argmax()]]
-                left += np.minimum(keys[hit], keys[q]).tolist()
-                right += np.maximum(keys[hit], keys[q]).tolist()
-        return left, right
-
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch[c].to_pylist() for c in ("list_id", "i", "j", "key", "comp", "n", "vec", "ask")), strict=True)
-
-    held: list[tuple] = []
-    for row in rows():
-        if held and row[:3] != held[0][:3]:
-            a, b = found(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            held = []
-        held.append(row)
-    if held:
-        a, b = found(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        at = np.arange(len(self.levels[-1][1]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            tops, least, most = self.levels[k]
+            at = at[(5 * most[at] >= 4 * size) & (4 * least[at] <= 5 * size)]
+            at = at[overlap_bound(tops[at], vector) >= need(least[at], size)]
+            if k and len(at):
+                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                at = at[at < len(self.levels[k - 1][1])]
+        return self.order[at]
 
 
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among pairs whose sets are at hand."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= need(len(p), len(q)))
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+class Forest:
+    """Labels of points that grow together, and the links that joined them."""
+
+    def __init__(self, n: int):
+        self.labels = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
+    def join(self, a: int, b: int) -> None:
+        """Links two points of different labels; the label of ``a`` stays."""
+        self.labels[self.labels == self.labels[b]] = self.labels[a]
+        self.links.append((a, b))
 
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def spanning_forest(vectors: np.ndarray, sizes: np.ndarray, sides: np.ndarray, linked: Callable[[int, np.ndarray, np.ndarray], Iterable[int]] = lambda q, hits, labels: hits) -> list[tuple[int, int]]:
+    """Links that join whatever pairs within the bound would join.
+
+    ``linked(q, hits, labels)`` picks the true links among q's hits, if not
+    all count; it may leave out hits whose label has become q's meanwhile.
+    Points of side 0 meet all others; else those of the other side alone.
+
+    In a large set a point asks the tree unless it lies in the main component
+    by its turn: two points that never ask are both in it.
+    """
+    forest = Forest(len(sizes))
+    apart = lambda q, hits: hits[(sides[hits] != sides[q]) | (sides[hits] == 0)]
+    if len(sizes) <= DENSE:
+        bound = overlap_bound(vectors[:, None], vectors[None])
+        fits = like_sized(sizes[:, None], sizes[None]) & (bound >= need(sizes[:, None], sizes[None]))
+        fits = np.triu(fits, 1)
+        ask = lambda q: apart(q, np.flatnonzero(fits[q]))
+        main, queue = None, np.flatnonzero(fits.any(axis=1)).tolist()
+    else:
+        tree = CountTree(vectors, sizes)
+
+        def ask(q: int) -> np.ndarray:
+            hits = tree.within(vectors[q], sizes[q])
+            return apart(q, hits[hits != q])
+
+        # The main component is that of the point with most partners of a few.
+        main = max(np.linspace(0, len(sizes) - 1, 4).astype(int).tolist(), key=lambda q: len(ask(q)))
+        queue = [main, *(q for q in range(len(sizes)) if q != main)]
+    for k, q in enumerate(queue):
+        if k and main is not None and forest.labels[q] == forest.labels[main]:
+            continue
+        hits = ask(q)
+        hits = hits[forest.labels[hits] != forest.labels[q]]
+        for hit in linked(q, hits, forest.labels) if len(hits) else ():
+            if forest.labels[hit] != forest.labels[q]:
+                forest.join(q, int(hit))
+    return forest.links
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value begins and the last ends."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]
+
+
+def _items(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each work item, from rows sorted by item."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        keys = [set_key(shingle_set(text.as_py())) for text in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["text"], pa.array(keys, pa.int64())], ["text", "key"])
+        if not batch.num_rows:
+            continue
+        ids = np.stack([batch[c].to_numpy() for c in ("list_id", "i", "j")])
+        cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+        for lo, hi in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+            if held and last != tuple(ids[:, lo]):
+                yield held
+                held = []
+            last = tuple(ids[:, lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+
+def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each list's pairs within the bound."""
+    found: list[tuple[bytes, bytes]] = []
+    for rows in _items(batches):
+        if sum(r.num_rows for r in rows) > 1:
+            column = lambda name: np.concatenate([r[name].to_numpy() for r in rows])  # noqa: B023, E731
+            vectors = np.concatenate([_flat(r["vec"])[0] for r in rows]).reshape(-1, GROUPS)
+            nodes = [x for r in rows for x in r["node"]]
+            found += [(nodes[a].as_py(), nodes[b].as_py()) for a, b in spanning_forest(vectors, column("n"), column("side"))]
+            if len(found) >= 10_000:
+                yield _pairs(found)
+                found = []
+    yield _pairs(found)
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each wanted set, for each work item of its group that it is in."""
+    kinds = {"list_id": pa.int64(), "i": pa.int32(), "j": pa.int32(), "side": pa.int32(), "node": pa.binary(), "shingles": pa.binary()}
+    rows: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
+        rows.clear()
+        return out
+
     for batch in batches:
-        keys, blobs = [], []
-        for text, key in zip(batch["text"], batch["key"].to_pylist(), strict=True):
+        for text, node, group, slot, blocks in zip(batch["text"], *(batch[c].to_pylist() for c in ("node", "list_id", "slot", "blocks")), strict=True):
             s = shingle_set(text.as_py())
-            if set_key(s) == key:  # a repeated id may stand for another text
-                keys.append(key), blobs.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "shingles"])
-
-
-def _within_bound(pairs: DataFrame, vectors: DataFrame, label: str) -> DataFrame:
-    """The pairs that the bound of their count vectors leaves, as a written table."""
-    for side in "ab":
-        pairs = pairs.join(vectors.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("vec").alias(f"vec_{side}")), side)
-    return written(pairs.filter("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").mapInArrow(_bounded, "a long, b long"), label)
-
-
-def _verified(pairs: DataFrame, vectors: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-    """Links (a, b) among written candidate pairs that the bound allows, by their shingles."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = written(vectors.join(keys, "key").select("doc_id", "key"), f"{label}-wanted")
-    n, n_ids = wanted.agg(F.count(F.lit(1)), F.count("doc_id")).first()
-    has_id, no_id = wanted.filter("doc_id is not null"), wanted.filter("doc_id is null").select("key")
-    if n <= BROADCAST_ROWS:  # ids and keys of that many rows take some 30 MB
-        has_id, no_id = F.broadcast(has_id), F.broadcast(no_id)
-    texts = rows.join(has_id, "doc_id").select("text", "key")
-    if n > n_ids:  # sets that only rows without an id have are found by their key
-        texts = texts.unionByName(rows.filter("doc_id is null").select("text").mapInArrow(_keyed, "text string, key long").join(no_id, "key").select("text", "key"))
-    sets = written(texts.mapInArrow(_sets, "key long, shingles binary").dropDuplicates(["key"]), f"{label}-sets")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    return written(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long"), label)
-
-
-def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            vectors = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("vec_a", "vec_b")]
-            ok = overlap_bound(*vectors) >= need(batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok))
+            if signature(s) != node:  # equal hashes of unequal texts
+                continue
+            blob = s.tobytes()
+            for other in range(blocks):
+                rows.append((group, min(slot, other), max(slot, other), (slot < other) + 2 * (slot > other), node, blob))
+                size += len(blob)
+                if size >= 8 * FLUSH:
+                    yield flush()
+                    size = 0
+    if rows:
+        yield flush()
+
+
+class _Verifier:
+    """Finds true links among sets at hand: by a table of hash prefixes first, then shingle by shingle."""
+
+    BITS = 20
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.short = [(s >> np.uint64(64 - self.BITS)).astype(np.int32) for s in sets]
+        self.present = np.zeros(1 << self.BITS, bool)
+
+    def __call__(self, q: int, hits: np.ndarray, labels: np.ndarray) -> Iterator[int]:
+        sets, short, mine = self.sets, self.short, len(self.sets[q])
+        self.present[short[q]] = True
+        fits = [h for h in hits.tolist() if np.count_nonzero(self.present[short[h]]) >= need(mine, len(sets[h]))]
+        self.present[short[q]] = False
+        for h in fits:
+            if labels[h] != labels[q] and len(np.intersect1d(sets[q], sets[h], assume_unique=True)) >= need(mine, len(sets[h])):
+                yield h
+
+
+def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each group's true links."""
+    found: list[tuple[bytes, bytes]] = []
+    for rows in _items(batches):
+        members: dict[bytes, tuple[int, np.ndarray]] = {}  # a row that repeats is one set
+        for r in rows:
+            data, at = _flat(r["shingles"])
+            for k, (node, side) in enumerate(zip(r["node"].to_pylist(), r["side"].to_pylist(), strict=True)):
+                members[node] = (side, data[at[k] : at[k + 1]].view(np.uint64))
+        if len(members) > 1:
+            nodes, sides, sets = list(members), np.array([m[0] for m in members.values()]), [m[1] for m in members.values()]
+            vectors, sizes = np.stack([count_vector(s) for s in sets]), np.array([len(s) for s in sets], np.int64)
+            found += [(nodes[a], nodes[b]) for a, b in spanning_forest(vectors, sizes, sides, _Verifier(sets))]
+    yield _pairs(found)
 
 
 def _edges(links: DataFrame) -> DataFrame:
@@ -464,7 +557,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every node has one parent at most and no parent has one: then parents are the components' least nodes."""
-    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("binary").alias("up")))
     state = ends.groupBy("node").agg(F.min("up").alias("lo"), F.max("up").alias("hi"), F.count(F.when(F.col("up").isNull(), 1)).alias("under"))
     return state.filter("lo <> hi or (lo is not null and under > 0)").isEmpty()
 
@@ -475,10 +568,13 @@ def stars(edges: DataFrame, label: str = "jaccard-components") -> DataFrame:
     Large-star and small-star steps in turn, each a written table, until every
     component is a star; each step moves edges toward smaller nodes.
     """
+    before: list[DataFrame] = []
     for step in itertools.cycle((_large_star, _small_star)):
         edges = written(step(edges), label)
+        discard(*before)
         if _settled(edges):
             return edges
+        before = [edges]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -486,25 +582,47 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _open_items(lists: DataFrame, comps: DataFrame, vectors: DataFrame, parts: int, label: str) -> DataFrame | None:
-    """Work items (list_id, i, j) of the lists that more than one component shares; None if there are none.
-
-    Documents outside a list's largest component ask, all its documents
-    answer; either side is cut into blocks, and every pair of blocks is an item.
-    """
-    placed = written(lists.join(comps.withColumnRenamed("node", "key"), "key", "left").select("list_id", "key", F.coalesce("comp", "key").alias("comp")), f"{label}-placed")
-    shares = placed.groupBy("list_id", "comp").agg(F.count(F.lit(1)).alias("k"))
-    sums = shares.groupBy("list_id").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"))
-    blocks = lambda n: F.expr(f"cast(({n} - 1) div {BLOCK} + 1 as int)")
-    open_lists = written(sums.filter("m > 2 and m > top.k").select("list_id", F.col("top.comp").alias("main"), blocks("m").alias("t_blocks"), blocks("(m - top.k)").alias("q_blocks")), label)
-    if open_lists.isEmpty():
-        return None
-    left = placed.join(open_lists, "list_id").join(vectors.select("key", "n", "vec"), "key")
-    slot = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    answers = left.select("list_id", each("q_blocks").alias("i"), slot("t_blocks").alias("j"), "key", "comp", "n", "vec", F.lit(False).alias("ask"))
-    asks = left.filter("comp <> main").select("list_id", slot("q_blocks").alias("i"), each("t_blocks").alias("j"), "key", "comp", "n", "vec", F.lit(True).alias("ask"))
-    return answers.unionByName(asks).repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j")
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A written table of counted rows, broadcast if they are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _blocks(total: str, size: int):
+    return F.expr(f"cast(({total} - 1) div {size} + 1 as int)")
+
+
+def _likely_pairs(lists: DataFrame, vectors: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) that join what the lists' pairs within the bound join, as a written table."""
+    large = written(lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("list_id", _blocks("m", BLOCK).alias("blocks")), "jaccard-large-lists")
+    rows = lists.join(vectors.select("key", "node", "n", "vec"), "key")
+    n_large = large.count()
+    rows = rows.join(_few(large, n_large), "list_id", "left") if n_large else rows.withColumn("blocks", F.lit(None).cast("int"))
+    rows = rows.withColumn("slot", F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    side = F.when(F.col("slot") == F.col("other"), 0).when(F.col("slot") < F.col("other"), 1).otherwise(2)
+    items = rows.select("list_id", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), side.alias("side"), "node", "n", "vec")
+    found = items.repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j").mapInArrow(_likely, "a binary, b binary")
+    out = written(found.distinct(), "jaccard-likely")
+    discard(large)
+    return out
+
+
+def _true_links(groups: DataFrame, vectors: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) that join what all links inside the groups (node, comp) join, as a written table."""
+    placed = written(vectors.join(groups, "node").select("node", "n", "doc_id", "text_hash", "comp"), "jaccard-placed")
+    large = written(placed.groupBy("comp").agg(F.sum("n").alias("s")).filter(F.col("s") > BLOCK_SHINGLES).select("comp", _blocks("s", BLOCK_SHINGLES).alias("blocks")), "jaccard-large-groups")
+    n, n_large = placed.count(), large.count()
+    wanted = placed.join(_few(large, n_large), "comp", "left") if n_large else placed.withColumn("blocks", F.lit(1))
+    wanted = wanted.select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node", F.xxhash64("comp").alias("list_id"), F.coalesce("blocks", F.lit(1)).alias("blocks"),
+        F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)).alias("slot"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    sets = rows.join(_few(wanted, n), same).select("text", "node", "list_id", "slot", "blocks").mapInArrow(_sets, "list_id long, i int, j int, side int, node binary, shingles binary")
+    items = sets.repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j")
+    links = written(items.mapInArrow(_links, "a binary, b binary").distinct(), "jaccard-links")
+    discard(placed, large)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
@@ -517,49 +635,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked with nothing. Rows that repeat an id are linked with each other
     only if their texts are. A null id is a row like others, and never a
     component's id unless all ids of the component are null. Other columns
-    are ignored. Sets are told apart by a 64-bit signature.
+    are ignored. Sets are told apart by a 128-bit signature. An empty table
+    gives an empty result.
 
     ``by_row`` adds text_hash, the xxhash64 of the text, and component, a
-    number of the row's component (null without shingles), which tell rows and
+    name of the row's component (null without shingles), which tell rows and
     components apart where ids are null or repeated.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    hashed = rows.withColumn("text_hash", F.xxhash64("text") if by_row else F.lit(None).cast("long"))
-    first = written(hashed.mapInArrow(_nodes_and_counts(4 * parts), f"doc_id {id_type}, text_hash long, key long, n long, vec binary, bucket int, blob binary"), "jaccard-nodes")
-    nodes = first.filter("key is not null").select("doc_id", "text_hash", "key", "n", "vec")
+    first = written(rows.mapInArrow(_nodes_and_counts(4 * parts), f"doc_id {id_type}, text_hash long, node binary, key long, n long, vec binary, bucket int, blob binary"), "jaccard-nodes")
+    nodes = first.filter("node is not null").select("doc_id", "text_hash", "node", "key", "n", "vec")
     shared = spark.sparkContext.broadcast(frequent_shingles(first))
 
-    posted = rows.mapInArrow(_postings(4 * parts, shared), "bucket int, blob binary, list_id long, key long")
+    posted = rows.select("text").mapInArrow(_postings(4 * parts, shared), "bucket int, blob binary, list_id long, key long")
     lists = posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_lists, "list_id long, key long")
     lists = written(lists.distinct(), "jaccard-lists")
 
-    # One document stands for each distinct set on any list.
-    listed = lists.select("key").distinct()
-    vectors = written(nodes.join(listed, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "jaccard-vectors")
-
-    # Each list's pivot is the document that is on most lists: copies of one text choose the same.
-    degrees = lists.groupBy("key").agg(F.count(F.lit(1)).alias("d"))
-    pivots = lists.join(degrees, "key").groupBy("list_id").agg(F.max(F.struct("d", "key")).alias("p")).select("list_id", F.col("p.key").alias("pivot"))
-    tried = lists.join(pivots, "list_id").filter("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-    tried = written(tried, "jaccard-stars")
-    links = _verified(_within_bound(tried, vectors, "jaccard-star-bounded"), vectors, rows, "jaccard-star-links")
-    found = stars(_edges(links))
-    # A document needs one link to join a component, so its likeliest partner comes first; the second round leaves nothing out.
-    for k, search in enumerate((_best, _search)):
-        items = _open_items(lists, components(found), vectors, parts, f"jaccard-open-{k}")
-        if items is None:
-            break
-        more = items.mapInArrow(search, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        more = written(more, f"jaccard-more-{k}")
-        found = stars(_edges(_verified(more, vectors, rows, f"jaccard-more-links-{k}")).unionByName(found))
-        tried = tried.unionByName(more)
+    # One row stands for each distinct set on any list.
+    vectors = written(nodes.join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["node"]), "jaccard-vectors")
+    likely = _likely_pairs(lists, vectors, parts)
+    found = stars(_edges(likely), "jaccard-groups")
+    links = _true_links(components(found), vectors, rows, parts)
+    final = stars(_edges(links))
+    discard(lists, vectors, likely, found, links)
 
-    final = components(found).withColumnRenamed("node", "key")
-    named = nodes.join(final, "key", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))
+    named = nodes.drop("key", "vec").join(components(final), "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     ids = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = named.join(ids, "comp", "left")
     told = ["text_hash", F.col("comp").alias("component")] if by_row else []

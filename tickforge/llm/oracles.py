@@ -64,7 +64,7 @@ with d as (
   select rid, word, count(*) as n from (select rid, unnest(w) as word from c)
   where word in ({_list(_D.common)}) group by rid, word
 ), langs as (
-  select lang, sum(n_words) as n_words, sum(n_chars) as n_chars from c where lang is not null group by lang having sum(n_words) > 0
+  select lang, sum(n_words) as n_words, sum(n_chars) as n_chars from c where lang is not null group by lang having sum(n_words) > 0 and sum(n_words) >= {_D.min_share} * (select sum(n_words) from c where lang is not null)
 ), cmed as (
   select lang, bin, quantile_disc((1000 * n::bigint) // n_chars, 0.5) + 0.5 as m
   from cls join (select rid, n_chars from c) using (rid) where n_chars >= {_D.min_chars} and lang is not null group by lang, bin

@@ -40,6 +40,7 @@ class Divergence:
     max_word_distance: float = 0.318
     min_chars: int = 480
     min_words: int = 120
+    min_share: float = 0.005
     common: frozenset[str] = field(default_factory=lambda: frozenset(" ".join(COMMON_WORDS.values()).split()))
 
 
@@ -88,22 +89,32 @@ def references(docs: DataFrame, rules: Divergence = Divergence(), *, text_col: s
     least ``min_chars``, in thousandths (junk moves a mean, not a median),
     scaled to a sum of 1; None if the language has no such document. words:
     the share of each common word among all words. Rows without a language
-    count only if no row has one. What reaches the driver is a few thousand
-    numbers for each language at most, never one for each document.
+    count only if no row has one. A label is a language if at least
+    ``min_share`` of all labelled words are under it, so stray labels are
+    none, and there are 1 / ``min_share`` at most. One scan; what reaches the
+    driver is sums by label and bin, never a row for each document.
     """
     cut = docs.select(F.col(lang_col).cast("string").alias("_lang"), *_cut(F.col(text_col)))
-    counts = cut.select("_lang", "_chars", *_counts()).withColumn("_classes", _classes())
-    shares = F.transform("_classes", lambda n, k: F.struct(k.alias("c"), n.alias("n")))
-    rows = counts.groupBy("_lang").agg(F.sum("n_words").alias("n")).collect()
-    labelled = any(r["_lang"] is not None for r in rows)
-    spread = (
-        counts.filter(F.col("_chars") >= rules.min_chars).select("_lang", "_chars", F.explode(shares).alias("s"))
-        .groupBy("_lang", F.col("s.c").alias("c"), F.expr("1000 * s.n div _chars").alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = cut.select("_lang", "_chars", _common(rules).alias("_said"), *_counts()).withColumn("_classes", _classes())
+    one = F.lit(1).cast("long")
+    entry = lambda kind, key, n: F.struct(kind.cast("int").alias("kind"), key.cast("string").alias("key"), n.alias("n"))
+    share = lambda n: (1000 * n - F.pmod(1000 * n, F.greatest(F.col("_chars"), one))) / F.greatest(F.col("_chars"), one)
+    shares = F.transform("_classes", lambda n, k: entry(k, share(n).cast("long"), one))
+    none = F.array().cast("array<struct<kind:int,key:string,n:bigint>>")
+    entries = F.concat(
+        F.array(entry(F.lit(-1), F.lit(""), F.col("n_words"))), F.when(F.col("_chars") >= rules.min_chars, shares).otherwise(none),
+        F.transform("_said", lambda w: entry(F.lit(len(CHAR_CLASSES)), w, one)),
     )
-    said = cut.select("_lang", F.explode(_common(rules)).alias("word")).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n")).collect()
+    # An outer generator: the entries are never none, and Spark derives no filter that would build them twice.
+    found = counts.select("_lang", F.inline_outer(entries)).groupBy("_lang", "kind", "key").agg(F.sum("n").alias("n"))
+    rows = found.collect()
+    words = {r["_lang"]: r["n"] for r in rows if r["kind"] == -1}
+    if any(lang is not None for lang in words):
+        words.pop(None, None)
+    least = rules.min_share * sum(words.values())
 
     def median(lang: str | None, c: int) -> float | None:
-        tally = sorted((r["t"], r["n"]) for r in spread if r["_lang"] == lang and r["c"] == c)
+        tally = sorted((int(r["key"]), r["n"]) for r in rows if r["_lang"] == lang and r["kind"] == c)
         half, seen = sum(n for _, n in tally) / 2, 0
         for t, n in tally:
             seen += n
@@ -112,12 +123,11 @@ def references(docs: DataFrame, rules: Divergence = Divergence(), *, text_col: s
         return None
 
     out = []
-    for r in sorted(rows, key=lambda r: r["_lang"] or ""):
-        if not r["n"] or (r["_lang"] is None and labelled):
-            continue
-        middle = [median(r["_lang"], c) for c in range(len(CHAR_CLASSES))]
+    for lang in sorted((x for x, n in words.items() if n and n >= least), key=lambda x: x or ""):
+        middle = [median(lang, c) for c in range(len(CHAR_CLASSES))]
         classes = None if None in middle else [x / sum(middle) for x in middle]
-        out.append({"lang": r["_lang"], "classes": classes, "words": {x["word"]: x["n"] / r["n"] for x in said if x["_lang"] == r["_lang"]}})
+        said = {r["key"]: r["n"] / words[lang] for r in rows if r["_lang"] == lang and r["kind"] == len(CHAR_CLASSES)}
+        out.append({"lang": lang, "classes": classes, "words": said})
     return out
 
 
@@ -214,13 +224,13 @@ def judge(docs: DataFrame, rules: Divergence = Divergence(), *, refs: list[dict]
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     near_enough = lambda c, most: F.coalesce(F.col(c) <= most, F.lit(True))
     kept = ~F.col("base_failed") & near_enough("char_distance", rules.max_char_distance) & near_enough("word_distance", rules.max_word_distance)
-    return df.withColumn("kept", kept).select(*(F.col(k).alias(c) for c, k in zip(names, own, strict=True)), *added)
+    # Behind a generator no filter on the verdict takes the chain of expressions apart, once for each use.
+    judged = F.struct(*(kept.alias(c) if c == "kept" else F.col(c).alias(c) for c in added))
+    df = df.select(*own, F.inline_outer(F.array(judged)).alias(*added))
+    return df.select(*(F.col(k).alias(c) for c, k in zip(names, own, strict=True)), *added)
 
 
 def accepted(docs: DataFrame, rules: Divergence = Divergence(), *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that ``judge`` keeps, with exactly the columns of ``docs`` whatever their names."""
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_doc_text"), F.col(lang_col).alias("_doc_lang"))
-    judged = judge(packed, rules, text_col="_doc_text", lang_col="_doc_lang")
-    # The row number keeps Catalyst from copying the whole chain of expressions into the filter, once for each use.
-    judged = judged.withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
+    return judge(packed, rules, text_col="_doc_text", lang_col="_doc_lang").filter("kept").select("_doc.*")

@@ -163,9 +163,12 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
     counts[[r.id for r in tally]] = [r.k for r in tally]
     lengths = code_lengths(counts)
     shared = spark.sparkContext.broadcast(lengths)
-    own = table.filter("n is not null").select("doc_id", "n", "ids")
-    cuts = [i / (4 * parts) for i in range(1, 4 * parts)]
-    bounds = sorted(set(own.agg(F.percentile_approx("doc_id", cuts, 100 * parts)).first()[0] or []))
+    own = table.filter("n is not null").select("doc_id", "n", "ids", F.monotonically_increasing_id().alias("at"))
+    # A row's place in the written table comes last in the order, so even rows of one id and text fall into several parts.
+    thin = own.select(F.struct("doc_id", "n", "at").alias("row")).repartitionByRange(4 * parts, "row")
+    tops = [r.top for r in thin.groupBy(F.spark_partition_id()).agg(F.max("row").alias("top")).collect()]
+    place = lambda doc_id, n, at: (False, 0, n, at) if doc_id is None else (True, doc_id, n, at)
+    bounds = sorted(place(*t) for t in tops)[:-1]
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(shared.value)
@@ -175,15 +178,15 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
                 raw = part["ids"].to_pylist()
                 payload, n_bytes, marks = code.encode(np.frombuffer(b"".join(raw), "<u2").astype(np.int64), part["n"].to_numpy())
                 edges = np.concatenate([[0], np.cumsum(n_bytes)])
-                where = [0 if x is None else bisect.bisect_left(bounds, x) for x in part["doc_id"].to_pylist()]
+                where = [bisect.bisect_left(bounds, place(*x)) for x in zip(*(part[c].to_pylist() for c in ("doc_id", "n", "at")), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where, pa.int32()), part["doc_id"], part["n"], pa.array([payload[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())],
-                    ["part", "doc_id", "n", "bits", "marks"],
+                    [pa.array(where, pa.int32()), part["doc_id"], part["n"], part["at"], pa.array([payload[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())],
+                    ["part", "doc_id", "n", "at", "bits", "marks"],
                 )
 
     id_type = own.schema["doc_id"].dataType.simpleString()
-    packed = own.mapInArrow(pack, f"part int, doc_id {id_type}, n long, bits binary, marks binary")
-    packed = packed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
+    packed = own.mapInArrow(pack, f"part int, doc_id {id_type}, n long, at long, bits binary, marks binary")
+    packed = packed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "at").drop("at")
 
     def block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before, held, size = None, 0, 0, [], 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,10 +18,38 @@ import numpy as np
 #: Distinct words kept by a worker before it starts anew.
 KEPT_WORDS = 900_000
 END_OF_WORD = "</w>"
-#: Capitals whose small form depends on the library or the place: texts with them are not folded beforehand.
-UNSAFE_CAPITALS = "\u0130\u03a3"
-#: A full stop or comma that may belong to a longer run of signs.
-_RUN_OF_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,]")
+#: Characters of a text that are encoded at a time, up to the next space.
+SLICE = 1 << 20
+#: A full stop or comma that may belong to a longer run of signs. U+001C to U+001F are white space to Python, signs to the library.
+_RUN_OF_SIGNS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[.,]")
+
+
+def folded(text: str) -> str | None:
+    """The text in small letters where that changes none of the library's ids, else as it is; None if words can't be told apart beforehand.
+
+    The library composes marks (NFC) before it folds. A text that is composed
+    already, and still is in small letters, comes out the same either way. A
+    capital sigma's small form depends on its place in Python only; of a
+    dotted capital I the library makes two characters, one of them no letter.
+    """
+    if text.isascii():
+        return text.lower()
+    if "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+        return None
+    low = text if "\u03a3" in text else text.lower()
+    return low if unicodedata.is_normalized("NFC", low) else text
+
+
+def slices(text: str) -> list[str]:
+    """The text in pieces of some SLICE characters, cut before spaces."""
+    out, lo = [], 0
+    while len(text) - lo > SLICE:
+        hi = text.find(" ", lo + SLICE)
+        if hi < 0:
+            break
+        out.append(text[lo:hi])
+        lo = hi
+    return [*out, text[lo:]] if lo else [text]
 
 
 class _Words(dict):
@@ -57,6 +86,7 @@ class WordEncoder:
 
         self.library = Tokenizer.from_str(vocabulary)
         self.library.encode_special_tokens = special_as_text
+        self.specials = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -98,17 +128,35 @@ class WordEncoder:
         self.flat = np.concatenate(parts)
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
+    def _misread(self, text: str, low: str) -> bool:
+        """Whether folding has made a special token of other letters."""
+        return "<|" in low and any(low.count(t) != text.count(t) for t in self.specials)
+
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each text has. A null text is empty."""
+        """All ids in order, and how many each text has. A null text is empty.
+
+        A text is encoded in slices, so that one of any length takes little
+        more memory than its ids; the library never joins across a space.
+        """
+        cut = [slices(t or "") for t in texts]
+        ids, sizes = self._encode([x for xs in cut for x in xs])
+        if len(sizes) > len(texts):
+            sizes = np.add.reduceat(sizes, np.cumsum([0, *map(len, cut[:-1])]))
+        return ids, sizes
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > KEPT_WORDS:
             self.forget()
         words: list[str] = []
+        whole: list[int] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                if not any(c in text for c in UNSAFE_CAPITALS):
-                    text = text.lower()
-                text = text.replace("\n", " ")
+                low = folded(text)
+                if low is None:
+                    whole.append(k)
+                    continue
+                text = (text if self._misread(text, low) else low).replace("\n", " ")
                 if not _RUN_OF_SIGNS.search(text):  # then the sign before a space is a unit of its own
                     text = text.replace(", ", " , ").replace(". ", " . ")
                 found = text.split(" ")
@@ -127,7 +175,12 @@ class WordEncoder:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[stems] - ends + sizes, sizes) + np.arange(total)]
         edges = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(edges)
+        if not whole:
+            return ids, np.diff(edges)
+        each = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for k, e in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            each[k] = np.array(e.ids, np.int32)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}

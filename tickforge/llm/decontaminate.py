@@ -2,13 +2,16 @@
 
 Text is folded byte by byte (A-Z to small letters, everything that is not a
 digit, a letter or part of a non-ASCII character to a space), so a place in
-the folded text is a place in the original. Every distinct window of ten item
-words goes into the automaton, framed by spaces; each document is scanned
-once. Only documents with a hit pay for the way back from places to words.
-
-The benchmark is a stated set of questions and answers. Its size is measured
-before it is shipped: beyond ``block_bytes`` it is cut into blocks, each with
-an automaton of its own and one scan, and the blocks' findings are merged.
+the folded text is a place in the original. The automaton's letters are digits
+of word numbers: every distinct window of ten item words is a string of them,
+and each document, written in the same way, is scanned once. Only documents with a hit pay for
+the way back from words to places.
+
+The benchmark is a stated set of questions and answers. Its automaton's states
+are counted before it is shipped. Beyond ``block_states`` it is cut into
+blocks of about so many: the corpus is scanned once for each, by one automaton
+of bounded size that each worker builds once, and no more than one block is
+ever on the driver or broadcast.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import ahocorasick
@@ -26,8 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from .shared import discard, written
+
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Words in all windows of one automaton; a word is two to four states, some 200 bytes of a worker's memory.
+BLOCK_STATES = 1 << 20
+#: Windows of an item that lie in one segment, the unit that blocks are made of.
+SEGMENT = 4096
 
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -39,50 +48,71 @@ def folded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> set[bytes]:
-    """Distinct runs of ``window`` words, or all words of a shorter text, framed by spaces."""
+def segments(text: str | None, window: int = WINDOW) -> Iterator[list[bytes]]:
+    """The text's words in stretches that hold SEGMENT windows at most, each window in one of them."""
     words = folded(text).split()
-    runs = range(max(1, len(words) - window + 1)) if words else ()
-    return {b" " + b" ".join(words[i : i + window]) + b" " for i in runs}
-
-
-def build_automaton(items: Iterable[tuple[Any, str | None]], window: int = WINDOW) -> ahocorasick.Automaton:
-    """The automaton of all windows; each leads to (its words, the items that hold it)."""
-    holders: dict[bytes, set] = defaultdict(set)
-    for item_id, text in items:
-        for run in item_windows(text, window):
-            holders[run].add(item_id)
-    automaton = ahocorasick.Automaton()
-    for run, ids in holders.items():
-        automaton.add_word(run.decode("latin-1"), (run.count(b" ") - 1, frozenset(ids)))
-    if holders:
-        automaton.make_automaton()
-    return automaton
-
-
-def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set]:
-    """Number of words; hit words as [first, past-last) ranges in order, merged; items found."""
-    fold = folded(text)
-    words = fold.split()
-    if not words or not len(automaton):
-        return len(words), [], set()
-    line = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(line.decode("latin-1")))
-    if not found:
-        return len(words), [], set()
-    # Spaces up to and with a place number the words: the k-th space (from 0) stands before word k.
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
-    ranges: list[tuple[int, int]] = []
-    items: set = set()
-    last = np.searchsorted(spaces, [end for end, _ in found])
-    for first, past in sorted({(int(w) - n, int(w)) for w, (_, (n, _)) in zip(last, found, strict=True)}):
-        if ranges and first <= ranges[-1][1]:
-            ranges[-1] = (ranges[-1][0], max(past, ranges[-1][1]))
+    for lo in range(0, max(len(words) - window, 0) + 1, SEGMENT) if words else ():
+        yield words[lo : lo + SEGMENT + window - 1]
+
+
+def states(n_words: int, window: int = WINDOW) -> int:
+    """Words in all windows of a stretch of so many words; the automaton has that many states at most, times a word's digits."""
+    return window * max(n_words - window + 1, 1)
+
+
+@dataclass
+class Matcher:
+    """The automaton of all windows of (item, words) stretches.
+
+    A word is written as ``digits`` characters, its number to the base 64, the
+    most significant digit in a range of its own: so a state has at most 64
+    ways on, and windows are found at word limits only.
+    """
+
+    codes: dict[bytes, str]
+    digits: int
+    automaton: ahocorasick.Automaton
+
+    @classmethod
+    def of(cls, stretches: Iterable[tuple[Any, list[bytes]]], window: int = WINDOW) -> Matcher:
+        held = list(stretches)
+        known = sorted({w for _, words in held for w in words})
+        digits = 1
+        while 64**digits <= len(known):
+            digits += 1
+        codes = {w: "".join(chr((128 if k == digits - 1 else 64) + n // 64**k % 64) for k in reversed(range(digits))) for n, w in enumerate(known)}
+        holders: dict[str, set] = defaultdict(set)
+        for item_id, words in held:
+            for i in range(max(1, len(words) - window + 1)) if words else ():
+                holders["".join([codes[w] for w in words[i : i + window]])].add(item_id)
+        automaton = ahocorasick.Automaton()
+        for run, ids in holders.items():
+            automaton.add_word(run, (len(run) // digits, frozenset(ids)))
+        if holders:
+            automaton.make_automaton()
+        return cls(codes, digits, automaton)
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Hit words as [first, past-last) ranges in order, merged; items found."""
+        if not words or not len(self.automaton):
+            return [], set()
+        code, other = self.codes.get, " " * self.digits
+        found = [((at + 1) // self.digits, hit) for at, hit in self.automaton.iter("".join([code(w, other) for w in words]))]
+        items: set = set()
+        for _, (_, ids) in found:
+            items |= ids
+        return merged((past - n, past) for past, (n, _) in found), items
+
+
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges' union, in order."""
+    out: list[tuple[int, int]] = []
+    for first, past in sorted(ranges):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(past, out[-1][1]))
         else:
-            ranges.append((first, past))
-    for _, (_, ids) in found:
-        items |= ids
-    return len(words), ranges, items
+            out.append((first, past))
+    return out
 
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,20 +125,37 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(chars[begins[a]]), int(chars[ends[b - 1]])) for a, b in ranges]
 
 
-_automata: dict[str, ahocorasick.Automaton] = {}
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(shared, window: int) -> Matcher:
+    """The worker's automaton of a broadcast block (its key and its stretches); the last one made is kept."""
+    key, stretches = shared.value
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher.of(((i, words.split()) for i, words in stretches), window)
+    return _matchers[key]
+
 
+def _stretches(window: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, b" ".join(words), states(len(words), window)) for i, text in zip(batch["i"].to_pylist(), batch["t"].to_pylist(), strict=True) for words in segments(text, window)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["i", "words", "states"])
+
+    return run
+
+
+_RANGES = ArrayType(StructType().add("begin", "long").add("end", "long"))
+_RANGE = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
-def _automaton(shared, window: int) -> ahocorasick.Automaton:
-    """The worker's automaton of a broadcast block (its key and its items); the last one made is kept."""
-    key, items = shared.value
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = build_automaton(items, window)
-    return _automata[key]
+
+def _ranges(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"begin": a, "end": b} for a, b in r] for r in found], _RANGE)
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_spans: bool = False, keep: tuple[str, ...] = (),
+    docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_states: int = BLOCK_STATES, with_spans: bool = False, keep: tuple[str, ...] = (),
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """What each document shares with the benchmark: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
@@ -116,7 +163,8 @@ def contamination(
     n_hit counts the document's words inside any occurrence of a window;
     items are those with an occurring window. ``with_spans`` adds spans,
     array<struct<begin,end>> of hit passages as character places; ``keep``
-    names further columns of ``docs`` to carry along.
+    names further columns of ``docs`` to carry along; of a kept column with
+    the name of one of these results, the result stays.
 
     Null and empty texts have no words; items without words match nothing;
     an empty benchmark finds nothing. Null item ids count as the item "null".
@@ -124,56 +172,65 @@ def contamination(
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
-    size = items.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
-    n_blocks = -(-int(size) // block_bytes) or 1
-    blocks = []
-    for k in range(n_blocks):
-        part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
-        blocks.append(spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, r.t) for r in part.collect()])))
+    cut = written(items.mapInArrow(_stretches(window), "i string, words binary, states long"), "benchmark-stretches")
+    n_blocks = -(-(cut.agg(F.sum("states")).first()[0] or 0) // block_states) or 1
 
-    carried = [c for c in keep if c not in ("doc_id", "text")]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
-    schema = StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+    schema = StructType().add("doc_id", docs.schema[id_col].dataType).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
     if with_spans:
-        schema = schema.add("spans", ArrayType(StructType().add("begin", "long").add("end", "long")))
-    for c in carried:
-        schema = schema.add(c, rows.schema[c].dataType)
-    if "text" in keep:
-        schema = schema.add("text", "string")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One automaton is alive at a time: with several blocks, each goes over the batch in turn.
-        for batch in batches:
-            n = batch.num_rows
-            words, hit, found = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
-            for block in blocks:
-                automaton = _automaton(block, window)
-                for k, text in enumerate(batch["text"]):
-                    words[k], ranges, ids = scan(text.as_py(), automaton)
-                    hit[k] = _union(hit[k], ranges)
-                    found[k] |= ids
-            columns = {
-                "doc_id": batch["doc_id"], "n_words": pa.array(words, pa.int64()),
-                "n_hit": pa.array([sum(b - a for a, b in r) for r in hit], pa.int64()), "n_items": pa.array(map(len, found), pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found], pa.string()),
-                "contaminated": pa.array([bool(r) for r in hit], pa.bool_()),
-            }
-            if with_spans:
-                where = [[{"begin": a, "end": b} for a, b in spans(batch["text"][k].as_py(), hit[k])] if hit[k] else [] for k in range(n)]
-                columns["spans"] = pa.array(where, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-            columns |= {c: batch[c] for c in carried} | ({"text": batch["text"]} if "text" in keep else {})
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return rows.mapInArrow(run, schema)
-
-
-def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    if not a or not b:
-        return a or b
-    out: list[tuple[int, int]] = []
-    for first, past in sorted(a + b):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(past, out[-1][1]))
-        else:
-            out.append((first, past))
-    return out
+        schema = schema.add("spans", _RANGES)
+    carried = [c for c in keep if c not in schema.names]
+    # The rows' own columns go by number, so none can clash with a name in use here.
+    rows = docs.select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(f"`{c}`").alias(f"_own_{k}") for k, c in enumerate(carried)),
+        F.lit(None).cast(_RANGES).alias("_ranges"), F.lit(None).cast("array<string>").alias("_items"),
+    )
+    for k, c in enumerate(carried):
+        schema = schema.add(c, rows.schema[f"_own_{k}"].dataType)
+
+    def found(shared, batch: pa.RecordBatch) -> tuple[list[int], list[list[tuple[int, int]]], list[set]]:
+        """Words, hit ranges and items of each row, with those that earlier blocks have found."""
+        matcher = _matcher(shared, window)
+        sizes, ranges, names = [], [], []
+        for text, before, ids in zip(batch["_text"], batch["_ranges"], batch["_items"], strict=True):
+            words = folded(text.as_py()).split()
+            hit, new = matcher.scan(words)
+            if before.is_valid:
+                hit, new = merged([*hit, *((r["begin"], r["end"]) for r in before.as_py())]), new | set(ids.as_py())
+            sizes.append(len(words)), ranges.append(hit), names.append(new)
+        return sizes, ranges, names
+
+    def in_between(shared):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, ranges, names = found(shared, batch)
+                columns = [_ranges(ranges) if c == "_ranges" else pa.array(map(sorted, names), pa.list_(pa.string())) if c == "_items" else batch[c] for c in batch.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+        return run
+
+    def judged(shared):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes, ranges, names = found(shared, batch)
+                columns = [
+                    batch["_id"], pa.array(sizes, pa.int64()), pa.array([sum(b - a for a, b in r) for r in ranges], pa.int64()), pa.array(map(len, names), pa.int64()),
+                    pa.array([hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in names], pa.string()), pa.array([bool(r) for r in ranges], pa.bool_()),
+                ]
+                if with_spans:
+                    columns.append(_ranges([spans(text.as_py(), r) if r else [] for text, r in zip(batch["_text"], ranges, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*columns, *(batch[f"_own_{k}"] for k in range(len(carried)))], schema.names)
+
+        return run
+
+    before = None
+    for k in range(n_blocks):
+        part = cut if n_blocks == 1 else cut.filter(F.pmod(F.xxhash64("i", "words"), F.lit(n_blocks)) == k)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, bytes(r.words)) for r in part.collect()]))
+        if k == n_blocks - 1:
+            return rows.mapInArrow(judged(shared), schema)
+        rows = written(rows.mapInArrow(in_between(shared), rows.schema), "contamination-block")
+        shared.unpersist()
+        if before is not None:
+            discard(before)
+        before = rows
+    raise AssertionError("there is at least one block")

@@ -40,7 +40,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, shuffle_parts, written
+from .shared import discard, few, shuffle_parts, written
 
 SHINGLE = 5
 #: Groups of a count vector.
@@ -56,8 +56,6 @@ FANOUT, DENSE = 16, 48
 #: Documents in a block of a list, shingles in a block of a group.
 BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 FLUSH = 1 << 20
-#: Texts are fetched by a broadcast of the wanted rows up to so many (some 30 MB), by a shuffle beyond.
-BROADCAST_ROWS = 200_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -252,9 +250,9 @@ def frequent_shingles(counts: DataFrame) -> np.ndarray:
         if total > MAX_FREQUENT:
             break
         least = r.n
-    if least is None:
-        return np.zeros(0, np.uint32)
-    return np.sort(np.array([r.shingle for r in found.filter(F.col("n") >= least).select("shingle").collect()], np.uint32))
+    common = [] if least is None else found.filter(F.col("n") >= least).select("shingle").collect()
+    discard(found)
+    return np.sort(np.array([r.shingle for r in common], np.uint32))
 
 
 def ordered(shingles: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
@@ -582,11 +580,6 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """A written table of counted rows, broadcast if they are few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _blocks(total: str, size: int):
     return F.expr(f"cast(({total} - 1) div {size} + 1 as int)")
 
@@ -596,7 +589,7 @@ def _likely_pairs(lists: DataFrame, vectors: DataFrame, parts: int) -> DataFrame
     large = written(lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("list_id", _blocks("m", BLOCK).alias("blocks")), "jaccard-large-lists")
     rows = lists.join(vectors.select("key", "node", "n", "vec"), "key")
     n_large = large.count()
-    rows = rows.join(_few(large, n_large), "list_id", "left") if n_large else rows.withColumn("blocks", F.lit(None).cast("int"))
+    rows = rows.join(few(large, n_large), "list_id", "left") if n_large else rows.withColumn("blocks", F.lit(None).cast("int"))
     rows = rows.withColumn("slot", F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
     side = F.when(F.col("slot") == F.col("other"), 0).when(F.col("slot") < F.col("other"), 1).otherwise(2)
@@ -612,13 +605,13 @@ def _true_links(groups: DataFrame, vectors: DataFrame, rows: DataFrame, parts: i
     placed = written(vectors.join(groups, "node").select("node", "n", "doc_id", "text_hash", "comp"), "jaccard-placed")
     large = written(placed.groupBy("comp").agg(F.sum("n").alias("s")).filter(F.col("s") > BLOCK_SHINGLES).select("comp", _blocks("s", BLOCK_SHINGLES).alias("blocks")), "jaccard-large-groups")
     n, n_large = placed.count(), large.count()
-    wanted = placed.join(_few(large, n_large), "comp", "left") if n_large else placed.withColumn("blocks", F.lit(1))
+    wanted = placed.join(few(large, n_large), "comp", "left") if n_large else placed.withColumn("blocks", F.lit(1))
     wanted = wanted.select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node", F.xxhash64("comp").alias("list_id"), F.coalesce("blocks", F.lit(1)).alias("blocks"),
         F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)).alias("slot"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
-    sets = rows.join(_few(wanted, n), same).select("text", "node", "list_id", "slot", "blocks").mapInArrow(_sets, "list_id long, i int, j int, side int, node binary, shingles binary")
+    sets = rows.join(few(wanted, n), same).select("text", "node", "list_id", "slot", "blocks").mapInArrow(_sets, "list_id long, i int, j int, side int, node binary, shingles binary")
     items = sets.repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j")
     links = written(items.mapInArrow(_links, "a binary, b binary").distinct(), "jaccard-links")
     discard(placed, large)
@@ -664,7 +657,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     discard(lists, vectors, likely, found, links)
 
     named = nodes.drop("key", "vec").join(components(final), "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
-    ids = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = named.join(ids, "comp", "left")
+    # Only components of several rows have another name than their row's; a written table, so that a join can split a large one's rows.
+    ids = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    out = named.join(few(written(ids.drop("k"), "jaccard-names")), "comp", "left")
     told = ["text_hash", F.col("comp").alias("component")] if by_row else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *told)

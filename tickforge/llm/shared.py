@@ -14,6 +14,7 @@ from typing import Any
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -40,6 +41,15 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return table
 
 
+#: Rows up to which ``few`` broadcasts; at some hundred bytes each they take some 30 MB.
+BROADCAST_ROWS = 200_000
+
+
+def few(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table (of counted rows), to be broadcast if it is small."""
+    return broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` returned, once nothing reads them any more."""
     for table in tables:

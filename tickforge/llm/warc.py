@@ -19,12 +19,13 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any, BinaryIO
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TaskFile, filesystem, shared_dir, shuffle_parts, written
+from .shared import TaskFile, few, filesystem, shared_dir, shuffle_parts, written
 
 CHUNK_BYTES = 64 << 10
 #: An archive is closed after the record that takes it past this size.
@@ -42,35 +43,50 @@ def record_urn(record_id: Any) -> str:
 def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(record_id, payload_digest) -> refers_to, from rows of record_id, payload_digest, payload_bytes."""
     large = records.filter(F.col("payload_bytes") >= min_bytes)
-    kept = large.groupBy("payload_digest").agg(F.max("record_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return large.join(kept, "payload_digest").filter("record_id < refers_to").select("record_id", "payload_digest", "refers_to").distinct()
+    kept = large.groupBy("payload_digest").agg(F.max("record_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    kept = written(kept, "warc-shared-digests")
+    # A digest that very many records share meets them where they lie, unless there are too many such digests to send.
+    return large.join(few(kept), "payload_digest").filter("record_id < refers_to").select("record_id", "payload_digest", "refers_to").distinct()
 
 
 def chunk_table(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows record_id, url, payload_digest, payload_bytes, refers_to, chunk_no, chunk: a revisit has one empty chunk."""
+    """Rows record_id, url, payload_digest, payload_bytes, refers_to, chunk_no, chunk: a revisit has one empty chunk.
+
+    Chunks are cut one after the other as the rows are asked for; beside the
+    table's own row there is one chunk in memory.
+    """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("record_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     again = written(revisits(rows.select("record_id", "payload_digest", "payload_bytes")), "warc-revisits")
     rows = rows.join(again, ["record_id", "payload_digest"], "left")
     last = F.when(F.col("refers_to").isNull(), F.expr(f"cast(greatest(payload_bytes - 1, 0) div {chunk_bytes} as int)")).otherwise(F.lit(0))
-    cut = lambda k: F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), k * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
-    chunks = F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("chunk_no", "chunk")
-    return rows.select("record_id", "url", "payload_digest", "payload_bytes", "refers_to", chunks)
+    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    chunk = F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    return rows.select("record_id", "url", "payload_digest", "payload_bytes", "refers_to", "chunk_no", chunk.alias("chunk"))
+
+
+def _escaped(text: str) -> str:
+    return "".join(f"%{b:02X}" for b in text.encode("utf-8", "surrogatepass"))
+
+
+def _id_field(record_id: Any) -> str:
+    """An id as a header value, whatever a text id holds; ``unquote`` is the way back."""
+    return "".join(c if c.isascii() and (c.isalnum() or c in "-._~") else _escaped(c) for c in str(record_id))
 
 
 def _head(record_id: Any, url: str | None, digest: str, size: int, refers_to: Any) -> bytes:
     """The WARC and HTTP headers of a record; a revisit's block is the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    target = "".join(c if 0x20 < ord(c) < 0x7F else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "about:blank")
+    target = "".join(c if 0x20 < ord(c) < 0x7F else _escaped(c) for c in url or "about:blank")
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(record_id)}",
         f"WARC-Date: {WARC_DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_urn(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_urn(refers_to)}", f"X-Refers-To-Page: {_id_field(refers_to)}"]
     if record_id is not None:
-        lines.append(f"X-Page: {record_id}")
+        lines.append(f"X-Page: {_id_field(record_id)}")
     body = len(http) + (size if refers_to is None else 0)
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {body}", "", ""]
     return "\r\n".join(lines).encode() + http
@@ -177,7 +193,8 @@ def records_of(source: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tup
         http = stream.head() or b""
         left = int(fields["content-length"]) - len(http)
         stated = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-        own = (number, fields.get("x-page"), fields["warc-type"], fields.get("x-refers-to-page"))
+        page, other = (None if (x := fields.get(name)) is None else unquote(x) for name in ("x-page", "x-refers-to-page"))
+        own = (number, page, fields["warc-type"], other)
         if fields["warc-type"] == "revisit":
             yield *own, 0, int(_fields(http)["content-length"]), stated, True, b""
         else:

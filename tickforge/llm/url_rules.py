@@ -49,6 +49,40 @@ def word_rule(word: str, verdict: str = "block") -> UrlRule:
     return UrlRule(f"(?ai)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", tuple(re.split(TOKEN_SEP, word.lower())), verdict)
 
 
+def filter_rule(line: str) -> UrlRule | None:
+    """A line of a filter list as a rule; None for comments, options of pages and empty lines.
+
+    ``||`` anchors at a label of the host, ``|`` at either end of the address
+    (host + path), ``*`` stands for anything, ``^`` for a separator or the
+    end, ``@@`` allows, and ``/.../`` is a regular expression as it stands,
+    without index tokens. The rest is literal, in any case. A literal token
+    helps the index only if the address must hold it whole: neither ``*`` nor
+    an open end of the rule may touch it.
+    """
+    text = line.strip()
+    if not text or text[0] in "![" or "##" in text:
+        return None
+    verdict = "allow" if text.startswith("@@") else "block"
+    body = text.removeprefix("@@").split("$")[0]
+    if len(body) > 2 and body[0] == body[-1] == "/":
+        return UrlRule(f"(?i){body[1:-1]}", (), verdict)
+    start = re.match(r"\|{0,2}", body)[0]
+    body = body[len(start) :]
+    ends = body.endswith("|")
+    body = body.removesuffix("|")
+    pattern = "".join(".*" if c == "*" else r"(?:[^a-z0-9_.%-]|$)" if c == "^" else re.escape(c) for c in body)
+    pattern = {"": "", "|": "^", "||": r"^(?:[^/]*\.)?"}[start] + pattern + "$" * ends
+    # What touches the rule's open ends is marked as if a star stood there.
+    framed = ("" if start else "*") + body.lower() + ("" if ends else "*")
+    tokens = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", framed) if framed.isascii() else []
+    return UrlRule(f"(?ai){pattern}", tuple(tokens), verdict)
+
+
+def filter_rules(lines: Iterable[str]) -> list[UrlRule]:
+    """The rules of a filter list, in order."""
+    return [r for r in map(filter_rule, lines) if r is not None]
+
+
 #: The list rules of the contract.
 LIST_RULES = (
     list_rule("org", "/", "allow"), list_rule("example.org", "/es/", "block"), list_rule("example.org", "/en/1", "block"),
@@ -95,10 +129,10 @@ def build_index(rules: Sequence[UrlRule], counts: dict[str, int]) -> tuple[dict[
     return dict(by_token), always
 
 
-def _precedence(rules: Sequence[UrlRule], i: int) -> tuple[bool, int, int]:
-    """List rules first, among them the longest, else the earliest."""
-    name = rules[i].name
-    return (name is not None, len(name or ""), -i)
+def _precedence(rules: Sequence[UrlRule], i: int) -> tuple[bool, int, bool, int]:
+    """List rules first, among them the longest; of the others those that allow, and the earliest."""
+    rule = rules[i]
+    return (rule.name is not None, len(rule.name or ""), rule.name is None and rule.verdict == "allow", -i)
 
 
 def judge_urls(

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.llm import bpe, decontaminate, jaccard, langid, quality
-from tickforge.llm.shared import written
+from tickforge.llm.shared import few, written
 
 #: A language is rejected below this score of a network of four labels; of k labels, below 4 / k of it (1 at most).
 MIN_LANGUAGE_SCORE = 0.3
 #: A language is also rejected below the score that this share of its own held-out rows does not reach.
 REJECTED_SHARE = 0.005
+#: Held-out rows of a label from which their scores tell what is low.
+TELLING_ROWS = 20
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -26,7 +28,12 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and stay near a language's reference histograms."""
+    """Rows that pass the base rules and stay near a language's reference histograms.
+
+    Null, empty and very short texts fail the base rules; repeated rows are
+    judged each; texts of any length are judged whole; an empty table stays
+    empty. Extra columns pass through whatever their names.
+    """
     return quality.accepted(docs)
 
 
@@ -35,19 +42,29 @@ def language_thresholds(docs: DataFrame, network: langid.ByteNetwork) -> dict[st
 
     The largest of k softmax values is 1 / k at least, and texts in no learned
     language score far above that; only the scores of rows known to be in the
-    language tell what is low. A label with too few such rows (199) to tell
-    the quantile, or a network of one label, has the floor alone.
+    language tell what is low. A label with too few such rows for the quantile
+    (199) goes by the least of them, less a tenth of what lies above the
+    floor; one with less than TELLING_ROWS, or a network of one label, has the
+    floor alone.
     """
     floor = min(MIN_LANGUAGE_SCORE * 4 / max(len(network.labels), 1), 1.0)
     rows = docs.filter(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("_lang"))
     found = langid.identify(rows, network, keep=("_lang",)).filter("lang_pred = _lang")
     low = found.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", REJECTED_SHARE, 100_000).alias("low")).collect()
-    told = {r.lang_pred: max(floor, r.low) for r in low if REJECTED_SHARE * (r.n + 1) >= 1}
+    lower = lambda r: r.low if REJECTED_SHARE * (r.n + 1) >= 1 else r.low - 0.1 * (r.low - floor)
+    told = {r.lang_pred: max(floor, lower(r)) for r in low if r.n >= TELLING_ROWS}
     return {label: told.get(label, floor) for label in network.labels}
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has letters and a language that the network is fairly sure of."""
+    """Rows whose text has letters and a language that the network is fairly sure of.
+
+    Null and empty texts are in no language and go; a null label neither
+    teaches nor counts against its row; a null id is an id like others;
+    repeated rows are judged each, by all windows of texts of any length. If
+    no row has a label, no language is known and all rows go. An empty table
+    stays empty. Extra columns pass through whatever their names.
+    """
     network = langid.learn(docs)
     sure = F.lit(False)
     for label, least in language_thresholds(docs, network).items():
@@ -59,7 +76,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: of the least id, null ids last. Rows without words stay.
 
-    A row is told by its id and its text's hash; of rows that repeat both, one stays.
+    A row is told by its id and its text's hash; of rows that repeat both, one
+    stays (any of them, if other columns differ). Rows of one id and different
+    texts are decided each. Null and empty texts are linked with nothing and
+    stay, copies too. An empty table stays empty. Extra columns pass through
+    whatever their names.
     """
     groups = jaccard.near_duplicates(docs, by_row=True).filter("component is not null")
     rows = written(groups.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "duplicate-rows")
@@ -68,7 +89,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = rows.join(least, "component").withColumn("_first", first).filter("n > 1 or not _first")
     others = written(judged.select(F.col("doc_id").alias("_other_id"), F.col("text_hash").alias("_other_hash"), "_first"), "duplicate-others")
     n, n_first = others.agg(F.count(F.lit(1)), F.count_if("_first")).first()
-    side = F.broadcast(others) if n <= jaccard.BROADCAST_ROWS else others
+    side = few(others, n)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     same = F.col("_id").eqNullSafe(F.col("_other_id")) & (F.col("_hash") == F.col("_other_hash"))
     kept = packed.join(side, same, "left_anti").select("_doc.*")
@@ -79,13 +100,23 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a window of benchmark words."""
+    """Rows without a window of benchmark words.
+
+    Null and empty texts hold none and stay; repeated rows are scanned each,
+    texts of any length whole; with an empty benchmark all rows stay. An empty
+    table stays empty. Extra columns pass through whatever their names.
+    """
     found = decontaminate.contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_id", text_col="_text", keep=("_doc",))
     return found.filter("not contaminated").select("_doc.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null and empty texts have no tokens; null ids and repeated rows are rows
+    like others; long texts are encoded in slices. An empty table gives an
+    empty result. Extra columns are left out.
+    """
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

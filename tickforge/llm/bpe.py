@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 NO_PAIR = np.int32(2**31 - 1)
 #: Distinct pieces kept by a worker before it starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 400_000
 #: Characters of text, and pieces, handled at a time.
-RUN_CHARS, RUN_PIECES = 1 << 20, 1 << 18
+RUN_CHARS, RUN_PIECES = 1 << 19, 1 << 17
 
 
 class PairTable:

@@ -23,6 +23,16 @@ def epoch_s(ts: Column) -> Column:
     return F.floor(epoch_us(ts) / F.lit(1_000_000)).cast("long")
 
 
+def from_epoch(n: Column, unit: str) -> Column:
+    """The wall time so many units after 1970; no time zone takes part."""
+    return F.timestamp_add(unit, n, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+
+
+def floor_second(ts: Column) -> Column:
+    """The wall time without its fraction of a second; no time zone takes part."""
+    return F.timestamp_add("MICROSECOND", -F.pmod(epoch_us(ts), F.lit(1_000_000)), ts)
+
+
 def second_of_day(ts: Column) -> Column:
     return F.pmod(epoch_s(ts), F.lit(86400))
 

@@ -48,6 +48,13 @@ def pointers(bars: DataFrame) -> DataFrame:
     return bars.join(before, list(KEYS)).withColumns({"start_ind": F.col("_before") + F.col("start_tick"), "next_ind": F.col("_before") + F.col("last_tick") + 1}).drop("_before")
 
 
+def order_violations(bars: DataFrame) -> DataFrame:
+    """For each symbol: bars, and how many of them do not start after the bar before; 0 for a table that may be read in order."""
+    before = F.lag("start_ind").over(history())
+    b = bars.withColumn("_late", F.coalesce(F.col("start_ind") <= before, F.lit(False)))
+    return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count(F.when(F.col("_late"), 1)).alias("violations"), F.max("start_ind").alias("last_start"))
+
+
 def history() -> Window:
     """A symbol's bars in time order, across sessions. Bars are few: a symbol's history is bounded by its calendar."""
     return Window.partitionBy("symbol").orderBy("session_date", "bar_no")

@@ -50,28 +50,33 @@ def avedev(df: DataFrame, n: int = 20) -> DataFrame:
 CHUNK = 256
 
 
+def _chunk(alpha: float) -> int:
+    """Rows of a chunk: so many that two or three chunks hold all that counts, few enough for the powers inside one."""
+    return max(CHUNK, int(20 / alpha))
+
+
 def ewm(df: DataFrame, value: str, out: str, alpha: float, *, adjust: bool = False, min_rows: int = 1) -> DataFrame:
     """Exponentially weighted mean over a symbol's bars, by an affine scan of two levels.
 
-    y = (1 - a) y' + a x composes: inside a chunk of 256 rows it is a running
+    y = (1 - a) y' + a x composes: inside a chunk of rows it is a running
     sum of a x (1 - a)^-j; chunk ends are combined with powers of the decay,
     as far back as they count in double precision. ``adjust`` divides the
     weighted sum by the sum of the weights instead of starting from the first
     value. Null before ``min_rows`` rows.
     """
-    decay = 1 - alpha
+    decay, chunk = 1 - alpha, _chunk(alpha)
     back = 1
-    while decay ** (CHUNK * back) > 1e-18:
+    while decay ** (chunk * back) > 1e-18:
         back += 1
     x = F.col(value).cast("double")
     df = df.withColumn("_t", F.row_number().over(history()) - 1)
-    df = df.withColumns({"_c": F.floor(F.col("_t") / CHUNK), "_j": F.col("_t") % CHUNK})
+    df = df.withColumns({"_c": F.floor(F.col("_t") / chunk), "_j": F.col("_t") % chunk})
     weighted = x if adjust else F.when(F.col("_t") == 0, x).otherwise(x * alpha)
     inside = Window.partitionBy("symbol", "_c").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_y", F.pow(F.lit(decay), F.col("_j")) * F.sum(weighted * F.pow(F.lit(decay), -F.col("_j"))).over(inside))
     ends = df.groupBy("symbol", "_c").agg(F.max_by("_y", "_t").alias("_e"))
     order = Window.partitionBy("symbol").orderBy("_c")
-    carried = sum((F.coalesce(F.lag("_e", i + 1).over(order), F.lit(0.0)) * decay ** (CHUNK * i) for i in range(1, back)), F.coalesce(F.lag("_e", 1).over(order), F.lit(0.0)))
+    carried = sum((F.coalesce(F.lag("_e", i + 1).over(order), F.lit(0.0)) * decay ** (chunk * i) for i in range(1, back)), F.coalesce(F.lag("_e", 1).over(order), F.lit(0.0)))
     df = df.join(ends.select("symbol", "_c", carried.alias("_b")), ["symbol", "_c"])
     y = F.col("_y") + F.pow(F.lit(decay), F.col("_j") + 1) * F.col("_b")
     if adjust:
@@ -117,12 +122,40 @@ def price_moves(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(c) > F.lag(c).over(h) for n, c in (("HO", "open"), ("HH", "high"), ("HL", "low"), ("HC", "close"))})
 
 
-def inertia(df: DataFrame, n: int = 20, r: float = 0.9) -> DataFrame:
-    """Geometrically weighted sum of the last n price changes through a sigmoid."""
+def sigmoid_transform(x: Column, threshold: float = 3.0, steepness: float = 2.5) -> Column:
+    """An S-curve of the size that is 0 at 1 and nears 1, with the value's sign."""
+    raw = lambda v: 1 / (1 + F.exp(-steepness * (v - threshold)))
+    at_one = raw(F.lit(1.0))
+    return (raw(F.abs(x)) - at_one) / (1 - at_one) * F.signum(x)
+
+
+def inertia(df: DataFrame, n: int = 20, r: float = 0.61828) -> DataFrame:
+    """Geometrically weighted mean of the last n price changes through the S-curve."""
     h = history()
     df = df.withColumn("_c", F.col("close") - F.lag("close").over(h))
     total = sum((F.lag("_c", i).over(h) * r**i for i in range(1, n)), F.col("_c") * 1.0)
-    return df.withColumn("_s", total).withColumn("inertia", 1 / (1 + F.exp(-F.col("_s") / 10))).drop("_c", "_s")
+    return df.withColumn("_s", total / sum(r**i for i in range(n))).withColumn("inertia", sigmoid_transform(F.col("_s"))).drop("_c", "_s")
+
+
+#: Spans of the volume's z-score by bar minutes (fixed values).
+ZSCORE_SPANS = {1: 40000, 15: 8000, 30: 6000, 60: 4000, 720: 1000}
+
+
+def ewm_zscore(df: DataFrame, value: str, out: str, span: int, floor: float = 1e-8) -> DataFrame:
+    """Distance from the exponentially weighted mean of the whole history, in bias-corrected weighted deviations.
+
+    Null on the first bar. The sums of the weights and of their squares are
+    geometric series, so two scans (of the values and their squares) do.
+    """
+    alpha = 2 / (span + 1)
+    d = 1 - alpha
+    df = df.withColumns({"_x": F.col(value).cast("double"), "_n": F.row_number().over(history())}).withColumn("_xx", F.col("_x") * F.col("_x"))
+    df = ewm(ewm(df, "_x", "_mean", alpha, adjust=True), "_xx", "_square", alpha, adjust=True)
+    w = (1 - F.pow(F.lit(d), F.col("_n"))) / alpha
+    w2 = (1 - F.pow(F.lit(d), 2 * F.col("_n"))) / (1 - d * d)
+    var = (F.col("_square") - F.col("_mean") * F.col("_mean")) * w * w / F.nullif(w * w - w2, F.lit(0.0))
+    z = (F.col("_x") - F.col("_mean")) / F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(floor))
+    return df.withColumn(out, F.when(F.col("_n") > 1, z)).drop("_x", "_xx", "_n", "_mean", "_square")
 
 
 def session_high_low(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.functions.folders import stored
+
 YEAR, MONTH = 252, 21
 
 
@@ -98,3 +100,30 @@ def slices(trades: DataFrame, by: list[str], labels: list[str], split: str) -> D
         F.avg((F.col(net) > 0).cast("double")).alias("win_rate"), (safe(F.avg(net), F.stddev_samp(net)) * F.sqrt(F.count(F.lit(1)))).alias("t_stat"),
         F.sum(F.when(before, F.col(net)).otherwise(0.0)).alias("net_before"), F.sum(F.when(after, F.col(net)).otherwise(0.0)).alias("net_after"),
     )
+
+
+def fixed_pairs(stops: DataFrame) -> DataFrame:
+    """For each stops label: how many take-profits and stop-losses stand behind it, and whether it is one of each."""
+    out = stops.groupBy("stops").agg(F.countDistinct("tp").alias("tps"), F.countDistinct("sl").alias("sls"))
+    return out.withColumn("fixed", ((F.col("tps") == 1) & (F.col("sls") == 1)).cast("int"))
+
+
+def buckets(df: DataFrame, value: str, upper: dict[str, float], last: str) -> DataFrame:
+    """Adds bucket: the first name whose quantile (the value at rank round((n - 1) q)) is not below the row's value.
+
+    Ranks come from counts of equal values in value order, so no task sorts
+    all rows: the counts are range-partitioned, and only sums by partition are
+    added up on the way. Nulls are in no bucket.
+    """
+    v = F.round(F.col(value).cast("double"), 12)
+    counts = stored(df.filter(F.col(value).isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "value-counts")
+    sums = counts.groupBy("_p").agg(F.sum("_n").alias("_n"))
+    before = sums.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
+    ranked = counts.join(F.broadcast(before), "_p").withColumn("_upto", upto)
+    rank = lambda q: F.floor((F.col("_total") - 1) * q + 0.5)
+    cuts = ranked.agg(*(F.min(F.when(F.col("_upto") > rank(q), F.col("_v"))).alias(f"_c{k}") for k, q in enumerate(upper.values())))
+    bucket = F.when(F.col(value).isNull(), None)
+    for k, name in enumerate(upper):
+        bucket = bucket.when(v <= F.col(f"_c{k}"), name)
+    return df.join(F.broadcast(cuts), F.lit(True)).withColumn("bucket", bucket.otherwise(last)).drop(*(f"_c{k}" for k in range(len(upper))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.clock import SESSION_SECONDS, epoch_us, hour, is_rth, second_of_day, session_no
+from tickforge.functions.clock import SESSION_SECONDS, epoch_us, floor_second, hour, is_rth, second_of_day, session_no
 
 NEWS = ("fomc", "nfp", "cpi")
 
@@ -22,13 +22,15 @@ def out_of_session(trades: DataFrame) -> DataFrame:
 def merge(fills: DataFrame) -> DataFrame:
     """One tick for each (symbol, session, time, price): sizes add up, the first arrival keeps its place.
 
-    tick_no numbers a session's ticks from 0 in arrival order.
+    tick_no numbers a session's ticks from 0 in arrival order. After the merge
+    times are cut to whole seconds, so news windows and bars see those.
     """
     one = in_session(fills).groupBy("symbol", "session_date", "ts_clock", F.col("price_ticks").alias("price")).agg(
         F.sum("size").alias("volume"), F.min("arrival_id").alias("arrival_id"), F.min("instrument_id").alias("instrument_id"),
     )
     order = Window.partitionBy("symbol", "session_date").orderBy("arrival_id")
-    return one.withColumn("tick_no", (F.row_number().over(order) - 1).cast("long")).withColumn("sod", second_of_day(F.col("ts_clock")))
+    one = one.withColumn("tick_no", (F.row_number().over(order) - 1).cast("long"))
+    return one.withColumn("ts_clock", floor_second(F.col("ts_clock"))).withColumn("sod", second_of_day(F.col("ts_clock")))
 
 
 def labelled(ticks: DataFrame) -> DataFrame:

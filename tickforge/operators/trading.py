@@ -76,7 +76,8 @@ def session_ends(df: DataFrame, bar_minutes: int, flat_minute: int) -> DataFrame
 def turns(df: DataFrame) -> DataFrame:
     """start: the side turns 1 or -1 in its session; change: the next row of the opposite side."""
     day = Window.partitionBy("symbol", "session_date").orderBy("row")
-    ahead = Window.partitionBy("symbol").orderBy("row").rowsBetween(1, Window.unboundedFollowing)
+    # From the last row backwards a running minimum is one pass; a frame up to the end would start anew at each row.
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("side") != F.coalesce(F.lag("side").over(day), F.lit(0))
     following = lambda s: F.min(F.when(F.col("side") == s, F.col("row"))).over(ahead)
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
@@ -114,13 +115,13 @@ def vol_grid(signals: DataFrame, tps: list[float], sls: list[float], vol: str) -
 
 
 def first_hit(entries: DataFrame, bars: DataFrame, ticks: DataFrame, bar_seconds: int) -> DataFrame:
-    """Adds hit to entries (id.., symbol, session_date, bar_no, upper, lower): 1 upper, -1 lower, 0 none.
+    """Adds hit to entries (entry_id, symbol, session_date, bar_no, upper, lower): 1 upper, -1 lower, 0 none.
 
     The bar's extremes decide unless both levels lie inside them; only those
     entries meet the bar's ticks, by an equi join on the bar's key.
     """
     keys = ["symbol", "session_date", "bar_no"]
-    e = entries.withColumn("_e", F.monotonically_increasing_id() if "entry_id" not in entries.columns else F.col("entry_id"))
+    e = entries.withColumn("_e", F.col("entry_id"))
     e = e.join(bars.select(*keys, F.col("high").alias("_h"), F.col("low").alias("_l")), keys, "left")
     up, down = F.coalesce(F.col("_h") >= F.ceil("upper"), F.lit(False)), F.coalesce(F.col("_l") <= F.floor("lower"), F.lit(False))
     e = e.withColumns({"_up": up, "_down": down})
@@ -185,3 +186,19 @@ def costs(trades: DataFrame, tick_usd: float = TICK_USD, commission: float = COM
     slip = F.when(F.col("result") == 1, 1).otherwise(2)
     gross = F.col("pnl") * tick_usd
     return trades.withColumns({"gross_usd": gross, "net_usd": gross - slip * tick_usd - 2 * commission})
+
+
+def vol_ok(bars: DataFrame, column: str, band: tuple[float, float] = (0.2, 0.8), sessions: int = 60) -> DataFrame:
+    """Adds vol_ok: the value lies between the band's quantiles (interpolated) of the symbol's previous sessions' bars.
+
+    False before there are so many sessions. The quantiles come from counts of
+    equal values by session, so a session is carried forward as its counts.
+    """
+    own = Window.partitionBy("symbol").orderBy("session_date")
+    n = bars.select("symbol", "session_date").distinct().withColumn("_sn", F.row_number().over(own))
+    b = bars.join(n, ["symbol", "session_date"])
+    counts = b.groupBy("symbol", "_sn", F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    ahead = counts.select("symbol", "_v", "_k", F.explode(F.sequence(F.col("_sn") + 1, F.col("_sn") + sessions)).alias("_sn"))
+    q = ahead.groupBy("symbol", "_sn").agg(F.expr(f"percentile(_v, array({band[0]!r}D, {band[1]!r}D), _k)").alias("_q"))
+    inside = (F.col("_sn") > sessions) & (F.col(column) >= F.col("_q")[0]) & (F.col(column) <= F.col("_q")[1])
+    return b.join(q, ["symbol", "_sn"], "left").withColumn("vol_ok", F.coalesce(inside, F.lit(False))).drop("_sn", "_q")

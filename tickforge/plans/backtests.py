@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
+from tickforge.operators import scores as SC
 from tickforge.operators import stats as ST
 from tickforge.operators import trading as X
 
+from tickforge.functions.folders import stored
+
 from . import sql as S
 from .market import DAY, _GUARD, bars5, day, ticks
 from .registry import query
 
 RUN = ["symbol", "stops"]
 SPLIT = "2024-01-16"
+NEWEST_SQL = "partition by symbol, stops order by session_date desc, exit_ts_row desc, entry_row desc, row desc"
+
+
+def newest():
+    """The order of a run's trades, the last one first."""
+    return [F.desc(c) for c in ("session_date", "exit_ts_row", "entry_row", "row")]
 
 
 def _sided(spark, d):
@@ -38,6 +47,11 @@ def _run(spark, d):
     return X.costs(X.one_at_a_time(_exits(spark, d)))
 
 
+def _stored_run(spark, d):
+    """The run's trades, written once: statistics read them several times, and the plan behind them is long."""
+    return stored(_run(spark, d), "run")
+
+
 def _days(spark, d):
     return ticks(spark, d).select("session_date").distinct()
 
@@ -168,7 +182,7 @@ def _dbl(names, prefix=""):
 
 @query("daily", f"with recursive {S.DAILY} select symbol, stops, {DAY}, trades, wins, {_dbl(_MONEY)} from daily")
 def daily_q(spark, d):
-    return day(_round(ST.daily(_run(spark, d), _days(spark, d), RUN), _MONEY))
+    return day(_round(ST.daily(_stored_run(spark, d), _days(spark, d), RUN), _MONEY))
 
 
 _ROLL = f"""rolled as (select *, sum(gross_usd) over w as g, sum(net_usd) over w as n, avg(net_usd) over w / nullif(stddev_samp(net_usd) over w, 0) * sqrt(252) as s, sum(wins) over w / nullif(sum(trades) over w, 0)::double as wr, count(*) over w as c
@@ -177,7 +191,7 @@ _ROLL = f"""rolled as (select *, sum(gross_usd) over w as g, sum(net_usd) over w
 
 @query("rolling_month", f"with recursive {S.DAILY}, {_ROLL} select symbol, stops, {DAY}, case when c = 21 then round(g, 6) + 0 end::double as gross_roll, case when c = 21 then round(n, 6) + 0 end::double as net_roll, case when c = 21 then round(s, 6) + 0 end::double as sharpe_roll, case when c = 21 then round(wr, 6) + 0 end::double as win_rate_roll from rolled")
 def rolling_month_q(spark, d):
-    return day(_round(ST.rolling(ST.daily(_run(spark, d), _days(spark, d), RUN), RUN), ["gross_roll", "net_roll", "sharpe_roll", "win_rate_roll"]))
+    return day(_round(ST.rolling(ST.daily(_stored_run(spark, d), _days(spark, d), RUN), RUN), ["gross_roll", "net_roll", "sharpe_roll", "win_rate_roll"]))
 
 
 _STAT = ["win_rate", "tp_share", "sl_share", "end_share", "avg_win_usd", "avg_loss_usd", "avg_gross_usd", "avg_net_usd", "total_gross_usd", "total_cost_usd", "total_net_usd", "gross_long_usd", "gross_short_usd",
@@ -198,25 +212,25 @@ _STATSQL = f"trades, longs, shorts, max_drawdown_sessions, longest_losing_streak
 
 @query("summary", f"with recursive {_SUMMARY} select symbol, stops, {_STATSQL} from summary")
 def summary_q(spark, d):
-    return _round(ST.summary(_run(spark, d), _days(spark, d), RUN), _STAT)
+    return _round(ST.summary(_stored_run(spark, d), _days(spark, d), RUN), _STAT)
 
 
 @query("leaderboard", f"with recursive {_SUMMARY} select symbol, stops, trades, round(cast(total_net_usd as double), 6) + 0 as total_net_usd, row_number() over (order by total_net_usd desc, symbol, stops) as place from summary")
 def leaderboard_q(spark, d):
     # One row for each run of the grid: the report itself.
-    s = ST.summary(_run(spark, d), _days(spark, d), RUN).select(*RUN, "trades", F.round("total_net_usd", 6).alias("total_net_usd"))
+    s = ST.summary(_stored_run(spark, d), _days(spark, d), RUN).select(*RUN, "trades", F.round("total_net_usd", 6).alias("total_net_usd"))
     return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_net_usd"), *RUN)).cast("long"))
 
 
 @query("top_slices", f"with recursive {_SUMMARY} select symbol, stops, round(cast(total_net_usd as double), 6) + 0 as total_net_usd from summary where trades >= 5 order by total_net_usd desc, symbol, stops limit 10")
 def top_slices_q(spark, d):
-    s = ST.summary(_run(spark, d), _days(spark, d), RUN).filter("trades >= 5")
+    s = ST.summary(_stored_run(spark, d), _days(spark, d), RUN).filter("trades >= 5")
     return s.select(*RUN, F.round("total_net_usd", 6).alias("total_net_usd")).orderBy(F.desc("total_net_usd"), *RUN).limit(10)
 
 
 @query("final_run", f"with recursive {_SUMMARY}, best as (select symbol, stops from summary order by total_net_usd desc, symbol, stops limit 1) select r.symbol, r.stops, r.row, cast(r.net_usd as double) as net_usd from run r join best using (symbol, stops)")
 def final_run_q(spark, d):
-    run = _run(spark, d)
+    run = _stored_run(spark, d)
     best = run.groupBy(*RUN).agg(F.sum("net_usd").alias("n")).orderBy(F.desc("n"), *RUN).limit(1)
     return run.join(F.broadcast(best.select(*RUN)), RUN).select(*RUN, "row", "net_usd")
 
@@ -282,20 +296,14 @@ def chance_check_q(spark, d):
 
 @query("feature_buckets", f"with {S.RSI}, r as (select *, row_number() over (order by sma_rsi, symbol, row) - 1 as i, count(*) over () as n from rsi where sma_rsi is not null), c as (select max(sma_rsi) filter (i = cast(round((n - 1) / 3.0) as bigint)) as lo, max(sma_rsi) filter (i = cast(round((n - 1) * 2 / 3.0) as bigint)) as hi from r) select symbol, row, case when sma_rsi <= lo then 'low' when sma_rsi <= hi then 'mid' else 'high' end as bucket from r, c")
 def feature_buckets_q(spark, d):
-    """Nearest-rank thirds: the value at rank round((n - 1) q), found from counts of equal values, with no global sort of rows."""
+    """Nearest-rank thirds: the value at rank round((n - 1) q)."""
     r = X.rows(I.sma_rsi(bars5(spark, d))).filter("sma_rsi is not null").select("symbol", "row", "sma_rsi")
-    # percentile picks between two ranks; at a whole rank it is that rank's value.
-    n = r.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    ranks = [int((n - 1) * q + 0.5) / max(n - 1, 1) for q in (1 / 3, 2 / 3)] if n else [0.0, 0.0]
-    cuts = r.agg(*(F.expr(f"percentile(sma_rsi, {q!r}D)").alias(c) for q, c in zip(ranks, ("lo", "hi"), strict=True)))
-    v = F.col("sma_rsi")
-    near = lambda c: v <= F.col(c) + 1e-12
-    return r.join(F.broadcast(cuts), F.lit(True)).select("symbol", "row", F.when(near("lo"), "low").when(near("hi"), "mid").otherwise("high").alias("bucket"))
+    return ST.buckets(r, "sma_rsi", {"low": 1 / 3, "mid": 2 / 3}, "high").select("symbol", "row", "bucket")
 
 
 @query("pnl_histogram", f"with recursive {S.KEPT}, m as (select min(pnl) as lo, max(pnl) as hi from run) select result, least(cast(floor((pnl - lo) * 40 / nullif(hi - lo, 0)::double) as bigint), 39) as bin, count(*) as n from run, m group by 1, 2")
 def pnl_histogram_q(spark, d):
-    run = _run(spark, d)
+    run = _stored_run(spark, d)
     m = run.agg(F.min("pnl").alias("lo"), F.max("pnl").alias("hi"))
     b = F.least(F.floor((F.col("pnl") - F.col("lo")) * 40 / F.nullif((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0))), F.lit(39)).cast("long")
     return run.join(F.broadcast(m), F.lit(True)).groupBy("result", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -315,7 +323,7 @@ def exit_order_q(spark, d):
 
 @query("long_short_union", f"with recursive {S.KEPT} select symbol, row, stops, cast(net_usd as double) as long_net, null::double as short_net from run where side = 1 union all select symbol, row, stops, null, cast(net_usd as double) from run where side = -1")
 def long_short_union_q(spark, d):
-    run = _run(spark, d)
+    run = _stored_run(spark, d)
     a = run.filter("side = 1").select("symbol", "row", "stops", F.col("net_usd").alias("long_net"))
     b = run.filter("side = -1").select("symbol", "row", "stops", F.col("net_usd").alias("short_net"))
     return a.unionByName(b, allowMissingColumns=True)
@@ -325,12 +333,7 @@ def long_short_union_q(spark, d):
 def vol_band_q(spark, d):
     """Inside the 20 to 80 % band of the previous ten sessions' bars; false before there are ten."""
     b = bars5(spark, d).withColumn("v", F.col("high") - F.col("low"))
-    n = b.select("symbol", "session_date").distinct().withColumn("sn", F.row_number().over(Window.partitionBy("symbol").orderBy("session_date")))
-    b = b.join(n, ["symbol", "session_date"])
-    ahead = b.select("symbol", "v", F.explode(F.sequence(F.col("sn") + 1, F.col("sn") + 10)).alias("sn"))
-    q = ahead.groupBy("symbol", "sn").agg(F.expr("percentile(v, array(0.2D, 0.8D))").alias("q"))
-    ok = (F.col("sn") > 10) & (F.col("v") >= F.col("q")[0]) & (F.col("v") <= F.col("q")[1])
-    return day(b.join(q, ["symbol", "sn"], "left").select("symbol", "session_date", "bar_no", F.coalesce(ok, F.lit(False)).cast("int").alias("ok")))
+    return day(X.vol_ok(b, "v", (0.2, 0.8), sessions=10).select("symbol", "session_date", "bar_no", F.col("vol_ok").cast("int").alias("ok")))
 
 
 @query("holding_runs", f"with {S.SIDES}, r as (select *, side <> coalesce(lag(side) over (partition by symbol, session_date order by row), 9) as new from stops), g as (select *, sum(new::int) over (partition by symbol, session_date order by row) as run from r), h as (select symbol, session_date, side, run, count(*) as n, arg_max(close, row) - arg_min(close, row) as move from g group by symbol, session_date, side, run) select symbol, side, count(*) as runs, round(avg(n), 6) as mean_length, cast(sum(move * side) as bigint) as reward from h group by symbol, side")
@@ -342,16 +345,12 @@ def holding_runs_q(spark, d):
     return h.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("n"), 6).alias("mean_length"), F.sum(F.col("move") * F.col("side")).alias("reward"))
 
 
-@query("ewm_kelly", f"with recursive {S.KEPT}, o as (select *, row_number() over (partition by symbol, stops order by session_date desc, exit_ts_row desc, entry_row desc, row desc) - 1 as i, count(*) over (partition by symbol, stops) as n from run), w as (select symbol, stops, any_value(n) as n, sum(pow(0.98, i)) as sw, sum(pow(0.98, i) * net_usd) as sx, sum(pow(0.98, i) * pow(least(net_usd, 0), 2)) as sd from o where i < 1000 group by symbol, stops) select symbol, stops, round(sx / sw, 6) + 0 as mean, round(sqrt(sd / sw), 6) as downside, round(greatest(least(0.5 * (sx / sw) / nullif(sd / sw, 0) * 100, 1), 0) * case when n < 30 then 0 when n >= 100 then 1 else (n - 30) / 70.0 end, 6) + 0 as fraction from w")
+@query("ewm_kelly", f"""with recursive {S.KEPT}, o as (select symbol, stops, net_usd / 320.0::double as r, row_number() over ({NEWEST_SQL}) - 1 as i from run), w as (select *, pow(1 - 2 / 1001.0::double, i) as w from o where i < 1000),
+m as (select symbol, stops, count(*) as n, sum(w * r) / sum(w) as mu, sqrt(sum(w * pow(least(r, 0), 2)) / sum(w)) as sigma, coalesce(sum(w) filter (r > 0), 0) / sum(w) as win from w group by symbol, stops),
+k as (select symbol, stops, n, case when n >= 30 then mu else 0 end as mu, case when n >= 30 then sigma else 0 end as sigma, case when n >= 30 then win else 0 end as win, case when n >= 30 and mu > 0 and sigma > 0 then least(mu / (sigma * sigma), 2) * 0.5 else 0 end as f from m)
+select symbol, stops, n as n_trades, round(mu, 6) + 0 as mu, round(sigma, 6) as sigma, round(win, 6) as win_rate, round(f, 6) as kelly_f, round(case when n < 30 then 0.3 when n < 100 then 0.3 + (n - 30) / 70.0::double * f else f end, 6) as confidence from k""")
 def ewm_kelly_q(spark, d):
-    w = Window.partitionBy(*RUN).orderBy(F.desc("session_date"), F.desc("exit_ts_row"), F.desc("entry_row"), F.desc("row"))
-    o = _run(spark, d).withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*RUN))}).filter("i < 1000")
-    k = F.pow(F.lit(0.98), F.col("i"))
-    s = o.groupBy(*RUN).agg(F.max("n").alias("n"), F.sum(k).alias("sw"), F.sum(k * F.col("net_usd")).alias("sx"), F.sum(k * F.pow(F.least("net_usd", F.lit(0.0)), 2)).alias("sd"))
-    mean, var = F.col("sx") / F.col("sw"), F.col("sd") / F.col("sw")
-    sure = F.when(F.col("n") < 30, 0.0).when(F.col("n") >= 100, 1.0).otherwise((F.col("n") - 30) / 70.0)
-    kelly = F.greatest(F.least(0.5 * mean / F.nullif(var, F.lit(0.0)) * 100, F.lit(1.0)), F.lit(0.0))
-    return s.select(*RUN, (F.round(mean, 6) + 0.0).alias("mean"), F.round(F.sqrt(var), 6).alias("downside"), (F.round(kelly * sure, 6) + 0.0).alias("fraction"))
+    return _round(SC.ewm_kelly(_run(spark, d), RUN, newest()), ["mu", "sigma", "win_rate", "kelly_f", "confidence"])
 
 
 del _unit, B

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tickforge.functions.clock import epoch_us
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
+from tickforge.operators import scores as SC
 from tickforge.operators import stats as ST
+from tickforge.sources.calendars import holidays
 from tickforge.sources.events import trades
 
 from . import sql as S
-from .backtests import RUN, _days, _run
+from .backtests import NEWEST_SQL, RUN, _days, _run, newest
 from .market import _NEWS_SQL, _UD, DAY, KEY, _GUARD, _zigzag, bars5, day, news_windows, r6, ticks
 from .registry import query
 
@@ -85,11 +87,9 @@ def freq_bars_q(spark, d):
     return day(first.select(*KEY, "start_tick").join(big, ["symbol", "session_date", "start_tick"]).drop("start_tick"))
 
 
-@query("rsi_stretch", f"with {S.RSI} select symbol, {DAY}, bar_no, round(case when abs(sma_rsi) < 0.05 then tanh(sma_rsi * 4) / 4 else sign(sma_rsi) * least(1.5 * pow(abs(sma_rsi), 1.2), 1) end, 6) + 0 as stretched from rsi")
+@query("rsi_stretch", f"with {S.RSI} select symbol, {DAY}, bar_no, round(1.6128 * tanh(case when abs(sma_rsi) < 0.01 then tanh(sma_rsi / 0.01) else sign(sma_rsi) end * pow(abs(sma_rsi) + 1e-8, 1.6128)), 6) + 0 as stretched from rsi")
 def rsi_stretch_q(spark, d):
-    x = F.col("sma_rsi")
-    y = F.when(F.abs(x) < 0.05, F.tanh(x * 4) / 4).otherwise(F.signum(x) * F.least(1.5 * F.pow(F.abs(x), 1.2), F.lit(1.0)))
-    return day(I.sma_rsi(bars5(spark, d)).select(*KEY, (F.round(F.when(x.isNotNull(), y), 6) + 0.0).alias("stretched")))
+    return day(I.sma_rsi(bars5(spark, d)).select(*KEY, (F.round(SC.rsi_stretch(F.col("sma_rsi")), 6) + 0.0).alias("stretched")))
 
 
 @query("nearest_target", f"with {S.BARS5}, l as (select *, list(close) over ({W} rows between 10 preceding and 1 preceding) as xs from bars) select symbol, {DAY}, bar_no, list_min(list_filter(xs, lambda x: x > close and x - close <= 5)) as above, list_max(list_filter(xs, lambda x: x < close and close - x <= 5)) as below from l")
@@ -165,27 +165,62 @@ def family_percentiles_q(spark, d):
         p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.5, "_a").alias("active_p50"), F.round(F.count("_a") / F.count("sma_rsi").cast("double"), 6).alias("active_rate"))
 
 
-@query("ruin_probability", f"with recursive {S.KEPT}, o as (select *, row_number() over (partition by symbol, stops order by session_date desc, exit_ts_row desc, entry_row desc, row desc) - 1 as i from run), m as (select symbol, stops, sum(pow(0.97, i) * net_usd) / sum(pow(0.97, i)) as mu, sum(pow(0.97, i) * net_usd * net_usd) / sum(pow(0.97, i)) as m2 from o group by symbol, stops) select symbol, stops, round(case when m2 - mu * mu <= 1e-9 then null when abs(mu) < 1e-9 then 0.4 else (1 - exp(-2 * mu * 2000 / (m2 - mu * mu))) / nullif(1 - exp(-2 * mu * 5000 / (m2 - mu * mu)), 0) end, 6) + 0 as p from m")
+_RUIN = f"""with recursive {S.KEPT}, o as (select symbol, stops, net_usd::double as x, row_number() over ({NEWEST_SQL}) - 1 as i, count(*) over (partition by symbol, stops) as n from run),
+w as (select *, pow(1 - 2 / (greatest(10, n // 3) + 1)::double, i) as w from o), m as (select symbol, stops, sum(w * x) / sum(w) as mu from w group by symbol, stops),
+v as (select symbol, stops, any_value(mu) as mu, sqrt(round(sum(w * (x - mu) * (x - mu)) / sum(w), 6)) as sigma from w join m using (symbol, stops) group by symbol, stops),
+p as (select *, {{pass}} as p, {{activation}} as q from v)
+select symbol, stops, round(mu, 6) + 0 as mu, round(sigma, 6) + 0 as sigma, '50k' as best_account, round(p, 4) as p_pass, round(q, 4) as p_activation, 1800::double as payout,
+ case when p > 0 and q > 0 then round(49 / (p * q) + 149 / q, 2) end as cost_per_success, round(p * q * 1800 - p * 149 - 49, 2) as ev_per_attempt from p"""
+
+
+def _reach_sql(target: int, contracts: int) -> str:
+    e = lambda x: f"least(2 * mu * {x} / (nullif(sigma, 0) * sigma * {contracts}), 500)"
+    return f"case when mu <= 0 then 0 when sigma = 0 then 1 else (1 - exp(-{e(2000)})) / (1 - exp(-{e(target + 2000)})) end"
+
+
+@query("ruin_probability", _RUIN.replace("{pass}", _reach_sql(3000, 5)).replace("{activation}", _reach_sql(4000, 2)))
 def ruin_probability_q(spark, d):
-    """Chance to win 3,000 before losing 2,000 at the run's weighted mean and variance."""
-    w = Window.partitionBy(*RUN).orderBy(F.desc("session_date"), F.desc("exit_ts_row"), F.desc("entry_row"), F.desc("row"))
-    o = _run(spark, d).withColumn("k", F.pow(F.lit(0.97), F.row_number().over(w) - 1))
-    m = o.groupBy(*RUN).agg((F.sum(F.col("k") * F.col("net_usd")) / F.sum("k")).alias("mu"), (F.sum(F.col("k") * F.col("net_usd") * F.col("net_usd")) / F.sum("k")).alias("m2"))
-    var = F.col("m2") - F.col("mu") * F.col("mu")
-    reach = lambda a: 1 - F.exp(-2 * F.col("mu") * a / F.nullif(var, F.lit(0.0)))
-    p = F.when(var <= 1e-9, None).when(F.abs("mu") < 1e-9, 0.4).otherwise(reach(2000) / F.nullif(reach(5000), F.lit(0.0)))
-    return m.select(*RUN, (F.round(p, 6) + 0.0).alias("p"))
+    """What an evaluation account is worth to each run, from its trades' weighted mean and deviation."""
+    v = SC.account_value(SC.weighted_mean_std(_run(spark, d), RUN, newest()))
+    return v.withColumns({c: F.round(c, 6) + 0.0 for c in ("mu", "sigma")})
+
+
+_Z = """, {0}m as (select row, symbol, s / w as m, w from {0}e), {0}x as (select b.symbol, b.row, {1} as x from bars b), {0}q as (
+  select symbol, row, cast(x * x as double) as s, cast(1 as double) as w2 from {0}x where row = 0
+  union all select x.symbol, x.row, q.s * {2} + x.x * x.x, q.w2 * {2} * {2} + 1 from {0}q q join {0}x x on x.symbol = q.symbol and x.row = q.row + 1),
+{0}z as (select x.symbol, x.row, case when x.row > 0 then round((x - m) / greatest(sqrt(greatest((q.s / w - m * m) * w * w / (w * w - w2), 0)), 1e-8), 4) + 0 end as z from {0}x x join {0}m using (symbol, row) join {0}q q using (symbol, row))"""
+
 
+def _z_sql(name: str, x: str, span: int) -> str:
+    """A recursion over the bars for the weighted sum and the weights, and one for squares."""
+    d = f"(1 - 2 / {span + 1}.0::double)"
+    e = f""", {name}e as (select symbol, row, cast({x} as double) as s, cast(1 as double) as w from bars b where row = 0
+  union all select b.symbol, b.row, e.s * {d} + {x}, e.w * {d} + 1 from {name}e e join bars b on b.symbol = e.symbol and b.row = e.row + 1)"""
+    return e + _Z.format(name, x, d)
 
-@query("ewm_zscore", f"with {S.BARS5}, x as (select a.symbol, a.session_date, a.bar_no, any_value(a.volume) as v, sum(pow(0.9, a.row - b.row) * b.volume) / sum(pow(0.9, a.row - b.row)) as m, sum(pow(0.9, a.row - b.row) * b.volume * b.volume) / sum(pow(0.9, a.row - b.row)) as q from bars a join bars b on a.symbol = b.symbol and b.row between a.row - 99 and a.row group by 1, 2, 3) select symbol, {DAY}, bar_no, round((v - m) / greatest(sqrt(greatest(q - m * m, 0)), 1), 4) + 0 as z from x")
+
+@query("ewm_zscore", f"with recursive {S.TICKS}, {S.bars(3600)}{_z_sql('v', 'volume', 4000)}{_z_sql('l', 'ln(close / 20000.0::double)', 34000)} select b.symbol, strftime(b.session_date, '%Y-%m-%d') as session_date, b.bar_no, vz.z as z_volume, lz.z as z_log from bars b join vz using (symbol, row) join lz using (symbol, row)")
 def ewm_zscore_q(spark, d):
-    """Distance of the volume from its weighted mean of the last 100 bars, in weighted deviations of at least 1."""
-    b = bars5(spark, d).withColumn("_xs", F.reverse(F.collect_list(F.col("volume").cast("double")).over(I.last(100))))
-    total = lambda f: F.aggregate(F.transform("_xs", f), F.lit(0.0), lambda a, x: a + x)
-    w = lambda i: F.pow(F.lit(0.9), i)
-    b = b.withColumn("_w", total(lambda x, i: w(i))).withColumns({"_m": total(lambda x, i: x * w(i)) / F.col("_w"), "_q": total(lambda x, i: x * x * w(i)) / F.col("_w")})
-    z = (F.col("volume") - F.col("_m")) / F.greatest(F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0))), F.lit(1.0))
-    return day(b.select(*KEY, (F.round(z, 4) + 0.0).alias("z")))
+    """Volume with its size's span, and the logarithm of the price with the long span, over 60-minute bars."""
+    b = B.bars(ticks(spark, d), 3600).withColumn("_log", F.log(F.col("close") / F.lit(20000.0)))
+    b = I.ewm_zscore(I.ewm_zscore(b, "volume", "z_volume", I.ZSCORE_SPANS[60]), "_log", "z_log", 34000)
+    return day(b.select(*KEY, *((F.round(c, 4) + 0.0).alias(c) for c in ("z_volume", "z_log"))))
+
+
+@query("holiday_trades", f"with {S.TRADES} select symbol, {DAY}, count(*) as n from trades where session_date in (date '2024-01-01', date '2024-01-15') group by symbol, session_date")
+def holiday_trades_q(spark, d):
+    """Trades on days that the calendar calls holidays."""
+    h = holidays(spark, {"2024-01-01": "New Year", "2024-01-15": "King Day"})
+    return day(trades(spark, d).join(F.broadcast(h), "session_date", "left_semi").groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("stops_check", f"with {S.EXITS}, g as (select stops, tp, sl from trades_all union all select 'vol' as stops, greatest(1, abs(close - open))::double, 8 from sig) select stops, count(distinct tp) as tps, count(distinct sl) as sls, cast(count(distinct tp) = 1 and count(distinct sl) = 1 as int) as fixed from g group by stops")
+def stops_check_q(spark, d):
+    """Whether each stops label stands for one pair of levels."""
+    from .backtests import _exits, _signals
+
+    sig = _signals(spark, d).select(F.lit("vol").alias("stops"), F.greatest(F.lit(1), F.abs(F.col("close") - F.col("open"))).cast("double").alias("tp"), F.lit(8.0).alias("sl"))
+    return ST.fixed_pairs(_exits(spark, d).select("stops", "tp", "sl").unionByName(sig))
 
 
 @query("forming_bar", f"with {S.TICKS}, {S.bars(60, 'base', False)}, {S.bars(3600, 'big', False)}, h as (select *, list(close) over (partition by symbol order by session_date, bar_no rows 3 preceding) as xs from big), s as (select symbol, epoch(session_date)::bigint + least((bar_no + 1) * 3600, 82800) as k, xs from h), j as (select b.symbol, b.session_date, b.bar_no, b.close, s.xs from base b asof left join s on b.symbol = s.symbol and epoch(b.session_date)::bigint + b.bar_no * 60 >= s.k) select symbol, {DAY}, bar_no, case when len(xs) = 4 then round(list_avg(xs || [close]), 6) end as mean from j")

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.folders import shared_folder
 from tickforge.operators import bars as B
+from tickforge.operators import features as FT
+from tickforge.operators import indicators as I
+from tickforge.sources.calendars import holidays
 from tickforge.streaming import bars as ST
 
 from . import sql as S
@@ -53,24 +56,47 @@ def append_equals_full_q(spark, d):
     return day(out.select("symbol", "session_date", "bar_no", "close"))
 
 
-@query("uncommitted", f"with {S.BARS5} select symbol, {DAY}, count(*) as n from bars where session_date = date '{_HALF}' group by symbol, session_date")
+@query("uncommitted", f"with {S.BARS5} select symbol, {DAY}, case when session_date = date '{_HALF}' then count(*) filter (bar_no % 2 = 0) else count(*) end as stored, case when session_date = date '{_HALF}' then count(*) else 0 end as recorded from bars where session_date >= date '{_HALF}' group by symbol, session_date having case when session_date = date '{_HALF}' then count(*) filter (bar_no % 2 = 0) else count(*) end > 0")
 def uncommitted_q(spark, d):
-    """Sessions whose stored rows are not the number that the manifest states: here one that was cut off."""
-    b = bars5(spark, d).select("symbol", "session_date", "bar_no", "close")
-    manifest = b.groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("n"))
-    stored = b.filter(~((F.col("session_date") == F.lit(_HALF).cast("date")) & (F.col("bar_no") >= 0)))
-    have = stored.groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("have"))
-    return day(manifest.join(have, ["symbol", "session_date"], "left").filter(F.coalesce("have", F.lit(0)) != F.col("n")).drop("have"))
+    """After a full append with its record, one session is written again by half and newer ones without a record, as a cut-off run leaves them."""
+    b, path = bars5(spark, d).select("symbol", "session_date", "bar_no", "close"), shared_folder(spark, "commits")
+    half = F.lit(_HALF).cast("date")
+    ST.record_commit(ST.append_sessions(b.filter(F.col("session_date") <= half), path), path)
+    ST.append_sessions(b.filter((F.col("session_date") > half) | ((F.col("session_date") == half) & (F.col("bar_no") % 2 == 0))), path)
+    return day(ST.uncommitted(spark, path))
+
+
+@query("resume_appends", f"with {S.BARS5}, days as (select unnest(generate_series(date '2024-01-06', date '2024-02-09', interval 1 day))::date as session_date), w as (select session_date from days where dayofweek(session_date) between 1 and 5 and session_date not in (date '2024-01-15')), have as (select distinct session_date from bars), gap as (select coalesce(min(session_date), date '2999-01-01') as first from w where session_date not in (select session_date from have)), last as (select max(session_date) as last from have) select symbol, {DAY}, count(*) as n from bars, gap, last where session_date > date '2024-01-05' and session_date < first and session_date < last group by symbol, session_date")
+def resume_appends_q(spark, d):
+    """What a run may append after 5 January: sessions up to the first missing weekday that is no holiday, without the one still open."""
+    b = bars5(spark, d)
+    last = b.agg(F.max("session_date").alias("open_from"))
+    ready = ST.appendable(b, after="2024-01-05", until="2024-02-09", holidays=holidays(spark, ["2024-01-15"]), open_from=last)
+    return day(ready.groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("feature_sink", f"with {S.RSI}, b as (select *, row_number() over ({S.W}) - 1 as r from rsi), f as (select symbol, session_date, first(sma_rsi order by bar_no) is not null as ready from b group by symbol, session_date) select b.symbol, strftime(b.session_date, '%Y-%m-%d') as session_date, bar_no, close, round(sma_rsi, 6) + 0 as sma_rsi from b join f using (symbol, session_date) where ready and b.session_date between date '2024-01-03' and date '2024-01-24'")
+def feature_sink_q(spark, d):
+    """The feature table written by session and read back as training rows: columns and dates by pushdown, burned in, order checked."""
+    path = shared_folder(spark, "features")
+    features = B.pointers(I.sma_rsi(bars5(spark, d)))
+    FT.write_features(features, path)
+    rows = FT.read_features(spark, path, ["close", "sma_rsi"], start="2024-01-03", end="2024-01-24", ready="sma_rsi")
+    return day(rows.select("symbol", "session_date", "bar_no", "close", (F.round("sma_rsi", 6) + 0.0).alias("sma_rsi")))
 
 
 _STREAM = "select symbol, epoch_us(start)::bigint // 1000000 as start, open, high, low, close, volume, n from (select event_type as symbol, time_bucket(interval '{0}', ts + interval 1 hour) as start, arg_min(k, event_id) as open, max(k) as high, min(k) as low, arg_max(k, event_id) as close, cast(sum(1 + user_id % 9) as bigint) as volume, count(*) as n from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) group by 1, 2) where start + interval '{0}' <= (select max(ts) + interval 1 hour - interval 10 minute from events)"
 
 
+#: Files of the test stream; three micro-batches, so state is carried.
+STREAM_FILES = 6
+
+
 def _stream_source(spark, d):
-    """The stream's folder; the events are written there once, so that a folder of many tables can be the source too."""
+    """The stream's folder: the events in event order, in files that micro-batches take a few at a time."""
     folder = shared_folder(spark, "stream-in")
-    spark.read.parquet(f"{d}/events.parquet").write.parquet(folder)
-    return ST.trade_stream(spark, folder, files_per_batch=1000)
+    ST.write_in_order(spark.read.parquet(f"{d}/events.parquet"), folder, "event_id", STREAM_FILES)
+    return ST.trade_stream(spark, folder, files_per_batch=STREAM_FILES // 3)
 
 
 @query("stream_bars", _STREAM.format("1 hour"))

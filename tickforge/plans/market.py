@@ -9,8 +9,9 @@ from tickforge.functions.clock import epoch_s, epoch_us, session_clock
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
 from tickforge.operators import ticks as T
+from tickforge.operators import scores as SC
 from tickforge.operators.pivots import ud_levels
-from tickforge.sources.events import events, fills, trades
+from tickforge.sources.events import events, fills, json_trades, trades
 
 from . import sql as S
 from .registry import query
@@ -83,11 +84,20 @@ def market_closed_q(spark, d):
     return events(spark, d).filter(((dow == 7) & (h >= 6)) | ((dow == 1) & (h < 21))).select("event_id")
 
 
-@query("json_trades", "select event_id, cast(json_extract_string(props, '$.k') as int) as k, epoch_us(ts) // 1000000 as s from events")
+@query("json_trades", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as size, (case event_id % 3 when 0 then epoch_us(ts) // 1000000 * 1000000 else epoch_us(ts) // 1000 * 1000 end)::bigint as us from events")
 def json_trades_q(spark, d):
-    docs = events(spark, d).select(F.to_json(F.struct(F.col("event_id").alias("_id"), epoch_s(F.col("ts")).alias("time"), F.get_json_object("props", "$.k").cast("int").alias("size"))).alias("value"))
-    doc = F.from_json("value", "_id long, time long, size int")
-    return docs.select(doc.alias("x")).select(F.col("x._id").alias("event_id"), F.col("x.size").alias("k"), F.col("x.time").alias("s"))
+    """Trades as JSON lines of three recorders, with fields and times of their own, parsed into one table."""
+    e = events(spark, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "ts", epoch_us(F.col("ts")).alias("us"))
+    size, px = F.col("k").alias("qty"), F.col("k").alias("size")
+    iso = F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    kinds = [
+        ({"id": "_id", "time": "t", "size": "qty"}, "s", F.struct(F.col("event_id").alias("_id"), F.floor(F.col("us") / 1_000_000).alias("t"), size)),
+        ({"id": "n", "time": "at", "size": "size"}, "ms", F.struct(F.col("event_id").alias("n"), F.floor(F.col("us") / 1000).alias("at"), px)),
+        ({"id": "_id", "time": "time", "size": "qty"}, "$date", F.struct(F.col("event_id").alias("_id"), F.struct(iso.alias("$date")).alias("time"), size)),
+    ]
+    lines = [e.filter(F.col("event_id") % 3 == k).select(F.to_json(doc).alias("value")) for k, (_, _, doc) in enumerate(kinds)]
+    out = [json_trades(part, fields, unit) for part, (fields, unit, _) in zip(lines, kinds, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select(F.col("id").alias("event_id"), "size", epoch_us(F.col("ts_utc")).alias("us"))
 
 
 @query("session_pull", f"with {S.TRADES} select arrival_id, price_ticks from trades where symbol = 'click' and session_date = date '2024-01-10'")
@@ -191,17 +201,23 @@ def bar_shape_q(spark, d):
                         F.round((F.col("open") + F.col("high") + F.col("low") + F.col("close")) / F.lit(4.0), 6).alias("avg_px"), (F.abs(F.col("open") - F.col("high")) < F.abs(F.col("open") - F.col("low"))).cast("int").alias("hl")))
 
 
-@query("bar_patterns", f"with {S.BARS5} select symbol, {DAY}, bar_no, case when high > low then round((close - open) / (high - low)::double, 6) else 0 end as score, cast(high > low and greatest(high - greatest(open, close), least(open, close) - low) > 0.6 * (high - low) as int) as needle from bars")
+@query("bar_patterns", f"""with {S.BARS5}, p as (select *, high - open as u, open - low as l, round(case when count(close) over ({W} rows 19 preceding) = 20 then stddev_pop(close) over ({W} rows 19 preceding) end, 9) as sd,
+  greatest(least(open - low, close - low)::double, 0.01) as dn, greatest(high - open, high - close) as dfar, greatest(least(high - open, high - close)::double, 0.01) as un, greatest(open - low, close - low) as ufar from bars)
+select symbol, {DAY}, bar_no, round((greatest(u, l) - 2 * least(u, l) + abs(close - open)) / 320.0::double, 6) + 0 as bar_score,
+  round(case when ufar / un < 0.25 and un > sd then ufar / un - 1 when dfar / dn < 0.25 and dn > sd then 1 - dfar / dn else 0 end, 6) + 0 as needle, 0::double as large_candle from p""")
 def bar_patterns_q(spark, d):
-    span = F.col("high") - F.col("low")
-    wick = F.greatest(F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low"))
-    return day(bars5(spark, d).select(*KEY, F.when(span > 0, F.round((F.col("close") - F.col("open")) / F.nullif(span, F.lit(0)), 6)).otherwise(0.0).alias("score"), ((span > 0) & (wick > 0.6 * span)).cast("int").alias("needle")))
+    b = SC.bar_patterns(I.std(bars5(spark, d)))
+    return day(b.select(*KEY, *((F.round(c, 6) + 0.0).alias(c) for c in ("bar_score", "needle", "large_candle"))))
 
 
-@query("scalar_math", "select l_orderkey, l_linenumber, round(sign(x) * ln(1 + abs(x)), 6) as symlog, round(1 / (1 + exp(-x / 100)), 6) as sigmoid from (select *, l_quantity - 25 as x from lineitem)")
+_SIGMOID_SQL = "(1 / (1 + exp(-2.5 * (abs({0}) - 3))) - 1 / (1 + exp(5::double))) / (1 - 1 / (1 + exp(5::double))) * sign({0})"
+
+
+@query("scalar_math", f"select l_orderkey, l_linenumber, round(sign(x) * ln(1 + abs(x)), 6) as symlog, round({_SIGMOID_SQL.format('(x / 5.0::double)')}, 6) + 0 as sigmoid from (select *, l_quantity - 25 as x from lineitem)")
 def scalar_math_q(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("x", F.col("l_quantity") - 25)
-    return li.select("l_orderkey", "l_linenumber", F.round(F.signum("x") * F.log1p(F.abs("x")), 6).alias("symlog"), F.round(1 / (1 + F.exp(-F.col("x") / 100)), 6).alias("sigmoid"))
+    sigmoid = I.sigmoid_transform(F.col("x") / F.lit(5.0))
+    return li.select("l_orderkey", "l_linenumber", F.round(F.signum("x") * F.log1p(F.abs("x")), 6).alias("symlog"), (F.round(sigmoid, 6) + 0.0).alias("sigmoid"))
 
 
 @query("normalise", f"with {S.BARS5} select symbol, {DAY}, bar_no, round((open - close) / 40.0, 6) as open_n, round((high - close) / 40.0, 6) as high_n, round((low - close) / 40.0, 6) as low_n from bars")
@@ -271,7 +287,7 @@ def price_moves_q(spark, d):
     return day(I.price_moves(bars5(spark, d)).select(*KEY, *(F.col(c).cast("int").alias(c) for c in ("HO", "HH", "HL", "HC"))))
 
 
-@_indicator("inertia", f", c as (select *, close - lag(close) over ({W}) as c from bars), s as (select *, " + " + ".join(f"coalesce(lag(c, {i}) over ({W}), null) * {0.9**i!r}" for i in range(20)) + f" as s from c) select symbol, {DAY}, bar_no, round(1 / (1 + exp(-s / 10)), 6) as inertia from s")
+@_indicator("inertia", f", c as (select *, close - lag(close) over ({W}) as c from bars), s as (select *, (" + " + ".join(f"lag(c, {i}) over ({W}) * {0.61828**i!r}::double" for i in range(20)) + f") / {sum(0.61828**i for i in range(20))!r} as s from c) select symbol, {DAY}, bar_no, round({_SIGMOID_SQL.format('s')}, 6) + 0 as inertia from s")
 def inertia_q(spark, d):
     return day(I.inertia(bars5(spark, d)).select(*KEY, r6("inertia")))
 
@@ -302,14 +318,6 @@ def forward_extremes_q(spark, d):
     return day(b.select(*KEY, F.max("close").over(w).alias("up"), F.min("close").over(w).alias("down")))
 
 
-@_indicator("regime", f", x as (select *, close - lag(close, 20) over ({W}) as d20, close - lag(close, 60) over ({W}) as d60, regr_slope(close, row) over ({W} rows 19 preceding) as slope, count(*) over ({W} rows 19 preceding) as n from bars) select symbol, {DAY}, bar_no, d20, d60, case when n = 20 then round(slope, 6) + 0 end as slope from x")
-def regime_q(spark, d):
-    h = B.history()
-    b = bars5(spark, d).withColumn("row", F.row_number().over(h) - 1)
-    slope = F.regr_slope("close", "row").over(I.last(20))
-    return day(b.select(*KEY, (F.col("close") - F.lag("close", 20).over(h)).alias("d20"), (F.col("close") - F.lag("close", 60).over(h)).alias("d60"), F.when(F.col("row") >= 19, F.round(slope, 6) + 0.0).alias("slope")))
-
-
 @query("indicators", f"with {S.RSI}, m as (select *, {_GUARD % f'avg(close) over ({W} rows 19 preceding)'} as m from rsi) select symbol, {DAY}, bar_no, round(m, 6) as sma, round(sma_rsi, 6) + 0 as sma_rsi from m")
 def indicators_q(spark, d):
     return day(I.apply(bars5(spark, d), ["sma", "sma_rsi"]).select(*KEY, r6("20_sma", "sma"), r6("sma_rsi")))
@@ -421,10 +429,10 @@ def contract_lookup_q(spark, d):
     return day(s.select("symbol", "session_date", "code"))
 
 
-@query("order_violations", f"with {S.BARS5}, p as (select *, lag(close) over ({W}) as b from bars) select symbol, count(*) filter (close <= b) as n from p group by symbol")
+@query("order_violations", f"with {S.BARS5}, d as (select symbol, session_date, sum(n_ticks) as n from bars group by 1, 2), b as (select symbol, session_date, coalesce(sum(n) over (partition by symbol order by session_date rows between unbounded preceding and 1 preceding), 0) as before from d), p as (select bars.*, before + start_tick as start_ind from bars join b using (symbol, session_date)), q as (select *, lag(start_ind) over ({W}) as last from p) select symbol, count(*) as bars, count(*) filter (start_ind <= last) as violations, cast(max(start_ind) as bigint) as last_start from q group by symbol")
 def order_violations_q(spark, d):
-    b = bars5(spark, d).withColumn("_b", F.lag("close").over(B.history()))
-    return b.groupBy("symbol").agg(F.count(F.when(F.col("close") <= F.col("_b"), 1)).alias("n"))
+    """Bars whose first tick's row does not come after that of the bar before."""
+    return B.order_violations(B.pointers(bars5(spark, d)))
 
 
 @query("arrival_order", "select event_id, row_number() over (partition by date_trunc('hour', ts) order by ts, event_id) as n from events")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickforge.functions.folders import stored
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
+from tickforge.operators import scores as SC
 from tickforge.operators import trading as X
 
 from . import sql as S
 from .backtests import _run
-from .market import _RECURSE, DAY, KEY, bars5, day
+from .market import _RECURSE, DAY, KEY, bars5, day, ticks
 from .registry import query
 
 W = S.W
@@ -19,7 +21,7 @@ HALF = "partition by symbol, session_date, bar_no // 144 order by bar_no"
 
 
 @query("direction_label", f"""with recursive {S.BARS5}, m as (
-  select *, coalesce(max(close) over ({HALF} rows between 1 following and 12 following) - close, 0) + coalesce(min(close) over ({HALF} rows between 1 following and 12 following) - close, 0) as t,
+  select *, (max(close) over ({HALF} rows between current row and 59 following) - open) - (open - min(close) over ({HALF} rows between current row and 59 following)) as t,
          row_number() over ({HALF}) as i, count(*) over (partition by symbol, session_date, bar_no // 144) as n from bars
 ), s as (select *, case when i = n then 0 when t > 4 then 1 when t < -4 then -1 else 0 end as d0 from m),
 r as (select symbol, session_date, bar_no, bar_no // 144 as half, i, 0 as d from s where i = 1
@@ -27,27 +29,8 @@ r as (select symbol, session_date, bar_no, bar_no // 144 as half, i, 0 as d from
   from r join s on s.symbol = r.symbol and s.session_date = r.session_date and s.bar_no // 144 = r.half and s.i = r.i + 1)
 select symbol, {DAY}, bar_no, d as direction from r""")
 def direction_label_q(spark, d):
-    """A direction from the next twelve bars, held while it is not contradicted; each half day starts anew.
-
-    The hold is a fold over one half day of one symbol: 144 bars at most.
-    """
-    group = ["symbol", "session_date", "half"]
-    w = Window.partitionBy(*group).orderBy("bar_no")
-    ahead = w.rowsBetween(1, 12)
     b = bars5(spark, d).withColumn("half", F.floor(F.col("bar_no") / 144))
-    t = F.coalesce(F.max("close").over(ahead) - F.col("close"), F.lit(0)) + F.coalesce(F.min("close").over(ahead) - F.col("close"), F.lit(0))
-    b = b.withColumns({"t": t, "last": F.lead("bar_no").over(w).isNull()})
-    b = b.withColumn("d0", F.when(F.col("last"), 0).when(F.col("t") > 4, 1).when(F.col("t") < -4, -1).otherwise(0))
-    rows = b.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("bar_no", "t", "d0"))).alias("rows"))
-
-    def step(a, r):
-        before = F.get(a, F.size(a) - 1)
-        held = F.when((before == -1) & (r["t"] <= 0), -1).when((before == 1) & (r["t"] >= 0), 1).otherwise(r["d0"])
-        return F.array_append(a, F.when(F.size(a) == 0, F.lit(0)).otherwise(held).cast("int"))
-
-    labelled = rows.withColumn("d", F.aggregate("rows", F.array().cast("array<int>"), step))
-    out = labelled.select("symbol", "session_date", F.explode(F.arrays_zip("rows", "d")).alias("e"))
-    return day(out.select("symbol", "session_date", F.col("e.rows.bar_no").alias("bar_no"), F.col("e.d").alias("direction")))
+    return day(SC.direction_labels(b, expected=4).select(*KEY, "direction"))
 
 
 @query("episodes", f"""with recursive {S.BARS5}, d as (select symbol, session_date, count(*) as n, min(row) as a, max(row) as b, row_number() over (partition by symbol order by session_date) as i from bars group by symbol, session_date having count(*) > 5),
@@ -121,28 +104,68 @@ def merge_sizes_legacy_q(spark, d):
     return day(j.select(*KEY, F.when(~nxt.eqNullSafe(F.col("big_no")), F.col("c")).alias("close_60")))
 
 
-LEVELS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
-_VARIANTS = ", ".join(f"({i}, {x}::double)" for i, x in enumerate(LEVELS))
-_CONSENSUS = f"""with {S.RSI}, v(variant, level) as (values {_VARIANTS}), f as (
+#: Levels of the 72 variants of a family, and what the families are trusted.
+LEVELS = tuple(i / 100 for i in range(1, 73))
+CONFIDENCE = {"long": 0.5, "short": 0.3}
+_V = "partition by symbol, fam, variant"
+_BOARD = f"""{S.RSI60}, lv as (select i::int as variant, i / 100.0::double as level from range(1, 73) t(i)), f as (
   select symbol, session_date, bar_no, row, close, fam, variant, case when fam = 'long' and sma_rsi > level then 1 when fam = 'short' and sma_rsi < -level then -1 else 0 end as side
-  from rsi, v, (values ('long'), ('short')) t(fam)
-), p as (select *, coalesce(lag(side) over w * (close - lag(close) over w), 0) as pnl from f window w as (partition by symbol, fam, variant order by row)),
-s as (select *, avg(pnl) over (partition by symbol, fam, variant order by row rows 19 preceding) as score from p),
-k as (select *, row_number() over (partition by symbol, row, fam order by round(score, 9) desc, variant) as r from s)
-select symbol, {DAY}, bar_no, fam, round(sum(side * case when round(score, 9) >= 0.01 then 1 else 0.1 end) / sum(case when round(score, 9) >= 0.01 then 1 else 0.1 end), 6)::double + 0 as signal
-from k where r <= 5 group by symbol, session_date, bar_no, fam"""
+  from rsi, lv, (values ('long'), ('short')) t(fam)
+), p0 as (select *, coalesce(lead(side) over ({_V} order by row), 0) as position from f),
+p1 as (select *, coalesce(lag(position) over ({_V} order by row), 0) as before from p0),
+p2 as (select *, sum((position <> before)::int) over ({_V} order by row) as stretch from p1),
+p3 as (select *, first_value(close) over ({_V}, stretch order by row) as entry from p2),
+p4 as (select *, case when position <> before and before <> 0 then (close - lag(entry) over ({_V} order by row)) * before * 12.5::double - 29 end as closed from p3),
+tr as (select symbol, fam, variant, row, row_number() over ({_V} order by row) as n, list(closed) over ({_V} order by row rows 99 preceding) as xs from p4 where closed is not null),
+w as (select *, list_transform(xs, lambda x, k: pow(199 / 201.0::double, len(xs) - k)) as ws from tr),
+mu as (select *, list_sum(ws) as sw, list_sum(list_transform(xs, lambda x, k: x * ws[k])) / list_sum(ws) as mu, case when n >= 2 then least(n / 30.0::double, 1) else 0 end as sure from w),
+sg as (select *, sqrt(list_sum(list_transform(xs, lambda x, k: (x - mu) * (x - mu) * ws[k])) / sw) as sigma, list_sum(list_transform(xs, lambda x, k: case when x > 0 then ws[k] else 0 end)) / sw as win from mu),
+board as (select p4.symbol, p4.fam, p4.variant, session_date, bar_no, p4.row, position, case when position <> 0 then ((close - entry) * position * 12.5::double - 29) / 320 else 0 end as floating,
+  coalesce(case when sigma > 1e-8 then mu / sigma else 0 end * sure, 0) as sharpe, coalesce(win * sure, 0) as win_rate, coalesce(mu / 320 * sure, 0) as realised
+  from p4 asof left join sg on p4.symbol = sg.symbol and p4.fam = sg.fam and p4.variant = sg.variant and p4.row >= sg.row)"""
+
+
+def _board(spark, d):
+    """The scoreboard of 60-minute bars, written once: it is ranked and averaged several times."""
+    b = X.rows(I.sma_rsi(B.bars(ticks(spark, d), 3600)))
+    return stored(SC.variant_scores(SC.threshold_variants(b, LEVELS)), "variant-scores")
+
+
+@query("variant_scores", f"with {_BOARD} select symbol, {DAY}, bar_no, fam, variant, position, round(floating, 8) + 0 as floating, round(sharpe, 8) + 0 as sharpe, round(win_rate, 8) + 0 as win_rate, round(realised, 8) + 0 as realised from board")
+def variant_scores_q(spark, d):
+    out = _board(spark, d)
+    return day(out.select(*KEY, "fam", "variant", "position", *((F.round(c, 8) + 0.0).alias(c) for c in ("floating", "sharpe", "win_rate", "realised"))))
+
+
+@query("consensus", f"""with {_BOARD}, k as (select *, row_number() over (partition by symbol, row, fam order by round(sharpe, 9) desc, variant) as r from board),
+m as (select *, case when round(realised, 9) >= 0.01 then 1 else 0.1 end * case when round(floating, 9) >= 0 then 1 else 0.5 end * case when round(sharpe, 9) >= 0.01 then 1 else 0.7 end::double as k from k where r <= 5),
+s as (select symbol, session_date, bar_no, fam, sum(position * k) / sum(k) as signal from m group by all)
+select symbol, {DAY}, bar_no, round(sum(signal * case fam when 'long' then 0.5 else 0.3 end) / 0.8::double, 6) + 0 as consensus from s group by symbol, session_date, bar_no""")
+def consensus_q(spark, d):
+    return day(SC.consensus(_board(spark, d), CONFIDENCE).withColumn("consensus", F.round("consensus", 6) + 0.0))
 
 
-@query("consensus", _CONSENSUS)
-def consensus_q(spark, d):
-    """Each family's five best variants by recent score, weighted by whether the score is clearly positive."""
-    b = X.rows(I.sma_rsi(bars5(spark, d)))
-    kinds = F.array(*(F.struct(F.lit(fam).alias("fam"), F.lit(i).alias("variant"), F.lit(x).alias("level")) for fam in ("long", "short") for i, x in enumerate(LEVELS)))
-    f = b.select("symbol", "session_date", "bar_no", "row", "close", "sma_rsi", F.inline(kinds))
-    side = F.when((F.col("fam") == "long") & (F.col("sma_rsi") > F.col("level")), 1).when((F.col("fam") == "short") & (F.col("sma_rsi") < -F.col("level")), -1).otherwise(0)
-    w = Window.partitionBy("symbol", "fam", "variant").orderBy("row")
-    f = f.withColumn("side", side).withColumn("pnl", F.coalesce(F.lag("side").over(w) * (F.col("close") - F.lag("close").over(w)), F.lit(0)))
-    f = f.withColumn("score", F.round(F.avg("pnl").over(w.rowsBetween(-19, 0)), 9))
-    best = Window.partitionBy("symbol", "row", "fam").orderBy(F.desc("score"), "variant")
-    top = f.withColumn("r", F.row_number().over(best)).filter("r <= 5").withColumn("k", F.when(F.col("score") >= 0.01, 1.0).otherwise(0.1))
-    return day(top.groupBy("symbol", "session_date", "bar_no", "fam").agg((F.round(F.sum(F.col("side") * F.col("k")) / F.sum("k"), 6) + 0.0).alias("signal")))
+@query("kalman_rank", f"""with recursive {_BOARD}, g as (select 0::bigint as row, 1.1::double / 2.1 as gain, 1.1::double / 2.1 as var
+  union all select row + 1, (var + 0.1) / (var + 1.1), (var + 0.1) / (var + 1.1) from g where row < (select max(row) from bars)),
+z as (select symbol, fam, variant, session_date, bar_no, board.row, gain * sharpe as mean, var from board join g on g.row = 0 and board.row = 0
+  union all select b.symbol, b.fam, b.variant, b.session_date, b.bar_no, b.row, z.mean + g.gain * (b.sharpe - z.mean), g.var from z join board b on b.symbol = z.symbol and b.fam = z.fam and b.variant = z.variant and b.row = z.row + 1 join g on g.row = b.row),
+k as (select *, mean / sqrt(var + 1e-8) as score from z), r as (select *, row_number() over (partition by symbol, row, fam order by round(score, 9) desc, variant) as place from k)
+select symbol, {DAY}, bar_no, fam, variant, place, round(score, 6) + 0 as score from r where place <= 5""")
+def kalman_rank_q(spark, d):
+    return day(SC.kalman_rank(_board(spark, d)).select(*KEY, "fam", "variant", F.col("place").cast("long").alias("place"), (F.round("score", 6) + 0.0).alias("score")))
+
+
+_BACK = lambda c, k: f"coalesce(lag({c}, {k}) over (partition by symbol, fam order by row), 0)"
+_CLIP = lambda x, n: f"round(greatest(least({x}, 3), -3), 8) + 0 as {n}"
+_REGIME = f"""with {_BOARD}, {S.bars(60, 'one', False)}, vol as (select b.symbol, b.row, avg((o.high - o.low)::double) as vol from bars b join one o on o.symbol = b.symbol and o.session_date = b.session_date and o.bar_no // 60 = b.bar_no group by 1, 2),
+m as (select symbol, session_date, bar_no, row, fam, avg(realised) as m, avg(sharpe) as s from board group by all), j as (select m.*, vol from m join vol using (symbol, row))
+select symbol, {DAY}, bar_no, fam, {', '.join(_CLIP(f"m - {_BACK('m', h)}", f'd{h}') for h in SC.HORIZONS)},
+ {_CLIP('(s * 9.5 + ' + ' + '.join(f"{_BACK('s', k)} * {9.5 - k}::double" for k in range(1, 20)) + ') / 665', 'slope')}, {_CLIP(f"ln((vol + 1e-3) / ({_BACK('vol', 20)} + 1e-3))", 'log_vol')} from j"""
+
+
+@query("regime", _REGIME)
+def regime_q(spark, d):
+    one = B.bars(ticks(spark, d), 60).groupBy("symbol", "session_date", F.floor(F.col("bar_no") / 60).alias("bar_no")).agg(F.avg((F.col("high") - F.col("low")).cast("double")).alias("vol"))
+    vol = X.rows(one).select("symbol", "row", "vol")
+    out = SC.regime(_board(spark, d), vol)
+    return day(out.select(*KEY, "fam", *((F.round(c, 8) + 0.0).alias(c) for c in (*(f"d{h}" for h in SC.HORIZONS), "slope", "log_vol"))))

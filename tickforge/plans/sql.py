@@ -13,9 +13,9 @@ TRADES = """t0 as (
 )"""
 
 TICKS = TRADES + """, ticks as (
-  select symbol, session_date, ts_clock, price_ticks as price, cast(sum(size) as bigint) as volume, min(arrival_id) as arrival_id, min(instrument_id) as instrument_id, min(sod) as sod,
+  select symbol, session_date, date_trunc('second', ts_clock) as ts_clock, price_ticks as price, cast(sum(size) as bigint) as volume, min(arrival_id) as arrival_id, min(instrument_id) as instrument_id, min(sod) as sod,
          row_number() over (partition by symbol, session_date order by min(arrival_id)) - 1 as tick_no
-  from (select *, unnest(range(0, 1 + k % 3)) as fill from trades where sod < 82800) group by symbol, session_date, ts_clock, price_ticks
+  from (select *, unnest(range(0, 1 + k % 3)) as fill from trades where sod < 82800) x group by symbol, session_date, x.ts_clock, price_ticks
 )"""
 
 
@@ -33,10 +33,13 @@ def bars(seconds: int, name: str = "bars", row: bool = True) -> str:
 BARS5 = TICKS + ", " + bars(300)
 W = "partition by symbol order by row"
 
-RSI = BARS5 + f""", chg as (select *, close - lag(close) over ({W}) as c from bars),
+RSI_OF_BARS = f""", chg as (select *, close - lag(close) over ({W}) as c from bars),
 rsi0 as (select *, avg(greatest(c, 0)) filter (c is not null) over ({W} rows 13 preceding) as u, avg(greatest(-c, 0)) filter (c is not null) over ({W} rows 13 preceding) as d,
          count(c) over ({W} rows 13 preceding) as nc from chg),
 rsi as (select *, case when nc = 14 then -((case when d = 0 then 100 else 100 - 100 / (1 + u / nullif(d, 0)) end) / 100 * 2 - 1) end as sma_rsi from rsi0)"""
+RSI = BARS5 + RSI_OF_BARS
+#: The same over 60-minute bars.
+RSI60 = TICKS + ", " + bars(3600) + RSI_OF_BARS
 
 #: The strategy of the backtest queries: long above 0.2, short below -0.2.
 SIDES = RSI + """, sided as (select *, case when sma_rsi > 0.2 then 1 when sma_rsi < -0.2 then -1 else 0 end as side from rsi),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.clock import session_clock
+from tickforge.functions.clock import from_epoch, session_clock
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,3 +33,19 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fills(trades: DataFrame) -> DataFrame:
     """Each trade as one to three fills of the same time and price."""
     return trades.withColumn("fill", F.explode(F.sequence(F.lit(1), F.lit(1) + F.col("k") % 3)))
+
+
+def json_trades(lines: DataFrame, fields: Mapping[str, str], unit: str = "s", column: str = "value") -> DataFrame:
+    """id, size, ts_utc from trades as JSON lines.
+
+    ``fields`` names the lines' fields for id, time and size. Times are whole
+    seconds (``s``) or milliseconds (``ms``) since 1970, or ISO texts below
+    ``$date``. Lines that are no JSON give nulls; further fields are ignored.
+    """
+    kinds = {"s": "long", "ms": "long", "$date": "struct<`$date`:string>"}
+    if unit not in kinds:
+        raise ValueError(f"unknown time unit: {unit}")
+    doc = F.from_json(column, f"`{fields['id']}` long, `{fields['time']}` {kinds[unit]}, `{fields['size']}` long")
+    at = F.col("x").getField(fields["time"])
+    ts = F.regexp_replace(at["$date"], "Z$", "").cast("timestamp_ntz") if unit == "$date" else from_epoch(at, "SECOND" if unit == "s" else "MILLISECOND")
+    return lines.select(doc.alias("x")).select(F.col("x").getField(fields["id"]).alias("id"), F.col("x").getField(fields["size"]).alias("size"), ts.alias("ts_utc"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickforge.functions.clock import session_clock
+from tickforge.functions.folders import stored
 
 STREAM_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -41,8 +42,20 @@ def deduplicated(trades: DataFrame, late: str = "10 minutes") -> DataFrame:
     return trades.withWatermark("clock", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def write_in_order(events: DataFrame, folder: str, order: str, files: int) -> None:
+    """The rows as so many files, written one after the other in ``order``: a file stream takes the oldest first."""
+    ranged = stored(events.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()), "stream-parts")
+    for part in range(files):
+        ranged.filter(F.col("_part") == part).drop("_part").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
+
+
 def zigzag_state(move: float) -> Callable:
-    """A stateful zigzag over each symbol's trades: (rising, level) is the state; each turn is a row."""
+    """A stateful zigzag over each symbol's trades: (rising, level) is the state; each turn is a row.
+
+    A micro-batch's trades of one symbol are held together, so triggers must
+    keep micro-batches small; trades must come in event order from batch to
+    batch, in any order inside one.
+    """
 
     def update(key: tuple, batches, state: GroupState):
         rising, level, turns = state.get if state.exists else (False, None, 0)
@@ -57,7 +70,8 @@ def zigzag_state(move: float) -> Callable:
             else:
                 level = max(level, price) if rising else min(level, price)
         state.update((bool(rising), float(level), int(turns)))
-        yield pd.DataFrame(out, columns=["symbol", "event_id", "level", "turn"])
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "event_id", "level", "turn"])
 
     return update
 
@@ -73,6 +87,34 @@ def append_sessions(new: DataFrame, path: str) -> DataFrame:
     return new.sparkSession.read.parquet(path)
 
 
+def record_commit(stored: DataFrame, path: str) -> None:
+    """The commit record beside a table: how many rows each session of each symbol has, written after the rows."""
+    stored.groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("recorded")).coalesce(1).write.mode("overwrite").parquet(f"{path}-record")
+
+
+def uncommitted(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, session_date, stored, recorded of sessions whose rows are not what the commit record says: an append was cut off."""
+    stored = spark.read.parquet(path).groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("stored"))
+    both = stored.join(spark.read.parquet(f"{path}-record"), ["symbol", "session_date"], "full").fillna(0, ["stored", "recorded"])
+    return both.filter("stored <> recorded")
+
+
+def appendable(new: DataFrame, after: str, until: str, holidays: DataFrame, open_from: DataFrame) -> DataFrame:
+    """Rows of ``new`` that a run may append: sessions after ``after``, before the first gap, and closed.
+
+    A gap is a weekday up to ``until`` without rows that is no holiday: what
+    comes behind it is refused until it is filled. open_from: one row, the
+    first session that is still open. Sessions not after ``after`` are stored
+    already and refused as well.
+    """
+    spark = new.sparkSession
+    days = spark.range(1).select(F.explode(F.sequence(F.date_add(F.lit(after).cast("date"), 1), F.lit(until).cast("date"))).alias("session_date")).filter(F.weekday("session_date") < 5)
+    missing = days.join(holidays, "session_date", "left_anti").join(new.select("session_date").distinct(), "session_date", "left_anti")
+    first = missing.agg(F.min("session_date").alias("_gap")).join(open_from.select(F.col("open_from").alias("_open")), F.lit(True))
+    ready = (F.col("session_date") > F.lit(after).cast("date")) & (F.col("_gap").isNull() | (F.col("session_date") < F.col("_gap"))) & (F.col("session_date") < F.col("_open"))
+    return new.join(F.broadcast(first), F.lit(True)).filter(ready).drop("_gap", "_open")
+
+
 def run_to_end(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now, into a Parquet table (append) whose checkpoint lies beside it; returns the table."""
     spark = df.sparkSession

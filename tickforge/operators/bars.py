@@ -48,6 +48,58 @@ def pointers(bars: DataFrame) -> DataFrame:
     return bars.join(before, list(KEYS)).withColumns({"start_ind": F.col("_before") + F.col("start_tick"), "next_ind": F.col("_before") + F.col("last_tick") + 1}).drop("_before")
 
 
+def bar_table(ticks: DataFrame, sizes: dict[str, int] = SIZES, news: tuple[str, ...] = ()) -> DataFrame:
+    """Bars of all sizes in one table (freq names the size): prices, volume, labels and news flags.
+
+    ticks carry rth, session, hour and a flag for each kind of news. A bar is
+    in regular hours, or under news, if any tick is; session and hour are its
+    first tick's. One-second bars are built from ticks once; every size is a
+    roll-up of them, so a tick is shuffled once.
+    """
+    flags = ["rth", *news]
+    one = bars(ticks, 1)
+    extra = ticks.groupBy(*KEYS, F.col("sod").alias("bar_no")).agg(*(F.max(c).alias(c) for c in flags), *(F.min_by(c, "tick_no").alias(c) for c in ("session", "hour")))
+    one = one.join(extra, [*KEYS, "bar_no"])
+    kinds = F.array(*(F.struct(F.lit(n).alias("freq"), F.lit(s).alias("_s")) for n, s in sizes.items()))
+    each = one.select("*", F.inline(kinds)).withColumn("bar_no", F.floor(F.col("bar_no") / F.col("_s")).cast("long"))
+    return each.groupBy("freq", *KEYS, "bar_no").agg(
+        F.min_by("open", "start_tick").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_tick").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("n_ticks").alias("n_ticks"), F.min("start_tick").alias("start_tick"), F.max("last_tick").alias("last_tick"),
+        *(F.max(c).alias(c) for c in flags), *(F.min_by(c, "start_tick").alias(c) for c in ("session", "hour")))
+
+
+def on_first_rows(ticks: DataFrame, seconds: int, name: str) -> DataFrame:
+    """Adds bar_, high_, low_ and next_<name> to ticks with a global row: the bar's values on its first tick, 0 on the others."""
+    w = Window.partitionBy(*KEYS, f"bar_{name}")
+    t = ticks.withColumn(f"bar_{name}", F.floor(F.col("sod") / seconds).cast("long"))
+    first = F.col("tick_no") == F.min("tick_no").over(w)
+    values = {"high": F.max("price").over(w), "low": F.min("price").over(w), "next": F.max("tick_ind").over(w) + 1}
+    return t.withColumns({f"{c}_{name}": F.when(first, v).otherwise(0) for c, v in values.items()})
+
+
+def asof_sizes(bars: dict[int, DataFrame], base: int, columns: list[str], session_seconds: int = 82800) -> DataFrame:
+    """The base size's bars with, for each larger size (minutes), the columns of the last bar that has closed: <column>_<size>.
+
+    A larger bar shows on the base row in which it closes. All sizes go
+    through one union and one running last value for each, so one shuffle.
+    """
+    larger = sorted(m for m in bars if m != base)
+    value = lambda m: F.struct(*(F.col(c).alias(c) for c in columns))
+    kinds = {m: bars[m].select(value(m).alias("v")).schema["v"].dataType for m in larger}
+    close = lambda m: F.least((F.col("bar_no") + 1) * (m * 60), F.lit(session_seconds)) - base * 60
+    parts = []
+    for m in [base, *larger]:
+        shown = [value(m).alias(f"_v{k}") if k == m else F.lit(None).cast(kinds[k]).alias(f"_v{k}") for k in larger]
+        at = F.col("bar_no") * (base * 60) if m == base else close(m)
+        parts.append(bars[m].select(*KEYS, "bar_no", *(F.col(c) if m == base else F.lit(None).cast(bars[base].schema[c].dataType).alias(c) for c in columns), at.alias("_at"), F.lit(m == base).alias("_base"), *shown))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    w = Window.partitionBy("symbol").orderBy("session_date", "_at", "_base").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({f"_v{m}": F.last(f"_v{m}", ignorenulls=True).over(w) for m in larger}).filter("_base")
+    return both.select(*KEYS, "bar_no", *columns, *(F.col(f"_v{m}.{c}").alias(f"{c}_{m}") for m in larger for c in columns))
+
+
 def order_violations(bars: DataFrame) -> DataFrame:
     """For each symbol: bars, and how many of them do not start after the bar before; 0 for a table that may be read in order."""
     before = F.lag("start_ind").over(history())

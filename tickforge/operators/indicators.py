@@ -164,6 +164,41 @@ def session_high_low(df: DataFrame) -> DataFrame:
     return df.withColumns({"run_high": F.max("high").over(w), "run_low": F.min("low").over(w)})
 
 
+def sma_targets(df: DataFrame, windows: tuple[int, ...] = (20, 50, 100), rth: str = "rth") -> DataFrame:
+    """sma_<n>_all over all bars; sma_<n>_day over the bars outside regular hours, carried forward; targets: all of them, null until none is missing."""
+    h = history()
+    for n in windows:
+        own = Window.partitionBy("symbol", rth).orderBy("session_date", "bar_no").rowsBetween(1 - n, 0)
+        mean = F.when((F.col(rth) != 1) & (F.count("close").over(own) == n), F.avg("close").over(own))
+        df = df.withColumn("_m", mean).withColumn(f"sma_{n}_day", F.last("_m", ignorenulls=True).over(h.rowsBetween(Window.unboundedPreceding, 0))).drop("_m")
+        w = last(n)
+        df = df.withColumn(f"sma_{n}_all", full(F.avg("close").over(w), n, F.col("close"), w))
+    names = [f"sma_{n}_{k}" for n in windows for k in ("day", "all")]
+    whole = F.lit(True)
+    for c in names:
+        whole &= F.col(c).isNotNull()
+    return df.withColumn("targets", F.when(whole, F.array(*names)))
+
+
+def forming(xs: Column, n: int) -> dict[str, Column]:
+    """Indicators of the bar that is forming, from an array of the last n - 1 closed values and the current one, the newest last.
+
+    std, avedev, bbands (place between the bands of two deviations) and
+    sma_rsi (turned around zero, over the n - 1 changes). Null while the array
+    is shorter than n, bbands also without any deviation.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    v = F.transform(xs, lambda x: x.cast("double"))
+    mean = total(v) / n
+    std = F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / n)
+    changes = F.zip_with(F.slice(v, 2, n - 1), F.slice(v, 1, n - 1), lambda a, b: a - b)
+    up, down = total(F.transform(changes, lambda c: F.greatest(c, F.lit(0.0)))), total(F.transform(changes, lambda c: F.greatest(-c, F.lit(0.0))))
+    rsi = F.when(down == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + up / F.nullif(down, F.lit(0.0))))
+    flat = F.round(std, 9)
+    out = {"std": std, "avedev": total(F.transform(v, lambda x: F.abs(x - mean))) / n, "bbands": (F.element_at(v, -1) - (mean - 2 * flat)) / F.nullif(4 * flat, F.lit(0.0)), "sma_rsi": -(rsi / 100 * 2 - 1)}
+    return {k: F.when(F.size(xs) == n, c) for k, c in out.items()}
+
+
 INDICATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sma": sma, "std": std, "bbands": bbands, "avedev": avedev, "sma_rsi": sma_rsi, "atr": atr, "fvg": fvg, "price_moves": price_moves, "inertia": inertia,
 }

@@ -127,3 +127,23 @@ def buckets(df: DataFrame, value: str, upper: dict[str, float], last: str) -> Da
     for k, name in enumerate(upper):
         bucket = bucket.when(v <= F.col(f"_c{k}"), name)
     return df.join(F.broadcast(cuts), F.lit(True)).withColumn("bucket", bucket.otherwise(last)).drop(*(f"_c{k}" for k in range(len(upper))))
+
+
+def by_sides(trades: DataFrame, label: str) -> DataFrame:
+    """Each trade under two labels: <label>|all and <label>|long or <label>|short."""
+    side = F.when(F.col("side") == 1, "long").otherwise("short")
+    return trades.withColumn("_who", F.explode(F.array(F.lit("all"), side))).withColumn(label, F.concat_ws("|", label, "_who")).drop("_who")
+
+
+def hour_matrix(trades: DataFrame, strategies: list[str]) -> DataFrame:
+    """A row for each hour of entry, a column for each strategy: their net."""
+    return trades.groupBy("hour").pivot("strategy", strategies).agg(F.sum("net_usd"))
+
+
+def stable_years(trades: DataFrame, by: list[str], split: str, n: int = 15) -> DataFrame:
+    """Net by year of the n slices with most net among those with a gain on both sides of the split (ties by name)."""
+    early = F.col("session_date") < F.lit(split).cast("date")
+    part = lambda cond: F.sum(F.when(cond, F.col("net_usd")).otherwise(0.0))
+    s = trades.groupBy(*by).agg(F.sum("net_usd").alias("_n"), part(early).alias("_a"), part(~early).alias("_b")).filter("_a > 0 and _b > 0")
+    best = s.orderBy(F.desc("_n"), *by).limit(n).select(*by)
+    return trades.join(F.broadcast(best), by).groupBy(*by, F.year("session_date").alias("year")).agg(F.sum("net_usd").alias("net_usd"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.clock import SESSION_SECONDS, epoch_us, floor_second, hour, is_rth, second_of_day, session_no
 
-NEWS = ("fomc", "nfp", "cpi")
+NEWS = ("fomc", "nfp", "cpi", "ppi", "gdp")
 
 
 def in_session(trades: DataFrame) -> DataFrame:

@@ -215,6 +215,16 @@ def summary_q(spark, d):
     return _round(ST.summary(_stored_run(spark, d), _days(spark, d), RUN), _STAT)
 
 
+_WHO = "), run as (select * exclude (stops), stops || '|' || who as stops from run0, (values ('all'), ('long'), ('short')) w(who) where who = 'all' or (who = 'long') = (side = 1)), days as ("
+_SIDED_SUMMARY = _SUMMARY.replace("run as (\n", "run0 as (\n", 1).replace("), days as (", _WHO, 1)
+
+
+@query("summary_by_side", f"with recursive {_SIDED_SUMMARY} select symbol, stops, {_STATSQL} from summary")
+def summary_by_side_q(spark, d):
+    """Every measure for all trades, the long ones and the short ones of each run."""
+    return _round(ST.summary(ST.by_sides(_stored_run(spark, d), "stops"), _days(spark, d), RUN), _STAT)
+
+
 @query("leaderboard", f"with recursive {_SUMMARY} select symbol, stops, trades, round(cast(total_net_usd as double), 6) + 0 as total_net_usd, row_number() over (order by total_net_usd desc, symbol, stops) as place from summary")
 def leaderboard_q(spark, d):
     # One row for each run of the grid: the report itself.
@@ -315,6 +325,19 @@ def grid_matrix_q(spark, d):
     return p.select("tp", F.col("6").alias("sl_6"), F.col("12").alias("sl_12"))
 
 
+@query("hour_matrix", f"with recursive {_LABELLED} select hour, sum(net_usd) filter (side = 1)::double as rsi_long, sum(net_usd) filter (side = -1)::double as rsi_short from lab group by hour")
+def hour_matrix_q(spark, d):
+    """Net of each strategy by hour of entry."""
+    t = _labelled(spark, d).withColumn("strategy", F.when(F.col("side") == 1, "rsi_long").otherwise("rsi_short"))
+    return ST.hour_matrix(t, ["rsi_long", "rsi_short"])
+
+
+@query("stable_years", f"with recursive {_LABELLED}, halves as (select stops, hour, sum(net_usd) as n, coalesce(sum(net_usd) filter (session_date < date '{SPLIT}'), 0) as a, coalesce(sum(net_usd) filter (session_date >= date '{SPLIT}'), 0) as b from lab group by stops, hour), best as (select stops, hour from halves where a > 0 and b > 0 order by n desc, stops, hour limit 15) select stops, hour, year(session_date)::int as year, sum(net_usd)::double as net_usd from lab join best using (stops, hour) group by all")
+def stable_years_q(spark, d):
+    """Net by year of the fifteen best slices that earn before and after the split."""
+    return ST.stable_years(stored(_labelled(spark, d), "labelled"), ["stops", "hour"], SPLIT, n=15)
+
+
 @query("exit_order", f"with recursive {S.KEPT} select symbol, stops, row, row_number() over (partition by symbol, stops order by session_date, exit_ts_row, entry_row, row) as place from run")
 def exit_order_q(spark, d):
     w = Window.partitionBy(*RUN).orderBy("session_date", "exit_ts_row", "entry_row", "row")

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.clock import epoch_us
+from tickforge.functions.folders import shared_folder
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
 from tickforge.operators import scores as SC
 from tickforge.operators import stats as ST
+from tickforge.sources import sessions as FS
 from tickforge.sources.calendars import holidays
 from tickforge.sources.events import trades
 
@@ -21,16 +23,28 @@ from .registry import query
 W = S.W
 
 
-@query("scan_sessions", f"with {S.TRADES} select {DAY}, count(*) as n from trades where session_date between date '2024-01-08' and date '2024-01-19' group by session_date")
+def _session_folder(spark, d):
+    """The trades as one table for each session; some of them partial, one session twice."""
+    folder = shared_folder(spark, "raw-sessions")
+    t = trades(spark, d).select("arrival_id", "symbol", "size", "session_date")
+    name = lambda prefix, tail: F.concat(F.lit(f"{prefix}_trades_"), F.date_format("session_date", "yyyy-MM-dd"), tail, F.lit(".parquet"))
+    partial = F.when(F.dayofmonth("session_date") % 7 == 3, F.lit("_partial")).otherwise(F.lit(""))
+    twice = t.filter(F.col("session_date") == F.lit("2024-01-12").cast("date")).withColumn("table", name("B", F.lit("")))
+    t.withColumn("table", name("A", partial)).unionByName(twice).drop("session_date").write.partitionBy("table").parquet(folder)
+    return folder
+
+
+@query("scan_sessions", f"with {S.TRADES} select {DAY}, count(*) as n, cast(sum(size) as bigint) as size from trades where session_date between date '2024-01-13' and date '2024-01-22' and day(session_date) % 7 <> 3 group by session_date")
 def scan_sessions_q(spark, d):
-    t = trades(spark, d).filter(F.col("session_date").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-19").cast("date")))
-    return day(t.groupBy("session_date").agg(F.count(F.lit(1)).alias("n")))
+    """Rows of the raw session tables in a range of dates; partial ones are not read."""
+    files = FS.session_files(spark, _session_folder(spark, d), "2024-01-13", "2024-01-22")
+    return day(FS.read_sessions(spark, files).groupBy("session_date").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
 
 
-@query("check_sessions", "select 'events' as tbl, count(distinct cast(ts as date)) as days, cast(min(event_id) as bigint) as first_id, cast(max(event_id) as bigint) as last_id from events")
+@query("check_sessions", f"with {S.TRADES} select {DAY}, case when session_date = date '2024-01-12' then 2 else 1 end as files, case when session_date = date '2024-01-12' then 1 else 0 end as doubled from (select distinct session_date from trades) where day(session_date) % 7 <> 3")
 def check_sessions_q(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.agg(F.lit("events").alias("tbl"), F.countDistinct(F.to_date("ts")).alias("days"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """How many tables claim each session."""
+    return day(FS.check_files(FS.session_files(spark, _session_folder(spark, d))))
 
 
 @query("news_windows", f"with {_NEWS_SQL} select n.kind, count(e.event_id) as n from news n left join events e on epoch_us(e.ts + interval 1 hour) >= n.lo and epoch_us(e.ts + interval 1 hour) < n.hi group by n.kind")
@@ -223,14 +237,23 @@ def stops_check_q(spark, d):
     return ST.fixed_pairs(_exits(spark, d).select("stops", "tp", "sl").unionByName(sig))
 
 
-@query("forming_bar", f"with {S.TICKS}, {S.bars(60, 'base', False)}, {S.bars(3600, 'big', False)}, h as (select *, list(close) over (partition by symbol order by session_date, bar_no rows 3 preceding) as xs from big), s as (select symbol, epoch(session_date)::bigint + least((bar_no + 1) * 3600, 82800) as k, xs from h), j as (select b.symbol, b.session_date, b.bar_no, b.close, s.xs from base b asof left join s on b.symbol = s.symbol and epoch(b.session_date)::bigint + b.bar_no * 60 >= s.k) select symbol, {DAY}, bar_no, case when len(xs) = 4 then round(list_avg(xs || [close]), 6) end as mean from j")
+_FORMING = f"""with {S.TICKS}, {S.bars(60, 'base', False)}, {S.bars(3600, 'big', False)}, h as (select *, list(close) over (partition by symbol order by session_date, bar_no rows 3 preceding) as xs from big), s as (select symbol, epoch(session_date)::bigint + least((bar_no + 1) * 3600, 82800) as k, xs from h),
+j as (select b.symbol, b.session_date, b.bar_no, b.close, s.xs || [b.close] as xs from base b asof left join s on b.symbol = s.symbol and epoch(b.session_date)::bigint + b.bar_no * 60 >= s.k),
+m as (select *, list_avg(xs) as m, list_transform(range(2, 6), lambda i: xs[i] - xs[i - 1]) as c from j), v as (select *, sqrt(list_sum(list_transform(xs, lambda x: (x - m) * (x - m))) / 5) as sd, list_sum(list_transform(c, lambda x: greatest(x, 0))) as u, list_sum(list_transform(c, lambda x: greatest(-x, 0))) as dn from m)
+select symbol, {DAY}, bar_no, case when len(xs) = 5 then round(m, 6) end as mean, case when len(xs) = 5 then round(sd, 6) + 0 end as std, case when len(xs) = 5 then round(list_sum(list_transform(xs, lambda x: abs(x - m))) / 5, 6) + 0 end as avedev,
+ case when len(xs) = 5 then round((close - (m - 2 * round(sd, 9))) / nullif(4 * round(sd, 9), 0), 6) + 0 end as bbands, case when len(xs) = 5 then round(-((case when dn = 0 then 100 else 100 - 100 / (1 + u / dn::double) end) / 100 * 2 - 1), 6) + 0 end as sma_rsi from v"""
+
+
+@query("forming_bar", _FORMING)
 def forming_bar_q(spark, d):
-    """The mean of the last four closed 60-minute closes and the current minute's close."""
+    """Indicators over the last four closed 60-minute closes and the current minute's close."""
     t = ticks(spark, d)
     big = B.bars(t, 3600).withColumn("xs", F.collect_list("close").over(B.history().rowsBetween(-3, 0)))
     shown = big.select("symbol", "session_date", F.lit(None).cast("long").alias("bar_no"), F.lit(None).cast("long").alias("close"), "xs", F.least((F.col("bar_no") + 1) * 3600, F.lit(82800)).alias("at"), F.lit(0).alias("src"))
     base = B.bars(t, 60).select("symbol", "session_date", "bar_no", "close", F.lit(None).cast("array<bigint>").alias("xs"), (F.col("bar_no") * 60).alias("at"), F.lit(1).alias("src"))
     w = Window.partitionBy("symbol").orderBy("session_date", "at", "src").rowsBetween(Window.unboundedPreceding, 0)
     both = base.unionByName(shown).withColumn("xs", F.last("xs", ignorenulls=True).over(w)).filter("src = 1")
-    mean = (F.aggregate("xs", F.lit(0).cast("long"), lambda a, x: a + x) + F.col("close")) / F.lit(5.0)
-    return day(both.select(*KEY, F.when(F.size("xs") == 4, F.round(mean, 6)).alias("mean")))
+    xs = F.array_append("xs", F.col("close"))
+    mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / 5
+    named = {"mean": F.when(F.size(xs) == 5, mean)} | I.forming(xs, 5)
+    return day(both.select(*KEY, *((F.round(c, 6) + 0.0).alias(n) for n, c in named.items())))

@@ -11,6 +11,7 @@ from tickforge.operators import indicators as I
 from tickforge.operators import ticks as T
 from tickforge.operators import scores as SC
 from tickforge.operators.pivots import ud_levels
+from tickforge.sources import calendars as C
 from tickforge.sources.events import events, fills, json_trades, trades
 
 from . import sql as S
@@ -140,10 +141,18 @@ def ticks_q(spark, d):
     return day(ticks(spark, d).select("symbol", "session_date", "tick_no", epoch_us(F.col("ts_clock")).alias("us"), "price", "volume", "arrival_id"))
 
 
-@query("ticks_indexed", f"with {S.TICKS} select symbol, {DAY}, row_number() over (partition by symbol order by session_date, tick_no) - 1 as tick_ind, price, sod // 60 as bar_1, sod // 300 as bar_5, sod // 3600 as bar_60 from ticks")
+_FIRST_ROWS = {"1": 60, "5": 300, "60": 3600}
+_INDEXED = f"""with {S.TICKS}, {', '.join(S.bars(x, f'b{n}', False) for n, x in _FIRST_ROWS.items())}, i as (select *, row_number() over (partition by symbol order by session_date, tick_no) - 1 as tick_ind from ticks)
+select i.symbol, strftime(i.session_date, '%Y-%m-%d') as session_date, tick_ind, i.price""" + "".join(f", sod // {x} as bar_{n}, coalesce(b{n}.high, 0) as high_{n}, coalesce(b{n}.low, 0) as low_{n}, coalesce(tick_ind - tick_no + b{n}.last_tick + 1, 0) as next_{n}" for n, x in _FIRST_ROWS.items()) + " from i" + "".join(f" left join b{n} on b{n}.symbol = i.symbol and b{n}.session_date = i.session_date and b{n}.start_tick = i.tick_no" for n in _FIRST_ROWS)
+
+
+@query("ticks_indexed", _INDEXED)
 def ticks_indexed_q(spark, d):
+    """Every tick with its global row, its bars, and on a bar's first row that bar's high, low and past-last row (else 0)."""
     t = T.with_tick_ind(ticks(spark, d))
-    return day(t.select("symbol", "session_date", "tick_ind", "price", *(F.floor(F.col("sod") / s).cast("long").alias(f"bar_{n}") for n, s in (("1", 60), ("5", 300), ("60", 3600)))))
+    for n, x in _FIRST_ROWS.items():
+        t = B.on_first_rows(t, x, n)
+    return day(t.select("symbol", "session_date", "tick_ind", "price", *(f"{c}_{n}" for n in _FIRST_ROWS for c in ("bar", "high", "low", "next"))))
 
 
 def _bars_sql(seconds: int) -> str:
@@ -391,15 +400,47 @@ def skip_night_q(spark, d):
     return day(n.select("symbol", "session_date", F.col("b").alias("from_row"), (F.lead("a").over(Window.partitionBy("symbol").orderBy("session_date")) - 1).alias("to_row")))
 
 
-#: News calendar of the tests, New York time: (kind, date, time).
-NEWS = [("fomc", "2024-01-10", "14:00"), ("nfp", "2024-01-05", "08:30"), ("cpi", "2024-01-11", "08:30"), ("nfp", "2024-01-11", "08:30"), ("fomc", "2024-01-17", "16:57"), ("cpi", "2024-01-24", "10:00")]
-_NEWS_SQL = "news as (select kind, cast(t + interval 6 hour as date) as session_date, epoch_us(t + interval 6 hour) - 300000000 as lo, epoch_us(t + interval 6 hour) + 300000000 as hi from (values " + ", ".join(f"('{k}', timestamp '{day_} {at}:00')" for k, day_, at in NEWS) + ") v(kind, t))"
+#: News calendar of the tests: days by kind, and times other than the usual (New York).
+NEWS = {"fomc": ["2024-01-10", "2024-01-17"], "nfp": ["2024-01-05", "2024-01-11"], "cpi": ["2024-01-11", "2024-01-24"], "ppi": ["2024-01-12"], "gdp": ["2024-01-25"]}
+NEWS_AT = {("fomc", "2024-01-17"): "16:57", ("cpi", "2024-01-24"): "10:00"}
+_NEWS_SQL = "news as (select kind, cast(t + interval 6 hour as date) as session_date, epoch_us(t + interval 6 hour) - 300000000 as lo, epoch_us(t + interval 6 hour) + 300000000 as hi from (values " + ", ".join(f"('{k}', timestamp '{day_} {NEWS_AT.get((k, day_), '14:00' if k == 'fomc' else '08:30')}:00')" for k, days in NEWS.items() for day_ in days) + ") v(kind, t))"
 
 
 def news_windows(spark: SparkSession) -> DataFrame:
-    at = F.col("at").cast("timestamp_ntz") + F.expr("INTERVAL '6' HOUR")
-    rows = spark.createDataFrame([(k, f"{day_} {at}:00") for k, day_, at in NEWS], "kind string, at string")
-    return rows.select("kind", F.to_date(at).alias("session_date"), (epoch_us(at) - 300_000_000).alias("lo"), (epoch_us(at) + 300_000_000).alias("hi"))
+    return C.news_windows(spark, NEWS, NEWS_AT)
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks with labels and news flags."""
+    return T.news_flags(T.labelled(ticks(spark, d)), news_windows(spark))
+
+
+_IN_NEWS = lambda k: f"exists (select 1 from news n where n.kind = '{k}' and n.session_date = t.session_date and epoch_us(t.ts_clock) >= n.lo and epoch_us(t.ts_clock) < n.hi)"
+_SIZED = "(values " + ", ".join(f"('{n}', {x})" for n, x in B.SIZES.items()) + ") z(freq, secs)"
+
+
+@query("bars_all", f"""with {S.TICKS}, {_NEWS_SQL}, l as (select t.*, (sod >= 55800 and sod < 79200)::int as rth, sod // 28800 + 1 as session, sod // 3600 as hour, {', '.join(f"({_IN_NEWS(k)})::int as news_{k}" for k in T.NEWS)} from ticks t)
+select freq, symbol, {DAY}, sod // secs as bar_no, arg_min(price, tick_no) as open, max(price) as high, min(price) as low, arg_max(price, tick_no) as close, cast(sum(volume) as bigint) as volume,
+  max(rth) as rth, cast(arg_min(session, tick_no) as int) as session, cast(arg_min(hour, tick_no) as int) as hour, {', '.join(f"max(news_{k}) as news_{k}" for k in T.NEWS)} from l, {_SIZED} group by freq, symbol, session_date, sod // secs""")
+def bars_all_q(spark, d):
+    """All ten sizes with labels and news, in one table."""
+    news = tuple(f"news_{k}" for k in T.NEWS)
+    return day(B.bar_table(labelled(spark, d), news=news).select("freq", *KEY, "open", "high", "low", "close", "volume", "rth", "session", "hour", *news))
+
+
+def _asof_all_sql() -> str:
+    joins, cols = "", ""
+    for m in (15, 30, 60, 1440):
+        joins += f" asof left join (select symbol, close as c, volume as v, epoch(session_date)::bigint + least((bar_no + 1) * {m * 60}, 82800) - 300 as k from b{m}) s{m} on b.symbol = s{m}.symbol and epoch(b.session_date)::bigint + b.bar_no * 300 >= s{m}.k"
+        cols += f", s{m}.c as close_{m}, s{m}.v as volume_{m}"
+    return f"with {S.BARS5}, {', '.join(S.bars(m * 60, f'b{m}', False) for m in (15, 30, 60, 1440))} select b.symbol, strftime(b.session_date, '%Y-%m-%d') as session_date, b.bar_no, b.close, b.volume{cols} from bars b{joins}"
+
+
+@query("asof_all", _asof_all_sql())
+def asof_all_q(spark, d):
+    """Four larger sizes on five-minute bars, none of them before it has closed."""
+    t = ticks(spark, d)
+    return day(B.asof_sizes({m: B.bars(t, m * 60) for m in (5, 15, 30, 60, 1440)}, 5, ["close", "volume"]))
 
 
 @query("news_flags", f"with {S.TICKS}, {_NEWS_SQL} select symbol, strftime(t.session_date, '%Y-%m-%d') as session_date, tick_no, " + ", ".join(f"cast(exists (select 1 from news n where n.kind = '{k}' and n.session_date = t.session_date and epoch_us(t.ts_clock) >= n.lo and epoch_us(t.ts_clock) < n.hi) as int) as news_{k}" for k in T.NEWS) + " from ticks t")

@@ -56,18 +56,16 @@ def episodes_q(spark, d):
 
 
 _RTH = "(bar_no * 300 >= 55800 and bar_no * 300 < 79200)"
+_SMAS = ", ".join(f"last_value(m{n} ignore nulls) over ({W}) as sma_{n}_day, case when count(*) over ({W} rows {n - 1} preceding) = {n} then avg(close) over ({W} rows {n - 1} preceding) end as sma_{n}_all" for n in (20, 50, 100))
+_SMA_NAMES = [f"sma_{n}_{k}" for n in (20, 50, 100) for k in ("day", "all")]
 
 
-@query("sma_targets", f"with {S.BARS5}, o as (select symbol, row, case when count(*) over w = 20 then avg(close) over w end as m from bars where not {_RTH} window w as (partition by symbol order by row rows 19 preceding)), j as (select b.*, o.m from bars b left join o using (symbol, row)) select symbol, {DAY}, bar_no, round(last_value(m ignore nulls) over ({W}), 6) as sma_out, case when count(*) over ({W} rows 49 preceding) = 50 then round(avg(close) over ({W} rows 49 preceding), 6) end as sma_50 from j")
+@query("sma_targets", f"with {S.BARS5}, o as (select symbol, row, " + ", ".join(f"case when count(*) over (partition by symbol order by row rows {n - 1} preceding) = {n} then avg(close) over (partition by symbol order by row rows {n - 1} preceding) end as m{n}" for n in (20, 50, 100)) + f" from bars where not {_RTH}), j as (select b.*, m20, m50, m100 from bars b left join o using (symbol, row)), k as (select symbol, session_date, bar_no, {_SMAS} from j) select symbol, {DAY}, bar_no, " + ", ".join(f"round({c}, 6) as {c}" for c in _SMA_NAMES) + ", cast(" + " and ".join(f"{c} is not null" for c in _SMA_NAMES) + " as int) as whole from k")
 def sma_targets_q(spark, d):
     """Means over the bars outside regular hours, carried forward, and over all bars."""
-    h, second = B.history(), F.col("bar_no") * 300
-    out = ~((second >= 55800) & (second < 79200))
-    w = Window.partitionBy("symbol", "_o").orderBy("session_date", "bar_no").rowsBetween(-19, 0)
-    b = bars5(spark, d).withColumn("_o", out)
-    b = b.withColumn("_m", F.when(F.col("_o") & (F.count(F.lit(1)).over(w) == 20), F.avg("close").over(w)))
-    carried = F.last("_m", ignorenulls=True).over(h.rowsBetween(Window.unboundedPreceding, 0))
-    return day(b.select(*KEY, F.round(carried, 6).alias("sma_out"), F.when(F.count(F.lit(1)).over(I.last(50)) == 50, F.round(F.avg("close").over(I.last(50)), 6)).alias("sma_50")))
+    second = F.col("bar_no") * 300
+    b = bars5(spark, d).withColumn("rth", ((second >= 55800) & (second < 79200)).cast("int"))
+    return day(I.sma_targets(b).select(*KEY, *(F.round(c, 6).alias(c) for c in _SMA_NAMES), F.col("targets").isNotNull().cast("int").alias("whole")))
 
 
 @query("ema_std", "with recursive " + S.BARS5 + _RECURSE.format(x="close - 20000", first="x", step="e.s * (1 - 2 / 29.0::double) + t.x", a="2 / 29.0::double") + """, e2 as (

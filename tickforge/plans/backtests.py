@@ -9,12 +9,13 @@ from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
 from tickforge.operators import scores as SC
 from tickforge.operators import stats as ST
+from tickforge.operators import ticks as T
 from tickforge.operators import trading as X
 
 from tickforge.functions.folders import stored
 
 from . import sql as S
-from .market import DAY, _GUARD, bars5, day, ticks
+from .market import _NEWS_SQL, DAY, _GUARD, bars5, day, labelled, ticks
 from .registry import query
 
 RUN = ["symbol", "stops"]
@@ -107,6 +108,16 @@ def entry_filter_q(spark, d):
     return day(_signals(spark, d).select("symbol", "session_date", "row", "side", "entry_px"))
 
 
+@query("entry_filter_news", f"with {S.SIDES}, {_NEWS_SQL}, nb as (select t.symbol, t.session_date, sod // 300 as bar_no, max(exists (select 1 from news n where n.session_date = t.session_date and epoch_us(t.ts_clock) >= n.lo and epoch_us(t.ts_clock) < n.hi)::int) as news from ticks t group by 1, 2, 3), w as (select turned.*, lead(news) over ({S.W}) as next_news from turned join nb using (symbol, session_date, bar_no)) select symbol, {DAY}, row, side from w where side <> 0 and start and row + 1 < stop and coalesce(next_news, 0) = 0 and side * (close - open) >= 0")
+def entry_filter_news_q(spark, d):
+    """Signals whose bar does not go against them and whose entry bar is free of news."""
+    t = labelled(spark, d)
+    news = t.groupBy("symbol", "session_date", F.floor(F.col("sod") / 300).cast("long").alias("bar_no")).agg(F.max(F.greatest(*(f"news_{k}" for k in T.NEWS))).alias("news"))
+    turned = X.turns(_sided(spark, d)).join(news, ["symbol", "session_date", "bar_no"])
+    out = X.signals(turned, no_entry="news", entry_ok=F.col("side") * (F.col("close") - F.col("open")) >= 0)
+    return day(out.select("symbol", "session_date", "row", "side"))
+
+
 @query("entry_mismatch", f"with {S.BARS5} select b.symbol, strftime(b.session_date, '%Y-%m-%d') as session_date, b.bar_no from bars b join ticks t on b.symbol = t.symbol and b.session_date = t.session_date and b.start_tick = t.tick_no where t.price <> b.open")
 def entry_mismatch_q(spark, d):
     t = ticks(spark, d).select("symbol", "session_date", F.col("tick_no").alias("start_tick"), "price")
@@ -168,9 +179,11 @@ def costs_q(spark, d):
     return _run(spark, d).select("symbol", "stops", "row", "gross_usd", "net_usd")
 
 
-@query("backtest", f"with recursive {S.KEPT} select 'rsi_0.2' as strategy, symbol, stops, {DAY}, row, result, cast(net_usd as double) as net_usd from run")
+@query("backtest", f"with recursive {S.KEPT} select 'rsi_0.2' as strategy, 'normal' as mode, 12.5::double as tick_usd, 2.0::double as commission, symbol, stops, {DAY}, row, result, cast(net_usd as double) as net_usd from run")
 def backtest_q(spark, d):
-    return day(_run(spark, d).select(F.lit("rsi_0.2").alias("strategy"), "symbol", "stops", "session_date", "row", "result", "net_usd"))
+    """A run's trades with the parameters that made them."""
+    stamp = {"strategy": "rsi_0.2", "mode": "normal", "tick_usd": X.TICK_USD, "commission": X.COMMISSION}
+    return day(_run(spark, d).select(*(F.lit(v).alias(k) for k, v in stamp.items()), "symbol", "stops", "session_date", "row", "result", "net_usd"))
 
 
 _MONEY = ["gross_usd", "net_usd", "cum_gross_usd", "cum_net_usd", "drawdown_usd"]
@@ -290,9 +303,13 @@ def slices_q(spark, d):
     return _round(out.distinct(), ["win_rate", "t_stat"]).select("stops", "hour", "side", "level", "trades", "gross_usd", "net_usd", "win_rate", "t_stat", "net_before", "net_after")
 
 
-@query("pooled", f"with recursive {_LABELLED} select hour, count(*) as trades, round(avg(net_usd), 6)::double as avg_net_usd, round(avg((net_usd > 0)::int), 6) as win_rate from lab group by hour")
+@query("pooled", f"with recursive {_LABELLED} select hour, count(*) as trades, round(avg(net_usd), 6)::double as avg_net_usd, round(avg((net_usd > 0)::int), 6) as win_rate, round(avg(net_usd) filter (session_date < date '{SPLIT}'), 6)::double as avg_before, round(avg(net_usd) filter (session_date >= date '{SPLIT}'), 6)::double as avg_after from lab group by hour")
 def pooled_q(spark, d):
-    return _labelled(spark, d).groupBy("hour").agg(F.count(F.lit(1)).alias("trades"), F.round(F.avg("net_usd"), 6).alias("avg_net_usd"), F.round(F.avg((F.col("net_usd") > 0).cast("double")), 6).alias("win_rate"))
+    """Each hour over all stops, and on both sides of the split."""
+    early, mean = F.col("session_date") < F.lit(SPLIT).cast("date"), lambda c: F.round(F.avg(c), 6)
+    return _labelled(spark, d).groupBy("hour").agg(
+        F.count(F.lit(1)).alias("trades"), mean("net_usd").alias("avg_net_usd"), mean((F.col("net_usd") > 0).cast("double")).alias("win_rate"),
+        mean(F.when(early, F.col("net_usd"))).alias("avg_before"), mean(F.when(~early, F.col("net_usd"))).alias("avg_after"))
 
 
 @query("chance_check", f"with recursive {_LABELLED}, cc as (select stops, hour, sum(net_usd) filter (session_date < date '{SPLIT}') as a, sum(net_usd) filter (session_date >= date '{SPLIT}') as b from lab group by stops, hour) select stops, count(*) as n, count(*) filter (a > 0) as before_pos, count(*) filter (b > 0) as after_pos, count(*) filter (a > 0 and b > 0) as both_pos, round(count(*) filter (a > 0) * count(*) filter (b > 0) / count(*)::double, 6) as expected from cc group by stops")

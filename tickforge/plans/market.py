@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.clock import epoch_s, epoch_us, session_clock
+from tickforge.functions.folders import shared_folder
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
 from tickforge.operators import ticks as T
 from tickforge.operators import scores as SC
 from tickforge.operators.pivots import ud_levels
 from tickforge.sources import calendars as C
-from tickforge.sources.events import events, fills, json_trades, trades
+from tickforge.sources.events import events, fills, json_trades, pull, trades
 
 from . import sql as S
 from .registry import query
@@ -103,14 +104,12 @@ def json_trades_q(spark, d):
 
 @query("session_pull", f"with {S.TRADES} select arrival_id, price_ticks from trades where symbol = 'click' and session_date = date '2024-01-10'")
 def session_pull_q(spark, d):
-    lo, hi = "2024-01-09 23:00:00", "2024-01-10 22:59:59.999999"
-    rows = trades(spark, d)
-    return rows.filter((F.col("ts_utc") >= F.expr(f"TIMESTAMP_NTZ '{lo}'")) & (F.col("ts_utc") <= F.expr(f"TIMESTAMP_NTZ '{hi}'")) & (F.col("symbol") == "click")).select("arrival_id", "price_ticks")
+    return pull(trades(spark, d), "click", "2024-01-10").select("arrival_id", "price_ticks")
 
 
 @query("ticks_since", f"with {S.TICKS} select symbol, {DAY}, tick_no, price from ticks where session_date >= date '2024-01-20'")
 def ticks_since_q(spark, d):
-    return day(ticks(spark, d).filter(F.col("session_date") >= F.lit("2024-01-20").cast("date")).select("symbol", "session_date", "tick_no", "price"))
+    return day(T.merge(fills(trades(spark, d, since="2024-01-20"))).select("symbol", "session_date", "tick_no", "price"))
 
 
 @query("last_session", f"with {S.TICKS} select symbol, strftime(max(session_date), '%Y-%m-%d') as session_date, arg_max(price, arrival_id) as price from ticks group by symbol")
@@ -463,10 +462,12 @@ def missing_sessions_q(spark, d):
 
 @query("contract_lookup", f"with {S.TICKS}, c(id, code, a, b) as (values (17001, 'H', date '2024-01-01', date '2024-01-15'), (17001, 'M', date '2024-01-16', date '2024-12-31'), (17002, 'U', date '2024-01-01', date '2024-12-31'), (17003, 'Z', date '2024-01-01', date '2024-12-31')) select symbol, strftime(s.session_date, '%Y-%m-%d') as session_date, code from (select distinct symbol, session_date, instrument_id from ticks) s left join c on c.id = s.instrument_id and s.session_date between c.a and c.b")
 def contract_lookup_q(spark, d):
-    rows = [(17001, "H", "2024-01-01", "2024-01-15"), (17001, "M", "2024-01-16", "2024-12-31"), (17002, "U", "2024-01-01", "2024-12-31"), (17003, "Z", "2024-01-01", "2024-12-31")]
-    c = spark.createDataFrame(rows, "instrument_id int, code string, a string, b string").withColumns({"a": F.col("a").cast("date"), "b": F.col("b").cast("date")})
+    rows = [("H", 17001, "2024-01-01", "2024-01-15"), ("M", 17001, "2024-01-16", "2024-12-31"), ("U", 17002, "2024-01-01", "2024-12-31"), ("Z", 17003, "2024-01-01", "2024-12-31")]
+    path = shared_folder(spark, "contracts")
+    spark.createDataFrame(rows, "code string, instrument_id int, first string, last string").write.option("header", True).csv(path)
+    c = C.contracts(spark, path)
     s = ticks(spark, d).select("symbol", "session_date", "instrument_id").distinct()
-    s = s.join(F.broadcast(c), (s["instrument_id"] == c["instrument_id"]) & s["session_date"].between(c["a"], c["b"]), "left")
+    s = s.join(F.broadcast(c), (s["instrument_id"] == c["instrument_id"]) & s["session_date"].between(c["first"], c["last"]), "left")
     return day(s.select("symbol", "session_date", "code"))
 
 

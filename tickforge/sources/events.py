@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date, datetime, time, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,17 +12,38 @@ from pyspark.sql import functions as F
 from tickforge.functions.clock import from_epoch, session_clock
 
 
+NEW_YORK = ZoneInfo("America/New_York")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def utc_bounds(session: str) -> tuple[str, str]:
+    """When the session of a date begins and ends (past its last moment), in UTC: 18:00 New York the evening before to 17:00."""
+    day = date.fromisoformat(session)
+    at = lambda d, hour: datetime.combine(d, time(hour), NEW_YORK).astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return at(day - timedelta(days=1), 18), at(day, 17)
+
+
+def pull(rows: DataFrame, symbol: str, session: str, ts: str = "ts_utc") -> DataFrame:
+    """One symbol's rows of one session in order of time and arrival; both bounds are constants that a scan can prune by."""
+    lo, hi = (F.expr(f"TIMESTAMP_NTZ '{x}'") for x in utc_bounds(session))
+    return rows.filter((F.col(ts) >= lo) & (F.col(ts) < hi) & (F.col("symbol") == symbol)).orderBy(ts, "arrival_id")
+
+
+def trades(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
     """arrival_id, symbol, ts_utc, ts_clock, session_date, k, size, instrument_id, price_ticks, price.
 
     The walk is a running sum inside one symbol's session, so its window is as
-    large as a session however long the history.
+    large as a session however long the history. ``since`` (a session date)
+    leaves out earlier sessions by a bound on the stored time, so a scan skips
+    the row groups before it.
     """
-    e = events(spark, sf_dir).select(
+    raw = events(spark, sf_dir)
+    if since:
+        raw = raw.filter(F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{utc_bounds(since)[0]}'"))
+    e = raw.select(
         F.col("event_id").alias("arrival_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("ts_utc"), session_clock(F.col("ts")).alias("ts_clock"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), (F.lit(1) + F.col("user_id") % 9).cast("long").alias("size"),
         (F.lit(17001) + F.length("event_type") % 5).cast("int").alias("instrument_id"),

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Row widths of the matrices; longer pieces go to the heap.
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 NO_PAIR = np.int32(2**31 - 1)
@@ -272,6 +274,7 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
 
 
 def _vocabulary(spark: SparkSession, path: str, pattern: str):
+    bounded_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast((f.read(), pattern))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .shared import discard, written
+from .shared import bounded_batches, discard, written
 
 WINDOW = 10
 #: Words in all windows of one automaton; a word is two to four states, some 200 bytes of a worker's memory.
@@ -171,6 +171,7 @@ def contamination(
     Repeated rows are scanned each. Empty input gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
     cut = written(items.mapInArrow(_stretches(window), "i string, words binary, states long"), "benchmark-stretches")
     n_blocks = -(-(cut.agg(F.sum("states")).first()[0] or 0) // block_states) or 1

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .separator_scan import runs
-from .shared import shared_dir, shuffle_parts, written
+from .shared import bounded_batches, shared_dir, shuffle_parts, written
 from .tokens import encoder
 
 MAX_BITS = 18
@@ -152,6 +152,7 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
     first. Null and empty texts are the end id alone.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or shared_dir(spark, "huffman")
     parts = shuffle_parts(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -247,6 +248,7 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
+    bounded_batches(spark)
     lengths = np.zeros(1 << 16, np.uint8)
     for r in spark.read.parquet(f"{path}/lengths").collect():
         lengths[r.id] = r.length

@@ -40,7 +40,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, few, shuffle_parts, written
+from .shared import bounded_batches, discard, few, shuffle_parts, written
 
 SHINGLE = 5
 #: Groups of a count vector.
@@ -636,6 +636,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     components apart where ids are null or repeated.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_parts(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

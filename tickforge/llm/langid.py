@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import bounded_batches
+
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Windows in one matrix product.
@@ -201,6 +203,7 @@ def learn(docs: DataFrame, how: Training = Training(), *, id_col: str = "doc_id"
     prediction is ``und``. What reaches the driver is bounded by ``how``:
     labels' counts of the most frequent, and windows of the sample.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
     counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(how.max_labels).collect()
@@ -244,6 +247,7 @@ def identify(docs: DataFrame, network: ByteNetwork, *, id_col: str = "doc_id", t
     column with the name of a result, the result stays. The network (some ten
     thousand numbers) is broadcast.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
     carried = [c for c in keep if c not in ("doc_id", "lang_pred", "score")]
     # The rows' own columns go by number, so none can clash with a name in use here.

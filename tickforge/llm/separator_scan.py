@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard import word_hashes
-from .shared import TaskFile, filesystem, shared_dir, shuffle_parts, written
+from .shared import TaskFile, bounded_batches, filesystem, shared_dir, shuffle_parts, written
 from .tokens import encoder
 
 #: Texts to (ids one after the other, ids of each text).
@@ -83,6 +83,7 @@ def write_token_files(docs: DataFrame, tokens: HashedWords | LibraryTokens, fold
     file. Null and empty texts are documents of the separator alone.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or shared_dir(spark, "tokens")
     shared = spark.sparkContext.broadcast(tokens)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -31,6 +31,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch, where the session has no setting of its own; Spark's default, of 64 MB, would stand in the JVM and in Python at once, in every task.
+BATCH_BYTES, _SPARKS_DEFAULT = "4m", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES, unless they are set already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, _SPARKS_DEFAULT) == _SPARKS_DEFAULT:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends there."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TaskFile, few, filesystem, shared_dir, shuffle_parts, written
+from .shared import TaskFile, bounded_batches, few, filesystem, shared_dir, shuffle_parts, written
 
 CHUNK_BYTES = 64 << 10
 #: An archive is closed after the record that takes it past this size.
@@ -261,6 +261,7 @@ def archive(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_
     Repeated rows of the largest id are responses each. Other columns are
     ignored; an empty table gives an empty manifest.
     """
+    bounded_batches(pages.sparkSession)
     folder = folder or shared_dir(pages.sparkSession, "warc")
     return write_archives(chunk_table(pages, id_col=id_col, url_col=url_col, payload_col=payload_col), folder)
 

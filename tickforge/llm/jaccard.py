@@ -389,7 +389,10 @@ class Forest:
         self.links.append((a, b))
 
 
-def spanning_forest(vectors: np.ndarray, sizes: np.ndarray, sides: np.ndarray, linked: Callable[[int, np.ndarray, np.ndarray], Iterable[int]] = lambda q, hits, labels: hits) -> list[tuple[int, int]]:
+def spanning_forest(
+    vectors: np.ndarray, sizes: np.ndarray, sides: np.ndarray,
+    linked: Callable[[int, np.ndarray, np.ndarray], Iterable[int]] = lambda q, hits, labels: hits,
+) -> list[tuple[int, int]]:
     """Links that join whatever pairs within the bound would join.
 
     ``linked(q, hits, labels)`` picks the true links among q's hits, if not
@@ -474,9 +477,10 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each wanted set, for each work item of its group that it is in."""
+    """Each wanted set, for each work item of its group that it is in; once for each task, however many equal rows it meets."""
     kinds = {"list_id": pa.int64(), "i": pa.int32(), "j": pa.int32(), "side": pa.int32(), "node": pa.binary(), "shingles": pa.binary()}
     rows: list[tuple] = []
+    sent: set[bytes] = set()
     size = 0
 
     def flush() -> pa.RecordBatch:
@@ -486,9 +490,12 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, node, group, slot, blocks in zip(batch["text"], *(batch[c].to_pylist() for c in ("node", "list_id", "slot", "blocks")), strict=True):
+            if node in sent:
+                continue
             s = shingle_set(text.as_py())
             if signature(s) != node:  # equal hashes of unequal texts
                 continue
+            sent.add(node)
             blob = s.tobytes()
             for other in range(blocks):
                 rows.append((group, min(slot, other), max(slot, other), (slot < other) + 2 * (slot > other), node, blob))

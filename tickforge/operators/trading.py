@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .bars import history
 
 TICK_USD, COMMISSION = 12.5, 2.0
+#: Bars of a block in the search for exits.
+BLOCK_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -139,18 +141,24 @@ def find_exits(sig: DataFrame, bars: DataFrame, ticks: DataFrame, bar_seconds: i
 
     sig: rows of ``signals`` with tp, sl, stops; bars: numbered rows of the
     same symbols. The only wide join carries (symbol, session_date) and looks
-    for the first bar that touches a level.
+    for the first block of bars that touches a level; then the bars of that
+    block, and of the entry's own, are looked at. So a trade meets a session's
+    blocks and two blocks' bars, however short the bars.
     """
-    keys = ["symbol", "session_date"]
+    keys, one = ["symbol", "session_date"], ["symbol", "row", "stops"]
     s = sig.select(*keys, "row", "side", "tp", "sl", "stops", "entry_px", "flat", "stop", "change").withColumns({
         "entry_row": F.col("row") + 1, "until": F.least("stop", F.col("change") + 1),
         "upper": F.col("entry_px") + F.when(F.col("side") == 1, F.col("tp")).otherwise(F.col("sl")),
         "lower": F.col("entry_px") - F.when(F.col("side") == 1, F.col("sl")).otherwise(F.col("tp")),
     })
-    b = bars.select(*keys, F.col("row").alias("b_row"), "high", "low")
-    touch = s.join(b, keys).filter("b_row >= entry_row and b_row < until and (high >= ceil(upper) or low <= floor(lower))")
-    touch = touch.groupBy("symbol", "row", "stops").agg(F.min("b_row").alias("hit_row"))
-    s = s.join(touch, ["symbol", "row", "stops"], "left").withColumn("bar_row", F.coalesce("hit_row", F.col("until") - 1))
+    reached = lambda high, low: f"({high} >= ceil(upper) or {low} <= floor(lower))"
+    b = bars.select(*keys, F.col("row").alias("b_row"), "high", "low").withColumn("block", F.expr(f"b_row div {BLOCK_ROWS}"))
+    blocks = b.groupBy(*keys, "block").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
+    s = s.withColumn("own", F.expr(f"entry_row div {BLOCK_ROWS}"))
+    later = s.join(blocks, keys).filter(f"block > own and block <= (until - 1) div {BLOCK_ROWS} and {reached('top', 'bottom')}").groupBy(*one).agg(F.min("block").alias("later"))
+    near = s.join(later, one, "left").withColumn("block", F.explode(F.array_compact(F.array("own", "later"))))
+    touch = near.join(b, [*keys, "block"]).filter(f"b_row >= entry_row and b_row < until and {reached('high', 'low')}").groupBy(*one).agg(F.min("b_row").alias("hit_row"))
+    s = s.drop("own").join(touch, one, "left").withColumn("bar_row", F.coalesce("hit_row", F.col("until") - 1))
     at = bars.select("symbol", F.col("row").alias("bar_row"), "bar_no", F.col("close").alias("bar_close"))
     s = s.join(at, ["symbol", "bar_row"]).withColumn("entry_id", F.concat_ws("|", "symbol", "row", "stops"))
     s = first_hit(s, bars, ticks, bar_seconds).drop("entry_id", "bar_no")

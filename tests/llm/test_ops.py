@@ -340,6 +340,13 @@ def test_forest_joins_what_all_pairs_join(monkeypatch, dense):
         assert (same(want) == same(got)).all() and len(got.links) < 108
 
 
+def test_equal_rows_are_sent_once_for_each_task(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text)] * 40 + [(7, text + " more")], "doc_id long, text string").coalesce(1)
+    got = jaccard.near_duplicates(docs, by_row=True).collect()
+    assert len(got) == 41 and {r.component_id for r in got} == {7} and len({r.component for r in got}) == 1
+
+
 def test_null_and_repeated_ids_are_told_by_row(spark, sf_dir):
     import corpus_pipeline
 

@@ -84,9 +84,11 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard.near_duplicates(docs, by_row=True).filter("component is not null")
     rows = written(groups.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "duplicate-rows")
-    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    # Only components of several rows have anything to decide; as a written table their join can split a large one's rows.
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.sum("n").alias("k"))
+    least = written(least.filter("k > 1").drop("k"), "duplicate-firsts")
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
-    judged = rows.join(least, "component").withColumn("_first", first).filter("n > 1 or not _first")
+    judged = rows.join(few(least), "component").withColumn("_first", first).filter("n > 1 or not _first")
     others = written(judged.select(F.col("doc_id").alias("_other_id"), F.col("text_hash").alias("_other_hash"), "_first"), "duplicate-others")
     n, n_first = others.agg(F.count(F.lit(1)), F.count_if("_first")).first()
     side = few(others, n)

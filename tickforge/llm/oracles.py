@@ -148,18 +148,26 @@ from d left join n using (rid) join (select a as rid, min(e.doc_id) as component
 """
 
 # DuckDB has no crc32: the checksum is folded over the bytes, with the table of the reflected polynomial made from its rule.
-ORACLES["op8_stratified_shards"] = r"""
-with recursive tab as (
+_CRC_TABLE = """tab as (
   select list(c order by b) as t from (
     select b, list_reduce([b::bigint, 1, 1, 1, 1, 1, 1, 1, 1],
       lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as c
     from (select unnest(range(0, 256)) as b))
-), base as (
+)"""
+
+
+def _crc(hexed: str) -> str:
+    """CRC-32 of a hexadecimal text's bytes, with the table ``t``."""
+    return f"""xor(list_reduce([4294967295::bigint] || list_transform(range(0, length({hexed}) // 2), lambda i: ('0x' || {hexed}[2 * i + 1 : 2 * i + 2])::bigint),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+ORACLES["op8_stratified_shards"] = rf"""
+with recursive {_CRC_TABLE}, base as (
   select row_number() over () as rid, doc_id, coalesce('=' || source, '') as s, strlen(coalesce(text, '')) + 1 as size,
          ('0x' || md5('mixture-1:' || coalesce(doc_id::varchar, ''))[1:15])::bigint as h, hex(encode(coalesce(text, ''))) as x from documents
 ), crc as (
-  select rid, xor(list_reduce([4294967295::bigint] || list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::bigint),
-    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32
+  select rid, {_crc('x')} as text_crc32
   from base, tab
 ), f as (
   select *, (row_number() over (partition by s order by h, doc_id, size, text_crc32) - 1 + 0.5::double) / count(*) over (partition by s) as f
@@ -188,3 +196,32 @@ select page_id, host, path, name as rule,
        coalesce(v, case when regexp_matches(lower(host || path), '(^|[^a-z0-9])({"|".join(BLOCK_WORDS)})([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict
 from u left join fit using (rid)
 """
+
+ORACLES["op13_spelling_variants"] = rf"""
+with recursive {_CRC_TABLE}, runs as (
+  select id, run, count(*) as k from (
+    select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+    from documents)
+  where length(run) >= 7 group by id, run
+), hashed as (
+  select run, k, {_crc('x')} as h from (select *, hex(encode(id || ':' || run)) as x from runs), tab
+), spelled as (
+  select k, case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed
+), w as (
+  select word, sum(k)::bigint as n from spelled where length(word) >= 7 group by word having sum(k) >= 2
+), cut as (
+  select word, i, substr(word, 1, i::int) || substr(word, i::int + 2) as rest from (select word, unnest(range(0, length(word))) as i from w)
+), pairs as (
+  select x.word as a, y.word as b from cut x join cut y on x.i = y.i and x.rest = y.rest and x.word <> y.word
+  union select word, rest from cut where rest in (select word from w)
+  union select rest, word from cut where rest in (select word from w)
+), best as (
+  select a, count(*) as n_near, (list(b order by w.n desc, b))[1] as form, max(w.n) as form_n from pairs join w on w.word = b group by a
+), v as (
+  select word, n, coalesce(n_near, 0) as n_near, case when form_n >= 10 * n then form end as form, case when form_n >= 10 * n then form_n end as form_n from w left join best on a = word
+), walk as (
+  select word, word as at from v union all select walk.word, v.form from walk join v on v.word = walk.at where v.form is not null
+)
+select v.word, v.form, walk.at as root, v.n, v.n_near::bigint as n_near, v.form_n
+from v join walk on walk.word = v.word where walk.at in (select word from v where form is null)
+"""

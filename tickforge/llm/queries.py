@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, huffman, jaccard, langid, oracles, quality, separator_scan, sharding, url_rules, warc
+from . import bpe, decontaminate, factorisation, huffman, jaccard, langid, oracles, quality, separator_scan, sharding, spelling, url_rules, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,21 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    machine = factorisation.learn(docs, _table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    found = factorisation.score(docs, machine)
+    return found.select("doc_id", factorisation.held_out(found["doc_id"]).alias("held_out"), "score", (found["score"] >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), wanted=4)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_scan": op1_token_scan,
     "op1_separator_scan": op1_separator_scan,
@@ -81,5 +96,8 @@ QUERIES: dict[str, Query] = {
     "op8_stratified_shards": op8_stratified_shards,
     "op9_bpe_matrix": op9_bpe_matrix,
     "op10_url_rules": op10_url_rules,
+    "op11_factorisation_machine": op11_factorisation_machine,
+    "op12_spectrum_slicing": op12_spectrum_slicing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -47,3 +47,15 @@ def hour(second: Column) -> Column:
 
 def session_no(second: Column) -> Column:
     return F.floor(second / 28800).cast("int") + 1
+
+
+def last_closed_session(now_utc: Column) -> Column:
+    """The newest session whose 17:00 New York end has passed at a UTC wall time; Saturday and Sunday have none of their own."""
+    closed = F.to_date(session_clock(now_utc) - F.expr("INTERVAL '23' HOUR"))
+    back = F.when(F.weekday(closed) == 5, 1).when(F.weekday(closed) == 6, 2).otherwise(0)
+    return F.date_sub(closed, back)
+
+
+def is_open(session_date: Column, now_utc: Column) -> Column:
+    """Whether a session has not closed at a UTC wall time: its clock day is not 23 hours old."""
+    return session_date > F.to_date(session_clock(now_utc) - F.expr("INTERVAL '23' HOUR"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -23,3 +25,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, as the file system lists them."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
+
+
+def stored_once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``'s rows, stored once for each application and state of the source table's files, and read by all that ask for them."""
+    key = (spark.sparkContext.applicationId, label, fingerprint(spark, source))
+    if key not in _KEPT:
+        df = make()
+        path = shared_folder(spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        _KEPT[key] = (path, df.schema)
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)

@@ -9,9 +9,10 @@ KEYS = ("symbol", "session_date")
 SIZES = {"1s": 1, "5s": 5, "15s": 15, "1": 60, "5": 300, "10": 600, "15": 900, "30": 1800, "60": 3600, "day": 86400}
 
 
-def bars(ticks: DataFrame, seconds: int) -> DataFrame:
+def bars(ticks: DataFrame, seconds: int, flags: tuple[str, ...] = (), firsts: tuple[str, ...] = ()) -> DataFrame:
     """Bars from ticks: open, high, low, close, volume, n_ticks, first and last tick, first places of the extremes.
 
+    A bar has a flag if any tick has it, and its first tick's ``firsts``.
     Every aggregate is mergeable (first and last go by tick_no), so the
     shuffle moves one row for each bar and map task.
     """
@@ -21,21 +22,55 @@ def bars(ticks: DataFrame, seconds: int) -> DataFrame:
     out = ticks.groupBy(*KEYS, F.floor(F.col("sod") / seconds).cast("long").alias("bar_no")).agg(
         F.min_by("price", "tick_no").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "tick_no").alias("close"),
         F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n_ticks"), F.min("tick_no").alias("start_tick"), F.max("tick_no").alias("last_tick"),
-        *(c.alias(n) for n, c in places.items()),
+        *(c.alias(n) for n, c in places.items()), *(F.max(c).alias(c) for c in flags), *(F.min_by(c, "tick_no").alias(c) for c in firsts),
     )
     return out.withColumns({"hi_tick": F.col("_hi.tick_no"), "lo_tick": F.col("_lo.tick_no")}).drop("_hi", "_lo")
 
 
-def roll_up(small: DataFrame, ratio: int) -> DataFrame:
+def roll_up(small: DataFrame, ratio: int, flags: tuple[str, ...] = (), firsts: tuple[str, ...] = ()) -> DataFrame:
     """Larger bars from smaller ones that tile them."""
     out = small.groupBy(*KEYS, F.floor(F.col("bar_no") / ratio).cast("long").alias("bar_no")).agg(
         F.min_by("open", "start_tick").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_tick").alias("close"),
         F.sum("volume").alias("volume"), F.sum("n_ticks").alias("n_ticks"), F.min("start_tick").alias("start_tick"), F.max("last_tick").alias("last_tick"),
         F.min(F.struct((-F.col("high")).alias("p"), F.col("hi_tick").alias("t"))).alias("_hi"), F.min(F.struct(F.col("low").alias("p"), F.col("lo_tick").alias("t"))).alias("_lo"),
+        *(F.max(c).alias(c) for c in flags), *(F.min_by(c, "start_tick").alias(c) for c in firsts),
     )
     return out.withColumns({"hi_tick": F.col("_hi.t"), "lo_tick": F.col("_lo.t")}).drop("_hi", "_lo")
 
 
+def child(size: str, sizes: dict[str, int] = SIZES) -> str | None:
+    """The largest smaller size that tiles a size; None if ticks alone do."""
+    smaller = [n for n, s in sizes.items() if s < sizes[size] and sizes[size] % s == 0]
+    return max(smaller, key=sizes.__getitem__, default=None)
+
+
+def write_sizes(
+    ticks: DataFrame, path: str, sizes: dict[str, int] = SIZES, flags: tuple[str, ...] = (), firsts: tuple[str, ...] = (), by: tuple[str, ...] = ("freq",),
+) -> DataFrame:
+    """Writes bars of all sizes below ``path`` by freq, and reads them back (freq names the size).
+
+    A cascade: the smallest size is built from ticks, each other from the
+    stored bars of the size that tiles it. Ticks are shuffled once, as bars of
+    the smallest size, and no bar is copied. ``by`` may have session_date as
+    well: then a session of all symbols is one file, unless it is large and
+    the rebalance splits it. What is there already of the folders written is
+    replaced, so a rerun changes nothing.
+    """
+    schema = None
+    for name in sorted(sizes, key=sizes.__getitem__):
+        below = child(name, sizes)
+        if below is None:
+            one = bars(ticks, sizes[name], flags, firsts)
+            schema = one.schema.add("freq", "string")
+        else:
+            stored = ticks.sparkSession.read.schema(schema).option("basePath", path).parquet(f"{path}/freq={below}")
+            one = roll_up(stored, sizes[name] // sizes[below], flags, firsts)
+        rows = one.withColumn("freq", F.lit(name))
+        rows = rows.hint("rebalance", "session_date") if "session_date" in by else rows
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
+    return ticks.sparkSession.read.schema(schema).parquet(path)
+
+
 def with_hl(bars: DataFrame) -> DataFrame:
     """hl: the bar's first highest tick comes before its first lowest."""
     return bars.withColumn("hl", F.col("hi_tick") < F.col("lo_tick"))
@@ -48,33 +83,24 @@ def pointers(bars: DataFrame) -> DataFrame:
     return bars.join(before, list(KEYS)).withColumns({"start_ind": F.col("_before") + F.col("start_tick"), "next_ind": F.col("_before") + F.col("last_tick") + 1}).drop("_before")
 
 
-def bar_table(ticks: DataFrame, sizes: dict[str, int] = SIZES, news: tuple[str, ...] = ()) -> DataFrame:
-    """Bars of all sizes in one table (freq names the size): prices, volume, labels and news flags.
+def index_ticks(ticks: DataFrame, bars: DataFrame, sizes: dict[str, int] = SIZES) -> DataFrame:
+    """Adds tick_ind and, for each size, bar_, high_, low_ and next_<size>: the bar's number, and on its first tick its values (0 on the others).
 
-    ticks carry rth, session, hour and a flag for each kind of news. A bar is
-    in regular hours, or under news, if any tick is; session and hour are its
-    first tick's. One-second bars are built from ticks once; every size is a
-    roll-up of them, so a tick is shuffled once.
+    ticks have a global row, tick_ind; bars is a table of those sizes. A bar's values come by its first
+    tick's number, all sizes that start there in one row, so ticks are
+    shuffled once whatever the number of sizes.
     """
-    flags = ["rth", *news]
-    one = bars(ticks, 1)
-    extra = ticks.groupBy(*KEYS, F.col("sod").alias("bar_no")).agg(*(F.max(c).alias(c) for c in flags), *(F.min_by(c, "tick_no").alias(c) for c in ("session", "hour")))
-    one = one.join(extra, [*KEYS, "bar_no"])
-    kinds = F.array(*(F.struct(F.lit(n).alias("freq"), F.lit(s).alias("_s")) for n, s in sizes.items()))
-    each = one.select("*", F.inline(kinds)).withColumn("bar_no", F.floor(F.col("bar_no") / F.col("_s")).cast("long"))
-    return each.groupBy("freq", *KEYS, "bar_no").agg(
-        F.min_by("open", "start_tick").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_tick").alias("close"),
-        F.sum("volume").alias("volume"), F.sum("n_ticks").alias("n_ticks"), F.min("start_tick").alias("start_tick"), F.max("last_tick").alias("last_tick"),
-        *(F.max(c).alias(c) for c in flags), *(F.min_by(c, "start_tick").alias(c) for c in ("session", "hour")))
-
-
-def on_first_rows(ticks: DataFrame, seconds: int, name: str) -> DataFrame:
-    """Adds bar_, high_, low_ and next_<name> to ticks with a global row: the bar's values on its first tick, 0 on the others."""
-    w = Window.partitionBy(*KEYS, f"bar_{name}")
-    t = ticks.withColumn(f"bar_{name}", F.floor(F.col("sod") / seconds).cast("long"))
-    first = F.col("tick_no") == F.min("tick_no").over(w)
-    values = {"high": F.max("price").over(w), "low": F.min("price").over(w), "next": F.max("tick_ind").over(w) + 1}
-    return t.withColumns({f"{c}_{name}": F.when(first, v).otherwise(0) for c, v in values.items()})
+    at = lambda n, c: F.max(F.when(F.col("freq") == n, F.col(c)))
+    starts = bars.groupBy(*KEYS, F.col("start_tick").alias("tick_no")).agg(*(at(n, c).alias(f"_{c}_{n}") for n in sizes for c in ("high", "low", "last_tick")))
+    out = ticks.join(starts, [*KEYS, "tick_no"], "left")
+    offset = F.col("tick_ind") - F.col("tick_no") + 1
+    columns = {}
+    for n, seconds in sizes.items():
+        columns |= {
+            f"bar_{n}": F.floor(F.col("sod") / seconds).cast("long"), f"high_{n}": F.coalesce(f"_high_{n}", F.lit(0)), f"low_{n}": F.coalesce(f"_low_{n}", F.lit(0)),
+            f"next_{n}": F.coalesce(offset + F.col(f"_last_tick_{n}"), F.lit(0)),
+        }
+    return out.withColumns(columns).drop(*(f"_{c}_{n}" for n in sizes for c in ("high", "low", "last_tick")))
 
 
 def asof_sizes(bars: dict[int, DataFrame], base: int, columns: list[str], session_seconds: int = 82800) -> DataFrame:

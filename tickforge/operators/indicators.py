@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,8 +52,9 @@ CHUNK = 256
 
 
 def _chunk(alpha: float) -> int:
-    """Rows of a chunk: so many that two or three chunks hold all that counts, few enough for the powers inside one."""
-    return max(CHUNK, int(20 / alpha))
+    """Rows of a chunk: so many that two or three chunks hold all that counts, few enough for the powers of the decay inside one."""
+    most = int(600 / -math.log(1 - alpha)) if alpha < 1 else 1
+    return max(1, min(max(CHUNK, int(20 / alpha)), most))
 
 
 def ewm(df: DataFrame, value: str, out: str, alpha: float, *, adjust: bool = False, min_rows: int = 1) -> DataFrame:
@@ -94,6 +96,25 @@ def true_range(df: DataFrame) -> DataFrame:
     return df.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
+def forming_atr(base: DataFrame, big: DataFrame, ratio: int, n: int = 14) -> DataFrame:
+    """Adds forming_atr to bars of a small size: the range of the larger bar that is still open, with the n closed ones before it.
+
+    The open bar counts with its extremes so far and its last close. The mean
+    of the last n - 1 closed true ranges and the open one is smoothed once
+    more with the open one; null with fewer than n closed bars. The closed
+    bars' part is one row for each larger bar, met by its key.
+    """
+    h = history()
+    closed = true_range(big).withColumns({"_sum": F.sum("tr").over(h.rowsBetween(1 - n, -1)), "_before": F.lag("close").over(h), "_whole": F.lag("close", n).over(h).isNotNull()})
+    closed = closed.select("symbol", "session_date", F.col("bar_no").alias("_big"), "_sum", "_before", "_whole")
+    b = base.withColumn("_big", F.floor(F.col("bar_no") / ratio)).join(closed, ["symbol", "session_date", "_big"], "left")
+    so_far = Window.partitionBy("symbol", "session_date", "_big").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumns({"_high": F.max("high").over(so_far), "_low": F.min("low").over(so_far)})
+    tr = F.greatest(F.col("_high") - F.col("_low"), F.abs(F.col("_high") - F.col("_before")), F.abs(F.col("_low") - F.col("_before")))
+    smoothed = ((F.col("_sum") + tr) / n * (n - 1) + tr) / n
+    return b.withColumn("forming_atr", F.when(F.col("_whole"), smoothed)).drop("_big", "_sum", "_before", "_whole", "_high", "_low")
+
+
 def sma_rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """Relative strength of simple means, turned around zero: -(RSI / 50 - 1)."""
     df = df.withColumn("_c", F.col("close") - F.lag("close").over(history()))

@@ -77,6 +77,63 @@ def direction_labels(df: DataFrame, expected: float, stop: float = 0.0, ahead: i
     return out.select(*group, F.col("e.rows.bar_no").alias("bar_no"), F.col("e.d").alias("direction"))
 
 
+def holding_runs(df: DataFrame) -> DataFrame:
+    """symbol, direction, runs, mean_length, mean_reward, reward, flat_reward of the runs of equal direction.
+
+    df: symbol, session_date, half, bar_no, open, close, direction. A run goes
+    on over sessions. Its reward is what its direction makes from its first
+    open to the next run's (a symbol's last run: to its last open); none for
+    direction 0. flat_reward, for each run's part in one half day: the longer
+    way of the closes from the first open less twice the shorter, plus the way
+    from open to next open in size; its mean over runs without direction, or
+    over all that have one.
+    """
+    h = Window.partitionBy("symbol").orderBy("session_date", "bar_no")
+    new = F.col("direction") != F.coalesce(F.lag("direction").over(h), F.lit(9))
+    df = df.withColumns({"_diff": F.col("open") - F.lead("open").over(h), "_run": new.cast("int")})
+    df = df.withColumn("_run", F.sum("_run").over(h.rowsBetween(Window.unboundedPreceding, 0)))
+    first_open = F.min_by("open", F.struct("session_date", "bar_no"))
+    parts = df.groupBy("symbol", "direction", "_run", "session_date", "half").agg(F.count(F.lit(1)).alias("_n"), F.sum("_diff").alias("_diff"), first_open.alias("_b"), F.max("close").alias("_c"), F.min("close").alias("_d"))
+    up, down = F.col("_c") - F.col("_b"), F.col("_b") - F.col("_d")
+    parts = parts.withColumn("_flat", F.greatest(up, down) - 2 * F.least(up, down) + F.abs(F.coalesce("_diff", F.lit(0))))
+    has = (F.col("direction") != 0).alias("_has")
+    flat = parts.groupBy("symbol", has).agg(F.avg("_flat").alias("flat_reward"))
+    runs = parts.groupBy("symbol", "direction", "_run").agg(F.sum("_n").alias("_n"), F.coalesce(F.sum("_diff"), F.lit(0)).alias("_diff"))
+    gain = F.when(F.col("direction") != 0, -F.col("direction") * F.col("_diff"))
+    out = runs.groupBy("symbol", "direction").agg(F.count(F.lit(1)).alias("runs"), F.avg("_n").alias("mean_length"), F.avg(gain).alias("mean_reward"), F.sum(gain).alias("reward"))
+    return out.withColumn("_has", F.col("direction") != 0).join(flat, ["symbol", "_has"]).drop("_has")
+
+
+def episodes(days: DataFrame, steps: int, min_steps: int = 0, max_steps: int | None = None, lead: int = 60, held_out: int = 3) -> DataFrame:
+    """symbol, episode, first_row, last_row, rows, days, split: days packed until an episode holds ``steps`` bars, with rows of lead-in.
+
+    days: symbol, session_date, n, a, b (bars, first and last row). Episodes
+    with fewer than min_steps rows (the lead-in counts) are left out, longer
+    ones cut at max_steps; of those that stay the last ``held_out`` are for
+    tests, as many before them for validation, the rest for training. The fold
+    runs over a symbol's days, one number for each session.
+    """
+    lists = days.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("session_date", "n", "a", "b"))).alias("days"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("ep"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, x):
+        full = s["held"] >= steps
+        ep = F.when(full, s["ep"] + 1).otherwise(s["ep"])
+        return F.struct(F.when(full, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), ep.alias("ep"), F.array_append(s["out"], ep).alias("out"))
+
+    packed = lists.withColumn("ep", F.aggregate("days", start, step, lambda s: s["out"]))
+    each = packed.select("symbol", F.explode(F.arrays_zip("days", "ep")).alias("e")).select("symbol", F.col("e.ep").alias("_ep"), F.col("e.days.a").alias("a"), F.col("e.days.b").alias("b"))
+    out = each.groupBy("symbol", "_ep").agg(F.greatest(F.min("a") - lead, F.lit(0)).alias("first_row"), F.max("b").alias("last_row"), F.count(F.lit(1)).alias("days"))
+    out = out.filter(F.col("last_row") - F.col("first_row") + 1 >= min_steps)
+    if max_steps is not None:
+        out = out.withColumn("last_row", F.least("last_row", F.col("first_row") + max_steps - 1))
+    w = Window.partitionBy("symbol")
+    back = F.row_number().over(w.orderBy(F.desc("_ep")))
+    out = out.withColumns({"_back": back, "episode": F.row_number().over(w.orderBy("_ep")) - 1, "rows": F.col("last_row") - F.col("first_row") + 1})
+    split = F.when(F.col("_back") <= held_out, "test").when(F.col("_back") <= 2 * held_out, "validation").otherwise("train")
+    return out.select("symbol", "episode", "first_row", "last_row", "rows", "days", split.alias("split"))
+
+
 # Runs of trades
 
 

@@ -56,3 +56,39 @@ def news_flags(ticks: DataFrame, windows: DataFrame) -> DataFrame:
     out = ticks.join(F.broadcast(day), "session_date", "left").withColumn("_us", us)
     inside = lambda k: F.coalesce(F.exists(F.col(f"_{k}"), lambda w: (F.col("_us") >= w["lo"]) & (F.col("_us") < w["hi"])), F.lit(False)).cast("int")
     return out.withColumns({f"news_{k}": inside(k) for k in NEWS}).drop("_us", *(f"_{k}" for k in NEWS))
+
+
+def splice_roll(block: DataFrame, main: DataFrame, by: list[str], order: str, contract: str = "instrument_id") -> DataFrame:
+    """A roll day's rows of one contract: the block, then the main table's rows of the block's contract.
+
+    Each group of ``by`` (a session of a symbol) is spliced by itself. What may
+    not be is refused: other columns in the block than in the main table (at
+    once); and, when the rows are read, a block of several contracts, a main
+    table without the block's contract, and a block that does not end before
+    that contract's first row there. Groups without a block are left out.
+    """
+    if [(f.name, f.dataType) for f in block.schema] != [(f.name, f.dataType) for f in main.schema]:
+        raise ValueError(f"the block's columns differ: {block.schema.simpleString()} for {main.schema.simpleString()}")
+    facts = block.groupBy(*by).agg(F.min(contract).alias(contract), F.max(contract).alias("_other"), F.max(order).alias("_end"))
+    starts = main.groupBy(*by, contract).agg(F.min(order).alias("_start"))
+    named = lambda text: F.raise_error(F.concat(F.lit(text), F.concat_ws(" ", *(F.col(c).cast("string") for c in by))))
+    gate = F.when(F.col(contract) != F.col("_other"), named("a block holds several contracts: ")).when(
+        F.col("_start").isNull(), named("the main table lacks the block's contract: ")).when(F.col("_end") >= F.col("_start"), named("a block overlaps the main table: "))
+    # One row for each session on which a contract rolls.
+    passed = facts.join(starts, [*by, contract], "left").select(*by, contract, F.coalesce(gate.cast("boolean"), F.lit(True)).alias("_passed"))
+    return block.unionByName(main).join(F.broadcast(passed), [*by, contract]).filter("_passed").select(*main.columns)
+
+
+def contract_codes(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Adds code, the contract that has the row's id on its session; one that none or several have raises.
+
+    Ids are looked up once for each session (a list as short as the calendar),
+    not for each row.
+    """
+    keys = ["session_date", "instrument_id"]
+    asked = rows.select(*keys).distinct()
+    fits = asked.join(F.broadcast(contracts), "instrument_id", "left").withColumn("_on", F.col("session_date").between(F.col("first"), F.col("last")))
+    found = fits.groupBy(*keys).agg(F.max(F.when(F.col("_on"), F.col("code"))).alias("code"), F.count(F.when(F.col("_on"), 1)).alias("_n"))
+    text = F.concat(F.col("_n").cast("string"), F.lit(" contracts have id "), F.col("instrument_id").cast("string"), F.lit(" on "), F.col("session_date").cast("string"))
+    found = found.withColumn("code", F.when(F.col("_n") != 1, F.raise_error(text).cast("string")).otherwise(F.col("code"))).drop("_n")
+    return rows.join(F.broadcast(found), keys)

@@ -9,7 +9,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import history
+from .bars import SIZES, history
+from .search import level_search
 
 TICK_USD, COMMISSION = 12.5, 2.0
 #: Bars of a block in the search for exits.
@@ -116,31 +117,12 @@ def vol_grid(signals: DataFrame, tps: list[float], sls: list[float], vol: str) -
     return signals.select("*", F.inline(pairs)).withColumns({"tp": level("_a"), "sl": level("_b")}).drop("_a", "_b")
 
 
-def first_hit(entries: DataFrame, bars: DataFrame, ticks: DataFrame, bar_seconds: int) -> DataFrame:
-    """Adds hit to entries (entry_id, symbol, session_date, bar_no, upper, lower): 1 upper, -1 lower, 0 none.
-
-    The bar's extremes decide unless both levels lie inside them; only those
-    entries meet the bar's ticks, by an equi join on the bar's key.
-    """
-    keys = ["symbol", "session_date", "bar_no"]
-    e = entries.withColumn("_e", F.col("entry_id"))
-    e = e.join(bars.select(*keys, F.col("high").alias("_h"), F.col("low").alias("_l")), keys, "left")
-    up, down = F.coalesce(F.col("_h") >= F.ceil("upper"), F.lit(False)), F.coalesce(F.col("_l") <= F.floor("lower"), F.lit(False))
-    e = e.withColumns({"_up": up, "_down": down})
-    both = e.filter("_up and _down").select("_e", *keys, "upper", "lower")
-    t = ticks.select("symbol", "session_date", F.floor(F.col("sod") / bar_seconds).cast("long").alias("bar_no"), "tick_no", "price")
-    side = F.when(F.col("price") >= F.ceil("upper"), 1).otherwise(-1)
-    met = both.join(t, keys).filter("price >= ceil(upper) or price <= floor(lower)").groupBy("_e").agg(F.min_by(side, "tick_no").alias("_first"))
-    e = e.join(met, "_e", "left")
-    hit = F.when(F.col("_up") & F.col("_down"), F.col("_first")).when(F.col("_up"), 1).when(F.col("_down"), -1).otherwise(0)
-    return e.withColumn("hit", hit.cast("int")).drop("_e", "_h", "_l", "_up", "_down", "_first")
-
-
-def find_exits(sig: DataFrame, bars: DataFrame, ticks: DataFrame, bar_seconds: int) -> DataFrame:
+def find_exits(sig: DataFrame, bars: DataFrame, table: DataFrame, ticks: DataFrame, size: str, sizes: dict[str, int] = SIZES) -> DataFrame:
     """One trade for each signal and stops label: entry at the next bar's first tick, exit by level, opposite signal, flat bar or session end.
 
     sig: rows of ``signals`` with tp, sl, stops; bars: numbered rows of the
-    same symbols. The only wide join carries (symbol, session_date) and looks
+    same symbols, of the given size; table: the bars of that size and all below
+    (freq). Where a bar holds both levels, ``level_search`` decides. The only wide join carries (symbol, session_date) and looks
     for the first block of bars that touches a level; then the bars of that
     block, and of the entry's own, are looked at. So a trade meets a session's
     blocks and two blocks' bars, however short the bars.
@@ -159,9 +141,9 @@ def find_exits(sig: DataFrame, bars: DataFrame, ticks: DataFrame, bar_seconds: i
     near = s.join(later, one, "left").withColumn("block", F.explode(F.array_compact(F.array("own", "later"))))
     touch = near.join(b, [*keys, "block"]).filter(f"b_row >= entry_row and b_row < until and {reached('high', 'low')}").groupBy(*one).agg(F.min("b_row").alias("hit_row"))
     s = s.drop("own").join(touch, one, "left").withColumn("bar_row", F.coalesce("hit_row", F.col("until") - 1))
-    at = bars.select("symbol", F.col("row").alias("bar_row"), "bar_no", F.col("close").alias("bar_close"))
+    at = bars.select("symbol", F.col("row").alias("bar_row"), "start_tick", F.col("close").alias("bar_close"))
     s = s.join(at, ["symbol", "bar_row"]).withColumn("entry_id", F.concat_ws("|", "symbol", "row", "stops"))
-    s = first_hit(s, bars, ticks, bar_seconds).drop("entry_id", "bar_no")
+    s = level_search(s, table, ticks, size, sizes).drop("entry_id", "start_tick")
     opens = lambda name: bars.select("symbol", F.col("row").alias(f"{name}_row"), F.col("open").alias(f"{name}_px"))
     changed = (F.col("hit") == 0) & (F.col("until") < F.col("stop"))
     s = s.withColumns({"changed": changed, "change_row": F.col("until"), "flat_row": F.col("flat")})

@@ -11,8 +11,9 @@ from tickforge.operators import scores as SC
 from tickforge.operators import stats as ST
 from tickforge.operators import ticks as T
 from tickforge.operators import trading as X
+from tickforge.operators.search import level_search
 
-from tickforge.functions.folders import stored
+from tickforge.functions.folders import shared_folder, stored, stored_once
 
 from . import sql as S
 from .market import _NEWS_SQL, DAY, _GUARD, bars5, day, labelled, ticks
@@ -28,33 +29,71 @@ def newest():
     return [F.desc(c) for c in ("session_date", "exit_ts_row", "entry_row", "row")]
 
 
-def _sided(spark, d):
-    b = X.rows(I.sma_rsi(bars5(spark, d)))
-    side = F.when(F.col("sma_rsi") > 0.2, 1).when(F.col("sma_rsi") < -0.2, -1).otherwise(0)
+#: Sizes up to the trading bar's.
+SMALL = {n: s for n, s in B.SIZES.items() if s <= 300}
+
+
+def _ticks(spark, d):
+    """The ticks, stored once for all backtest queries."""
+    return stored_once(spark, "ticks", f"{d}/events.parquet", lambda: ticks(spark, d))
+
+
+def _table(spark, d):
+    """Bars of the trading size and all below it, by a cascade from the stored ticks."""
+    return stored_once(spark, "small-bars", f"{d}/events.parquet", lambda: B.write_sizes(_ticks(spark, d), shared_folder(spark, "sizes"), SMALL))
+
+
+def _bars5(spark, d):
+    return _table(spark, d).filter("freq = '5'").drop("freq")
+
+
+def _sided(spark, d, level=0.2):
+    b = X.rows(I.sma_rsi(_bars5(spark, d)))
+    side = F.when(F.col("sma_rsi") > level, 1).when(F.col("sma_rsi") < -level, -1).otherwise(0)
     return X.session_ends(b.withColumn("side", side), 5, 1320)
 
 
-def _signals(spark, d):
-    return X.signals(X.turns(_sided(spark, d)))
+def _signals(spark, d, level=0.2):
+    return X.signals(X.turns(_sided(spark, d, level)))
+
+
+def _exits(spark, d, level=0.2):
+    """Every signal's exits: stored once, as the run and all that checks it read them."""
+    sig = lambda: X.stop_grid(_signals(spark, d, level), [6, 12], [6, 12])
+    return stored_once(spark, f"exits-{level}", f"{d}/events.parquet", lambda: X.find_exits(sig(), X.rows(_bars5(spark, d)), _table(spark, d), _ticks(spark, d), "5", SMALL))
 
 
-def _exits(spark, d):
-    b = X.rows(bars5(spark, d))
-    sig = X.stop_grid(_signals(spark, d), [6, 12], [6, 12])
-    return X.find_exits(sig, b, ticks(spark, d), 300)
+def _run(spark, d, level=0.2):
+    """The run's trades: stored once, as all statistics read them."""
+    return stored_once(spark, f"run-{level}", f"{d}/events.parquet", lambda: X.costs(X.one_at_a_time(_exits(spark, d, level))))
 
 
-def _run(spark, d):
-    return X.costs(X.one_at_a_time(_exits(spark, d)))
+#: The strategies that leaderboards and slices compare, by their level.
+STRATEGIES = (0.2, 0.4)
 
 
-def _stored_run(spark, d):
-    """The run's trades, written once: statistics read them several times, and the plan behind them is long."""
-    return stored(_run(spark, d), "run")
+def _runs(spark, d):
+    """The trades of both strategies."""
+    parts = [_run(spark, d, x).withColumn("strategy", F.lit(f"rsi_{x}")) for x in STRATEGIES]
+    return parts[0].unionByName(parts[1])
+
+
+def both(sql: str) -> str:
+    """A run's SQL for both strategies at once: each symbol stands once for each level, which is the second part of its name."""
+    out = sql.replace("select event_id as arrival_id, event_type as symbol,", "select event_id as arrival_id, event_type || '|' || lvl as symbol,", 1)
+    out = out.replace("from events\n), trades as", f"from events, (values {', '.join(f'({x!r})' for x in map(str, STRATEGIES))}) l(lvl)\n), trades as", 1).replace("event_type) % 5", "split_part(event_type, '|', 1)) % 5")
+    level = "split_part(symbol, '|', 2)::double"
+    return out.replace("sma_rsi > 0.2 then 1 when sma_rsi < -0.2", f"sma_rsi > {level} then 1 when sma_rsi < -{level}", 1)
+
+
+NAMED = "'rsi_' || split_part(symbol, '|', 2) as strategy, split_part(symbol, '|', 1) as symbol"
+
+
+_stored_run = _run
 
 
 def _days(spark, d):
-    return ticks(spark, d).select("session_date").distinct()
+    return _bars5(spark, d).select("session_date").distinct()
 
 
 def _round(df, names: list[str]):
@@ -132,14 +171,14 @@ def stop_grid_q(spark, d):
 
 @query("vol_grid", f"with {S.SIDES}, sd as (select symbol, row, {_GUARD % f'stddev_pop(close) over ({S.W} rows 19 preceding)'} as sd from bars), g(a, b) as (values (1.5::double, 2::double)) select symbol, row, greatest(1, ceil(round(a * sd, 6))) as tp, greatest(1, ceil(round(b * sd, 6))) as sl from sig join sd using (symbol, row), g where sd is not null")
 def vol_grid_q(spark, d):
-    b = X.rows(I.std(bars5(spark, d))).select("symbol", "row", F.col("20_std").alias("vol"))
+    b = X.rows(I.std(_bars5(spark, d))).select("symbol", "row", F.col("20_std").alias("vol"))
     sig = _signals(spark, d).join(b, ["symbol", "row"]).filter("vol is not null")
     return X.vol_grid(sig, [1.5], [2.0], "vol").select("symbol", "row", "tp", "sl")
 
 
 def _entries(spark, d):
-    b = X.rows(bars5(spark, d))
-    return b.select("symbol", "session_date", "bar_no", "row", (F.col("open") + 2.0).alias("upper"), (F.col("open") - 2.0).alias("lower"), F.concat_ws("|", "symbol", "row").alias("entry_id"))
+    b = X.rows(_bars5(spark, d))
+    return b.select("symbol", "session_date", "bar_no", "start_tick", "row", (F.col("open") + 2.0).alias("upper"), (F.col("open") - 2.0).alias("lower"), F.concat_ws("|", "symbol", "row").alias("entry_id"))
 
 
 _FIRST = f"with {S.BARS5} select b.symbol, b.row, coalesce(arg_min(case when t.price >= b.open + 2 then 1 else -1 end, t.tick_no) filter (t.price >= b.open + 2 or t.price <= b.open - 2), 0) as hit from bars b join ticks t on b.symbol = t.symbol and b.session_date = t.session_date and t.sod // 300 = b.bar_no group by b.symbol, b.row"
@@ -147,7 +186,28 @@ _FIRST = f"with {S.BARS5} select b.symbol, b.row, coalesce(arg_min(case when t.p
 
 @query("first_hit", _FIRST)
 def first_hit_q(spark, d):
-    return X.first_hit(_entries(spark, d), bars5(spark, d), ticks(spark, d), 300).select("symbol", "row", "hit")
+    """Which of two levels each five-minute bar touches first, by descent to one-second bars and their ticks."""
+    return level_search(_entries(spark, d), _table(spark, d), _ticks(spark, d), "5", SMALL).select("symbol", "row", "hit")
+
+
+_LEVELS = f"""with {S.TICKS}, {S.bars(86400, 'b', False)}, e as (select symbol, session_date, open + u as upper, open - l as lower, u || '/' || l as levels, unnest(['day', '60', '15']) as freq, unnest([86400, 3600, 900]) as secs from b, (values (2.0, 2.0), (5.5, 3.5), (12.0, 'inf'::double)) g(u, l)),
+s as (select e.*, t.sod // secs as n, t.price, t.tick_no from e join ticks t on e.symbol = t.symbol and e.session_date = t.session_date)
+select symbol, {DAY}, freq, levels, n as bar_no, coalesce(arg_min(case when price >= upper then 1 else -1 end, tick_no) filter (price >= upper or price <= lower), 0) as hit from s group by all"""
+
+
+@query("level_search", _LEVELS)
+def level_search_q(spark, d):
+    """Fractional, near, far and missing levels around each session's open, for day, 60-minute and 15-minute bars: the whole descent."""
+    t = _ticks(spark, d)
+    table = B.write_sizes(t, shared_folder(spark, "sizes"))
+    open_ = table.filter("freq = 'day'").select("symbol", "session_date", F.col("open").alias("_open"))
+    pairs = F.array(*(F.struct(F.lit(u).alias("_u"), F.lit(v).alias("_l"), F.lit(n).alias("levels")) for u, v, n in ((2.0, 2.0, "2.0/2.0"), (5.5, 3.5, "5.5/3.5"), (12.0, float("inf"), "12.0/inf"))))
+    out = []
+    for size in ("day", "60", "15"):
+        e = table.filter(F.col("freq") == size).join(open_, ["symbol", "session_date"]).select("symbol", "session_date", "freq", "bar_no", "start_tick", "_open", F.inline(pairs))
+        e = e.withColumns({"upper": F.col("_open") + F.col("_u"), "lower": F.col("_open") - F.col("_l"), "entry_id": F.concat_ws("|", "symbol", "session_date", "bar_no", "levels")})
+        out.append(level_search(e, table, t, size).select("symbol", "session_date", "freq", "levels", "bar_no", "hit"))
+    return day(out[0].unionByName(out[1]).unionByName(out[2]))
 
 
 @query("first_hit_brute", _FIRST)
@@ -238,24 +298,23 @@ def summary_by_side_q(spark, d):
     return _round(ST.summary(ST.by_sides(_stored_run(spark, d), "stops"), _days(spark, d), RUN), _STAT)
 
 
-@query("leaderboard", f"with recursive {_SUMMARY} select symbol, stops, trades, round(cast(total_net_usd as double), 6) + 0 as total_net_usd, row_number() over (order by total_net_usd desc, symbol, stops) as place from summary")
+@query("leaderboard", f"with recursive {both(_SUMMARY)}, named as (select {NAMED}, stops, trades, total_net_usd from summary) select *  exclude (total_net_usd), round(cast(total_net_usd as double), 6) + 0 as total_net_usd, row_number() over (order by total_net_usd desc, strategy, symbol, stops) as place from named")
 def leaderboard_q(spark, d):
-    # One row for each run of the grid: the report itself.
-    s = ST.summary(_stored_run(spark, d), _days(spark, d), RUN).select(*RUN, "trades", F.round("total_net_usd", 6).alias("total_net_usd"))
-    return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_net_usd"), *RUN)).cast("long"))
-
-
-@query("top_slices", f"with recursive {_SUMMARY} select symbol, stops, round(cast(total_net_usd as double), 6) + 0 as total_net_usd from summary where trades >= 5 order by total_net_usd desc, symbol, stops limit 10")
-def top_slices_q(spark, d):
-    s = ST.summary(_stored_run(spark, d), _days(spark, d), RUN).filter("trades >= 5")
-    return s.select(*RUN, F.round("total_net_usd", 6).alias("total_net_usd")).orderBy(F.desc("total_net_usd"), *RUN).limit(10)
+    """Every strategy's runs, the one with most net first: one row for each run of the grid, the report itself."""
+    run = ["strategy", *RUN]
+    s = ST.summary(_runs(spark, d), _days(spark, d), run).select(*run, "trades", F.round("total_net_usd", 6).alias("total_net_usd"))
+    return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_net_usd"), *run)).cast("long"))
 
 
 @query("final_run", f"with recursive {_SUMMARY}, best as (select symbol, stops from summary order by total_net_usd desc, symbol, stops limit 1) select r.symbol, r.stops, r.row, cast(r.net_usd as double) as net_usd from run r join best using (symbol, stops)")
 def final_run_q(spark, d):
-    run = _stored_run(spark, d)
-    best = run.groupBy(*RUN).agg(F.sum("net_usd").alias("n")).orderBy(F.desc("n"), *RUN).limit(1)
-    return run.join(F.broadcast(best.select(*RUN)), RUN).select(*RUN, "row", "net_usd")
+    return ST.final_run(_run(spark, d), RUN).select(*RUN, "row", "net_usd")
+
+
+@query("final_run_chosen", f"with recursive {both(S.KEPT)}, named as (select {NAMED}, stops, row, net_usd from run) select strategy, symbol, stops, row, cast(net_usd as double) as net_usd from named where strategy = 'rsi_0.2' and stops = '12/6'")
+def final_run_chosen_q(spark, d):
+    """The configured run instead of the best one."""
+    return ST.final_run(_runs(spark, d), ["strategy", "stops"], ("rsi_0.2", "12/6")).select("strategy", *RUN, "row", "net_usd")
 
 
 def _period_sql(unit: str) -> str:
@@ -284,7 +343,7 @@ def by_side_q(spark, d):
 
 
 def _labelled(spark, d):
-    b = X.rows(bars5(spark, d)).select("symbol", F.col("row").alias("entry_row"), F.floor(F.col("bar_no") / 12).cast("int").alias("hour"))
+    b = X.rows(_bars5(spark, d)).select("symbol", F.col("row").alias("entry_row"), F.floor(F.col("bar_no") / 12).cast("int").alias("hour"))
     return _run(spark, d).join(b, ["symbol", "entry_row"])
 
 
@@ -296,11 +355,63 @@ def by_label_q(spark, d):
     return _round(ST.by_label(_labelled(spark, d), F.col("hour"), "hour", ["stops"]), ["win_rate", "avg_net_usd"])
 
 
-@query("slices", f"with recursive {_LABELLED} select stops, hour, side, cast(grouping(hour) * 2 + grouping(side) as bigint) as level, count(*) as trades, sum(gross_usd)::double as gross_usd, sum(net_usd)::double as net_usd, round(avg((net_usd > 0)::int), 6) as win_rate, round(avg(net_usd) / nullif(stddev_samp(net_usd), 0) * sqrt(count(*)), 6) + 0 as t_stat, coalesce(sum(net_usd) filter (session_date < date '{SPLIT}'), 0)::double as net_before, coalesce(sum(net_usd) filter (session_date >= date '{SPLIT}'), 0)::double as net_after from lab group by grouping sets ((stops), (stops, hour), (stops, hour, side))")
+LABELS = ["hour", "year", "month", "side"]
+
+
+def _pattern_sql() -> str:
+    return "case side when 1 then 'L' || (sma_rsi > 0.2)::int || (sma_rsi > 0.4)::int else 'S' || (sma_rsi < -0.2)::int || (sma_rsi < -0.4)::int end"
+
+
+def _slices_sql() -> str:
+    combined = ["hour", "year", "side", "signals"]
+    combos = [[c] for c in LABELS] + [[c, "side"] for c in LABELS if c != "side"] + [["signals"], combined]
+    parts = []
+    for c in combos:
+        value = " || ' / ' || ".join(f"{x}::varchar" for x in c)
+        who = f"'{ST.ALL}'" if c == combined else "strategy"
+        parts.append(f"""select {who} as strategy, stops, '{' x '.join(c)}' as label, {value} as value, count(*) as trades, avg(gross_usd) as gross_per_trade, avg(net_usd) as net_per_trade, avg((net_usd > 0)::int) as win_rate, sum(net_usd) as net_usd,
+ avg(net_usd) / nullif(stddev_samp(net_usd), 0) * sqrt(count(*)) as t_net, count(*) filter (session_date < date '{SPLIT}') as trades_before, coalesce(sum(net_usd) filter (session_date < date '{SPLIT}'), 0) as net_before,
+ count(*) filter (session_date >= date '{SPLIT}') as trades_after, coalesce(sum(net_usd) filter (session_date >= date '{SPLIT}'), 0) as net_after, count(distinct year) as years,
+ (select count(*) from (select 1 from lab y where y.stops = lab.stops {'' if c == combined else 'and y.strategy = lab.strategy'} {' '.join(f'and y.{x} = lab.{x}' for x in c)} group by y.year having sum(y.net_usd) > 0)) as years_positive
+ from lab group by {'' if c == combined else 'strategy, '}stops, {', '.join(c)}""")
+    return f"""with recursive {both(S.KEPT)}, lab as (
+ select 'rsi_' || split_part(r.symbol, '|', 2) as strategy, r.stops, r.session_date, r.side, r.gross_usd::double as gross_usd, r.net_usd::double as net_usd, cast(b.bar_no // 12 as int) as hour, year(r.session_date)::int as year, month(r.session_date)::int as month,
+  {_pattern_sql().replace('side', 'r.side').replace('sma_rsi', 's.sma_rsi')} as signals
+ from run r join bars b on b.symbol = r.symbol and b.row = r.entry_row join rsi s on s.symbol = r.symbol and s.row = r.row
+), slices as ({' union all '.join(parts)})"""
+
+
+_SLICES = _slices_sql()
+_SLICE_NUMBERS = ["gross_per_trade", "net_per_trade", "win_rate", "net_usd", "t_net", "net_before", "net_after"]
+
+
+def _slices(spark, d):
+    """Slices of both strategies' trades, labelled by hour of entry, year, month, side, and the pattern of signals on the signal bar."""
+    b = X.rows(I.sma_rsi(_bars5(spark, d)))
+    hour = b.select("symbol", F.col("row").alias("entry_row"), F.floor(F.col("bar_no") / 12).cast("int").alias("hour"))
+    many = [X.rsi_long(0.2), X.rsi_long(0.4), X.rsi_short(0.2), X.rsi_short(0.4)]
+    at = X.signal_columns(b, many).select("symbol", "row", *(F.col(f"`{s.name}`").alias(f"s{k}") for k, s in enumerate(many)))
+    t = _runs(spark, d).join(hour, ["symbol", "entry_row"]).join(at, ["symbol", "row"])
+    bits = lambda names: F.concat(*(F.when(F.col(n) == F.col("side"), "1").otherwise("0") for n in names))
+    t = t.withColumns({
+        "signals": F.when(F.col("side") == 1, F.concat(F.lit("L"), bits(["s0", "s1"]))).otherwise(F.concat(F.lit("S"), bits(["s2", "s3"]))),
+        "year": F.year("session_date"), "month": F.month("session_date"),
+    })
+    return ST.slices(t, LABELS, SPLIT)
+
+
+@query("slices", f"{_SLICES} select strategy, stops, label, value, trades, trades_before, trades_after, years, years_positive, {_dbl(_SLICE_NUMBERS)} from slices")
 def slices_q(spark, d):
-    out = ST.slices(_labelled(spark, d), ["stops"], ["hour"], SPLIT)
-    # The set of all labels equals the set of the only label here; it is listed once.
-    return _round(out.distinct(), ["win_rate", "t_stat"]).select("stops", "hour", "side", "level", "trades", "gross_usd", "net_usd", "win_rate", "t_stat", "net_before", "net_after")
+    return _round(_slices(spark, d), _SLICE_NUMBERS)
+
+
+@query("top_slices", f"""{_SLICES}, a as (select *, row_number() over (order by net_usd desc, strategy, stops, label, value) as place from slices where strategy <> '{ST.ALL}' and trades_before >= 5 and trades_after >= 5 and net_before > 0 and net_after > 0),
+b as (select *, row_number() over (order by t_net desc nulls last, strategy, stops, label, value) as place from slices where strategy = '{ST.ALL}' and net_usd > 0)
+select 'net' as list, place, strategy, stops, label, value, trades, {_dbl(['net_usd', 't_net'])} from a where place <= 15 union all select 't', place, strategy, stops, label, value, trades, {_dbl(['net_usd', 't_net'])} from b where place <= 15""")
+def top_slices_q(spark, d):
+    """The slices to look at: those that gain in both halves by net, and the combined ones by t-stat."""
+    found = stored(_slices(spark, d), "slices").withColumn("t_net", F.round("t_net", 9))
+    return _round(ST.best_slices(found, 5), ["net_usd", "t_net"]).select("list", "place", "strategy", "stops", "label", "value", "trades", "net_usd", "t_net")
 
 
 @query("pooled", f"with recursive {_LABELLED} select hour, count(*) as trades, round(avg(net_usd), 6)::double as avg_net_usd, round(avg((net_usd > 0)::int), 6) as win_rate, round(avg(net_usd) filter (session_date < date '{SPLIT}'), 6)::double as avg_before, round(avg(net_usd) filter (session_date >= date '{SPLIT}'), 6)::double as avg_after from lab group by hour")
@@ -376,15 +487,6 @@ def vol_band_q(spark, d):
     return day(X.vol_ok(b, "v", (0.2, 0.8), sessions=10).select("symbol", "session_date", "bar_no", F.col("vol_ok").cast("int").alias("ok")))
 
 
-@query("holding_runs", f"with {S.SIDES}, r as (select *, side <> coalesce(lag(side) over (partition by symbol, session_date order by row), 9) as new from stops), g as (select *, sum(new::int) over (partition by symbol, session_date order by row) as run from r), h as (select symbol, session_date, side, run, count(*) as n, arg_max(close, row) - arg_min(close, row) as move from g group by symbol, session_date, side, run) select symbol, side, count(*) as runs, round(avg(n), 6) as mean_length, cast(sum(move * side) as bigint) as reward from h group by symbol, side")
-def holding_runs_q(spark, d):
-    w = Window.partitionBy("symbol", "session_date").orderBy("row")
-    r = _sided(spark, d).withColumn("_n", (F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(9))).cast("int"))
-    r = r.withColumn("_g", F.sum("_n").over(w))
-    h = r.groupBy("symbol", "session_date", "side", "_g").agg(F.count(F.lit(1)).alias("n"), (F.max_by("close", "row") - F.min_by("close", "row")).alias("move"))
-    return h.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("n"), 6).alias("mean_length"), F.sum(F.col("move") * F.col("side")).alias("reward"))
-
-
 @query("ewm_kelly", f"""with recursive {S.KEPT}, o as (select symbol, stops, net_usd / 320.0::double as r, row_number() over ({NEWEST_SQL}) - 1 as i from run), w as (select *, pow(1 - 2 / 1001.0::double, i) as w from o where i < 1000),
 m as (select symbol, stops, count(*) as n, sum(w * r) / sum(w) as mu, sqrt(sum(w * pow(least(r, 0), 2)) / sum(w)) as sigma, coalesce(sum(w) filter (r > 0), 0) / sum(w) as win from w group by symbol, stops),
 k as (select symbol, stops, n, case when n >= 30 then mu else 0 end as mu, case when n >= 30 then sigma else 0 end as sigma, case when n >= 30 then win else 0 end as win, case when n >= 30 and mu > 0 and sigma > 0 then least(mu / (sigma * sigma), 2) * 0.5 else 0 end as f from m)
@@ -393,4 +495,4 @@ def ewm_kelly_q(spark, d):
     return _round(SC.ewm_kelly(_run(spark, d), RUN, newest()), ["mu", "sigma", "win_rate", "kelly_f", "confidence"])
 
 
-del _unit, B
+del _unit

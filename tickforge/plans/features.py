@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.clock import epoch_us
-from tickforge.functions.folders import shared_folder
+from tickforge.functions.folders import shared_folder, stored
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
 from tickforge.operators import scores as SC
 from tickforge.operators import stats as ST
+from tickforge.operators import ticks as T
 from tickforge.sources import sessions as FS
-from tickforge.sources.calendars import holidays
+from tickforge.sources.calendars import contracts, holidays
 from tickforge.sources.events import trades
 
 from . import sql as S
@@ -56,15 +57,22 @@ def news_windows_q(spark, d):
     return news_windows(spark).select("kind").distinct().join(hit, "kind", "left").select("kind", F.coalesce("k", F.lit(0)).alias("n"))
 
 
-@query("roll_splice", f"with {S.TICKS} select symbol, {DAY}, tick_no, price from ticks where (session_date < date '2024-01-16' and instrument_id <> 17001) or (session_date >= date '2024-01-16' and instrument_id in (select min(instrument_id) from ticks where session_date >= date '2024-01-16'))")
+_ROLL = "2024-01-16"
+#: Contracts of the roll: the block trades the later one, by the table's ids.
+_CODES = [("OLD", 17001, "2024-01-01", "2024-12-31"), ("NEW", 17901, "2024-01-16", "2024-12-31")]
+
+
+@query("roll_splice", f"with {S.TICKS} select symbol, {DAY}, 'NEW' as code, tick_no, price from ticks where session_date = date '{_ROLL}'")
 def roll_splice_q(spark, d):
-    """The block before the roll and, from the roll on, the rows of one contract, in one table of the same schema."""
-    t, roll = ticks(spark, d), F.lit("2024-01-16").cast("date")
-    after = t.filter(F.col("session_date") >= roll)
-    one = after.agg(F.min("instrument_id").alias("instrument_id"))
-    block = t.filter((F.col("session_date") < roll) & (F.col("instrument_id") != 17001))
-    cols = ["symbol", "session_date", "tick_no", "price"]
-    return day(block.select(cols).unionByName(after.join(F.broadcast(one), "instrument_id", "left_semi").select(cols)))
+    """A roll day: a block of the new contract up to 08:20, and a main table that holds both contracts from there on."""
+    t = ticks(spark, d).filter(F.col("session_date") == F.lit(_ROLL).cast("date")).select("symbol", "session_date", "sod", "tick_no", "price")
+    new, old = t.withColumn("instrument_id", F.lit(17901)), t.withColumn("instrument_id", F.lit(17001))
+    block, main = new.filter("sod < 30000"), new.filter("sod >= 30000").unionByName(old)
+    one = T.splice_roll(block, main, by=["symbol", "session_date"], order="sod")
+    path = shared_folder(spark, "contracts")
+    spark.createDataFrame(_CODES, "code string, instrument_id int, first string, last string").write.option("header", True).csv(path)
+    coded = T.contract_codes(one, contracts(spark, path))
+    return day(coded.select("symbol", "session_date", "code", "tick_no", "price"))
 
 
 @query("training_rows", f"with {S.RSI} select symbol, {DAY}, bar_no, close, round(sma_rsi, 6) + 0 as sma_rsi from rsi where session_date between date '2024-01-10' and date '2024-01-20' and sma_rsi is not null")
@@ -170,15 +178,6 @@ def stability_q(spark, d):
     return run.join(best, RUN).groupBy(*RUN, week).agg(F.sum("net_usd").alias("net_usd"))
 
 
-@query("family_percentiles", f"with {S.RSI} select symbol, round(quantile_cont(sma_rsi, 0.05), 6) + 0 as p05, round(quantile_cont(sma_rsi, 0.5), 6) + 0 as p50, round(quantile_cont(sma_rsi, 0.95), 6) + 0 as p95, round(quantile_cont(sma_rsi, 0.5) filter (abs(sma_rsi) > 0.2), 6) + 0 as active_p50, round(count(*) filter (abs(sma_rsi) > 0.2) / count(sma_rsi)::double, 6) as active_rate from rsi group by symbol")
-def family_percentiles_q(spark, d):
-    active = F.abs("sma_rsi") > 0.2
-    p = lambda q, c="sma_rsi": F.round(F.expr(f"percentile({c}, {q}D)"), 6) + 0.0
-    b = I.sma_rsi(bars5(spark, d)).withColumn("_a", F.when(active, F.col("sma_rsi")))
-    return b.groupBy("symbol").agg(
-        p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.5, "_a").alias("active_p50"), F.round(F.count("_a") / F.count("sma_rsi").cast("double"), 6).alias("active_rate"))
-
-
 _RUIN = f"""with recursive {S.KEPT}, o as (select symbol, stops, net_usd::double as x, row_number() over ({NEWEST_SQL}) - 1 as i, count(*) over (partition by symbol, stops) as n from run),
 w as (select *, pow(1 - 2 / (greatest(10, n // 3) + 1)::double, i) as w from o), m as (select symbol, stops, sum(w * x) / sum(w) as mu from w group by symbol, stops),
 v as (select symbol, stops, any_value(mu) as mu, sqrt(round(sum(w * (x - mu) * (x - mu)) / sum(w), 6)) as sigma from w join m using (symbol, stops) group by symbol, stops),
@@ -257,3 +256,14 @@ def forming_bar_q(spark, d):
     mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / 5
     named = {"mean": F.when(F.size(xs) == 5, mean)} | I.forming(xs, 5)
     return day(both.select(*KEY, *((F.round(c, 6) + 0.0).alias(n) for n, c in named.items())))
+
+
+@query("forming_atr", f"""with {S.TICKS}, {S.bars(60, 'base', False)}, {S.bars(3600, 'big')}, tr as (select *, greatest(high - low, abs(high - lag(close) over ({W})), abs(low - lag(close) over ({W}))) as tr from big),
+c as (select symbol, session_date, bar_no as big_no, sum(tr) over ({W} rows between 13 preceding and 1 preceding) as s, lag(close) over ({W}) as before, lag(close, 14) over ({W}) is not null as whole from tr),
+r as (select b.*, s, before, whole, max(high) over k as h, min(low) over k as l from base b join c on c.symbol = b.symbol and c.session_date = b.session_date and c.big_no = b.bar_no // 60 window k as (partition by b.symbol, b.session_date, b.bar_no // 60 order by b.bar_no)),
+f as (select *, greatest(h - l, abs(h - before), abs(l - before)) as t from r)
+select symbol, {DAY}, bar_no, case when whole then round(((s + t) / 14.0::double * 13 + t) / 14, 6) end as atr from f""")
+def forming_atr_q(spark, d):
+    """The average true range of 60-minute bars at each minute, with the bar that is still open."""
+    one = stored(B.bars(ticks(spark, d), 60), "minutes")
+    return day(I.forming_atr(one, B.roll_up(one, 60), 60).select(*KEY, r6("forming_atr", "atr")))

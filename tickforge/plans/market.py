@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.clock import epoch_s, epoch_us, session_clock
-from tickforge.functions.folders import shared_folder
+from tickforge.functions.clock import epoch_s, epoch_us, is_open, last_closed_session, session_clock
+from tickforge.functions.folders import shared_folder, stored
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
 from tickforge.operators import ticks as T
@@ -102,7 +102,7 @@ def json_trades_q(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).select(F.col("id").alias("event_id"), "size", epoch_us(F.col("ts_utc")).alias("us"))
 
 
-@query("session_pull", f"with {S.TRADES} select arrival_id, price_ticks from trades where symbol = 'click' and session_date = date '2024-01-10'")
+@query("session_pull", f"with {S.TRADES} select arrival_id, price_ticks from trades where symbol = 'click' and session_date = date '2024-01-10' and sod < 82800")
 def session_pull_q(spark, d):
     return pull(trades(spark, d), "click", "2024-01-10").select("arrival_id", "price_ticks")
 
@@ -140,18 +140,20 @@ def ticks_q(spark, d):
     return day(ticks(spark, d).select("symbol", "session_date", "tick_no", epoch_us(F.col("ts_clock")).alias("us"), "price", "volume", "arrival_id"))
 
 
-_FIRST_ROWS = {"1": 60, "5": 300, "60": 3600}
-_INDEXED = f"""with {S.TICKS}, {', '.join(S.bars(x, f'b{n}', False) for n, x in _FIRST_ROWS.items())}, i as (select *, row_number() over (partition by symbol order by session_date, tick_no) - 1 as tick_ind from ticks)
-select i.symbol, strftime(i.session_date, '%Y-%m-%d') as session_date, tick_ind, i.price""" + "".join(f", sod // {x} as bar_{n}, coalesce(b{n}.high, 0) as high_{n}, coalesce(b{n}.low, 0) as low_{n}, coalesce(tick_ind - tick_no + b{n}.last_tick + 1, 0) as next_{n}" for n, x in _FIRST_ROWS.items()) + " from i" + "".join(f" left join b{n} on b{n}.symbol = i.symbol and b{n}.session_date = i.session_date and b{n}.start_tick = i.tick_no" for n in _FIRST_ROWS)
+_INDEXED = f"""with {S.TICKS}, {', '.join(S.bars(x, f'b{n}', False) for n, x in B.SIZES.items())}, i as (select *, row_number() over (partition by symbol order by session_date, tick_no) - 1 as tick_ind from ticks)
+select i.symbol, strftime(i.session_date, '%Y-%m-%d') as session_date, tick_ind, i.price""" + "".join(f", sod // {x} as bar_{n}, coalesce(b{n}.high, 0) as high_{n}, coalesce(b{n}.low, 0) as low_{n}, coalesce(tick_ind - tick_no + b{n}.last_tick + 1, 0) as next_{n}" for n, x in B.SIZES.items()) + " from i" + "".join(f" left join b{n} on b{n}.symbol = i.symbol and b{n}.session_date = i.session_date and b{n}.start_tick = i.tick_no" for n in B.SIZES)
 
 
 @query("ticks_indexed", _INDEXED)
 def ticks_indexed_q(spark, d):
-    """Every tick with its global row, its bars, and on a bar's first row that bar's high, low and past-last row (else 0)."""
-    t = T.with_tick_ind(ticks(spark, d))
-    for n, x in _FIRST_ROWS.items():
-        t = B.on_first_rows(t, x, n)
-    return day(t.select("symbol", "session_date", "tick_ind", "price", *(f"{c}_{n}" for n in _FIRST_ROWS for c in ("bar", "high", "low", "next"))))
+    """Written and read back: every tick with its global row, its bars of ten sizes, and on a bar's first row that bar's high, low and past-last row (else 0)."""
+    t = stored(ticks(spark, d), "ticks")
+    table = B.write_sizes(t, shared_folder(spark, "sizes"))
+    columns = ["symbol", "session_date", "tick_ind", "price", *(f"{c}_{n}" for n in B.SIZES for c in ("bar", "high", "low", "next"))]
+    out = B.index_ticks(T.with_tick_ind(t), table).select(columns)
+    path = shared_folder(spark, "indexed")
+    out.hint("rebalance", "session_date").write.option("compression", "zstd").partitionBy("session_date").parquet(path)
+    return day(spark.read.schema(out.schema).parquet(path).select(columns))
 
 
 def _bars_sql(seconds: int) -> str:
@@ -160,9 +162,8 @@ def _bars_sql(seconds: int) -> str:
 
 def _bars_q(seconds: int):
     def run(spark, d):
-        # All sizes come from one-second bars, which every larger size tiles.
-        one = B.bars(ticks(spark, d), 1)
-        return day(B.roll_up(one, seconds).select(*KEY, "open", "high", "low", "close", "volume", "n_ticks"))
+        # One size is one aggregation of the ticks; a table of all sizes is a cascade (bars_all).
+        return day(B.bars(ticks(spark, d), seconds).select(*KEY, "open", "high", "low", "close", "volume", "n_ticks"))
 
     return run
 
@@ -422,9 +423,10 @@ _SIZED = "(values " + ", ".join(f"('{n}', {x})" for n, x in B.SIZES.items()) + "
 select freq, symbol, {DAY}, sod // secs as bar_no, arg_min(price, tick_no) as open, max(price) as high, min(price) as low, arg_max(price, tick_no) as close, cast(sum(volume) as bigint) as volume,
   max(rth) as rth, cast(arg_min(session, tick_no) as int) as session, cast(arg_min(hour, tick_no) as int) as hour, {', '.join(f"max(news_{k}) as news_{k}" for k in T.NEWS)} from l, {_SIZED} group by freq, symbol, session_date, sod // secs""")
 def bars_all_q(spark, d):
-    """All ten sizes with labels and news, in one table."""
+    """All ten sizes with labels and news, written by a cascade and read back as one table."""
     news = tuple(f"news_{k}" for k in T.NEWS)
-    return day(B.bar_table(labelled(spark, d), news=news).select("freq", *KEY, "open", "high", "low", "close", "volume", "rth", "session", "hour", *news))
+    table = B.write_sizes(labelled(spark, d), shared_folder(spark, "sizes"), flags=("rth", *news), firsts=("session", "hour"))
+    return day(table.select("freq", *KEY, "open", "high", "low", "close", "volume", "rth", "session", "hour", *news))
 
 
 def _asof_all_sql() -> str:
@@ -486,18 +488,15 @@ def arrival_order_q(spark, d):
 @query("last_closed", "select event_id, strftime(c - cast(case when dayofweek(c) = 6 then 1 when dayofweek(c) = 0 then 2 else 0 end as integer), '%Y-%m-%d') as session_date from (select event_id, cast(ts - interval 22 hour as date) as c from events)")
 def last_closed_q(spark, d):
     """The last session whose 17:00 New York end (22:00 UTC in winter) has passed; weekends fall back to Friday."""
-    clock = session_clock(F.col("ts"))
-    closed = F.to_date(clock - F.expr("INTERVAL '23' HOUR"))
-    back = F.when(F.weekday(closed) == 5, 1).when(F.weekday(closed) == 6, 2).otherwise(0)
-    return events(spark, d).select("event_id", F.date_format(F.date_sub(closed, back), "yyyy-MM-dd").alias("session_date"))
+    return events(spark, d).select("event_id", F.date_format(last_closed_session(F.col("ts")), "yyyy-MM-dd").alias("session_date"))
 
 
-@query("open_sessions", f"with {S.TRADES} select distinct symbol, {DAY} from trades where session_date = (select max(session_date) from trades)")
+@query("open_sessions", f"with {S.TRADES}, n as (select max(ts_utc) as now from trades) select distinct symbol, {DAY} from trades, n where session_date > cast(now + interval 1 hour - interval 23 hour as date)")
 def open_sessions_q(spark, d):
-    """Sessions that a run at the newest trade's time must refuse: those not yet closed."""
+    """Sessions that a run at the newest trade's time must refuse: those that have not closed by then."""
     t = trades(spark, d)
-    now = t.agg(F.max("session_date").alias("session_date"))
-    return day(t.join(F.broadcast(now), "session_date", "left_semi").select("symbol", "session_date").distinct())
+    now = t.agg(F.max("ts_utc").alias("now"))
+    return day(t.join(F.broadcast(now), is_open(F.col("session_date"), F.col("now"))).select("symbol", "session_date").distinct())
 
 
 del _name, _seconds

@@ -9,6 +9,7 @@ from tickforge.functions.folders import stored
 from tickforge.operators import bars as B
 from tickforge.operators import indicators as I
 from tickforge.operators import scores as SC
+from tickforge.operators import stats as ST
 from tickforge.operators import trading as X
 
 from . import sql as S
@@ -20,39 +21,47 @@ W = S.W
 HALF = "partition by symbol, session_date, bar_no // 144 order by bar_no"
 
 
-@query("direction_label", f"""with recursive {S.BARS5}, m as (
+_DIRECTION = f"""with recursive {S.BARS5}, m as (
   select *, (max(close) over ({HALF} rows between current row and 59 following) - open) - (open - min(close) over ({HALF} rows between current row and 59 following)) as t,
          row_number() over ({HALF}) as i, count(*) over (partition by symbol, session_date, bar_no // 144) as n from bars
 ), s as (select *, case when i = n then 0 when t > 4 then 1 when t < -4 then -1 else 0 end as d0 from m),
 r as (select symbol, session_date, bar_no, bar_no // 144 as half, i, 0 as d from s where i = 1
   union all select s.symbol, s.session_date, s.bar_no, s.bar_no // 144, s.i, case when r.d = -1 and s.t <= 0 then -1 when r.d = 1 and s.t >= 0 then 1 else s.d0 end
-  from r join s on s.symbol = r.symbol and s.session_date = r.session_date and s.bar_no // 144 = r.half and s.i = r.i + 1)
-select symbol, {DAY}, bar_no, d as direction from r""")
+  from r join s on s.symbol = r.symbol and s.session_date = r.session_date and s.bar_no // 144 = r.half and s.i = r.i + 1)"""
+
+
+@query("direction_label", f"{_DIRECTION} select symbol, {DAY}, bar_no, d as direction from r")
 def direction_label_q(spark, d):
-    b = bars5(spark, d).withColumn("half", F.floor(F.col("bar_no") / 144))
-    return day(SC.direction_labels(b, expected=4).select(*KEY, "direction"))
+    return day(_directed(spark, d).select(*KEY, "direction"))
 
 
-@query("episodes", f"""with recursive {S.BARS5}, d as (select symbol, session_date, count(*) as n, min(row) as a, max(row) as b, row_number() over (partition by symbol order by session_date) as i from bars group by symbol, session_date having count(*) > 5),
-e as (select symbol, i, n as held, 0 as ep from d where i = 1 union all select d.symbol, d.i, case when e.held >= 300 then d.n else e.held + d.n end, case when e.held >= 300 then e.ep + 1 else e.ep end from e join d on d.symbol = e.symbol and d.i = e.i + 1)
-select symbol, ep as episode, greatest(min(a) - 60, 0) as first_row, max(b) as last_row, cast(count(*) as bigint) as days from e join d using (symbol, i) group by symbol, ep""")
-def episodes_q(spark, d):
-    """Days of more than five bars, packed greedily until an episode holds 300 bars, with 60 rows of lead-in.
+def _directed(spark, d):
+    b = bars5(spark, d).withColumn("half", F.floor(F.col("bar_no") / 144))
+    return SC.direction_labels(b, expected=4)
 
-    The fold runs over a symbol's days, one number for each session.
-    """
-    b = X.rows(bars5(spark, d)).groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).filter("n > 5")
-    days = b.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("session_date", "n", "a", "b"))).alias("days"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("ep"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, x):
-        full = s["held"] >= 300
-        ep = F.when(full, s["ep"] + 1).otherwise(s["ep"])
-        return F.struct(F.when(full, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), ep.alias("ep"), F.array_append(s["out"], ep).alias("out"))
+@query("holding_runs", f"""{_DIRECTION}, x as (select b.symbol, b.session_date, b.bar_no, b.bar_no // 144 as half, b.row, open, close, d, open - lead(open) over (partition by b.symbol order by b.row) as diff, d is distinct from lag(d) over (partition by b.symbol order by b.row) as new from bars b join r on b.symbol = r.symbol and b.session_date = r.session_date and b.bar_no = r.bar_no),
+g as (select *, sum(new::int) over (partition by symbol order by row) as run from x), p as (select symbol, d, run, session_date, half, count(*) as n, sum(diff) as diff, arg_min(open, row) as b, max(close) as c, min(close) as e from g group by all),
+q as (select *, greatest(c - b, b - e) - 2 * least(c - b, b - e) + abs(coalesce(diff, 0)) as flat from p), f as (select symbol, d <> 0 as has, avg(flat) as flat_reward from q group by 1, 2), u as (select symbol, d, run, sum(n) as n, coalesce(sum(diff), 0) as diff from p group by all)
+select u.symbol, d as direction, count(*) as runs, round(avg(n), 6) as mean_length, case when d <> 0 then round(avg(-d * u.diff), 6) + 0 end as mean_reward, case when d <> 0 then sum(-d * u.diff)::bigint end as reward, round(any_value(flat_reward), 6) as flat_reward
+from u join f on f.symbol = u.symbol and f.has = (d <> 0) group by u.symbol, d""")
+def holding_runs_q(spark, d):
+    """Runs of the direction label: how many, how long, what they make from open to next open, and what a flat stance would."""
+    labelled = stored(_directed(spark, d), "directions")
+    bars = bars5(spark, d).withColumn("half", F.floor(F.col("bar_no") / 144))
+    out = SC.holding_runs(bars.join(labelled.select(*KEY, "direction"), KEY))
+    return out.select("symbol", "direction", "runs", F.round("mean_length", 6).alias("mean_length"), (F.round("mean_reward", 6) + 0.0).alias("mean_reward"), "reward", F.round("flat_reward", 6).alias("flat_reward"))
 
-    packed = days.withColumn("ep", F.aggregate("days", start, step, lambda s: s["out"]))
-    each = packed.select("symbol", F.explode(F.arrays_zip("days", "ep")).alias("e")).select("symbol", F.col("e.ep").alias("episode"), F.col("e.days.a").alias("a"), F.col("e.days.b").alias("b"))
-    return each.groupBy("symbol", "episode").agg(F.greatest(F.min("a") - 60, F.lit(0)).alias("first_row"), F.max("b").alias("last_row"), F.count(F.lit(1)).alias("days"))
+
+@query("episodes", f"""with recursive {S.BARS5}, d as (select symbol, session_date, count(*) as n, min(row) as a, max(row) as b, row_number() over (partition by symbol order by session_date) as i from bars group by symbol, session_date having count(*) > 5),
+e as (select symbol, i, n as held, 0 as ep from d where i = 1 union all select d.symbol, d.i, case when e.held >= 60 then d.n else e.held + d.n end, case when e.held >= 60 then e.ep + 1 else e.ep end from e join d on d.symbol = e.symbol and d.i = e.i + 1),
+p as (select symbol, ep, greatest(min(a) - 60, 0) as first_row, max(b) as last_row, count(*) as days from e join d using (symbol, i) group by symbol, ep),
+q as (select symbol, ep, first_row, least(last_row, first_row + 399) as last_row, days from p where last_row - first_row + 1 >= 100), r as (select *, row_number() over (partition by symbol order by ep) - 1 as episode, row_number() over (partition by symbol order by ep desc) as back from q)
+select symbol, episode::int as episode, first_row, last_row, last_row - first_row + 1 as rows, days, case when back <= 3 then 'test' when back <= 6 then 'validation' else 'train' end as split from r""")
+def episodes_q(spark, d):
+    """Days of more than five bars, packed greedily until an episode holds 60 bars, with 60 rows of lead-in, of 100 to 400 rows, the last six held out."""
+    days = X.rows(bars5(spark, d)).groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).filter("n > 5")
+    return SC.episodes(days, 60, min_steps=100, max_steps=400)
 
 
 _RTH = "(bar_no * 300 >= 55800 and bar_no * 300 < 79200)"
@@ -167,3 +176,21 @@ def regime_q(spark, d):
     vol = X.rows(one).select("symbol", "row", "vol")
     out = SC.regime(_board(spark, d), vol)
     return day(out.select(*KEY, "fam", *((F.round(c, 8) + 0.0).alias(c) for c in (*(f"d{h}" for h in SC.HORIZONS), "slope", "log_vol"))))
+
+
+_PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+_MEASURES = ("floating", "realised", "sharpe")
+_PCT = ", ".join(f"round(quantile_cont(x, {q / 100!r}::double), 9) + 0 as p{q:02d}" for q in _PERCENTS)
+
+
+@query("family_percentiles", f"""with {_BOARD}, m as ({' union all '.join(f"select symbol, fam, '{m}' as measure, position, round({m}, 8) as x from board" for m in _MEASURES)}),
+k as (select *, 'all' as who from m union all select *, 'active' from m where position <> 0), t as (select symbol, fam, measure, count(*) as total from m group by all)
+select symbol, fam, measure, who, count(*) as n, round(count(*) / any_value(total)::double, 6) as rate, {_PCT} from k join t using (symbol, fam, measure) group by symbol, fam, measure, who""")
+def family_percentiles_q(spark, d):
+    """Percentiles of each measure over all 72 variants of a family, for all rows and for those in a position."""
+    long = F.array(*(F.struct(F.lit(m).alias("measure"), F.round(m, 8).alias("x")) for m in _MEASURES))
+    who = F.when(F.col("position") != 0, F.array(F.lit("all"), F.lit("active"))).otherwise(F.array(F.lit("all")))
+    rows = _board(spark, d).select("symbol", "fam", "position", F.inline(long)).withColumn("who", F.explode(who))
+    out = ST.group_percentiles(rows, ["symbol", "fam", "measure", "who"], "x", _PERCENTS)
+    total = F.max("n").over(Window.partitionBy("symbol", "fam", "measure"))
+    return out.withColumn("rate", F.round(F.col("n") / total, 6)).withColumns({f"p{q:02d}": F.round(f"p{q:02d}", 9) + 0.0 for q in _PERCENTS})

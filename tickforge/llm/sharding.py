@@ -17,15 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_parts, written
+from .shared import discard, shuffle_parts, written
 
 #: Bits of the seeded shuffle key (the leading 15 hex digits of an MD5).
 KEY_BITS = 60
 
 
-def shuffle_key(seed: str, row_id: Column) -> Column:
-    """60 uniform bits that depend on the seed and the id alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit(""))).cast("binary"))
+def shuffle_key(seed: str, row_id: Column, size: Column, text_crc32: Column) -> Column:
+    """60 uniform bits that depend on the seed, the id, and the text's size and checksum: rows without ids are spread too."""
+    parts = [F.coalesce(row_id.cast("string"), F.lit("")), size.cast("string"), text_crc32.cast("string")]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -63,8 +64,7 @@ def stratified_shards(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_s"),
-        shuffle_key(seed, F.col(id_col)).alias("_h"),
-    ).withColumn("_b", F.expr(f"cast(shiftright(_h, {KEY_BITS - 30}) * {cells} div {1 << 30} as int)"))
+    ).withColumn("_h", shuffle_key(seed, F.col("doc_id"), F.col("size"), F.col("text_crc32"))).withColumn("_b", F.expr(f"cast(shiftright(_h, {KEY_BITS - 30}) * {cells} div {1 << 30} as int)"))
     rows = written(rows, "shard-rows")
 
     tie = ["_h", "doc_id", "size", "text_crc32"]
@@ -82,6 +82,7 @@ def stratified_shards(
     shard = F.expr(f"_pos * {n_shards} div _total").cast("int")
     # Shard s starts at the first position p with p * k div n = s (n rows, k shards): the ceiling of s * n / k.
     start = F.expr(f"(shard * _total + {n_shards - 1}) div {n_shards}")
+    discard(rows)
     out = ranked.join(F.broadcast(cut), "_g").withColumn("_pos", (F.col("_before") + place).cast("long"))
     return out.withColumn("shard", shard).select(
         "doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard",

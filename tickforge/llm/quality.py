@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, written
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
@@ -91,8 +93,10 @@ def references(docs: DataFrame, rules: Divergence = Divergence(), *, text_col: s
     the share of each common word among all words. Rows without a language
     count only if no row has one. A label is a language if at least
     ``min_share`` of all labelled words are under it, so stray labels are
-    none, and there are 1 / ``min_share`` at most. One scan; what reaches the
-    driver is sums by label and bin, never a row for each document.
+    none, and there are 1 / ``min_share`` at most. Where no label is one (as
+    with a label of its own for each row), all rows that count make one pooled
+    reference, named None. One scan into a written table of sums by label and
+    bin; what reaches the driver is the sums of the languages alone.
     """
     cut = docs.select(F.col(lang_col).cast("string").alias("_lang"), *_cut(F.col(text_col)))
     counts = cut.select("_lang", "_chars", _common(rules).alias("_said"), *_counts()).withColumn("_classes", _classes())
@@ -107,11 +111,18 @@ def references(docs: DataFrame, rules: Divergence = Divergence(), *, text_col: s
     )
     # An outer generator: the entries are never none, and Spark derives no filter that would build them twice.
     found = counts.select("_lang", F.inline_outer(entries)).groupBy("_lang", "kind", "key").agg(F.sum("n").alias("n"))
-    rows = found.collect()
-    words = {r["_lang"]: r["n"] for r in rows if r["kind"] == -1}
-    if any(lang is not None for lang in words):
-        words.pop(None, None)
-    least = rules.min_share * sum(words.values())
+    found = written(found, "quality-sums")
+    named = found.filter(F.col("kind") == -1)
+    some = named.filter("_lang is not null").limit(1).count() > 0
+    counted, named = (found.filter("_lang is not null"), named.filter("_lang is not null")) if some else (found, named)
+    least = rules.min_share * (named.agg(F.sum("n")).first()[0] or 0)
+    words = {r["_lang"]: r["n"] for r in named.filter((F.col("n") > 0) & (F.col("n") >= least)).collect()}
+    if words:
+        rows = counted.filter(F.col("_lang").isin([x for x in words if x is not None]) | (F.lit(None in words) & F.col("_lang").isNull())).collect()
+    else:
+        rows = counted.groupBy("kind", "key").agg(F.sum("n").alias("n")).withColumn("_lang", F.lit(None).cast("string")).collect()
+        words = {None: r["n"] for r in rows if r["kind"] == -1 and r["n"]}
+    discard(found)
 
     def median(lang: str | None, c: int) -> float | None:
         tally = sorted((int(r["key"]), r["n"]) for r in rows if r["_lang"] == lang and r["kind"] == c)
@@ -123,7 +134,7 @@ def references(docs: DataFrame, rules: Divergence = Divergence(), *, text_col: s
         return None
 
     out = []
-    for lang in sorted((x for x, n in words.items() if n and n >= least), key=lambda x: x or ""):
+    for lang in sorted(words, key=lambda x: x or ""):
         middle = [median(lang, c) for c in range(len(CHAR_CLASSES))]
         classes = None if None in middle else [x / sum(middle) for x in middle]
         said = {r["key"]: r["n"] / words[lang] for r in rows if r["_lang"] == lang and r["kind"] == len(CHAR_CLASSES)}

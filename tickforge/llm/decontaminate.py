@@ -154,6 +154,27 @@ def _ranges(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"begin": a, "end": b} for a, b in r] for r in found], _RANGE)
 
 
+def blocks(cut: DataFrame, block_states: int) -> list[DataFrame]:
+    """The distinct stretches in blocks of at most ``block_states`` states, or of one hash range if that alone holds more.
+
+    Hash ranges are counted (16 for each block that is needed) and packed in
+    order by their running sum, so what is collected is a row for each range.
+    """
+    total = cut.agg(F.sum("states")).first()[0] or 0
+    if total <= block_states:
+        return [cut]
+    n = 16 * -(-total // block_states)
+    place = F.pmod(F.xxhash64("i", "words"), F.lit(n))
+    sums = sorted((r.h, r.n) for r in cut.groupBy(place.alias("h")).agg(F.sum("states").alias("n")).collect())
+    starts, held = [0], 0
+    for h, k in sums:
+        if held and held + k > block_states:
+            starts.append(h)
+            held = 0
+        held += k
+    return [cut.filter((place >= lo) & (place < hi)) for lo, hi in zip(starts, [*starts[1:], n], strict=True)]
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_states: int = BLOCK_STATES, with_spans: bool = False, keep: tuple[str, ...] = (),
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -173,8 +194,8 @@ def contamination(
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
-    cut = written(items.mapInArrow(_stretches(window), "i string, words binary, states long"), "benchmark-stretches")
-    n_blocks = -(-(cut.agg(F.sum("states")).first()[0] or 0) // block_states) or 1
+    cut = written(items.mapInArrow(_stretches(window), "i string, words binary, states long").distinct(), "benchmark-stretches")
+    parts = blocks(cut, block_states)
 
     schema = StructType().add("doc_id", docs.schema[id_col].dataType).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
     if with_spans:
@@ -224,10 +245,10 @@ def contamination(
         return run
 
     before = None
-    for k in range(n_blocks):
-        part = cut if n_blocks == 1 else cut.filter(F.pmod(F.xxhash64("i", "words"), F.lit(n_blocks)) == k)
+    for k, part in enumerate(parts):
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, bytes(r.words)) for r in part.collect()]))
-        if k == n_blocks - 1:
+        if k == len(parts) - 1:
+            discard(cut)
             return rows.mapInArrow(judged(shared), schema)
         rows = written(rows.mapInArrow(in_between(shared), rows.schema), "contamination-block")
         shared.unpersist()

@@ -30,11 +30,16 @@ from pyspark.sql.types import StructType
 from .shared import bounded_batches
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERLIKE = re.compile(r"[^\W\d_]")
 #: Windows in one matrix product.
 BATCH = 64
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode L); fractions, superscripts and numerals in circles are none."""
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
+
+
 @dataclass(frozen=True)
 class Training:
     """Bounds of the labelled sample and of the fit."""
@@ -109,7 +114,7 @@ class ByteNetwork:
 
         octets = 0
         for text in texts:
-            raw = text.encode("utf-8", "surrogatepass") if text and _LETTER.search(text) else b""
+            raw = text.encode("utf-8", "surrogatepass") if text and has_letter(text) else b""
             held.append(raw), sizes.append(len(raw))
             octets += len(raw)
             if octets > 1 << 20 or len(held) >= 256:
@@ -199,14 +204,16 @@ def learn(docs: DataFrame, how: Training = Training(), *, id_col: str = "doc_id"
 
     Labels are counted over all rows, so a rare language teaches as many rows
     as a common one if it has them. Rows without text, letters or label do not
-    teach. Without any teaching row the network knows no label, and every
+    teach, nor do rows of labels beyond ``how.max_labels``, which are predicted
+    as one of the learned ones; rows alike in id and text teach once. Without any teaching row the network knows no label, and every
     prediction is ``und``. What reaches the driver is bounded by ``how``:
     labels' counts of the most frequent, and windows of the sample.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(how.max_labels).collect()
+    # Rows alike in id and text are one; the estimate of their number only sets how much of the hash range is looked at.
+    counts = rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("i", "t"), 0.02).alias("n")).orderBy(F.desc("n"), "l").limit(how.max_labels).collect()
     if not counts:
         return ByteNetwork([], how.window, np.zeros((256, how.embedding), np.float32), *([np.zeros(0, np.float32)] * 4))
     # Small labels leave what they lack of an equal share to the others.
@@ -218,14 +225,15 @@ def learn(docs: DataFrame, how: Training = Training(), *, id_col: str = "doc_id"
     span = 1 << 32
     bounds = {r.l: span if r.n <= 4 * quota[r.l] else int(span * 2 * quota[r.l] / r.n) for r in counts}
     table = spark_map(bounds)
-    part = rows.withColumn("k", F.pmod(F.xxhash64("i"), F.lit(span))).filter(F.col("k") < F.try_element_at(table, F.col("l")))
-    order = Window.partitionBy("l").orderBy("k", F.xxhash64("t"))
+    part = rows.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(span))).filter(F.col("k") < F.try_element_at(table, F.col("l")))
+    part = part.groupBy("l", "k").agg(F.min("t").alias("t"))  # repeated rows teach once
+    order = Window.partitionBy("l").orderBy("k")
     part = part.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.try_element_at(spark_map(quota), F.col("l")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["t"].to_pylist()
-            found = [teaching_windows(t, k, how) if _LETTER.search(t) else [] for t, k in zip(texts, batch["k"].to_pylist(), strict=True)]
+            found = [teaching_windows(t, k, how) if has_letter(t) else [] for t, k in zip(texts, batch["k"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["l"], batch["k"], pa.array(found, pa.list_(pa.binary()))], ["l", "k", "windows"])
 
     sample = part.select("l", "k", "t").mapInArrow(cut, "l string, k long, windows array<binary>").collect()

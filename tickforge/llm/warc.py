@@ -36,8 +36,9 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_urn(record_id: Any) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{record_id}')}>"
+def record_urn(record_id: Any, single: bool = True) -> str:
+    """A record's name: made from its id if no other record has that id, else a fresh one, so names are unique."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{record_id}') if single else uuid.uuid4()}>"
 
 
 def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -50,20 +51,27 @@ def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
 
 
 def chunk_table(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows record_id, url, payload_digest, payload_bytes, refers_to, chunk_no, chunk: a revisit has one empty chunk.
+    """Rows record_id, url, payload_digest, payload_bytes, refers_to, single, refers_single, chunk_no, chunk: a revisit has one empty chunk.
 
+    single: no other row has the record's id, nor is it null; refers_single
+    says so of the record that a revisit refers to.
     Chunks are cut one after the other as the rows are asked for; beside the
     table's own row there is one chunk in memory.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("record_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    again = written(revisits(rows.select("record_id", "payload_digest", "payload_bytes")), "warc-revisits")
-    rows = rows.join(again, ["record_id", "payload_digest"], "left")
+    thin = rows.select("record_id", "payload_digest", "payload_bytes")
+    again = revisits(thin)
+    many = written(thin.filter("record_id is not null").groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("record_id", F.lit(True).alias("many")), "warc-repeated-ids")
+    n = many.count()
+    again = written(again.join(few(many.select(F.col("record_id").alias("refers_to"), F.col("many").alias("refers_many")), n), "refers_to", "left"), "warc-revisits")
+    rows = rows.join(again, ["record_id", "payload_digest"], "left").join(few(many, n), "record_id", "left")
+    rows = rows.withColumns({"single": F.col("record_id").isNotNull() & F.col("many").isNull(), "refers_single": F.col("refers_many").isNull()}).drop("many", "refers_many")
     last = F.when(F.col("refers_to").isNull(), F.expr(f"cast(greatest(payload_bytes - 1, 0) div {chunk_bytes} as int)")).otherwise(F.lit(0))
     rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     chunk = F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
-    return rows.select("record_id", "url", "payload_digest", "payload_bytes", "refers_to", "chunk_no", chunk.alias("chunk"))
+    return rows.select("record_id", "url", "payload_digest", "payload_bytes", "refers_to", "single", "refers_single", "chunk_no", chunk.alias("chunk"))
 
 
 def _escaped(text: str) -> str:
@@ -75,16 +83,20 @@ def _id_field(record_id: Any) -> str:
     return "".join(c if c.isascii() and (c.isalnum() or c in "-._~") else _escaped(c) for c in str(record_id))
 
 
-def _head(record_id: Any, url: str | None, digest: str, size: int, refers_to: Any) -> bytes:
-    """The WARC and HTTP headers of a record; a revisit's block is the HTTP header alone."""
+def _head(record_id: Any, url: str | None, digest: str, size: int, refers_to: Any, single: bool = True, refers_single: bool = True) -> bytes:
+    """The WARC and HTTP headers of a record; a revisit's block is the HTTP header alone.
+
+    A revisit names its response (WARC-Refers-To) where one record alone has
+    that id; where several have, it gives the page's id and the digest.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     target = "".join(c if 0x20 < ord(c) < 0x7F else _escaped(c) for c in url or "about:blank")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(record_id)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(record_id, single)}",
         f"WARC-Date: {WARC_DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_urn(refers_to)}", f"X-Refers-To-Page: {_id_field(refers_to)}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", *([f"WARC-Refers-To: {record_urn(refers_to)}"] if refers_single else []), f"X-Refers-To-Page: {_id_field(refers_to)}"]
     if record_id is not None:
         lines.append(f"X-Page: {_id_field(record_id)}")
     body = len(http) + (size if refers_to is None else 0)
@@ -120,7 +132,7 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
                 out, records = None, 0
 
         for batch in batches:
-            columns = [batch[c] for c in ("record_id", "url", "payload_digest", "payload_bytes", "refers_to", "chunk_no", "chunk")]
+            columns = [batch[c] for c in ("record_id", "url", "payload_digest", "payload_bytes", "refers_to", "single", "refers_single", "chunk_no", "chunk")]
             for row in zip(*columns, strict=True):
                 *head, chunk_no, chunk = (x.as_py() for x in row)
                 if chunk_no == 0:

@@ -413,7 +413,7 @@ def test_shards_match_the_mixture(spark, sf_dir):
 def test_filter_list_lines():
     import re
 
-    lines = ["! comment", "", "||ads.example.com^", "|net/*/track", "banner*.gif|", "/pop[0-9]+/", "@@||good.ads.example.com^ok", "-ad-$script", "##.x"]
+    lines = ["! comment", "", "||ads.example.com^", "|net/*/track", "banner*.gif|", "/pop[0-9]+/", "@@||good.ads.example.com^ok", "-ad-$important", "##.x"]
     rules = url_rules.filter_rules(lines)
     assert [r.verdict for r in rules] == ["block", "block", "block", "block", "allow", "block"]
     assert [r.tokens for r in rules] == [("ads", "example", "com"), ("net",), ("gif",), (), ("good", "ads", "example", "com"), ("ad",)]

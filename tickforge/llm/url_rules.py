@@ -49,13 +49,20 @@ def word_rule(word: str, verdict: str = "block") -> UrlRule:
     return UrlRule(f"(?ai)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", tuple(re.split(TOKEN_SEP, word.lower())), verdict)
 
 
+#: A filter line's options: a $ that only names, with values or not, follow.
+_OPTIONS = re.compile(r"\$(~?[a-zA-Z0-9_-]+(?:=[^,/]*(?:/[^,]*)?)?(?:,~?[a-zA-Z0-9_-]+(?:=[^,]*)?)*)$")
+
+
 def filter_rule(line: str) -> UrlRule | None:
     """A line of a filter list as a rule; None for comments, options of pages and empty lines.
 
     ``||`` anchors at a label of the host, ``|`` at either end of the address
     (host + path), ``*`` stands for anything, ``^`` for a separator or the
-    end, ``@@`` allows, and ``/.../`` is a regular expression as it stands,
-    without index tokens. The rest is literal, in any case. A literal token
+    end, ``@@`` allows, and ``/.../`` is a regular expression as it stands
+    (a ``$`` in it too), without index tokens. Options follow the last ``$``:
+    match-case, important and all are heeded; a rule with any other (kinds of
+    requests, domains of pages, parties) holds in part of the cases only, which
+    an address cannot tell, and is left out. The rest is literal, in any case. A literal token
     helps the index only if the address must hold it whole: neither ``*`` nor
     an open end of the rule may touch it.
     """
@@ -63,9 +70,15 @@ def filter_rule(line: str) -> UrlRule | None:
     if not text or text[0] in "![" or "##" in text:
         return None
     verdict = "allow" if text.startswith("@@") else "block"
-    body = text.removeprefix("@@").split("$")[0]
+    body, options = text.removeprefix("@@"), ()
+    found = _OPTIONS.search(body)
+    if found:
+        body, options = body[: found.start()], found[1].lower().split(",")
+    if not set(options) <= {"match-case", "important", "all"}:
+        return None
+    case = "" if "match-case" in options else "i"
     if len(body) > 2 and body[0] == body[-1] == "/":
-        return UrlRule(f"(?i){body[1:-1]}", (), verdict)
+        return UrlRule(f"(?i){body[1:-1]}" if case else body[1:-1], (), verdict)
     start = re.match(r"\|{0,2}", body)[0]
     body = body[len(start) :]
     ends = body.endswith("|")
@@ -75,7 +88,7 @@ def filter_rule(line: str) -> UrlRule | None:
     # What touches the rule's open ends is marked as if a star stood there.
     framed = ("" if start else "*") + body.lower() + ("" if ends else "*")
     tokens = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", framed) if framed.isascii() else []
-    return UrlRule(f"(?ai){pattern}", tuple(tokens), verdict)
+    return UrlRule(f"(?a{case}){pattern}", tuple(tokens), verdict)
 
 
 def filter_rules(lines: Iterable[str]) -> list[UrlRule]:

@@ -165,13 +165,13 @@ def _crc(hexed: str) -> str:
 ORACLES["op8_stratified_shards"] = rf"""
 with recursive {_CRC_TABLE}, base as (
   select row_number() over () as rid, doc_id, coalesce('=' || source, '') as s, strlen(coalesce(text, '')) + 1 as size,
-         ('0x' || md5('mixture-1:' || coalesce(doc_id::varchar, ''))[1:15])::bigint as h, hex(encode(coalesce(text, ''))) as x from documents
+         hex(encode(coalesce(text, ''))) as x from documents
 ), crc as (
   select rid, {_crc('x')} as text_crc32
   from base, tab
 ), f as (
   select *, (row_number() over (partition by s order by h, doc_id, size, text_crc32) - 1 + 0.5::double) / count(*) over (partition by s) as f
-  from base join crc using (rid)
+  from (select *, ('0x' || md5('mixture-1:' || coalesce(doc_id::varchar, '') || ':' || size || ':' || text_crc32)[1:15])::bigint as h from base join crc using (rid))
 ), p as (
   select *, row_number() over (order by f, s, h, doc_id, size, text_crc32) - 1 as pos, count(*) over () as n from f
 )

@@ -17,6 +17,7 @@ from tickforge.operators import scores as SC
 from tickforge.operators import search as SE
 from tickforge.operators import stats as ST
 from tickforge.operators import ticks as T
+from tickforge.operators import trading as X
 from tickforge.streaming import bars as SB
 from tickforge.streaming import cycles as CY
 from tickforge.streaming import sizes as SZ
@@ -358,3 +359,16 @@ def test_ewm_of_large_alpha(spark):
             want.append(y)
         got = [r.y for r in I.ewm(df, "x", "y", alpha).orderBy("bar_no").collect()]
         np.testing.assert_allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("sessions", [1, 3, 7])
+def test_volatility_band_equals_a_plain_window(spark, sessions):
+    rng = np.random.default_rng(sessions)
+    rows = [(s, DAY + datetime.timedelta(days=k), i, float(rng.integers(0, 9)) if rng.random() < 0.9 else None) for s in "ab" for k in range(34) for i in range(int(rng.integers(1, 6)))]
+    df = spark.createDataFrame(rows, "symbol string, session_date date, bar_no int, v double")
+    got = {(r.symbol, r.session_date, r.bar_no): r.vol_ok for r in X.vol_ok(df, "v", (0.2, 0.8), sessions).collect()}
+    for s, day, i, v in rows:
+        back = (day - DAY).days
+        xs = [x for t, d, _, x in rows if t == s and back - sessions <= (d - DAY).days < back and x is not None]
+        want = back >= sessions and v is not None and len(xs) > 0 and np.percentile(xs, 20) <= v <= np.percentile(xs, 80)
+        assert got[s, day, i] == want

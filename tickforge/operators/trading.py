@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +113,15 @@ def stop_grid(signals: DataFrame, tps: list[int], sls: list[int]) -> DataFrame:
     return signals.select("*", F.inline(pairs))
 
 
+def checked_stops(signals: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Levels of a caller's own stop function; unlabelled ones carry its name, and a level that is not above 0 raises."""
+    out = signals.transform(make)
+    if "stops" not in out.columns:
+        out = out.withColumn("stops", F.lit(make.__name__))
+    level = lambda c: F.when(F.col(c) > 0, F.col(c).cast("double")).otherwise(F.raise_error(F.concat(F.lit(f"{c} is not above 0 in stops "), F.col("stops"))).cast("double"))
+    return out.withColumns({"tp": level("tp"), "sl": level("sl")})
+
+
 def vol_grid(signals: DataFrame, tps: list[float], sls: list[float], vol: str) -> DataFrame:
     """Levels of so many times the volatility, at least 1, rounded up."""
     pairs = F.array(*(F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b"), F.lit(f"{a:g}x/{b:g}x").alias("stops")) for a in tps for b in sls))
@@ -182,13 +194,38 @@ def vol_ok(bars: DataFrame, column: str, band: tuple[float, float] = (0.2, 0.8),
     """Adds vol_ok: the value lies between the band's quantiles (interpolated) of the symbol's previous sessions' bars.
 
     False before there are so many sessions. The quantiles come from counts of
-    equal values by session, so a session is carried forward as its counts.
+    equal values by session. A block of four times so many sessions slides over
+    them with the sessions before it as its lead-in, so a count is held by two
+    blocks at most, and a symbol's history is as many tasks as it has blocks.
     """
     own = Window.partitionBy("symbol").orderBy("session_date")
-    n = bars.select("symbol", "session_date").distinct().withColumn("_sn", F.row_number().over(own))
+    n = bars.select("symbol", "session_date").distinct().withColumn("_sn", (F.row_number().over(own) - 1).cast("long"))
     b = bars.join(n, ["symbol", "session_date"])
-    counts = b.groupBy("symbol", "_sn", F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    ahead = counts.select("symbol", "_v", "_k", F.explode(F.sequence(F.col("_sn") + 1, F.col("_sn") + sessions)).alias("_sn"))
-    q = ahead.groupBy("symbol", "_sn").agg(F.expr(f"percentile(_v, array({band[0]!r}D, {band[1]!r}D), _k)").alias("_q"))
-    inside = (F.col("_sn") > sessions) & (F.col(column) >= F.col("_q")[0]) & (F.col(column) <= F.col("_q")[1])
-    return b.join(q, ["symbol", "_sn"], "left").withColumn("vol_ok", F.coalesce(inside, F.lit(False))).drop("_sn", "_q")
+    counts = b.filter(F.col(column).isNotNull()).groupBy("symbol", "_sn", F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    length = 4 * sessions
+    block = F.floor(F.col("_sn") / length)
+    led = F.when(F.col("_sn") % length >= length - sessions, block + 1)
+    held = counts.withColumn("_block", F.explode(F.array_compact(F.array(block, led))))
+
+    def slide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * length
+        values = np.unique(pdf["_v"].to_numpy())
+        by_session = {int(k): (np.searchsorted(values, g["_v"].to_numpy()), g["_k"].to_numpy()) for k, g in pdf.groupby("_sn")}
+        inside, out = np.zeros(len(values), np.int64), []
+        for k in range(first - sessions, first + length):
+            if k - 1 - sessions >= first - sessions and k - 1 - sessions in by_session:
+                at, m = by_session[k - 1 - sessions]
+                inside[at] -= m
+            if k >= max(first, sessions) and inside.any():
+                upto = np.cumsum(inside)
+                places = [q * (upto[-1] - 1) for q in band]
+                ends = [[values[np.searchsorted(upto, r, side="right")] for r in (math.floor(x), math.ceil(x))] for x in places]
+                out.append((key[0], k, *(lo + (hi - lo) * (x - math.floor(x)) for x, (lo, hi) in zip(places, ends, strict=True))))
+            if k in by_session:
+                at, m = by_session[k]
+                inside[at] += m
+        return pd.DataFrame(out, columns=["symbol", "_sn", "_lo", "_hi"])
+
+    q = held.groupBy("symbol", "_block").applyInPandas(slide, f"symbol {bars.schema['symbol'].dataType.simpleString()}, _sn long, _lo double, _hi double")
+    inside = (F.col(column) >= F.col("_lo")) & (F.col(column) <= F.col("_hi"))
+    return b.join(q, ["symbol", "_sn"], "left").withColumn("vol_ok", F.coalesce(inside, F.lit(False))).drop("_sn", "_lo", "_hi")

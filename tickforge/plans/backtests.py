@@ -169,11 +169,12 @@ def stop_grid_q(spark, d):
     return X.stop_grid(_signals(spark, d), [6, 12], [6, 12]).select("symbol", "row", "tp", "sl", "stops")
 
 
-@query("vol_grid", f"with {S.SIDES}, sd as (select symbol, row, {_GUARD % f'stddev_pop(close) over ({S.W} rows 19 preceding)'} as sd from bars), g(a, b) as (values (1.5::double, 2::double)) select symbol, row, greatest(1, ceil(round(a * sd, 6))) as tp, greatest(1, ceil(round(b * sd, 6))) as sl from sig join sd using (symbol, row), g where sd is not null")
+@query("vol_grid", f"with {S.SIDES}, sd as (select symbol, row, {_GUARD % f'stddev_pop(close) over ({S.W} rows 19 preceding)'} as sd from bars), g(a, b) as (values (1.5::double, 2::double), (1.5, 0.75), (3, 2), (3, 0.75)) select symbol, row, a::decimal(4,2)::varchar as k, greatest(1, ceil(round(a * sd, 6))) as tp, greatest(1, ceil(round(b * sd, 6))) as sl from sig join sd using (symbol, row), g where sd is not null")
 def vol_grid_q(spark, d):
     b = X.rows(I.std(_bars5(spark, d))).select("symbol", "row", F.col("20_std").alias("vol"))
     sig = _signals(spark, d).join(b, ["symbol", "row"]).filter("vol is not null")
-    return X.vol_grid(sig, [1.5], [2.0], "vol").select("symbol", "row", "tp", "sl")
+    out = X.vol_grid(sig, [1.5, 3.0], [2.0, 0.75], "vol")
+    return out.select("symbol", "row", F.split("stops", "x")[0].cast("decimal(4,2)").cast("string").alias("k"), "tp", "sl")
 
 
 def _entries(spark, d):

@@ -164,8 +164,9 @@ def custom_stop_q(spark, d):
     def body(sig):
         return sig.withColumns({"tp": F.greatest(F.lit(1), F.abs(F.col("close") - F.col("open"))).cast("double"), "sl": F.lit(8.0)})
 
-    out = _signals(spark, d).transform(body)
-    return out.withColumn("stops", F.lit(body.__name__)).select("symbol", "row", "tp", "sl", "stops")
+    from tickforge.operators.trading import checked_stops
+
+    return checked_stops(_signals(spark, d), body).select("symbol", "row", "tp", "sl", "stops")
 
 
 @query("stability", f"with recursive {S.KEPT}, n as (select symbol, stops, sum(net_usd) as n from run group by symbol, stops), best as (select symbol, stops from (select *, row_number() over (partition by symbol order by n desc, stops) as r from n) where r = 1) select symbol, stops, strftime(date_trunc('week', session_date), '%Y-%m-%d') as week, sum(net_usd)::double as net_usd from run join best using (symbol, stops) group by 1, 2, 3")

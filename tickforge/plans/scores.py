@@ -101,16 +101,6 @@ def burn_in_legacy_q(spark, d):
     return day(b.filter("row >= _a and row < _z").select(*KEY))
 
 
-@query("merge_sizes_legacy", f"with {S.BARS5}, {S.bars(3600, 'big', False)} select b.symbol, strftime(b.session_date, '%Y-%m-%d') as session_date, b.bar_no, case when lead(b.bar_no // 12) over (partition by b.symbol, b.session_date order by b.bar_no) is distinct from b.bar_no // 12 then g.close end as close_60 from bars b join big g on g.symbol = b.symbol and g.session_date = b.session_date and g.bar_no = b.bar_no // 12")
-def merge_sizes_legacy_q(spark, d):
-    """The larger bar on its own smaller bars, shown only on the last of them."""
-    five = bars5(spark, d).withColumn("big_no", F.floor(F.col("bar_no") / 12).cast("long"))
-    big = B.roll_up(five.drop("big_no"), 12).select("symbol", "session_date", F.col("bar_no").alias("big_no"), F.col("close").alias("c"))
-    j = five.join(big, ["symbol", "session_date", "big_no"], "full")
-    nxt = F.lead("big_no").over(Window.partitionBy("symbol", "session_date").orderBy("bar_no"))
-    return day(j.select(*KEY, F.when(~nxt.eqNullSafe(F.col("big_no")), F.col("c")).alias("close_60")))
-
-
 #: Levels of the 72 variants of a family, and what the families are trusted.
 LEVELS = tuple(i / 100 for i in range(1, 73))
 CONFIDENCE = {"long": 0.5, "short": 0.3}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FOOTERS_AT_ONCE = 16
 #: <prefix>_trades_<date>.parquet; files still being written end in _partial.
 NAME = r"([^/=]+_trades_(\d{4}-\d{2}-\d{2}))\.parquet(?:/|$)"
 
@@ -29,14 +32,18 @@ def check_files(files: DataFrame) -> DataFrame:
 def read_sessions(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The rows of the named files, with session_date; a session given twice or a schema unlike the first file's raises.
 
-    The list of files is the calendar's length; schemas are read from footers.
+    The list of files is the calendar's length; their footers are read in
+    tasks, some at once.
     """
     rows = files.orderBy("session_date", "name", "path").collect()
     first: dict = {}
     for r in rows:
         if first.setdefault(r.session_date, r.name) != r.name:
             raise ValueError(f"two tables for the session of {r.session_date}")
-    schemas = {r.name: spark.read.parquet(r.path).schema for r in {r.name: r for r in rows}.values()}
+    one = {r.name: r.path for r in rows}
+    # A schema is a job of one task that reads a footer; many of them run at once.
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        schemas = dict(zip(one, pool.map(lambda path: spark.read.parquet(path).schema, one.values()), strict=True))
     for name, schema in schemas.items():
         if schema != next(iter(schemas.values())):
             raise ValueError(f"the schema of {name} differs")

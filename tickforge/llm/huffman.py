@@ -149,7 +149,10 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
     checkpoints, payload) and lengths (id, length). Parts follow each other in
     ascending document id, and so do blocks inside a part and documents inside
     a block; first counts the part's ids before the block. Null ids come
-    first. Null and empty texts are the end id alone.
+    first; repeated ids are documents of their own, next to each other. Null
+    and empty texts are the end id alone. Very long texts are encoded in slices,
+    but one document's ids stand in one row. An empty table makes a folder
+    without blocks. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -230,7 +233,10 @@ def stretches(sizes: np.ndarray, n_bytes: np.ndarray, checkpoints: np.ndarray) -
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Decodes the folder's blocks: part, doc_id, start (ids before the document in its part), n_tokens, ids_crc32, ids array<int>."""
+    """Decodes the folder's blocks: part, doc_id, start (ids before the document in its part), n_tokens, ids_crc32, ids array<int>.
+
+    A row for each document written, whatever its id; none for an empty folder.
+    """
     return _decoded(spark, path, with_ids=True)
 
 
@@ -238,7 +244,8 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
     """What the folder's blocks hold, from decoding them: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all documents before the document, over all parts;
-    ids_crc32 is the CRC-32 of the ids as little-endian 32-bit numbers.
+    ids_crc32 is the CRC-32 of the ids as little-endian 32-bit numbers. A row
+    for each document written: null and repeated ids keep theirs.
     """
     docs = _decoded(spark, path, with_ids=False)
     sums = spark.read.parquet(f"{path}/blocks").select("part", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))

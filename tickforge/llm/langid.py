@@ -251,7 +251,8 @@ def identify(docs: DataFrame, network: ByteNetwork, *, id_col: str = "doc_id", t
     """Predicted language of every whole text: doc_id, lang_pred, score, and the columns named in ``keep``.
 
     Null texts and texts without a letter are ``und`` with score 0. Repeated
-    rows are predicted each. Empty input gives an empty result. Of a kept
+    rows are predicted each; of labels with equal scores the first by name wins.
+    A text of any length is read whole. Empty input gives an empty result. Of a kept
     column with the name of a result, the result stays. The network (some ten
     thousand numbers) is broadcast.
     """

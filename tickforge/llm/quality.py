@@ -170,7 +170,9 @@ def judge(docs: DataFrame, rules: Divergence = Divergence(), *, refs: list[dict]
 
     Null or empty text has no words and fails the base rules. Without any
     reference (an empty corpus) no distance is taken. Repeated rows are judged
-    each. The 3-word windows of a text are compared by 64-bit hash.
+    each, equal ones alike. The 3-word windows of a text are compared by 64-bit
+    hash. A text is judged whole: the arrays of its words and of its windows'
+    hashes stand in one task's memory.
     """
     refs = references(docs, rules, text_col=text_col, lang_col=lang_col) if refs is None else refs
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]

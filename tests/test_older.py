@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions.folders import shared_folder, stored_once
+from tickforge.operators import features as FT
 from tickforge.operators import older as OL
 from tickforge.operators import trading as X
 from tickforge.sources import sessions as SS
@@ -108,3 +109,12 @@ def test_a_session_with_another_schema_is_named(spark, tmp_path):
     assert SS.read_sessions(spark, files.filter("session_date < date '2024-01-04'")).count() == 6
     with pytest.raises(ValueError, match="A_trades_2024-01-04 differs"):
         SS.read_sessions(spark, files)
+
+
+def test_warm_up_starts_where_all_sizes_are_ready(spark):
+    day = lambda k: DAY + datetime.timedelta(days=k)
+    rows = [("a", day(0), 0, None, 1.0), ("a", day(0), 1, 1.0, 1.0), ("a", day(1), 0, 1.0, 2.0), ("a", day(1), 1, None, None), ("a", day(2), 0, None, None), ("b", day(0), 0, 1.0, None)]
+    df = spark.createDataFrame(rows, "symbol string, session_date date, bar_no long, x double, y double")
+    assert sorted((r.symbol, r.session_date, r.bar_no) for r in FT.warm_up(df, ["x", "y"]).collect()) == [("a", day(1), 0), ("a", day(1), 1), ("a", day(2), 0)]
+    with pytest.raises(ValueError, match="no session starts with x, y"):
+        FT.warm_up(df.filter("symbol = 'b'"), ["x", "y"])

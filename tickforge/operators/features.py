@@ -7,14 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickforge.functions.folders import stored
+
 from .bars import order_violations
 
 KEY = ("symbol", "session_date", "bar_no")
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """Writes the table, a folder for each session: a session written again replaces itself and no other."""
-    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("session_date").parquet(path)
+    """Writes the table, a folder for each session: a session written again replaces itself and no other. A session is one file unless it is large."""
+    features.hint("rebalance", "session_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("session_date").parquet(path)
+
+
+def warm_up(rows: DataFrame, ready: Sequence[str]) -> DataFrame:
+    """Each symbol's rows from its first session on whose first row has all ``ready`` columns.
+
+    A symbol without such a session has no rows; if no symbol has one, this
+    raises. The starts are a row for each symbol.
+    """
+    whole = F.lit(True)
+    for c in ready:
+        whole = whole & F.col(c).isNotNull()
+    first = rows.groupBy("symbol", "session_date").agg(F.min_by(whole, "bar_no").alias("_whole"))
+    starts = stored(first.filter("_whole").groupBy("symbol").agg(F.min("session_date").alias("_from")), "warm-up")
+    if not starts.limit(1).count():
+        raise ValueError(f"no session starts with {', '.join(ready)}")
+    return rows.join(F.broadcast(starts), "symbol").filter("session_date >= _from").drop("_from")
 
 
 def read_features(spark: SparkSession, path: str, columns: Sequence[str], *, start: str | None = None, end: str | None = None, ready: str | None = None) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.clock import epoch_us
 from tickforge.functions.folders import shared_folder, stored
 from tickforge.operators import bars as B
+from tickforge.operators import features as FT
 from tickforge.operators import indicators as I
 from tickforge.operators import scores as SC
 from tickforge.operators import stats as ST
 from tickforge.operators import ticks as T
+from tickforge.operators.pivots import ud_levels
 from tickforge.sources import sessions as FS
 from tickforge.sources.calendars import contracts, holidays
 from tickforge.sources.events import trades
@@ -92,6 +96,27 @@ def warmup_start_q(spark, d):
     return day(first.filter("p is not null").groupBy("symbol").agg(F.min("session_date").alias("session_date")))
 
 
+def _sized_pivots() -> str:
+    """Zigzags and counts of pivots of five- and sixty-minute bars, the larger ones shown on the bar in which they close."""
+    tail = re.sub(r"\b(kv1|kv|z|bars)\b", r"\1_60", _UD[len(S.BARS5) :])
+    count = lambda z, b, k: f"""p{k} as (select symbol, row, row_number() over (partition by symbol order by row) as i from {z} where coalesce(top, bottom) is not null),
+ c{k} as (select b.symbol, b.session_date, b.bar_no, b.row, count(p.row) as n from {b} b left join p{k} p on p.symbol = b.symbol and p.row <= b.row group by all)"""
+    return f"""with recursive {_UD}, {S.bars(3600, 'bars_60')}{tail}, {count('z', 'bars', 5)}, {count('z_60', 'bars_60', 60)},
+s60 as (select symbol, n, epoch(session_date)::bigint + least((bar_no + 1) * 3600, 82800) - 300 as k from c60), j as (select c.*, coalesce(s.n, 0) as n60 from c5 c asof left join s60 s on c.symbol = s.symbol and epoch(c.session_date)::bigint + c.bar_no * 300 >= s.k),
+f as (select symbol, session_date, arg_min(n, row) as n, arg_min(n60, row) as n60 from j group by symbol, session_date), w as (select symbol, min(session_date) as first from f where n >= 5 and n60 >= 5 group by symbol)"""
+
+
+@query("warm_up", f"{_sized_pivots()} select symbol, {DAY}, bar_no from j join w using (symbol) where session_date >= first")
+def warm_up_q(spark, d):
+    """Rows from the first session on whose first row has the last pivots of both sizes."""
+    t = stored(ticks(spark, d), "ticks")
+    sized = {}
+    for minutes in (5, 60):
+        b = I.std(B.bars(t, minutes * 60)).withColumn("move", F.round(3 * F.col("20_std"), 6))
+        sized[minutes] = ud_levels(b, "move", chunk_days=31).select(*KEY, "last5")
+    return day(FT.warm_up(B.asof_sizes(sized, 5, ["last5"]), ["last5", "last5_60"]).select(*KEY))
+
+
 @query("burn_in", f"with recursive {_PIV}, f as (select symbol, session_date, arg_min(n, row) as n5 from c group by symbol, session_date) select c.symbol, strftime(c.session_date, '%Y-%m-%d') as session_date, c.bar_no from c join f using (symbol, session_date) where f.n5 >= 5")
 def burn_in_q(spark, d):
     z = _zigzag(spark, d)

@@ -25,7 +25,7 @@ from .registry import query
 def write_ticks_q(spark, d):
     path = shared_folder(spark, "ticks")
     t = ticks(spark, d).select("symbol", "session_date", "tick_no", "price", "volume")
-    t.write.option("compression", "zstd").partitionBy("session_date").parquet(path)
+    t.hint("rebalance", "session_date").write.option("compression", "zstd").partitionBy("session_date").parquet(path)
     return day(spark.read.parquet(path).select("symbol", "session_date", "tick_no", "price", "volume"))
 
 

@@ -170,7 +170,7 @@ def regime_q(spark, d):
 
 _PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 _MEASURES = ("floating", "realised", "sharpe")
-_PCT = ", ".join(f"round(quantile_cont(x, {q / 100!r}::double), 9) + 0 as p{q:02d}" for q in _PERCENTS)
+_PCT = ", ".join(f"round(quantile_cont(x, {q / 100!r}::double), 12) + 0 as p{q:02d}" for q in _PERCENTS)
 
 
 @query("family_percentiles", f"""with {_BOARD}, m as ({' union all '.join(f"select symbol, fam, '{m}' as measure, position, round({m}, 8) as x from board" for m in _MEASURES)}),
@@ -183,4 +183,4 @@ def family_percentiles_q(spark, d):
     rows = _board(spark, d).select("symbol", "fam", "position", F.inline(long)).withColumn("who", F.explode(who))
     out = ST.group_percentiles(rows, ["symbol", "fam", "measure", "who"], "x", _PERCENTS)
     total = F.max("n").over(Window.partitionBy("symbol", "fam", "measure"))
-    return out.withColumn("rate", F.round(F.col("n") / total, 6)).withColumns({f"p{q:02d}": F.round(f"p{q:02d}", 9) + 0.0 for q in _PERCENTS})
+    return out.withColumn("rate", F.round(F.col("n") / total, 6)).withColumns({f"p{q:02d}": F.round(f"p{q:02d}", 12) + 0.0 for q in _PERCENTS})

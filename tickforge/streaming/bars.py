@@ -83,7 +83,7 @@ def zigzag(trades: DataFrame, move: float = 40.0) -> DataFrame:
 
 def append_sessions(new: DataFrame, path: str) -> DataFrame:
     """Writes each session of a batch as its own partition, replacing what an earlier attempt left: a rerun changes nothing."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(path)
+    new.hint("rebalance", "session_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(path)
     return new.sparkSession.read.parquet(path)
 
 

@@ -1,6 +1,8 @@
 """The older generation's forms by hand, sinks and refusals."""
 
 import datetime
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,7 +99,10 @@ def test_stored_once_follows_the_source(spark, tmp_path):
     spark.range(3).write.parquet(source)
     assert stored_once(spark, "x", source, make).count() == 3 == stored_once(spark, "x", source, make).count() and len(made) == 1
     spark.range(5).write.mode("overwrite").parquet(source)
-    assert stored_once(spark, "x", source, make).count() == 5 and len(made) == 2
+    again = stored_once(spark, "x", source, make)
+    assert again.count() == 5 and len(made) == 2
+    shutil.rmtree(os.path.dirname(again.inputFiles()[0].removeprefix("file://")))
+    assert stored_once(spark, "x", source, make).count() == 5 and len(made) == 3
 
 
 def test_a_session_with_another_schema_is_named(spark, tmp_path):

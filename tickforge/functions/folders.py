@@ -35,13 +35,23 @@ def fingerprint(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
 
 
+def _whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write was finished and its folder is still there."""
+    sc = spark.sparkContext
+    mark = sc._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(sc._jsc.hadoopConfiguration()).exists(mark)
+
+
 _KEPT: dict[tuple, tuple[str, StructType]] = {}
 
 
 def stored_once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()``'s rows, stored once for each application and state of the source table's files, and read by all that ask for them."""
+    """``make()``'s rows, stored once for each application and state of the source table's files, and read by all that ask for them.
+
+    A table whose folder has been cleared meanwhile is made again.
+    """
     key = (spark.sparkContext.applicationId, label, fingerprint(spark, source))
-    if key not in _KEPT:
+    if key not in _KEPT or not _whole(spark, _KEPT[key][0]):
         df = make()
         path = shared_folder(spark, label)
         df.write.option("compression", "zstd").parquet(path)

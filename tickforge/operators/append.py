@@ -48,8 +48,8 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The rows of ``ticks`` or ``bars`` that the commit record accounts for: those of an append that was cut off are left out."""
     _, state = committed(spark, path)
     rows = spark.read.parquet(f"{path}/{table}")
-    last = F.broadcast(state.select("symbol", "last_session"))
-    return rows.join(last, "symbol").filter("session_date <= last_session").drop("last_session")
+    # A row for each symbol: whether it is small enough to send is left to Spark, which sees its size.
+    return rows.join(state.select("symbol", "last_session"), "symbol").filter("session_date <= last_session").drop("last_session")
 
 
 def _step():
@@ -104,7 +104,7 @@ def append(ticks: DataFrame, path: str, seconds: int = 300, now_utc: str | None
     """
     spark = ticks.sparkSession
     version, state = committed(spark, path)
-    state = F.broadcast(stored(state, "append-state"))  # a row for each symbol
+    state = stored(state, "append-state")
     new = ticks.join(state.select("symbol", "last_session", F.col("ticks").alias("_before")), "symbol", "left")
     new = new.filter(F.col("last_session").isNull() | (F.col("session_date") > F.col("last_session"))).drop("last_session")
     if now_utc is not None:
@@ -117,9 +117,9 @@ def append(ticks: DataFrame, path: str, seconds: int = 300, now_utc: str | None
     before = days.alias("x").join(days.alias("y"), (F.col("x.symbol") == F.col("y.symbol")) & (F.col("y.session_date") < F.col("x.session_date")), "left")
     before = before.groupBy("x.symbol", "x.session_date").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("_days"))
     offset = F.coalesce("_before", F.lit(0)) + F.col("_days")
-    numbered = new.join(F.broadcast(before), list(KEYS)).withColumn("tick_ind", offset + F.col("tick_no"))
+    numbered = new.join(before, list(KEYS)).withColumn("tick_ind", offset + F.col("tick_no"))
     base = numbered.groupBy(*KEYS).agg(F.min(offset).alias("_base"))
-    built = bars(new, seconds).join(F.broadcast(base), list(KEYS))
+    built = bars(new, seconds).join(base, list(KEYS))
     built = built.withColumns({"start_ind": F.col("_base") + F.col("start_tick"), "next_ind": F.col("_base") + F.col("last_tick") + 1})
     out = stored(state.groupBy("symbol").cogroup(built.groupBy("symbol")).applyInPandas(_step(), _ROWS), "append-bars")
     for table, rows in (("ticks", numbered.drop("_before", "_days")), ("bars", out.drop("state"))):

@@ -23,7 +23,7 @@ def warm_up(rows: DataFrame, ready: Sequence[str]) -> DataFrame:
     """Each symbol's rows from its first session on whose first row has all ``ready`` columns.
 
     A symbol without such a session has no rows; if no symbol has one, this
-    raises. The starts are a row for each symbol.
+    raises.
     """
     whole = F.lit(True)
     for c in ready:
@@ -32,7 +32,7 @@ def warm_up(rows: DataFrame, ready: Sequence[str]) -> DataFrame:
     starts = stored(first.filter("_whole").groupBy("symbol").agg(F.min("session_date").alias("_from")), "warm-up")
     if not starts.limit(1).count():
         raise ValueError(f"no session starts with {', '.join(ready)}")
-    return rows.join(F.broadcast(starts), "symbol").filter("session_date >= _from").drop("_from")
+    return rows.join(starts, "symbol").filter("session_date >= _from").drop("_from")
 
 
 def read_features(spark: SparkSession, path: str, columns: Sequence[str], *, start: str | None = None, end: str | None = None, ready: str | None = None) -> DataFrame:

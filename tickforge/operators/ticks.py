@@ -74,21 +74,19 @@ def splice_roll(block: DataFrame, main: DataFrame, by: list[str], order: str, co
     named = lambda text: F.raise_error(F.concat(F.lit(text), F.concat_ws(" ", *(F.col(c).cast("string") for c in by))))
     gate = F.when(F.col(contract) != F.col("_other"), named("a block holds several contracts: ")).when(
         F.col("_start").isNull(), named("the main table lacks the block's contract: ")).when(F.col("_end") >= F.col("_start"), named("a block overlaps the main table: "))
-    # One row for each session on which a contract rolls.
     passed = facts.join(starts, [*by, contract], "left").select(*by, contract, F.coalesce(gate.cast("boolean"), F.lit(True)).alias("_passed"))
-    return block.unionByName(main).join(F.broadcast(passed), [*by, contract]).filter("_passed").select(*main.columns)
+    return block.unionByName(main).join(passed, [*by, contract]).filter("_passed").select(*main.columns)
 
 
 def contract_codes(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     """Adds code, the contract that has the row's id on its session; one that none or several have raises.
 
-    Ids are looked up once for each session (a list as short as the calendar),
-    not for each row.
+    Ids are looked up once for each session, not for each row.
     """
     keys = ["session_date", "instrument_id"]
     asked = rows.select(*keys).distinct()
-    fits = asked.join(F.broadcast(contracts), "instrument_id", "left").withColumn("_on", F.col("session_date").between(F.col("first"), F.col("last")))
+    fits = asked.join(contracts, "instrument_id", "left").withColumn("_on", F.col("session_date").between(F.col("first"), F.col("last")))
     found = fits.groupBy(*keys).agg(F.max(F.when(F.col("_on"), F.col("code"))).alias("code"), F.count(F.when(F.col("_on"), 1)).alias("_n"))
     text = F.concat(F.col("_n").cast("string"), F.lit(" contracts have id "), F.col("instrument_id").cast("string"), F.lit(" on "), F.col("session_date").cast("string"))
     found = found.withColumn("code", F.when(F.col("_n") != 1, F.raise_error(text).cast("string")).otherwise(F.col("code"))).drop("_n")
-    return rows.join(F.broadcast(found), keys)
+    return rows.join(found, keys)

@@ -154,11 +154,11 @@ def chunk_states(rows: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
         walked = walked.unionByName(stored(more, "zigzag-walked"))
 
 
-def ud_levels(bars: DataFrame, move: str, n_pivots: int = N_PIVOTS, chunk_days: int = 31) -> DataFrame:
+def ud_levels(bars: DataFrame, move: str, n_pivots: int = N_PIVOTS, chunk_days: int = 92) -> DataFrame:
     """symbol, session_date, bar_no, u, d, flag, last1.. : levels and the last pivots, the newest first.
 
     A chunk is ``chunk_days`` days of one symbol's bars: choose them so that a
-    task may hold a chunk (31 days of five-minute bars are some 8,000 rows; of
+    task may hold a chunk (92 days of five-minute bars are some 18,000 rows; of
     one-second bars take a day). A symbol's history takes as many tasks as it
     has chunks.
     """

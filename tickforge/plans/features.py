@@ -113,7 +113,7 @@ def warm_up_q(spark, d):
     sized = {}
     for minutes in (5, 60):
         b = I.std(B.bars(t, minutes * 60)).withColumn("move", F.round(3 * F.col("20_std"), 6))
-        sized[minutes] = ud_levels(b, "move", chunk_days=31).select(*KEY, "last5")
+        sized[minutes] = ud_levels(b, "move").select(*KEY, "last5")
     return day(FT.warm_up(B.asof_sizes(sized, 5, ["last5"]), ["last5", "last5_60"]).select(*KEY))
 
 

@@ -3,10 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickforge.llm import decontaminate, langid, quality, sharding, url_rules, warc
+from tickforge.llm import decontaminate, jaccard, langid, quality, sharding, url_rules, warc
 
 
 def test_rows_without_ids_spread_over_keys_and_shards(spark):
@@ -108,3 +109,40 @@ def test_dollars_and_options_of_filter_lines():
     assert re.search(kept.pattern, "h/Ads") and not re.search(kept.pattern, "h/ads")
     priced = rule("/price$100/page")
     assert priced is not None and re.search(priced.pattern, "h/price$100/page")
+
+
+@pytest.mark.parametrize("strangers", [0, 7, 90])
+def test_a_long_lists_rows_meet_once_for_each_block_of_strangers(spark, strangers):
+    """A list of 1,200 sets in blocks of 40: all pairs that may link and are not joined yet meet, and few rows are handed out."""
+    size, total = 40, 1200
+    rng = np.random.default_rng(3)
+    n = rng.integers(80, 110, total)
+    n[: strangers // 3] = 400  # too far apart in size from the main component to meet it
+    node = [k.to_bytes(16, "big") for k in range(total)]
+    comp = [k if k < strangers else strangers for k in range(total)]
+    big = spark.createDataFrame([(5, node[k], int(n[k])) for k in range(total)], "list_id long, node binary, n long")
+    comps = spark.createDataFrame([(node[k], node[comp[k]]) for k in range(total)], "node binary, comp binary")
+
+    placed = jaccard._in_order(big, ["list_id"], "1")
+    own = {}
+    for r in jaccard._chained(placed, size).collect():
+        assert len(r["items"]) == 2
+        for item in r["items"]:
+            own.setdefault((item.i, item.j), []).append(r.n)
+    assert max(map(len, own.values())) < 3 * size and len(own) <= 2 * total // size + 2
+
+    rest = jaccard._unmet(big, comps, "1", size)
+    if not strangers:
+        assert rest is None
+        return
+    items, handed = {}, 0
+    for r in rest.collect():
+        for item in r["items"]:
+            items.setdefault((item.i, item.j), []).append((int.from_bytes(r.node, "big"), item.side))
+            handed += 1
+    met = set()
+    for rows in items.values():
+        met |= {(min(a, b), max(a, b)) for a, s in rows for b, t in rows if a != b and (s != t or s == 0)}
+    must = {(a, b) for a in range(strangers) for b in range(a + 1, total) if 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b])}
+    assert must <= met
+    assert handed <= (strangers // size + 2) * (total + 3 * size)

@@ -24,12 +24,15 @@ Two searches, and neither hands on more rows than it gets:
    leaves the task. Its components are the answer.
 
 Copies are one node from the start. Nothing is dropped: a list or group of any
-size is searched in full, in pairs of blocks of bounded size that are work
-items of their own.
+size is searched in full. One of more than a block is laid out by size and
+first searched in blocks and in blocks across their borders, which joins a
+dense list from end to end. Then only rows outside its main component still
+meet others, in pairs of blocks whose sizes allow a link.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Callable, Iterable, Iterator
@@ -37,7 +40,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, discard, few, shuffle_parts, written
@@ -489,7 +492,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text, node, group, slot, blocks in zip(batch["text"], *(batch[c].to_pylist() for c in ("node", "list_id", "slot", "blocks")), strict=True):
+        for text, node, group, items in zip(batch["text"], *(batch[c].to_pylist() for c in ("node", "list_id", "items")), strict=True):
             if node in sent:
                 continue
             s = shingle_set(text.as_py())
@@ -497,8 +500,8 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             sent.add(node)
             blob = s.tobytes()
-            for other in range(blocks):
-                rows.append((group, min(slot, other), max(slot, other), (slot < other) + 2 * (slot > other), node, blob))
+            for item in items:
+                rows.append((group, item["i"], item["j"], item["side"], node, blob))
                 size += len(blob)
                 if size >= 8 * FLUSH:
                     yield flush()
@@ -567,7 +570,7 @@ def _settled(edges: DataFrame) -> bool:
     return state.filter("lo <> hi or (lo is not null and under > 0)").isEmpty()
 
 
-def stars(edges: DataFrame, label: str = "jaccard-components") -> DataFrame:
+def stars(edges: DataFrame, label: str) -> DataFrame:
     """Edges (u, v) from each node to its component's least node; rows may repeat.
 
     Large-star and small-star steps in turn, each a written table, until every
@@ -587,42 +590,130 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _blocks(total: str, size: int):
-    return F.expr(f"cast(({total} - 1) div {size} + 1 as int)")
+def _item(i: Column, j: Column, side: Column) -> Column:
+    """A work item that a row is in, and on which side: 0 meets all rows, 1 and 2 each other."""
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
 
 
-def _likely_pairs(lists: DataFrame, vectors: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) that join what the lists' pairs within the bound join, as a written table."""
-    large = written(lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("list_id", _blocks("m", BLOCK).alias("blocks")), "jaccard-large-lists")
-    rows = lists.join(vectors.select("key", "node", "n", "vec"), "key")
+def _only_item() -> Column:
+    return F.array(_item(F.lit(0), F.lit(0), F.lit(0)))
+
+
+def _in_order(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Adds place, as a written table: where a row lies when rows alike in ``keys`` are laid side by side by size.
+
+    A place is counted in ``weight``; rows of one size lie in the order of a
+    hash. Only sums by size are put in order, never the rows.
+    """
+    sums = rows.groupBy(*keys, "n").agg(F.sum(F.expr(weight)).cast("long").alias("_w"))
+    below = F.sum("_w").over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    sums = written(sums.withColumn("_below", F.coalesce(below, F.lit(0))), "jaccard-sizes")
+    place = F.col("_below") + F.pmod(F.xxhash64("node"), F.col("_w"))
+    out = written(rows.join(few(sums), [*keys, "n"]).withColumn("place", place).drop("_w", "_below"), "jaccard-places")
+    discard(sums)
+    return out
+
+
+def _chained(placed: DataFrame, size: int) -> DataFrame:
+    """First items of large lists' placed rows: blocks of like sizes, and blocks that lie half over two of those."""
+    own, across = (F.floor(F.col("place") / size) * 2, F.floor((F.col("place") + size // 2) / size) * 2 + 1)
+    return placed.withColumn("items", F.array(*(_item(k, k, F.lit(0)) for k in (own, across)))).drop("place")
+
+
+def _unmet(big: DataFrame, comps: DataFrame, weight: str, size: int) -> DataFrame | None:
+    """Further items of large lists: what may link rows that ``comps`` (node, comp) leaves apart; None if no list has any.
+
+    Two rows of a list's main component need not meet. The list's other rows
+    meet in pairs of blocks, and meet the main component's blocks; pairs of
+    blocks whose sizes are too far apart, or of one component, are left out.
+    So a main component's row is handed out once for each block of others.
+    """
+    named = written(big.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-named")
+    tally = named.groupBy("list_id", "comp").agg(F.sum(F.expr(weight)).alias("k"))
+    main = written(tally.groupBy("list_id").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "jaccard-mains")
+    n_main = main.count()
+    if not n_main:
+        discard(named, main)
+        return None
+    open_rows = named.join(few(main, n_main), "list_id").withColumn("kind", (F.col("comp") == F.col("main")).cast("int")).drop("main")
+    laid = _in_order(open_rows, ["list_id", "kind"], weight)
+    placed = laid.withColumn("slot", F.floor(F.col("place") / size))
+    blocks = placed.groupBy("list_id", "kind", "slot").agg(*(f(c).alias(f"{c}_{at}") for c in ("n", "comp") for f, at in ((F.min, "lo"), (F.max, "hi"))))
+    blocks = written(blocks, "jaccard-blocks")
+    a, b = (blocks.select("list_id", *(F.col(c).alias(f"{x}_{c}") for c in blocks.columns if c != "list_id")) for x in "ab")
+    met = a.filter("a_kind = 0").join(b, "list_id").filter("(b_kind = 1 or a_slot <= b_slot) and 5 * a_n_hi >= 4 * b_n_lo and 5 * b_n_hi >= 4 * a_n_lo")
+    met = met.filter("not (a_comp_lo = b_comp_hi and b_comp_lo = a_comp_hi and a_comp_lo = a_comp_hi)")
+    met = met.select("list_id", "a_kind", "a_slot", "b_kind", "b_slot", (F.col("b_slot") * 2 + F.col("b_kind")).alias("j"), ((F.col("b_kind") == 0) & (F.col("a_slot") == F.col("b_slot"))).alias("same"))
+    end = lambda x, side: F.struct(F.col(f"{x}_kind").alias("kind"), F.col(f"{x}_slot").alias("slot"), _item(F.col("a_slot"), F.col("j"), side).alias("item"))
+    ends = F.when(F.col("same"), F.array(end("a", F.lit(0)))).otherwise(F.array(end("a", F.lit(1)), end("b", F.lit(2))))
+    ends = met.select("list_id", F.inline(ends)).groupBy("list_id", "kind", "slot").agg(F.collect_list("item").alias("items"))
+    out = written(placed.join(ends, ["list_id", "kind", "slot"]).drop("kind", "slot", "place", "comp"), "jaccard-unmet")
+    discard(named, main, laid, blocks)
+    return out
+
+
+def _joined(small: DataFrame, big: DataFrame | None, search: Callable[..., DataFrame], weight: str, size: int, label: str) -> DataFrame:
+    """Settled edges of what the searched rows' links join, as a written table.
+
+    small and big: (list_id, node, n, ...), the rows of lists of one block and
+    of large lists; ``search`` takes tables of them with their items and returns links.
+    """
+    first = [small.withColumn("items", _only_item())]
+    placed = None if big is None else _in_order(big, ["list_id"], weight)
+    if placed is not None:
+        first.append(_chained(placed, size))
+    found = written(search(*first).distinct(), f"{label}-links")
+    heads = stars(_edges(found), label)
+    discard(found)
+    if placed is None:
+        return heads
+    discard(placed)
+    rest = _unmet(big, components(heads), weight, size)
+    if rest is None:
+        return heads
+    more = written(search(rest).distinct(), f"{label}-more")
+    out = stars(heads.unionByName(_edges(more)), label)
+    discard(rest, more, heads)
+    return out
+
+
+def _likely_groups(lists: DataFrame, vectors: DataFrame, parts: int) -> DataFrame:
+    """Settled edges of what the lists' pairs within the bound join."""
+    large = written(lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("list_id"), "jaccard-large-lists")
     n_large = large.count()
-    rows = rows.join(few(large, n_large), "list_id", "left") if n_large else rows.withColumn("blocks", F.lit(None).cast("int"))
-    rows = rows.withColumn("slot", F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-    side = F.when(F.col("slot") == F.col("other"), 0).when(F.col("slot") < F.col("other"), 1).otherwise(2)
-    items = rows.select("list_id", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), side.alias("side"), "node", "n", "vec")
-    found = items.repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j").mapInArrow(_likely, "a binary, b binary")
-    out = written(found.distinct(), "jaccard-likely")
-    discard(large)
+    posted = lists.join(few(large, n_large), "list_id", "left_semi").join(vectors.select("key", "node", "n"), "key").drop("key")
+    big = written(posted, "jaccard-large-rows") if n_large else None
+    small = lists.join(few(large, n_large), "list_id", "left_anti") if n_large else lists
+
+    def search(*tables: DataFrame) -> DataFrame:
+        whole = (t if "vec" in t.columns else t.join(vectors.select("node", "vec"), "node") for t in tables)
+        items = functools.reduce(DataFrame.unionByName, (t.select("list_id", F.inline("items"), "node", "n", "vec") for t in whole))
+        return items.repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j").mapInArrow(_likely, "a binary, b binary")
+
+    out = _joined(small.join(vectors.select("key", "node", "n", "vec"), "key"), big, search, "1", BLOCK, "jaccard-groups")
+    discard(large, *([big] if n_large else []))
     return out
 
 
-def _true_links(groups: DataFrame, vectors: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
-    """Links (a, b) that join what all links inside the groups (node, comp) join, as a written table."""
-    placed = written(vectors.join(groups, "node").select("node", "n", "doc_id", "text_hash", "comp"), "jaccard-placed")
-    large = written(placed.groupBy("comp").agg(F.sum("n").alias("s")).filter(F.col("s") > BLOCK_SHINGLES).select("comp", _blocks("s", BLOCK_SHINGLES).alias("blocks")), "jaccard-large-groups")
-    n, n_large = placed.count(), large.count()
-    wanted = placed.join(few(large, n_large), "comp", "left") if n_large else placed.withColumn("blocks", F.lit(1))
-    wanted = wanted.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node", F.xxhash64("comp").alias("list_id"), F.coalesce("blocks", F.lit(1)).alias("blocks"),
-        F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)).alias("slot"),
-    )
+def _linked_groups(groups: DataFrame, vectors: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """Settled edges of what all true links inside the groups (node, comp) join."""
+    placed = written(vectors.join(groups, "node").select("node", "n", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.xxhash64("comp").alias("list_id")), "jaccard-placed")
+    large = written(placed.groupBy("list_id").agg(F.sum("n").alias("s")).filter(F.col("s") > BLOCK_SHINGLES).select("list_id"), "jaccard-large-groups")
+    n_large = large.count()
+    big = written(placed.join(few(large, n_large), "list_id", "left_semi"), "jaccard-large-rows") if n_large else None
+    small = placed.join(few(large, n_large), "list_id", "left_anti") if n_large else placed
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
-    sets = rows.join(few(wanted, n), same).select("text", "node", "list_id", "slot", "blocks").mapInArrow(_sets, "list_id long, i int, j int, side int, node binary, shingles binary")
-    items = sets.repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j")
-    links = written(items.mapInArrow(_links, "a binary, b binary").distinct(), "jaccard-links")
-    discard(placed, large)
-    return links
+
+    def search(*tables: DataFrame) -> DataFrame:
+        wanted = functools.reduce(DataFrame.unionByName, (t.select("_id", "_hash", "node", "list_id", "items") for t in tables))
+        n = wanted.agg(F.sum(F.size("items"))).first()[0] or 0
+        sets = rows.join(few(wanted, n), same).select("text", "node", "list_id", "items")
+        sets = sets.mapInArrow(_sets, "list_id long, i int, j int, side int, node binary, shingles binary")
+        return sets.repartition(parts, "list_id", "i", "j").sortWithinPartitions("list_id", "i", "j").mapInArrow(_links, "a binary, b binary")
+
+    out = _joined(small, big, search, "n", BLOCK_SHINGLES, "jaccard-components")
+    discard(placed, large, *([big] if n_large else []))
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
@@ -658,11 +749,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # One row stands for each distinct set on any list.
     vectors = written(nodes.join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["node"]), "jaccard-vectors")
-    likely = _likely_pairs(lists, vectors, parts)
-    found = stars(_edges(likely), "jaccard-groups")
-    links = _true_links(components(found), vectors, rows, parts)
-    final = stars(_edges(links))
-    discard(lists, vectors, likely, found, links)
+    found = _likely_groups(lists, vectors, parts)
+    final = _linked_groups(components(found), vectors, rows, parts)
+    discard(lists, vectors, found)
 
     named = nodes.drop("key", "vec").join(components(final), "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     # Only components of several rows have another name than their row's; a written table, so that a join can split a large one's rows.

@@ -272,10 +272,10 @@ select symbol, {DAY}, bar_no, case when len(xs) = 5 then round(m, 6) end as mean
 @query("forming_bar", _FORMING)
 def forming_bar_q(spark, d):
     """Indicators over the last four closed 60-minute closes and the current minute's close."""
-    t = ticks(spark, d)
-    big = B.bars(t, 3600).withColumn("xs", F.collect_list("close").over(B.history().rowsBetween(-3, 0)))
+    table = B.write_sizes(ticks(spark, d), shared_folder(spark, "sizes"), {n: B.SIZES[n] for n in ("1", "60")})
+    big = table.filter("freq = '60'").withColumn("xs", F.collect_list("close").over(B.history().rowsBetween(-3, 0)))
     shown = big.select("symbol", "session_date", F.lit(None).cast("long").alias("bar_no"), F.lit(None).cast("long").alias("close"), "xs", F.least((F.col("bar_no") + 1) * 3600, F.lit(82800)).alias("at"), F.lit(0).alias("src"))
-    base = B.bars(t, 60).select("symbol", "session_date", "bar_no", "close", F.lit(None).cast("array<bigint>").alias("xs"), (F.col("bar_no") * 60).alias("at"), F.lit(1).alias("src"))
+    base = table.filter("freq = '1'").select("symbol", "session_date", "bar_no", "close", F.lit(None).cast("array<bigint>").alias("xs"), (F.col("bar_no") * 60).alias("at"), F.lit(1).alias("src"))
     w = Window.partitionBy("symbol").orderBy("session_date", "at", "src").rowsBetween(Window.unboundedPreceding, 0)
     both = base.unionByName(shown).withColumn("xs", F.last("xs", ignorenulls=True).over(w)).filter("src = 1")
     xs = F.array_append("xs", F.col("close"))

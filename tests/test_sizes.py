@@ -3,11 +3,14 @@
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from tickforge.catalog import QUERIES
 from tickforge.functions import folders
+from tickforge.functions.folders import shared_folder
 from tickforge.operators import bars as B
 from tickforge.sources.events import trades
+from tickforge.streaming import bars as SB
 
 
 def test_trades_are_dealt_over_parts_that_grow_with_the_table(spark, sf_dir, monkeypatch):
@@ -28,3 +31,40 @@ def test_as_of_sizes_build_bars_from_ticks_once(spark, sf_dir, monkeypatch):
         built.clear()
         QUERIES[name](spark, sf_dir)
         assert built == [smallest]
+
+
+def _batches(spark, folder, files):
+    """The event ids of each micro-batch of so many files."""
+    seen = []
+    stream = SB.trade_stream(spark, folder, files_per_batch=files)
+    q = stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted(r.event_id for r in b.select("event_id").collect()))).option("checkpointLocation", shared_folder(spark, "batches")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [s for s in seen if s]
+
+
+def test_steps_of_several_files_stay_in_order_from_batch_to_batch(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id < 90")
+    folder = shared_folder(spark, "steps")
+    SB.write_in_order(events, folder, "event_id", 3, files=4)
+    assert len(spark.read.parquet(folder).inputFiles()) == 12
+    got = _batches(spark, folder, 4)
+    assert len(got) == 3 and sum(got, []) == list(range(90))
+
+
+def test_empty_files_stand_in_for_empty_partitions(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = shared_folder(spark, "padded")
+    for part in ("event_id < 2", "event_id between 10 and 40", "event_id < 0"):
+        SB.write_files(events.filter(part).repartition(3, "event_type"), folder, 3)
+    assert len(spark.read.parquet(folder).inputFiles()) == 9
+    assert _batches(spark, folder, 3) == [[0, 1], list(range(10, 41))]
+
+
+def test_late_stream_comes_in_files_that_grow_with_the_table(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, QUERIES["stream_late"](spark, sf_dir).collect()))
+    monkeypatch.setattr(folders, "PART_BYTES", -(-os.path.getsize(f"{sf_dir}/events.parquet") // 5))
+    files = []
+    real = SB.write_files
+    monkeypatch.setattr(SB, "write_files", lambda rows, folder, n: files.append((n, rows.rdd.getNumPartitions())) or real(rows, folder, n))
+    assert sorted(map(tuple, QUERIES["stream_late"](spark, sf_dir).collect())) == want
+    assert files == [(5, 5), (5, 5)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickforge.functions.folders import shared_folder, stored
+from tickforge.functions.folders import parts, shared_folder, stored
 from tickforge.operators import append as AP
 from tickforge.operators import bars as B
 from tickforge.operators import features as FT
@@ -117,15 +117,16 @@ def feature_sink_q(spark, d):
 _STREAM = "select symbol, epoch_us(start)::bigint // 1000000 as start, open, high, low, close, volume, n from (select event_type as symbol, time_bucket(interval '{0}', ts + interval 1 hour) as start, arg_min(k, event_id) as open, max(k) as high, min(k) as low, arg_max(k, event_id) as close, cast(sum(1 + user_id % 9) as bigint) as volume, count(*) as n from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) group by 1, 2) where start + interval '{0}' <= (select max(ts) + interval 1 hour - interval 10 minute from events)"
 
 
-#: Files of the test stream; three micro-batches, so state is carried.
-STREAM_FILES = 6
+#: Steps of the test stream; three micro-batches, so state is carried.
+STREAM_STEPS, STREAM_BATCHES = 6, 3
 
 
 def _stream_source(spark, d):
     """The stream's folder: the events in event order, in files that micro-batches take a few at a time."""
     folder = shared_folder(spark, "stream-in")
-    ST.write_in_order(spark.read.parquet(f"{d}/events.parquet"), folder, "event_id", STREAM_FILES)
-    return ST.trade_stream(spark, folder, files_per_batch=STREAM_FILES // 3)
+    files = -(-parts(spark, f"{d}/events.parquet") // STREAM_STEPS)
+    ST.write_in_order(spark.read.parquet(f"{d}/events.parquet"), folder, "event_id", STREAM_STEPS, files)
+    return ST.trade_stream(spark, folder, files_per_batch=files * STREAM_STEPS // STREAM_BATCHES)
 
 
 @query("stream_bars", _STREAM.format("1 hour"))
@@ -173,10 +174,11 @@ def stream_late_q(spark, d):
     """Every tenth trade is delivered behind all the others: those whose second has closed are kept apart, the rest still count."""
     folder = shared_folder(spark, "late-in")
     events = spark.read.parquet(f"{d}/events.parquet")
+    files = parts(spark, f"{d}/events.parquet")
     for part in (F.col("event_id") % 10 != 0, F.col("event_id") % 10 == 0):
-        events.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        ST.write_files(events.filter(part).repartition(files), folder, files)
     out = shared_folder(spark, "late-out")
-    _, late = SZ.run(ST.trade_stream(spark, folder), out, sizes={"1s": 1, "1": 60})
+    _, late = SZ.run(ST.trade_stream(spark, folder, files_per_batch=files), out, sizes={"1s": 1, "1": 60})
     return late.select("symbol", "event_id")
 
 
@@ -186,9 +188,10 @@ def _cycle_stream(spark, d):
     at = F.unix_date("session_date").cast("long") * 86400 + F.col("bar_no") * 300
     bars = stored(_sided(spark, d).select("symbol", "session_date", "bar_no", *(F.col(c).cast("long").alias(c) for c in ("high", "low", "close")), F.col("side").cast("int").alias("side"), at.alias("at")), "cycle-bars")
     middle = bars.agg(F.expr("percentile_approx(at, 0.4)")).first()[0]
+    files = -(-parts(spark, f"{d}/events.parquet") // 4)
     for part in (F.col("at") <= middle, F.col("at") > middle):
-        ST.write_in_order(bars.filter(part), folder, "at", 2)
-        rows = ST.run_to_end(CY.cycles(CY.bar_stream(spark, folder), STOP, TICK_USD), out)
+        ST.write_in_order(bars.filter(part), folder, "at", 2, files)
+        rows = ST.run_to_end(CY.cycles(CY.bar_stream(spark, folder, files_per_batch=files), STOP, TICK_USD), out)
     return rows
 
 

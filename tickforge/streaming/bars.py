@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -42,11 +43,30 @@ def deduplicated(trades: DataFrame, late: str = "10 minutes") -> DataFrame:
     return trades.withWatermark("clock", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def write_in_order(events: DataFrame, folder: str, order: str, files: int) -> None:
-    """The rows as so many files, written one after the other in ``order``: a file stream takes the oldest first."""
-    ranged = stored(events.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()), "stream-parts")
-    for part in range(files):
-        ranged.filter(F.col("_part") == part).drop("_part").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
+def write_in_order(events: DataFrame, folder: str, order: str, steps: int, files: int = 1) -> None:
+    """The rows in so many steps of ``order``, written one after the other: a file stream takes the oldest first.
+
+    A step is exactly so many ``files``, written side by side, so a stream
+    whose batches take whole steps sees them in order whatever their size.
+    """
+    ranged = stored(events.repartitionByRange(steps * files, order).withColumn("_part", F.spark_partition_id()), "stream-parts")
+    for step in range(steps):
+        rows = ranged.filter(F.floor(F.col("_part") / files) == step).drop("_part")
+        rows = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, order)
+        write_files(rows.sortWithinPartitions(order), folder, files)
+
+
+def write_files(rows: DataFrame, folder: str, files: int) -> None:
+    """Adds the rows, in ``files`` partitions or fewer, as exactly so many Parquet files: an empty partition leaves none, so empty files stand in."""
+    spark, schema = rows.sparkSession, rows.schema
+    count = lambda: len(spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder).inputFiles())
+    try:
+        there = count()
+    except AnalysisException:  # no folder yet
+        there = 0
+    rows.write.mode("append").parquet(folder)
+    for _ in range(there + files - count()):
+        spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(folder)
 
 
 def zigzag_state(move: float) -> Callable:

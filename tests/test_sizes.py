@@ -68,3 +68,13 @@ def test_late_stream_comes_in_files_that_grow_with_the_table(spark, sf_dir, monk
     monkeypatch.setattr(SB, "write_files", lambda rows, folder, n: files.append((n, rows.rdd.getNumPartitions())) or real(rows, folder, n))
     assert sorted(map(tuple, QUERIES["stream_late"](spark, sf_dir).collect())) == want
     assert files == [(5, 5), (5, 5)]
+
+
+def test_each_bar_is_written_once_and_trades_are_parsed_once(spark, sf_dir, monkeypatch):
+    written = []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: written.append(path) or real(self, path, *a, **k))
+    QUERIES["stream_all_sizes"](spark, sf_dir)
+    for batch in range(3):
+        own = [p.split("/stream-sizes-")[1].split("/", 1)[1].split("/batch=")[0] for p in written if "/stream-sizes-" in p and f"batch={batch:08d}" in p]
+        assert sorted(own) == sorted(["trades", "late", "state", *(f"bars/freq={n}" for n in B.SIZES)])

@@ -12,6 +12,8 @@ from tickforge.operators.bars import SIZES, child
 
 #: A bar still open, or closed: its first second, prices with the trades that hold first and last place, and sums.
 BAR = "symbol string, start long, open long, high long, low long, close long, volume long, n long, first_id long, last_id long"
+#: A trade of a batch.
+TRADE = "symbol string, event_id long, start long, price long, volume long, late boolean"
 
 
 def _merged(parts: DataFrame, seconds: int) -> DataFrame:
@@ -25,8 +27,14 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _bars(spark: SparkSession, folder: str, name: str, number: int | None = None, is_open: bool = False) -> DataFrame:
+    """The closed or the open bars of a size that a batch wrote, or all batches."""
+    path = f"{folder}/bars/freq={name}" if number is None else f"{folder}/bars/freq={name}/batch={number:08d}"
+    return _read(spark, path, f"{BAR}, is_open boolean").filter(F.col("is_open") == is_open).drop("is_open")
+
+
 def size_cascade(folder: str, delay_seconds: int = 600, sizes: dict[str, int] = SIZES):
-    """A ``foreachBatch`` function that keeps bars of all sizes below ``folder``: bars (freq, batch), late and state.
+    """A ``foreachBatch`` function that keeps bars of all sizes below ``folder``: trades, late, bars (freq, batch, is_open) and state.
 
     A trade (symbol, event_id, clock, price, size) is late if the bar of the
     smallest size that it falls in has closed, that is if its end is not after
@@ -34,8 +42,10 @@ def size_cascade(folder: str, delay_seconds: int = 600, sizes: dict[str, int] =
     trades change no bar. A bar closes when the watermark passes its end, and
     only closed bars go up into the next size, so sizes tile each other. Open
     bars are the state: at most some of each size and symbol within the delay
-    and the size's own length. Every table has a folder for each batch that a
-    repeated batch writes anew; the state of a batch is read by the next alone.
+    and the size's own length. Each bar is written once, under is_open, and a
+    batch's trades are parsed once. Every table has a folder for each batch
+    that a repeated batch writes anew; a batch's open bars and watermark are
+    read by the next alone.
     """
     order = sorted(sizes, key=sizes.__getitem__)
 
@@ -46,28 +56,24 @@ def size_cascade(folder: str, delay_seconds: int = 600, sizes: dict[str, int] =
         mark = None if first else _read(spark, f"{before}/watermark", "mark long").first().mark
         second = F.floor(epoch_us(F.col("clock").cast("timestamp_ntz")) / 1_000_000)
         smallest = sizes[order[0]]
-        rows = batch.select("symbol", "event_id", second.alias("start"), "price", F.col("size").alias("volume"))
+        rows = batch.select("symbol", "event_id", second.alias("start"), F.col("price").cast("long").alias("price"), F.col("size").cast("long").alias("volume"))
         rows = rows.withColumn("late", F.lit(False) if mark is None else (F.floor(F.col("start") / smallest) + 1) * smallest <= mark)
+        rows.write.mode("overwrite").parquet(f"{folder}/trades/batch={number:08d}")
+        rows = _read(spark, f"{folder}/trades/batch={number:08d}", TRADE)
         rows.filter("late").drop("late").write.mode("overwrite").parquet(f"{folder}/late/batch={number:08d}")
         newest = rows.agg(F.max("start").alias("m")).first().m
         mark = max(m for m in (mark, None if newest is None else newest - delay_seconds, -(1 << 62)) if m is not None)
-        price = F.col("price").cast("long")
+        price = F.col("price")
         fresh = rows.filter("not late").select(
-            "symbol", "start", price.alias("open"), price.alias("high"), price.alias("low"), price.alias("close"), F.col("volume").cast("long").alias("volume"),
+            "symbol", "start", price.alias("open"), price.alias("high"), price.alias("low"), price.alias("close"), "volume",
             F.lit(1).cast("long").alias("n"), F.col("event_id").alias("first_id"), F.col("event_id").alias("last_id"))
-        closed: dict[str, DataFrame] = {}
         for name in order:
             below = child(name, sizes)
-            parts = fresh if below is None else closed[below]
+            parts = fresh if below is None else _bars(spark, folder, below, number)
             if not first:
-                parts = parts.unionByName(_read(spark, f"{before}/open-{name}", BAR))
+                parts = parts.unionByName(_bars(spark, folder, name, number - 1, is_open=True))
             is_open = F.col("start") + sizes[name] > mark
-            path = f"{folder}/step/batch={number:08d}/{name}"
-            _merged(parts, sizes[name]).withColumn("is_open", is_open).write.mode("overwrite").partitionBy("is_open").parquet(path)
-            both = _read(spark, path, f"{BAR}, is_open boolean")
-            both.filter("is_open").drop("is_open").write.mode("overwrite").parquet(f"{folder}/state/batch={number:08d}/open-{name}")
-            closed[name] = both.filter("not is_open").drop("is_open")
-            closed[name].write.mode("overwrite").parquet(f"{folder}/bars/freq={name}/batch={number:08d}")
+            _merged(parts, sizes[name]).withColumn("is_open", is_open).write.mode("overwrite").partitionBy("is_open").parquet(f"{folder}/bars/freq={name}/batch={number:08d}")
         spark.createDataFrame([(mark,)], "mark long").write.mode("overwrite").parquet(f"{folder}/state/batch={number:08d}/watermark")
 
     return step
@@ -81,5 +87,5 @@ def run(trades: DataFrame, folder: str, **how) -> tuple[DataFrame, DataFrame]:
         raise query.exception()
     spark = trades.sparkSession
     sizes = how.get("sizes", SIZES)
-    bars = reduce(DataFrame.unionByName, (_read(spark, f"{folder}/bars/freq={n}", BAR).withColumn("freq", F.lit(n)) for n in sizes))
+    bars = reduce(DataFrame.unionByName, (_bars(spark, folder, n).withColumn("freq", F.lit(n)) for n in sizes))
     return bars, _read(spark, f"{folder}/late", "symbol string, event_id long, start long, price long, volume long")

@@ -20,8 +20,25 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0).cast("double"))
 
 
-def last(n: int):
-    return history().rowsBetween(1 - n, 0)
+def last(n: int, *by: str):
+    return history(*by).rowsBetween(1 - n, 0)
+
+
+#: Rows of a block in which a symbol's numbered bars are looked at.
+BLOCK_ROWS = 4096
+
+
+def in_blocks(df: DataFrame, make: Callable[[DataFrame, str], DataFrame], back: int) -> DataFrame:
+    """``make(df)`` for a value that looks at most ``back`` rows back, over a symbol's numbered bars (row) in blocks.
+
+    The rows before a block lead it in and are left out again, so a symbol's
+    history is as many parts as it has blocks. ``make`` gets the column that
+    parts the history as its second argument.
+    """
+    own = F.expr(f"row div {BLOCK_ROWS}")
+    led = F.when(F.col("row") % BLOCK_ROWS >= BLOCK_ROWS - back, own + 1)
+    held = df.withColumn("_block", F.explode(F.array_compact(F.array(own, led))))
+    return make(held, "_block").filter(F.col("_block") == own).drop("_block")
 
 
 def sma(df: DataFrame, n: int = 20, col: str = "close") -> DataFrame:
@@ -115,12 +132,12 @@ def forming_atr(base: DataFrame, big: DataFrame, ratio: int, n: int = 14) -> Dat
     return b.withColumn("forming_atr", F.when(F.col("_whole"), smoothed)).drop("_big", "_sum", "_before", "_whole", "_high", "_low")
 
 
-def sma_rsi(df: DataFrame, n: int = 14) -> DataFrame:
-    """Relative strength of simple means, turned around zero: -(RSI / 50 - 1)."""
-    df = df.withColumn("_c", F.col("close") - F.lag("close").over(history()))
+def sma_rsi(df: DataFrame, n: int = 14, by: tuple[str, ...] = ()) -> DataFrame:
+    """Relative strength of simple means, turned around zero: -(RSI / 50 - 1). It looks n rows back."""
+    df = df.withColumn("_c", F.col("close") - F.lag("close").over(history(*by)))
     df = df.withColumns({"_up": F.greatest("_c", F.lit(0)), "_down": F.greatest(-F.col("_c"), F.lit(0))})
     df = df.withColumns({"_up": F.when(F.col("_c").isNotNull(), F.col("_up")), "_down": F.when(F.col("_c").isNotNull(), F.col("_down"))})
-    w = last(n)
+    w = last(n, *by)
     up, down = F.avg("_up").over(w), F.avg("_down").over(w)
     df = df.withColumns({"_u": up, "_d": down, "_n": F.count("_c").over(w)})
     rsi = F.when(F.col("_d") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("_u") / F.nullif(F.col("_d"), F.lit(0.0))))

@@ -31,7 +31,7 @@ def _side(up: Column, down: Column) -> Column:
     return F.when(up & down, F.lit(None).cast("int")).when(up, 1).when(down, -1).otherwise(0)
 
 
-def level_search(entries: DataFrame, bars: DataFrame, ticks: DataFrame, size: str, sizes: dict[str, int] = SIZES) -> DataFrame:
+def level_search(entries: DataFrame, bars: DataFrame, ticks: DataFrame, size: str, sizes: dict[str, int] = SIZES, *, made: bool = True) -> DataFrame:
     """Adds hit to entries (entry_id, symbol, session_date, start_tick, upper, lower): 1 upper first, -1 lower first, 0 neither inside the bar.
 
     ``start_tick`` is the first tick of a bar of ``size``; anything else
@@ -43,10 +43,14 @@ def level_search(entries: DataFrame, bars: DataFrame, ticks: DataFrame, size: st
     one bar. They are written and counted at each level: few of them are
     broadcast, and the descent ends where none is left. A bar whose tiles or
     ticks hold neither level is broken and raises.
+
+    Without ``made`` bars hold ``size`` alone: the tiles are made from the
+    ticks of those bars in which an entry is open, which are written once.
     """
     upper, lower = levels(F.col("upper"), F.col("lower"))
     own = bars.filter(F.col("freq") == size).select(*KEYS, "start_tick", F.col("bar_no").alias("_bar"), F.col("high").alias("_high"), F.col("low").alias("_low"))
-    e = entries.join(own, [*KEYS, "start_tick"], "left").withColumns({"_upper": upper, "_lower": lower})
+    # Bars are as many as the history is long, however small their files: they are not broadcast.
+    e = entries.join(own.hint("merge"), [*KEYS, "start_tick"], "left").withColumns({"_upper": upper, "_lower": lower})
     astray = F.raise_error(F.concat(F.lit("tick "), F.coalesce(F.col("start_tick").cast("string"), F.lit("null")), F.lit(f" is not the first tick of a bar of size {size}")))
     side = F.when(F.col("_bar").isNull(), astray.cast("int")).otherwise(_side(F.col("_high") >= F.col("_upper"), F.col("_low") <= F.col("_lower")))
     e = stored(e.withColumn("hit", side), "search-entries")
@@ -54,12 +58,15 @@ def level_search(entries: DataFrame, bars: DataFrame, ticks: DataFrame, size: st
     found: list[DataFrame] = []
     at: str | None = size
     while at is not None and (n := frontier.count()):
+        if not made and at == size:
+            ticks = stored(inside_open(ticks, frontier, n, sizes[size]), "search-ticks")
         below = child(at, sizes)
         if below is None:
             inside = ticks.select(*KEYS, F.floor(F.col("sod") / sizes[at]).cast("long").alias("_bar"), F.col("tick_no").alias("_order"), F.col("price").alias("_high"), F.col("price").alias("_low"))
         else:
             ratio = sizes[at] // sizes[below]
-            inside = bars.filter(F.col("freq") == below).select(*KEYS, F.floor(F.col("bar_no") / ratio).cast("long").alias("_bar"), F.col("bar_no").alias("_order"), F.col("high").alias("_high"), F.col("low").alias("_low"))
+            tiles = bars.filter(F.col("freq") == below) if made else extremes(ticks, sizes[below])
+            inside = tiles.select(*KEYS, F.floor(F.col("bar_no") / ratio).cast("long").alias("_bar"), F.col("bar_no").alias("_order"), F.col("high").alias("_high"), F.col("low").alias("_low"))
         frontier = stored(descend(frontier, inside, n, at, leaf=below is None), "search-open")
         found.append(frontier.filter("hit is not null").select("entry_id", "hit"))
         frontier = frontier.filter("hit is null").select("entry_id", *KEYS, "_bar", "_upper", "_lower")
@@ -71,6 +78,18 @@ def level_search(entries: DataFrame, bars: DataFrame, ticks: DataFrame, size: st
     return e.join(below, "entry_id", "left").withColumn("hit", F.coalesce("hit", "_found")).drop("_found")
 
 
+def inside_open(ticks: DataFrame, frontier: DataFrame, n: int, seconds: int) -> DataFrame:
+    """The ticks of the bars (of so many seconds) that the frontier's n rows are in."""
+    bars = frontier.select(*KEYS, "_bar").distinct()
+    inside = ticks.withColumn("_bar", F.floor(F.col("sod") / seconds).cast("long"))
+    return inside.join(F.broadcast(bars) if n <= OPEN_ROWS else bars, [*KEYS, "_bar"], "left_semi").drop("_bar")
+
+
+def extremes(ticks: DataFrame, seconds: int) -> DataFrame:
+    """Number, high and low of the bars of so many seconds."""
+    return ticks.groupBy(*KEYS, F.floor(F.col("sod") / seconds).cast("long").alias("bar_no")).agg(F.max("price").alias("high"), F.min("price").alias("low"))
+
+
 def descend(frontier: DataFrame, inside: DataFrame, n: int, size: str, leaf: bool) -> DataFrame:
     """The first row inside each open bar that touches a level: its order becomes _bar; hit is null where it holds both.
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import SIZES, history
+from .bars import KEYS, SIZES, history, with_facts
 from .search import level_search
 
 TICK_USD, COMMISSION = 12.5, 2.0
@@ -72,6 +72,14 @@ def rows(bars: DataFrame) -> DataFrame:
     return bars.withColumn("row", (F.row_number().over(history()) - 1).cast("long"))
 
 
+def numbered(bars: DataFrame) -> DataFrame:
+    """``rows`` of stored bars in two levels: the rows of earlier sessions (a row for each session, summed by symbol) plus the place in the session."""
+    counts = bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*KEYS, (F.sum("_n").over(Window.partitionBy("symbol").orderBy("session_date")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("bar_no")) - 1
+    return with_facts(bars.withColumn("_place", place), before).withColumn("row", (F.col("_before") + F.col("_place")).cast("long")).drop("_before", "_place")
+
+
 def session_ends(df: DataFrame, bar_minutes: int, flat_minute: int) -> DataFrame:
     """flat: the session's first bar that ends after flat_minute (null after an early close); stop: the first row no trade may be in."""
     day = Window.partitionBy("symbol", "session_date")
@@ -80,14 +88,22 @@ def session_ends(df: DataFrame, bar_minutes: int, flat_minute: int) -> DataFrame
 
 
 def turns(df: DataFrame) -> DataFrame:
-    """start: the side turns 1 or -1 in its session; change: the next row of the opposite side."""
-    day = Window.partitionBy("symbol", "session_date").orderBy("row")
+    """start: the side turns 1 or -1 in its session; change: the next row of the opposite side, the number of rows without one.
+
+    Two levels: the next row inside the session, else the first one of a later
+    session, from a row for each session. So no task holds a symbol's history.
+    """
+    day = Window.partitionBy(*KEYS).orderBy("row")
     # From the last row backwards a running minimum is one pass; a frame up to the end would start anew at each row.
-    ahead = Window.partitionBy("symbol").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("symbol").orderBy(F.desc("session_date")).rowsBetween(Window.unboundedPreceding, -1)
+    on = lambda s: F.min(F.when(F.col("side") == s, F.col("row")))
+    days = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_k"), on(1).alias("_long"), on(-1).alias("_short"))
+    facts = days.select(*KEYS, F.min("_long").over(later).alias("_long"), F.min("_short").over(later).alias("_short"), F.sum("_k").over(Window.partitionBy("symbol")).alias("_n"))
     start = F.col("side") != F.coalesce(F.lag("side").over(day), F.lit(0))
-    following = lambda s: F.min(F.when(F.col("side") == s, F.col("row"))).over(ahead)
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    return df.withColumns({"start": start, "change": F.coalesce(F.when(F.col("side") == 1, following(-1)).otherwise(following(1)), n)})
+    following = lambda s, c: F.coalesce(on(s).over(ahead), F.col(c))
+    df = with_facts(df, facts).withColumns({"start": start, "change": F.coalesce(F.when(F.col("side") == 1, following(-1, "_short")).otherwise(following(1, "_long")), F.col("_n"))})
+    return df.drop("_long", "_short", "_n")
 
 
 def runs(df: DataFrame) -> DataFrame:
@@ -100,8 +116,8 @@ def runs(df: DataFrame) -> DataFrame:
 
 
 def signals(df: DataFrame, no_entry: str | None = None, entry_ok: Column | None = None) -> DataFrame:
-    """Rows whose side starts and whose next bar may be entered."""
-    h = Window.partitionBy("symbol").orderBy("row")
+    """Rows whose side starts and whose next bar may be entered: one of the same session, as stop is no later than its end."""
+    h = Window.partitionBy(*KEYS).orderBy("row")
     df = df.withColumns({"entry_px": F.lead("open").over(h), "_blocked": F.coalesce(F.lead(no_entry).over(h) == 1, F.lit(False)) if no_entry else F.lit(False)})
     ok = F.lit(True) if entry_ok is None else entry_ok
     return df.filter((F.col("side") != 0) & F.col("start") & ok & ~F.col("_blocked") & (F.col("row") + 1 < F.col("stop"))).drop("_blocked")
@@ -129,12 +145,12 @@ def vol_grid(signals: DataFrame, tps: list[float], sls: list[float], vol: str) -
     return signals.select("*", F.inline(pairs)).withColumns({"tp": level("_a"), "sl": level("_b")}).drop("_a", "_b")
 
 
-def find_exits(sig: DataFrame, bars: DataFrame, table: DataFrame, ticks: DataFrame, size: str, sizes: dict[str, int] = SIZES) -> DataFrame:
+def find_exits(sig: DataFrame, bars: DataFrame, table: DataFrame | None, ticks: DataFrame, size: str, sizes: dict[str, int] = SIZES) -> DataFrame:
     """One trade for each signal and stops label: entry at the next bar's first tick, exit by level, opposite signal, flat bar or session end.
 
     sig: rows of ``signals`` with tp, sl, stops; bars: numbered rows of the
     same symbols, of the given size; table: the bars of that size and all below
-    (freq). Where a bar holds both levels, ``level_search`` decides. The only wide join carries (symbol, session_date) and looks
+    (freq), or None: those below are made for the bars in question. Where a bar holds both levels, ``level_search`` decides. The only wide join carries (symbol, session_date) and looks
     for the first block of bars that touches a level; then the bars of that
     block, and of the entry's own, are looked at. So a trade meets a session's
     blocks and two blocks' bars, however short the bars.
@@ -147,16 +163,17 @@ def find_exits(sig: DataFrame, bars: DataFrame, table: DataFrame, ticks: DataFra
     })
     reached = lambda high, low: f"({high} >= ceil(upper) or {low} <= floor(lower))"
     b = bars.select(*keys, F.col("row").alias("b_row"), "high", "low").withColumn("block", F.expr(f"b_row div {BLOCK_ROWS}"))
-    blocks = b.groupBy(*keys, "block").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
+    # Signals and bars are as many as the history is long, however small their files: they are not broadcast.
+    blocks = b.groupBy(*keys, "block").agg(F.max("high").alias("top"), F.min("low").alias("bottom")).hint("merge")
     s = s.withColumn("own", F.expr(f"entry_row div {BLOCK_ROWS}"))
     later = s.join(blocks, keys).filter(f"block > own and block <= (until - 1) div {BLOCK_ROWS} and {reached('top', 'bottom')}").groupBy(*one).agg(F.min("block").alias("later"))
     near = s.join(later, one, "left").withColumn("block", F.explode(F.array_compact(F.array("own", "later"))))
-    touch = near.join(b, [*keys, "block"]).filter(f"b_row >= entry_row and b_row < until and {reached('high', 'low')}").groupBy(*one).agg(F.min("b_row").alias("hit_row"))
+    touch = near.join(b.hint("merge"), [*keys, "block"]).filter(f"b_row >= entry_row and b_row < until and {reached('high', 'low')}").groupBy(*one).agg(F.min("b_row").alias("hit_row"))
     s = s.drop("own").join(touch, one, "left").withColumn("bar_row", F.coalesce("hit_row", F.col("until") - 1))
     at = bars.select("symbol", F.col("row").alias("bar_row"), "start_tick", F.col("close").alias("bar_close"))
-    s = s.join(at, ["symbol", "bar_row"]).withColumn("entry_id", F.concat_ws("|", "symbol", "row", "stops"))
-    s = level_search(s, table, ticks, size, sizes).drop("entry_id", "start_tick")
-    opens = lambda name: bars.select("symbol", F.col("row").alias(f"{name}_row"), F.col("open").alias(f"{name}_px"))
+    s = s.join(at.hint("merge"), ["symbol", "bar_row"]).withColumn("entry_id", F.concat_ws("|", "symbol", "row", "stops"))
+    s = level_search(s, bars.withColumn("freq", F.lit(size)) if table is None else table, ticks, size, sizes, made=table is not None).drop("entry_id", "start_tick")
+    opens = lambda name: bars.select("symbol", F.col("row").alias(f"{name}_row"), F.col("open").alias(f"{name}_px")).hint("merge")
     changed = (F.col("hit") == 0) & (F.col("until") < F.col("stop"))
     s = s.withColumns({"changed": changed, "change_row": F.col("until"), "flat_row": F.col("flat")})
     s = s.join(opens("change"), ["symbol", "change_row"], "left").join(opens("flat"), ["symbol", "flat_row"], "left")
@@ -172,15 +189,15 @@ def one_at_a_time(trades: DataFrame) -> DataFrame:
     """Greedy in signal order: a trade is kept if its row is not before the last kept trade's exit row.
 
     Trades never cross a session, so each (symbol, stops, session) is folded
-    by itself: at most one trade for each of its bars.
+    by itself: at most one trade for each of its bars. Whole trades are in the
+    lists, so they are shuffled once and met by no join.
     """
     keys = ["symbol", "stops", "session_date"]
-    lists = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row", "exit_row"))).alias("_t"))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(-1).cast("long").alias("free"), none.alias("kept"))
-    step = lambda a, t: F.when(t["row"] >= a["free"], F.struct(t["exit_row"].alias("free"), F.array_append(a["kept"], t["row"]).alias("kept"))).otherwise(a)
-    kept = lists.select(*keys, F.explode(F.aggregate("_t", start, step, lambda a: a["kept"])).alias("row"))
-    return trades.join(kept, [*keys, "row"], "left_semi")
+    trade = F.struct("row", "exit_row", *(c for c in trades.columns if c not in {*keys, "row", "exit_row"}))
+    lists = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(trade)).alias("_t"))
+    start = F.struct(F.lit(-1).cast("long").alias("free"), F.array().cast(lists.schema["_t"].dataType).alias("kept"))
+    step = lambda a, t: F.when(t["row"] >= a["free"], F.struct(t["exit_row"].alias("free"), F.array_append(a["kept"], t).alias("kept"))).otherwise(a)
+    return lists.select(*keys, F.inline(F.aggregate("_t", start, step, lambda a: a["kept"]))).select(*trades.columns)
 
 
 def costs(trades: DataFrame, tick_usd: float = TICK_USD, commission: float = COMMISSION) -> DataFrame:

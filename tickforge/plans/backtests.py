@@ -13,7 +13,7 @@ from tickforge.operators import ticks as T
 from tickforge.operators import trading as X
 from tickforge.operators.search import level_search
 
-from tickforge.functions.folders import shared_folder, stored, stored_once
+from tickforge.functions.folders import parts, shared_folder, stored, stored_once
 
 from . import sql as S
 from .market import _NEWS_SQL, DAY, _GUARD, bars5, day, labelled, ticks
@@ -43,24 +43,37 @@ def _table(spark, d):
     return stored_once(spark, "small-bars", f"{d}/events.parquet", lambda: B.write_sizes(_ticks(spark, d), shared_folder(spark, "sizes"), SMALL))
 
 
+def _rsi(spark, d):
+    """Numbered bars of the trading size with their sma_rsi, stored once: by sessions and blocks of rows, so no task holds a symbol's history."""
+    def make():
+        return I.in_blocks(X.numbered(stored(B.bars(_ticks(spark, d), SMALL["5"]), "bars-5")), lambda b, block: I.sma_rsi(b, by=(block,)), back=14)
+
+    return stored_once(spark, "rsi-5", f"{d}/events.parquet", make)
+
+
+def _rows(spark, d):
+    return _rsi(spark, d).drop("sma_rsi")
+
+
 def _bars5(spark, d):
-    return _table(spark, d).filter("freq = '5'").drop("freq")
+    return _rows(spark, d).drop("row")
 
 
 def _sided(spark, d, level=0.2):
-    b = X.rows(I.sma_rsi(_bars5(spark, d)))
+    b = _rsi(spark, d).repartition(parts(spark, f"{d}/events.parquet"), *B.KEYS)
     side = F.when(F.col("sma_rsi") > level, 1).when(F.col("sma_rsi") < -level, -1).otherwise(0)
     return X.session_ends(b.withColumn("side", side), 5, 1320)
 
 
 def _signals(spark, d, level=0.2):
-    return X.signals(X.turns(_sided(spark, d, level)))
+    """The signals: stored once, as every step of the exits reads them."""
+    return stored_once(spark, f"signals-{level}", f"{d}/events.parquet", lambda: X.signals(X.turns(_sided(spark, d, level))))
 
 
 def _exits(spark, d, level=0.2):
     """Every signal's exits: stored once, as the run and all that checks it read them."""
     sig = lambda: X.stop_grid(_signals(spark, d, level), [6, 12], [6, 12])
-    return stored_once(spark, f"exits-{level}", f"{d}/events.parquet", lambda: X.find_exits(sig(), X.rows(_bars5(spark, d)), _table(spark, d), _ticks(spark, d), "5", SMALL))
+    return stored_once(spark, f"exits-{level}", f"{d}/events.parquet", lambda: X.find_exits(sig(), _rows(spark, d), None, _ticks(spark, d), "5", SMALL))
 
 
 def _run(spark, d, level=0.2):
@@ -178,7 +191,7 @@ def vol_grid_q(spark, d):
 
 
 def _entries(spark, d):
-    b = X.rows(_bars5(spark, d))
+    b = _rows(spark, d)
     return b.select("symbol", "session_date", "bar_no", "start_tick", "row", (F.col("open") + 2.0).alias("upper"), (F.col("open") - 2.0).alias("lower"), F.concat_ws("|", "symbol", "row").alias("entry_id"))
 
 
@@ -344,7 +357,7 @@ def by_side_q(spark, d):
 
 
 def _labelled(spark, d):
-    b = X.rows(_bars5(spark, d)).select("symbol", F.col("row").alias("entry_row"), F.floor(F.col("bar_no") / 12).cast("int").alias("hour"))
+    b = _rows(spark, d).select("symbol", F.col("row").alias("entry_row"), F.floor(F.col("bar_no") / 12).cast("int").alias("hour"))
     return _run(spark, d).join(b, ["symbol", "entry_row"])
 
 
@@ -388,7 +401,7 @@ _SLICE_NUMBERS = ["gross_per_trade", "net_per_trade", "win_rate", "net_usd", "t_
 
 def _slices(spark, d):
     """Slices of both strategies' trades, labelled by hour of entry, year, month, side, and the pattern of signals on the signal bar."""
-    b = X.rows(I.sma_rsi(_bars5(spark, d)))
+    b = _rsi(spark, d)
     hour = b.select("symbol", F.col("row").alias("entry_row"), F.floor(F.col("bar_no") / 12).cast("int").alias("hour"))
     many = [X.rsi_long(0.2), X.rsi_long(0.4), X.rsi_short(0.2), X.rsi_short(0.4)]
     at = X.signal_columns(b, many).select("symbol", "row", *(F.col(f"`{s.name}`").alias(f"s{k}") for k, s in enumerate(many)))
